@@ -44,11 +44,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the rows of an Arrow batch, since documents can be long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+def batch_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Sets the rows of an Arrow batch: few for whole documents, which can be long, more for numbers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def of_checked_size(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
@@ -70,8 +68,9 @@ def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str,
     """
     values = [c for c in right.columns if c not in keys]
     bound = max(HOT_FLOOR, rows // HOT_KEYS)
+    zero = (F.col(weight) - F.col(weight)).cast("bigint")  # not a literal, which the optimiser would take out of the join's keys
     hot = right.filter(F.col(weight) >= bound).select(*keys, F.struct(*values).alias("_hot"))
-    cold = right.filter(F.col(weight) < bound).select(*keys, F.lit(0).cast("bigint").alias("_salt"), F.struct(*values).alias("_cold"))
+    cold = right.filter(F.col(weight) < bound).select(*keys, zero.alias("_salt"), F.struct(*values).alias("_cold"))
     marked = left.join(F.broadcast(hot), list(keys), "left").withColumn("_salt", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.xxhash64(spread)))
     found = F.coalesce("_hot", "_cold")
     return marked.join(cold, [*keys, "_salt"], "left").select(*left.columns, *(found[c].alias(c) for c in values))
