@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import exact_dedup, simhash
+from marketlens.llm import exact_dedup, packing, simhash
+
+#: Vocabulary of the packing query, a file of the installed collection of public tokenizers.
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,8 +27,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_simhash": op2_simhash, "op3_exact_dedup": op3_exact_dedup}
+    return {"op2_simhash": op2_simhash, "op3_exact_dedup": op3_exact_dedup, "op5_packing": op5_packing}
 
 
 def oracle_sql() -> dict[str, str]:
