@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marketlens.llm import exact_dedup, packing, simhash
+from marketlens.llm import decontamination, exact_dedup, language, packing, simhash
 
 #: Vocabulary of the packing query, a file of the installed collection of public tokenizers.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -23,16 +24,32 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.label(_table(spark, sf_dir, "documents"))
 
 
+def _remainder(id_col: str, n: int) -> Column:
+    """CRC-32 of the id as text, modulo n."""
+    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(n))
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language.train(docs, _remainder("doc_id", 4) != 2)
+    found = language.classify(docs, model)
+    return found.withColumn("held_out", F.coalesce(_remainder("doc_id", 4) == 2, F.lit(False)))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_simhash": op2_simhash, "op3_exact_dedup": op3_exact_dedup, "op5_packing": op5_packing}
+    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_exact_dedup, op4_language, op5_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
