@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from marketlens.llm.common import batch_rows, materialise, without
 
@@ -149,17 +150,11 @@ def _against(docs: DataFrame, block: DataFrame, min_coverage: float, id_col: str
 
     names = [id_col, item_col, "coverage", "n_tiles", "tiled_words", "item_words"]
     kinds = [docs.schema[id_col].dataType, block.schema["item"].dataType]
-    types = [*map(_arrow, kinds), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+    types = [*map(to_arrow_type, kinds), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
     schema = ", ".join(f"`{c}` {t}" for c, t in zip(names, [*(k.simpleString() for k in kinds), "double", "long", "long", "long"], strict=True))
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def _arrow(kind: object) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)
-
-
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose text covers a benchmark item; rows with a null id stay."""
     found = contamination(docs, benchmark, min_coverage, id_col, text_col).select(id_col).distinct()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import decontamination, exact_dedup, language, packing, simhash
+from marketlens.llm import decontamination, exact_dedup, language, packing, pitman_yor, simhash
 
 #: Vocabulary of the packing query, a file of the installed collection of public tokenizers.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -48,8 +48,15 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_remainder("doc_id", 7) == 2, F.lit(False))
+    model = pitman_yor.train(docs.filter(~held_out))
+    return pitman_yor.score(docs, model).withColumn("held_out", held_out)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_exact_dedup, op4_language, op5_packing)}
+    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_exact_dedup, op4_language, op5_packing, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
