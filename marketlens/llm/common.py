@@ -26,7 +26,9 @@ _own_dir: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
     if path := spark.conf.get("spark.checkpoint.dir", None):
-        return path.rstrip("/")
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        full = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+        return full if "://" in full else full.replace(":/", ":///", 1)
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="marketlens-"))
         atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)

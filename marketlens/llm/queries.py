@@ -8,10 +8,16 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import decontamination, exact_dedup, language, packing, pitman_yor, simhash
+from marketlens.llm import decontamination, exact_dedup, language, packing, pitman_yor, simhash, url_filter, warc
 
 #: Vocabulary of the packing query, a file of the installed collection of public tokenizers.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+URL_RULES = [
+    url_filter.Rule("net", "/", allow=False),
+    url_filter.Rule("example.net", "/en/", allow=True),
+    url_filter.Rule("example.com", "/de/", allow=False),
+    url_filter.Rule("org", "/fr/", allow=True),
+]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +54,15 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(_table(spark, sf_dir, "pages"))
+    return warc.read_archives(manifest, keep_payload=False).drop("payload", "url", "problem")
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(_remainder("doc_id", 7) == 2, F.lit(False))
@@ -56,7 +71,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_exact_dedup, op4_language, op5_packing, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_exact_dedup, op4_language, op5_packing, op7_warc, op8_url_filter, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -67,4 +82,14 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
             WINDOW same AS (PARTITION BY t)
         """,
+        "op7_warc": r"""
+            WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+            f AS (SELECT *, min(page_id) OVER (PARTITION BY t) AS first FROM p)
+            SELECT page_id, octet_length(encode(t)) AS payload_bytes,
+                   array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                       1 + CAST((CAST('0x' || substr(h, CAST(1 + 10 * (i // 8) AS INT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS INT)) & 31 AS INT), 1)), '') AS payload_digest,
+                   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+                   CASE WHEN page_id <> first THEN first END AS refers_to
+            FROM f
+        """,
     }
