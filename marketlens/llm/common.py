@@ -78,6 +78,13 @@ def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str,
     return marked.join(cold, [*keys, "_salt"], "left").select(*left.columns, *(found[c].alias(c) for c in values))
 
 
+def look_up(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str, rows: int, spread: Column) -> DataFrame:
+    """attach(), without a shuffle of left where right, which is materialised, has few rows."""
+    if right.limit(BROADCAST_IDS // 4 + 1).count() > BROADCAST_IDS // 4:
+        return attach(left, right, keys, weight, rows, spread)
+    return left.join(F.broadcast(right), list(keys), "left").select(*left.columns, *(c for c in right.columns if c not in keys))
+
+
 def ascii_space(text: Column) -> Column:
     """Each run of the six ASCII white-space characters becomes one space; null becomes empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import decontamination, exact_dedup, language, packing, pitman_yor, simhash, url_filter, warc
+from marketlens.llm import decontamination, exact_dedup, html_text, language, packing, pitman_yor, quality, simhash, url_filter, warc
 
 #: Vocabulary of the packing query, a file of the installed collection of public tokenizers.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -54,6 +54,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = _table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return quality.classify(_table(spark, sf_dir, "documents"), trusted)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(_table(spark, sf_dir, "pages"))
     return warc.read_archives(manifest, keep_payload=False).drop("payload", "url", "problem")
@@ -63,6 +68,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(_remainder("doc_id", 7) == 2, F.lit(False))
@@ -71,7 +80,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_exact_dedup, op4_language, op5_packing, op7_warc, op8_url_filter, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_exact_dedup, op4_language, op5_packing, op6_quality, op7_warc, op8_url_filter, op9_html_text, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import BROADCAST_IDS, attach, batch_rows, materialise, new_folder
+from marketlens.llm.common import batch_rows, look_up, materialise, new_folder
 
 ARCHIVE_BYTES, PIECE = 64 << 20, 1 << 16
 DATE = "2024-01-01T00:00:00Z"
@@ -68,10 +68,7 @@ def write_archives(pages: DataFrame, revisit_from: int = 0, id_col: str = "page_
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("key"))
     keyed = rows.filter(F.col("id").isNotNull() & (F.octet_length("payload") >= revisit_from))
     first = materialise(keyed.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "warc-firsts")
-    if first.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        found = rows.join(F.broadcast(first), "key", "left")
-    else:
-        found = attach(rows, first, ["key"], "n", pages.count(), F.col("id"))
+    found = look_up(rows, first, ["key"], "n", pages.count(), F.col("id"))
     folder = new_folder(spark, "warc")
     batch_rows(spark, 64)
 
