@@ -58,7 +58,7 @@ def of_checked_size(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
 
 def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs but for the rows whose key is in ids; rows with a null key stay."""
-    return docs.join(of_checked_size(ids), key, "left_anti")
+    return docs.join(of_checked_size(ids), key, "left_anti").select(docs.columns)
 
 
 def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str, rows: int, spread: Column) -> DataFrame:
