@@ -107,8 +107,13 @@ def top_counts(df: DataFrame, by: Sequence[str], n: int, name: str = "cantidad")
     return found.orderBy(F.desc(name), *by).limit(n)
 
 
+def mean(column: str) -> Column:
+    """The mean of a decimal column, to full precision."""
+    return F.sum(column).cast("double") / F.count(column)
+
+
 def listing_kpis(df: DataFrame) -> DataFrame:
-    return df.agg(F.count("*").alias("publicaciones"), F.round(F.avg("precio").cast("double"), 4).alias("precio_promedio"), F.countDistinct("marca").alias("marcas"))
+    return df.agg(F.count("*").alias("publicaciones"), mean("precio").alias("precio_promedio"), F.countDistinct("marca").alias("marcas"))
 
 
 def histogram(df: DataFrame, column: str = "precio", bins: int = 50) -> DataFrame:
@@ -133,23 +138,23 @@ def listings_by_condition(df: DataFrame) -> DataFrame:
 def price_ranking(df: DataFrame) -> DataFrame:
     """Mean and median price of brands, currencies apart."""
     found = df.filter("marca is not null").groupBy("marca", "moneda")
-    return found.agg(F.count("*").alias("publicaciones"), F.round(F.avg("precio").cast("double"), 4).alias("precio_promedio"), F.max("precio").cast("double").alias("precio_maximo"))
+    return found.agg(F.count("*").alias("publicaciones"), mean("precio").alias("precio_promedio"), F.max("precio").cast("double").alias("precio_maximo"))
 
 
 def price_trend(df: DataFrame) -> DataFrame:
     found = df.groupBy("fecha_snapshot", "moneda")
-    return found.agg(F.count("*").alias("publicaciones"), F.round(F.avg("precio").cast("double"), 4).alias("precio_promedio"))
+    return found.agg(F.count("*").alias("publicaciones"), mean("precio").alias("precio_promedio"))
 
 
 def macro_monthly(df: DataFrame) -> DataFrame:
     """Mean and last value of each series in each month."""
     found = df.groupBy(F.trunc("fecha", "MM").alias("mes"), "indicador")
-    return found.agg(F.round(F.avg("valor").cast("double"), 4).alias("promedio"), F.max_by("valor", "fecha").cast("double").alias("ultimo"))
+    return found.agg(mean("valor").alias("promedio"), F.max_by("valor", "fecha").cast("double").alias("ultimo"))
 
 
 def weekly(df: DataFrame, column: str = "fecha", measure: str = "valor") -> DataFrame:
     found = df.groupBy(F.date_trunc("week", column).cast("date").alias("semana"), "indicador")
-    return found.agg(F.count("*").alias("dias"), F.round(F.avg(measure).cast("double"), 4).alias("promedio"))
+    return found.agg(F.count("*").alias("dias"), mean(measure).alias("promedio"))
 
 
 def latest_values(df: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from marketlens.functions.parse import instalment
@@ -11,11 +11,15 @@ from marketlens.operators.windows import growth, monthly
 #: Weights of the demand indicator's parts.
 DEMAND = {"registros": 0.5, "tasa": -0.3, "interes": 0.2}
 MONTHS_TO_PAY, OVERSTOCK_DAYS, SPREAD = 36, 90, 1.0
-_ALL = Window.partitionBy(F.lit(0))  # over frames of one row a month
+
+
+def _all() -> WindowSpec:
+    """One window over a frame of one row a month, or a brand."""
+    return Window.partitionBy(F.lit(0))
 
 
 def _z(c: str) -> Column:
-    return (F.col(c) - F.avg(c).over(_ALL)) / F.nullif(F.stddev_samp(c).over(_ALL), F.lit(0.0))
+    return (F.col(c) - F.avg(c).over(_all())) / F.nullif(F.stddev_samp(c).over(_all()), F.lit(0.0))
 
 
 def rate_by_month(macro: DataFrame, series: str) -> DataFrame:
@@ -66,7 +70,7 @@ def affordability(listings: DataFrame, wages: DataFrame, macro: DataFrame, serie
     wage = wages.groupBy(F.trunc("fecha", "MM").alias("mes")).agg(F.avg("salario").cast("double").alias("salario"))
     rate = macro.filter(F.col("indicador") == series).groupBy(F.trunc("fecha", "MM").alias("mes")).agg(F.max_by("valor", "fecha").cast("double").alias("tasa"))
     months = price.join(wage, "mes", "left").join(rate, "mes", "left")
-    known = F.last("tasa", ignorenulls=True).over(_ALL.orderBy("mes").rowsBetween(Window.unboundedPreceding, 0))
+    known = F.last("tasa", ignorenulls=True).over(_all().orderBy("mes").rowsBetween(Window.unboundedPreceding, 0))
     cost = instalment(F.col("precio"), known, MONTHS_TO_PAY)
     return months.select("mes", F.round("precio", 4).alias("precio"), F.round("salario", 4).alias("salario"), F.round(known, 4).alias("tasa"), F.round(cost, 4).alias("cuota"), F.round(100 * F.col("salario") / cost, 4).alias("indice"))
 
@@ -74,7 +78,7 @@ def affordability(listings: DataFrame, wages: DataFrame, macro: DataFrame, serie
 def interest_index(interest: DataFrame, by: tuple[str, ...] = ("fecha", "marca"), within: tuple[str, ...] = ("marca",)) -> DataFrame:
     """Searches as a percentage of the largest number within the group."""
     sums = interest.groupBy(*by).agg(F.sum("busquedas").cast("bigint").alias("busquedas"))
-    top = F.max("busquedas").over(Window.partitionBy(*within) if within else _ALL)
+    top = F.max("busquedas").over(Window.partitionBy(*within) if within else _all())
     return sums.withColumn("indice", F.round(100.0 * F.col("busquedas") / F.nullif(top, F.lit(0)), 4))
 
 
@@ -83,9 +87,9 @@ def attention_ranking(interest: DataFrame, listings: DataFrame) -> DataFrame:
     searched = interest.groupBy("marca").agg(F.sum("busquedas").cast("bigint").alias("busquedas"))
     listed = listings.filter("estado = 'active' and marca is not null").groupBy("marca").agg(F.count("*").alias("activas"))
     both = searched.join(listed, "marca", "full_outer").na.fill(0, ["busquedas", "activas"])  # a row a brand
-    parts = [50.0 * F.col(c) / F.nullif(F.max(c).over(_ALL), F.lit(0)) for c in ("busquedas", "activas")]
+    parts = [50.0 * F.col(c) / F.nullif(F.max(c).over(_all()), F.lit(0)) for c in ("busquedas", "activas")]
     scored = both.withColumn("puntaje", F.round(F.coalesce(parts[0], F.lit(0.0)) + F.coalesce(parts[1], F.lit(0.0)), 4))
-    return scored.withColumn("puesto", F.dense_rank().over(_ALL.orderBy(F.desc("puntaje"))))
+    return scored.withColumn("puesto", F.dense_rank().over(_all().orderBy(F.desc("puntaje"))))
 
 
 def production_vs_demand(production: DataFrame, registrations: DataFrame) -> DataFrame:

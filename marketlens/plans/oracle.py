@@ -113,7 +113,7 @@ def sql() -> dict[str, str]:
         "load_snapshot": _with("listings", "SELECT * REPLACE (CAST(precio AS DOUBLE) AS precio) FROM listings WHERE fecha_snapshot = DATE '1999-03-15'"),
         "registrations_trend": _with("registrations", "SELECT fecha, sum(cantidad) AS total FROM registrations WHERE tipo_vehiculo = '0km' GROUP BY 1"),
         "registrations_by_type": _with("registrations", "SELECT fecha, tipo_vehiculo, sum(cantidad) AS total FROM registrations GROUP BY 1, 2"),
-        "listing_kpis": _with("listings", "SELECT count(*) AS publicaciones, round(CAST(sum(precio) AS DOUBLE) / count(precio), 4) AS precio_promedio, count(DISTINCT marca) AS marcas FROM listings"),
+        "listing_kpis": _with("listings", "SELECT count(*) AS publicaciones, CAST(sum(precio) AS DOUBLE) / count(precio) AS precio_promedio, count(DISTINCT marca) AS marcas FROM listings"),
         "listing_top_brands": _with("listings", "SELECT marca, count(*) AS cantidad FROM listings WHERE marca IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"),
         "trending_models": _with("listings", "SELECT marca, modelo, count(*) AS cantidad FROM listings WHERE marca IS NOT NULL AND modelo IS NOT NULL GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 20"),
         "price_histogram": _with("listings", "") + """, edges AS (SELECT CAST(min(precio) AS DOUBLE) AS lo, CAST(max(precio) AS DOUBLE) AS hi FROM listings),
@@ -125,16 +125,16 @@ def sql() -> dict[str, str]:
         "listings_by_condition": _with("listings", """
             SELECT marca, count(*) FILTER (condicion = 'new') AS nuevos, count(*) FILTER (condicion = 'used') AS usados, count(*) AS total FROM listings GROUP BY 1"""),
         "price_ranking": _with("listings", """
-            SELECT marca, moneda, count(*) AS publicaciones, round(CAST(sum(precio) AS DOUBLE) / count(precio), 4) AS precio_promedio, CAST(max(precio) AS DOUBLE) AS precio_maximo
+            SELECT marca, moneda, count(*) AS publicaciones, CAST(sum(precio) AS DOUBLE) / count(precio) AS precio_promedio, CAST(max(precio) AS DOUBLE) AS precio_maximo
             FROM listings WHERE marca IS NOT NULL GROUP BY 1, 2"""),
         "price_trend": _with("listings", """
-            SELECT fecha_snapshot, moneda, count(*) AS publicaciones, round(CAST(sum(precio) AS DOUBLE) / count(precio), 4) AS precio_promedio FROM listings GROUP BY 1, 2"""),
+            SELECT fecha_snapshot, moneda, count(*) AS publicaciones, CAST(sum(precio) AS DOUBLE) / count(precio) AS precio_promedio FROM listings GROUP BY 1, 2"""),
         "macro_monthly": _with("macro", """
-            SELECT CAST(date_trunc('month', fecha) AS DATE) AS mes, indicador, round(CAST(sum(valor) AS DOUBLE) / count(valor), 4) AS promedio, CAST(arg_max(valor, fecha) AS DOUBLE) AS ultimo
+            SELECT CAST(date_trunc('month', fecha) AS DATE) AS mes, indicador, CAST(sum(valor) AS DOUBLE) / count(valor) AS promedio, CAST(arg_max(valor, fecha) AS DOUBLE) AS ultimo
             FROM macro GROUP BY 1, 2"""),
         "macro_latest": _with("macro", "SELECT indicador, max(fecha) AS fecha, CAST(arg_max(valor, fecha) AS DOUBLE) AS valor FROM macro GROUP BY 1"),
         "weekly_rollup": _with("macro", """
-            SELECT CAST(date_trunc('week', fecha) AS DATE) AS semana, indicador, count(*) AS dias, round(CAST(sum(valor) AS DOUBLE) / count(valor), 4) AS promedio FROM macro GROUP BY 1, 2"""),
+            SELECT CAST(date_trunc('week', fecha) AS DATE) AS semana, indicador, count(*) AS dias, CAST(sum(valor) AS DOUBLE) / count(valor) AS promedio FROM macro GROUP BY 1, 2"""),
         "kpi_vs_previous": _with("registrations", "") + """, k AS (SELECT sum(cantidad) FILTER (fecha BETWEEN DATE '2000-01-01' AND DATE '2000-12-31') AS actual,
                 sum(cantidad) FILTER (fecha BETWEEN DATE '1998-12-31' AND DATE '1999-12-31') AS anterior FROM registrations)
             SELECT actual, anterior, round(100.0 * (CAST(actual AS DOUBLE) - anterior) / anterior, 4) AS variacion FROM k""",
