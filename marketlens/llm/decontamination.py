@@ -126,7 +126,7 @@ def _against(docs: DataFrame, block: DataFrame, min_coverage: float, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = [(item, w, run_hashes(w)) for item, w in shared.value]
         every = np.concatenate([np.empty(0, np.uint64), *(h for _, _, h in items)])
-        owner = np.repeat(np.arange(len(items)), [len(h) for _, _, h in items])
+        owner = np.repeat(np.arange(len(items)), np.array([len(h) for _, _, h in items], np.int64))
         order = np.argsort(every, kind="stable")
         every, owner = every[order], owner[order]
         likely = np.zeros(1 << _FILTER_BITS, bool)
