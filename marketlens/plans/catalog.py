@@ -12,8 +12,11 @@ from marketlens import schemas
 from marketlens.functions import parse
 from marketlens.operators import analytics, explore, indicators, windows
 from marketlens.operators.merge import dedupe_last, merge_upsert, summary, with_fallback
+from marketlens.plans import jobs
 from marketlens.sources import landing
+from marketlens.sources.store import Store, new_folder
 from marketlens.sources.views import Views
+from marketlens.streaming.ingest import ingest_listings
 
 Query = Callable[[SparkSession, str], DataFrame]
 BASE, LISTING = "https://base.example", "https://base.example/estadisticas"
@@ -312,9 +315,8 @@ def report_index(v: Views) -> DataFrame:
     return landing.report_index(links, BASE, LISTING)
 
 
-@query
-def registrations_unpivot(v: Views) -> DataFrame:
-    """Yearly pages with a table of brands by months are made of the registrations, and read back."""
+def _registration_pages(v: Views) -> DataFrame:
+    """Yearly pages with a table of brands by months."""
     new = v.registrations.filter("tipo_vehiculo = '0km' and marca is not null")
     months = new.groupBy("anio", "marca").pivot("mes", list(range(1, 13))).agg(F.sum("cantidad"))
     cell = lambda m: F.concat(F.lit("<td> "), F.coalesce(F.replace(_thousands(F.col(str(m))), F.lit(","), F.lit(".")), F.lit("-")), F.lit("</td>"))
@@ -322,8 +324,12 @@ def registrations_unpivot(v: Views) -> DataFrame:
     head = F.concat(F.lit("<tr><th>Marca</th>"), *(F.concat(F.lit(f"<th>{m.capitalize()}-"), F.col("anio").cast("string"), F.lit("</th>")) for m in schemas.SHORT_MONTHS), F.lit("</tr>"))
     body = row.groupBy("anio").agg(F.array_join(F.sort_array(F.collect_list("r")), "").alias("rows"))  # a row a brand
     page = F.concat(F.lit("<html><body><table class='estadisticas'>"), head, "rows", F.lit("</table></body></html>"))
-    pages = body.select(F.concat(F.lit(BASE + "/"), F.col("anio").cast("string")).alias("url"), page.alias("html"))
-    return landing.registrations_from_pages(pages)
+    return body.select(F.concat(F.lit(BASE + "/"), F.col("anio").cast("string")).alias("url"), page.alias("html"))
+
+
+@query
+def registrations_unpivot(v: Views) -> DataFrame:
+    return landing.registrations_from_pages(_registration_pages(v))
 
 
 @query
@@ -361,13 +367,16 @@ def production_from_sheet(v: Views) -> DataFrame:
     return landing.production_from_sheet(sheet)
 
 
-@query
-def macro_series_ingest(v: Views) -> DataFrame:
-    """A JSON page a series and month, read back."""
+def _series_pages(v: Views) -> DataFrame:
+    """A JSON page a series and month."""
     point = F.struct(F.col("fecha").cast("string").alias("fecha"), F.col("valor").cast("string").alias("valor"))
     pages = v.macro.groupBy("indicador", F.trunc("fecha", "MM")).agg(F.to_json(F.struct(F.collect_list(point).alias("results"))).alias("json"))  # 31 days at most
-    known = landing.series_map(v.spark)
-    found = landing.macro_from_json(pages.join(known, "indicador").select("serie_id", "json"), known)
+    return pages.join(landing.series_map(v.spark), "indicador").select("serie_id", "json")
+
+
+@query
+def macro_series_ingest(v: Views) -> DataFrame:
+    found = landing.macro_from_json(_series_pages(v), landing.series_map(v.spark))
     return found.select("fecha", "indicador", F.col("valor").cast("double").alias("valor"), "fuente")
 
 
@@ -378,11 +387,14 @@ def quotes_at(v: Views) -> DataFrame:
     return landing.quotes_from_json(pages).withColumn("cotizacion", F.col("cotizacion").cast("double"))
 
 
+def _loan_rows(v: Views) -> DataFrame:
+    amount = F.replace(F.replace(F.replace(F.format_number("valor", 2), F.lit(","), F.lit("x")), F.lit("."), F.lit(",")), F.lit("x"), F.lit("."))
+    return v.macro.filter("indicador = 'tasa_badlar'").select(F.date_format("fecha", "dd/MM/yyyy").alias("Fecha"), amount.alias("Monto"))
+
+
 @query
 def pledge_loans_csv(v: Views) -> DataFrame:
-    amount = F.replace(F.replace(F.replace(F.format_number("valor", 2), F.lit(","), F.lit("x")), F.lit("."), F.lit(",")), F.lit("x"), F.lit("."))
-    raw = v.macro.filter("indicador = 'tasa_badlar'").select(F.date_format("fecha", "dd/MM/yyyy").alias("Fecha"), amount.alias("Monto"))
-    return landing.pledge_loans(raw, "1998-01-01", "1999-12-31").withColumn("valor", F.col("valor").cast("double"))
+    return landing.pledge_loans(_loan_rows(v), "1998-01-01", "1999-12-31").withColumn("valor", F.col("valor").cast("double"))
 
 
 def _items(v: Views) -> DataFrame:
@@ -467,6 +479,38 @@ def ingest_summary(v: Views) -> DataFrame:
     return summary(raw, batch, merge_upsert(stored, batch, schemas.KEYS["registrations"], ["cantidad"]))
 
 
+# --- landing zone to store -------------------------------------------------------------------------------------------
+
+
+@query
+def listing_stream(v: Views) -> DataFrame:
+    """The listings landed as JSON, ingested by the stream in two rounds, of which the second replays the first."""
+    folder = new_folder(v.spark, "stream")
+    _items(v).select("json").write.text(f"{folder}/landing")
+    store = Store(v.spark, f"{folder}/store")
+    for k in (1, 2):
+        ingest_listings(v.spark, f"{folder}/landing", store, f"{folder}/checkpoint-{k}", "2001-09-01", AS_OF)
+    return store.read("listings").select("meli_id", "fecha_snapshot", "marca", "modelo", "anio", F.col("precio").cast("double").alias("precio"), "estado", "es_nuevo")
+
+
+@query
+def job_full(v: Views) -> DataFrame:
+    """All four sources landed, loaded into a store, and the indicators of what it holds."""
+    folder = new_folder(v.spark, "job")
+    zone, store = f"{folder}/zone", Store(v.spark, f"{folder}/store")
+    _registration_pages(v).write.parquet(f"{zone}/{jobs.PAGES}")
+    _cells(v).write.parquet(f"{zone}/{jobs.GRIDS}")
+    _series_pages(v).write.parquet(f"{zone}/{jobs.SERIES}")
+    _loan_rows(v).write.csv(f"{zone}/{jobs.LOANS}", sep=";", header=True, encoding="ISO-8859-1")
+    brand = F.get_json_object("json", "$.results[0].attributes[0].value_name")
+    _items(v).select(F.coalesce(brand, F.lit("-")).alias("query_brand"), "json").write.parquet(f"{zone}/{jobs.LISTINGS}")
+    done = jobs.run_full(v.spark, zone, store, AS_OF)
+    if set(done.values()) != {"success"}:
+        raise RuntimeError(str(done))
+    rows = store.read("indicators").groupBy("indicador", "marca")
+    return rows.agg(F.count("*").alias("meses"), F.max_by("valor", "fecha").cast("double").alias("ultimo"))
+
+
 # --- indicators and analytics ----------------------------------------------------------------------------------------
 
 

@@ -74,6 +74,17 @@ _RATIO = """
     sold AS (SELECT fecha AS mes, CAST(sum(cantidad) AS BIGINT) AS vendidas FROM registrations WHERE tipo_vehiculo = '0km' GROUP BY 1),
     ratio AS (SELECT mes, internas, vendidas, round(CAST(internas AS DOUBLE) / nullif(vendidas, 0), 4) AS razon FROM made FULL OUTER JOIN sold USING (mes))"""
 
+_JOB = """
+    made AS (SELECT fecha AS mes, terminal AS marca, CAST(sum(unidades_producidas - unidades_exportadas) AS BIGINT) AS internas FROM production GROUP BY 1, 2),
+    sold AS (SELECT fecha AS mes, marca, CAST(sum(cantidad) AS BIGINT) AS vendidas FROM registrations WHERE tipo_vehiculo = '0km' AND marca IS NOT NULL GROUP BY 1, 2),
+    pairs AS (SELECT mes, marca, coalesce(internas, 0) AS internas, coalesce(vendidas, 0) AS vendidas FROM made FULL OUTER JOIN sold USING (mes, marca)),
+    stocked AS (SELECT *, sum(internas - vendidas) OVER (PARTITION BY marca ORDER BY mes ROWS UNBOUNDED PRECEDING) AS stock FROM pairs),
+    months AS (SELECT mes, sum(internas) FILTER (here) AS internas, sum(vendidas) FILTER (sold) AS vendidas FROM (
+        SELECT mes, internas, 0 AS vendidas, true AS here, false AS sold FROM made UNION ALL SELECT mes, 0, vendidas, false, true FROM sold) GROUP BY 1),
+    every AS (SELECT mes, 'rotacion_stock' AS indicador, marca, round(CAST(stock AS DOUBLE) * day(last_day(mes)) / nullif(vendidas, 0), 4) AS valor FROM stocked
+        UNION ALL SELECT mes, 'produccion_demanda', NULL, round(CAST(internas AS DOUBLE) / nullif(vendidas, 0), 4) FROM months)
+    SELECT indicador, marca, count(*) AS meses, arg_max(valor, mes) AS ultimo FROM every WHERE valor IS NOT NULL GROUP BY 1, 2"""
+
 
 def sql() -> dict[str, str]:
     return {
@@ -235,6 +246,10 @@ def sql() -> dict[str, str]:
             SELECT (SELECT count(*) FROM raw) AS leidos, (SELECT min(fecha) FROM raw) AS desde, (SELECT max(fecha) FROM raw) AS hasta, (SELECT count(*) FROM batch) AS unicos,
             count(*) FILTER (action = 'insert') AS insertados, count(*) FILTER (action = 'update') AS actualizados, count(*) FILTER (action = 'unchanged') AS sin_cambios,
             count(*) FILTER (action = 'kept') AS conservados, (SELECT count(*) FROM raw) - (SELECT count(*) FROM batch) AS duplicados, 'success' AS estado FROM merged""",
+        "listing_stream": _with("listings", """
+            SELECT meli_id, DATE '2001-09-01' AS fecha_snapshot, marca, modelo, anio, CAST(precio AS DOUBLE) AS precio, estado, condicion = 'new' AS es_nuevo FROM listings
+            QUALIFY row_number() OVER (PARTITION BY meli_id ORDER BY listings.precio DESC) = 1"""),
+        "job_full": _with("registrations production", "") + "," + _JOB,
         "demand_tension": _with("registrations macro interest_monthly", "") + """,
             m AS (SELECT fecha AS mes, CAST(sum(cantidad) AS DOUBLE) AS total FROM registrations WHERE tipo_vehiculo = '0km' GROUP BY 1),
             u AS (SELECT a.mes, round(100.0 * (a.total - b.total) / nullif(b.total, 0), 4) AS registros FROM m a LEFT JOIN m b ON b.mes = a.mes - to_months(12)),

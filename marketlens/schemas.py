@@ -32,6 +32,8 @@ KEYS = {
     "listings": ["meli_id", "fecha_snapshot"],
     "indicators": ["indicador", "periodo", "marca", "segmento"],
 }
+#: The column whose month a table is stored by.
+DAYS = {"registrations": "fecha", "production": "fecha", "macro": "fecha", "listings": "fecha_snapshot", "indicators": "fecha"}
 
 # Series numbers of the source, brands of the default snapshot, Spanish month names.
 SERIES = {"tasa_badlar": 7, "tasa_pf_30_dias": 8, "tasa_pf_90_dias": 9, "tipo_cambio_bna": 1, "reservas": 2, "creditos_totales": 16}

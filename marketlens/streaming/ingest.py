@@ -22,14 +22,16 @@ def conform(df: DataFrame, schema: str, as_of: datetime) -> DataFrame:
 
 
 def merge_into(store: Store, table: str, batch: DataFrame, compare: list[str], set_columns: list[str], as_of: datetime, order: list[str]) -> DataFrame:
-    """Merges a batch into a stored table by its keys and writes a new version; the merged rows with their actions."""
-    keys = schemas.KEYS[table]
-    unique = dedupe_last(conform(batch, table, as_of), keys, order)
-    merged = merge_upsert(store.read(table, getattr(schemas, table.upper())), unique, keys, compare, set_columns, as_of)
-    version = store.write(f"{table}_merges", merged)  # written once, so that the table and the actions agree
-    merged = store.spark.read.parquet(f"{store.root}/{table}_merges/v{version:08d}")
-    store.write(table, merged.drop("action"))
-    return merged
+    """Merges a batch into the months of a stored table that it has rows of; the rows of those months, with their actions.
+
+    Rows without a day are left out."""
+    keys, day = schemas.KEYS[table], schemas.DAYS[table]
+    unique = dedupe_last(conform(batch, table, as_of).filter(F.col(day).isNotNull()), keys, order).persist()
+    months = [r[0] for r in unique.select(F.date_format(day, "yyyy-MM")).distinct().collect()]  # as many as months
+    merged = merge_upsert(store.read(table, getattr(schemas, table.upper()), months), unique, keys, compare, set_columns, as_of)
+    written = store.write(table, merged, day)
+    unique.unpersist()
+    return written
 
 
 def ingest_listings(spark: SparkSession, landing: str, store: Store, checkpoint: str, snapshot: str, as_of: datetime) -> None:
