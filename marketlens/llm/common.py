@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketlens.sources.store import new_folder
+
 #: Rows that one Arrow batch may hold; a batch of whole documents stays at a few MB.
 BATCH_ROWS = 256
 #: Ids (16 bytes each with overhead) that may be broadcast; past that the join shuffles.
@@ -20,25 +18,6 @@ HOT_KEYS = 2_000
 #: Fewer rows than this are never worth a salt.
 HOT_FLOOR = 64
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
-    if path := spark.conf.get("spark.checkpoint.dir", None):
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        full = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
-        return full if "://" in full else full.replace(":/", ":///", 1)
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="marketlens-"))
-        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
-    return f"file://{_own_dir[0]}"
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/marketlens/{name}-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage is cut and lost executors cost nothing."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
