@@ -18,6 +18,7 @@ HOT_KEYS = 2_000
 #: Fewer rows than this are never worth a salt.
 HOT_FLOOR = 64
 
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage is cut and lost executors cost nothing."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
