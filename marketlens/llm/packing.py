@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.llm.common import batch_rows, materialise
-from marketlens.llm.tokens import WordTokenizer
+from marketlens.llm.tokens import tokenizer
 
 LENGTH, END_ID, MAX_QUEUES, UNITS = 2048, 1, 1024, 1 << 16
 #: Tokens of a round, in which each source has its share.
@@ -89,7 +89,7 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int = END_ID, id_col: st
     batch_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = WordTokenizer(vocabulary)
+        t = tokenizer(vocabulary)
         end = np.array([end_id], t.wide)
         for b in batches:
             ids = [np.concatenate([t.encode(x.as_py() or ""), end]) for x in b.column(2)]
