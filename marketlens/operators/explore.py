@@ -119,10 +119,11 @@ def listing_kpis(df: DataFrame) -> DataFrame:
 def histogram(df: DataFrame, column: str = "precio", bins: int = 50) -> DataFrame:
     """Equal bins from the least to the largest value; the largest falls into the last one. Empty bins have no row."""
     value = F.col(column).cast("double")
-    edges = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))  # one row
-    width = (F.col("hi") - F.col("lo")) / bins
-    at = F.when(width == 0, 0).otherwise(F.least(F.floor((value - F.col("lo")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1)))
-    dealt = df.filter(F.col(column).isNotNull()).crossJoin(F.broadcast(edges)).select(at.cast("int").alias("bin"), "lo", width.alias("width"))
+    edges = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
+    rows = df.filter(F.col(column).isNotNull()).select(value.alias("x"), edges.alias("e"))
+    width = (F.col("e.hi") - F.col("e.lo")) / bins
+    at = F.when(width == 0, 0).otherwise(F.least(F.floor((F.col("x") - F.col("e.lo")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1)))
+    dealt = rows.select(at.cast("int").alias("bin"), F.col("e.lo").alias("lo"), width.alias("width"))
     return dealt.groupBy("bin").agg(F.count("*").alias("cantidad"), F.round(F.min(F.col("lo") + F.col("bin") * F.col("width")), 4).alias("desde"))
 
 

@@ -46,16 +46,16 @@ def merge_upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], compa
 
 def summary(raw: DataFrame, batch: DataFrame, merged: DataFrame, day: str = "fecha") -> DataFrame:
     """One row: rows read, duplicates in the batch, what was done with the rest, and the dates covered."""
+    kept = batch.agg(F.count("*")).scalar()
+    names = {"insert": "insertados", "update": "actualizados", "unchanged": "sin_cambios", "kept": "conservados"}
+    done = merged.agg(F.struct(*(F.count_if(F.col("action") == a).alias(name) for a, name in names.items()))).scalar()
     read = raw.agg(F.count("*").alias("leidos"), F.min(day).alias("desde"), F.max(day).alias("hasta"))
-    kept = batch.agg(F.count("*").alias("unicos"))
-    done = merged.agg(*(F.count_if(F.col("action") == a).alias(name) for a, name in (("insert", "insertados"), ("update", "actualizados"), ("unchanged", "sin_cambios"), ("kept", "conservados"))))
-    one = read.crossJoin(kept).crossJoin(done)  # a row each
+    one = read.select("*", kept.alias("unicos"), done.alias("d")).select("leidos", "desde", "hasta", "unicos", "d.*")
     return one.withColumn("duplicados", F.col("leidos") - F.col("unicos")).withColumn("estado", F.when(F.col("leidos") > 0, "success").otherwise("no_data"))
 
 
 def with_fallback(primary: Sequence[DataFrame], other: DataFrame) -> DataFrame:
     """The rows of all primary sources; those of the other one only if the primary sources have none at all."""
     first = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), primary)
-    empty = first.limit(1).agg((F.count("*") == 0).alias("_empty"))  # one row
-    rest = other.crossJoin(F.broadcast(empty)).filter("_empty").drop("_empty")
-    return first.unionByName(rest, allowMissingColumns=True)
+    found = first.limit(1).agg(F.count("*")).scalar()
+    return first.unionByName(other.filter(found == 0), allowMissingColumns=True)
