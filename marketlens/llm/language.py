@@ -46,9 +46,15 @@ def train(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str
     """Learns from the rows of docs for which `where` holds and id, text and label are not null."""
     known = docs.filter(where & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     by_size = known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()
+    if not by_size:
+        return Model({})
+    # rows far beyond a language's quota of hashes can't be chosen; what is left of a language fits one task
+    bound = [(r[0], min(1.0, 4 * DOCS_PER_LANGUAGE / r[1])) for r in by_size]
+    bounds = F.broadcast(docs.sparkSession.createDataFrame(bound, f"`{lang_col}` string, _share double"))
+    place = (F.xxhash64(id_col) / F.lit(2.0**64)) + 0.5
     order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    chosen = known.select(id_col, lang_col).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= DOCS_PER_LANGUAGE)
-    chosen = chosen.join(F.broadcast(docs.sparkSession.createDataFrame([(r[0],) for r in by_size], f"`{lang_col}` string")), lang_col) if by_size else chosen
+    near = known.select(id_col, lang_col).join(bounds, lang_col).filter(place <= F.col("_share"))
+    chosen = near.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= DOCS_PER_LANGUAGE)
     chosen = materialise(chosen.select(id_col).distinct(), "language-sample")  # at most LANGUAGES * DOCS_PER_LANGUAGE ids
     texts = known.join(F.broadcast(chosen), id_col).select(id_col, lang_col, F.substring(text_col, 1, 4 * PIECE).alias("t"))
     pieces: dict[str, list[bytes]] = {r[0]: [] for r in by_size}
