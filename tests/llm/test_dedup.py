@@ -60,6 +60,15 @@ def test_attach_hot_and_cold(spark):
     assert sorted(map(tuple, got.collect())) == sorted((k, 0 if k % 2 else k, 301 if k % 2 or k == 0 else 1) for k in range(600))
 
 
+def test_attach_deals_hot_rows_out(spark):
+    """The salt is part of what rows are dealt out by."""
+    left = spark.range(1000).selectExpr("id AS i", "id % 7 AS k")
+    right = left.groupBy("k").count().withColumnRenamed("count", "w")
+    plan = attach(left, right, ["k"], "w", 1000, left["i"])._jdf.queryExecution().optimizedPlan().toString()
+    join = next(x for x in plan.splitlines() if "Join LeftOuter" in x and "_salt" in x)
+    assert join.count("_salt") == 2
+
+
 @pytest.mark.parametrize("shape", ["path", "star", "random", "none"])
 def test_components(spark, shape):
     rng = random.Random(shape)
