@@ -32,6 +32,12 @@ KEYS = {
     "listings": ["meli_id", "fecha_snapshot"],
     "indicators": ["indicador", "periodo", "marca", "segmento"],
 }
+#: What stands for a missing value when a row is stored.
+DEFAULTS = {
+    "registrations": {"fuente": "ACARA"}, "production": {"unidades_producidas": 0, "unidades_exportadas": 0, "fuente": "ADEFA"}, "macro": {"fuente": "BCRA"},
+    "listings": {"moneda": "ARS", "visitas": 0, "ventas": 0}, "indicators": {},
+}
+
 #: The column whose month a table is stored by.
 DAYS = {"registrations": "fecha", "production": "fecha", "macro": "fecha", "listings": "fecha_snapshot", "indicators": "fecha"}
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from marketlens import schemas
 from marketlens.operators.merge import dedupe_last, merge_upsert
@@ -14,11 +14,17 @@ from marketlens.sources.landing import flatten_listings
 from marketlens.sources.store import Store
 
 
-def conform(df: DataFrame, schema: str, as_of: datetime) -> DataFrame:
-    """The stored table's columns, in its types; missing ones are null, the time stamps are as_of."""
-    table = StructType.fromDDL(getattr(schemas, schema.upper()))
-    stamps = {c: F.lit(as_of).cast("timestamp_ntz") for c in ("created_at", "updated_at")}
-    return df.select(*((stamps.get(f.name) if f.name in stamps else F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in table))
+def conform(df: DataFrame, name: str, as_of: datetime) -> DataFrame:
+    """The stored table's columns, in its types; what is missing is the default or null, the time stamps are as_of."""
+    table, defaults = StructType.fromDDL(getattr(schemas, name.upper())), schemas.DEFAULTS[name]
+
+    def column(field: StructField) -> Column:
+        if field.name in ("created_at", "updated_at"):
+            return F.lit(as_of).cast("timestamp_ntz").alias(field.name)
+        value = F.col(field.name) if field.name in df.columns else F.lit(None)
+        return F.coalesce(value.cast(field.dataType), F.lit(defaults.get(field.name)).cast(field.dataType)).alias(field.name)
+
+    return df.select(*map(column, table))
 
 
 def merge_into(store: Store, table: str, batch: DataFrame, compare: list[str], set_columns: list[str], as_of: datetime, order: list[str]) -> DataFrame:

@@ -89,6 +89,7 @@ def test_jobs_end_to_end(spark, tmp_path):
     assert set(jobs.run_full(spark, zone, store, now).values()) == {"success"}
     counts = {t: store.read(t).count() for t in ("registrations", "production", "macro", "listings")}
     assert counts == {"registrations": 3, "production": 1, "macro": 3, "listings": 2}
+    assert {(r.visitas, r.ventas, r.moneda) for r in store.read("listings").collect()} == {(0, 0, "ARS")}
     rows = {(r.indicador, r.marca): r for r in store.read("indicators").collect()}
     days = rows["rotacion_stock", "Toyota"]
     assert float(days.valor) == round((1500 - 1200) * 31 / 1200, 4) and json.loads(days.detalles)["componentes"]["vendidas"] == 1200
