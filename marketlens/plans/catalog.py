@@ -43,27 +43,27 @@ def _day(text: str):
 
 @query
 def top_brands(v: Views) -> DataFrame:
-    return explore.top_brands(v.registrations, as_of=date(2001, 7, 15))
+    return explore.top_brands(v.within("o_orderdate", date(2001, 6, 1), date(2001, 8, 1)).registrations, as_of=date(2001, 7, 15))
 
 
 @query
 def top_brands_dashboard(v: Views) -> DataFrame:
-    return explore.top_brands(v.registrations, *REPORTED, nulls=False)
+    return explore.top_brands(v.within("o_orderdate", date(2000, 1, 1), date(2001, 1, 1)).registrations, *REPORTED, nulls=False)
 
 
 @query
 def registrations_list(v: Views) -> DataFrame:
-    return explore.registrations_list(v.registrations, date(1996, 1, 1), date(1999, 12, 31), "brand#1", "0km")
+    return explore.registrations_list(v.within("o_orderdate", date(1996, 1, 1), date(2000, 1, 1)).registrations, date(1996, 1, 1), date(1999, 12, 31), "brand#1", "0km")
 
 
 @query
 def production_list(v: Views) -> DataFrame:
-    return explore.production_list(v.production, date(1996, 1, 1), None, "#2")
+    return explore.production_list(v.within("l_shipdate", date(1996, 1, 1), date(2100, 1, 1)).production, date(1996, 1, 1), None, "#2")
 
 
 @query
 def macro_list(v: Views) -> DataFrame:
-    return explore.macro_list(v.macro.withColumn("unidad", F.lit("%")), None, date(2000, 6, 30), "tasa_badlar")
+    return explore.macro_list(v.within("l_shipdate", date(1900, 1, 1), date(2000, 7, 1)).macro.withColumn("unidad", F.lit("%")), None, date(2000, 6, 30), "tasa_badlar")
 
 
 @query
@@ -98,23 +98,23 @@ def listing_search(v: Views) -> DataFrame:
 
 @query
 def load_range_registrations(v: Views) -> DataFrame:
-    return explore.where(v.registrations, *explore.between("fecha", date(1998, 1, 1), date(1998, 6, 30)))
+    return explore.where(v.within("o_orderdate", date(1998, 1, 1), date(1998, 7, 1)).registrations, *explore.between("fecha", date(1998, 1, 1), date(1998, 6, 30)))
 
 
 @query
 def load_range_production(v: Views) -> DataFrame:
-    return explore.where(v.production, *explore.between("fecha", date(1998, 1, 1), date(1999, 12, 31)))
+    return explore.where(v.within("l_shipdate", date(1998, 1, 1), date(2000, 1, 1)).production, *explore.between("fecha", date(1998, 1, 1), date(1999, 12, 31)))
 
 
 @query
 def load_range_macro(v: Views) -> DataFrame:
-    found = explore.where(v.macro, *explore.between("fecha", date(1998, 1, 1), date(1998, 12, 31)))
+    found = explore.where(v.within("l_shipdate", date(1998, 1, 1), date(1999, 1, 1)).macro, *explore.between("fecha", date(1998, 1, 1), date(1998, 12, 31)))
     return found.filter(F.col("indicador").isin("tasa_badlar", "tasa_pf_90_dias")).withColumn("valor", F.col("valor").cast("double"))
 
 
 @query
 def load_snapshot(v: Views) -> DataFrame:
-    found = explore.where(v.listings, explore.equals("fecha_snapshot", date(1999, 3, 15)))
+    found = explore.where(v.within("l_shipdate", date(1999, 3, 15), date(1999, 3, 16)).listings, explore.equals("fecha_snapshot", date(1999, 3, 15)))
     return found.withColumn("precio", F.col("precio").cast("double"))
 
 
@@ -188,7 +188,7 @@ def weekly_rollup(v: Views) -> DataFrame:
 
 @query
 def kpi_vs_previous(v: Views) -> DataFrame:
-    return windows.kpi_vs_previous(v.registrations, *REPORTED)
+    return windows.kpi_vs_previous(v.within("o_orderdate", date(1998, 12, 1), date(2001, 1, 1)).registrations, *REPORTED)
 
 
 @query

@@ -2,25 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Mapping
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 class Views:
     """registrations, production, macro, listings, interest, wages and interest_monthly of one directory."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, bounds: Mapping[str, tuple[date, date]] | None = None):
+        self.spark, self.sf_dir, self.bounds = spark, sf_dir, dict(bounds or {})
+
+    def within(self, column: str, first: date, end: date) -> Views:
+        """The same views over rows of the given tables with first <= column < end only; the bounds reach the scan."""
+        return Views(self.spark, self.sf_dir, self.bounds | {column: (first, end)})
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        for column, (first, end) in self.bounds.items():
+            if column in df.columns:
+                df = df.filter((F.col(column) >= F.lit(first)) & (F.col(column) < F.lit(end)))
+        return df
 
     def _lines(self) -> DataFrame:
         lines = self.table("lineitem").join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         return lines.join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
 
     @property
-    def brand(self):
+    def brand(self) -> Column:
         return F.when(F.col("p_partkey") % 50 != 0, F.col("p_brand"))
 
     @property
