@@ -398,6 +398,7 @@ def pledge_loans_csv(v: Views) -> DataFrame:
 
 
 def _items(v: Views) -> DataFrame:
+    """Landed search pages of some dozens of listings."""
     pair = lambda k, x: F.struct(F.lit(k).alias("id"), x.alias("value_name"))
     where = F.struct(F.struct(F.col("provincia").alias("name")).alias("state"))
     item = F.struct(
@@ -405,7 +406,9 @@ def _items(v: Views) -> DataFrame:
         F.array(pair("BRAND", F.col("marca")), pair("MODEL", F.col("modelo")), pair("VEHICLE_YEAR", F.col("anio").cast("string")), pair("KILOMETERS", F.concat(F.col("anio").cast("string"), F.lit(".000 km")))).alias("attributes"),
         where.alias("location"),
     )
-    return v.listings.select(F.to_json(F.struct(F.array(item).alias("results"))).alias("json"))
+    order = F.substring_index(F.substring("meli_id", 4, 20), "-", 1).cast("bigint")
+    pages = v.listings.groupBy(F.floor(order / 16).alias("page"))  # the few lines of sixteen orders
+    return pages.agg(F.to_json(F.struct(F.collect_list(item).alias("results"))).alias("json")).select("json")
 
 
 @query
