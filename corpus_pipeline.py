@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import decontamination, exact_dedup, language, packing, simhash
+from marketlens.llm import decontamination, exact_dedup, language, near_copies, packing
 from marketlens.llm.common import materialise
 from marketlens.llm.queries import VOCABULARY
 
@@ -27,8 +27,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints the document with the smallest id stays."""
-    return simhash.drop_near_copies(docs)
+    """Of each component of texts that share 4/5 of their five-word shingles the document with the smallest id stays."""
+    return near_copies.drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
