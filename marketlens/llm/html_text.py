@@ -7,7 +7,7 @@ blocks are open.
 
 The blocks' words of all pages of a host are then put one after another, pages parted by a sentinel, and their suffixes
 are sorted by prefix doubling. Neighbours that agree in at least RUN words mark repeated runs, and the number of distinct
-pages that share a run is counted. A run that at least MIN_PAGES pages and MIN_SHARE of them share is boilerplate: it is
+pages that share a run is counted; copies with equal blocks are one page. A run that at least MIN_PAGES pages and MIN_SHARE of them share is boilerplate: it is
 cut out of open blocks, whose unique runs stay. Blocks of an article only go if they are boilerplate as a whole on at
 least half of the host's pages (and BLOCK_PAGES); all else in an article stays.
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -165,7 +165,14 @@ def repeated(words: np.ndarray, page: np.ndarray, length: int) -> np.ndarray:
 
 
 def clean_shard(pages: list[tuple[list[str], list[bool]]]) -> list[str]:
-    """The main texts of a shard's pages, given their blocks."""
+    """The main texts of a shard's pages, given their blocks. Pages of equal blocks count as one."""
+    contents: dict[tuple, int] = {}
+    same = [contents.setdefault((tuple(blocks), tuple(sure)), len(contents)) for blocks, sure in pages]
+    texts = _clean_distinct(list(contents))
+    return [texts[k] for k in same]
+
+
+def _clean_distinct(pages: list[tuple[Sequence[str], Sequence[bool]]]) -> list[str]:
     number: dict[str, int] = {}
     words, page, split = [], [], []
     for k, (blocks, _) in enumerate(pages):

@@ -177,3 +177,15 @@ def test_main_text(spark, monkeypatch):
     monkeypatch.setattr(html_text, "SHARD_BYTES", 2000)
     assert sorted(r.text for r in html_text.main_text(pages(spark, rows[30:35])).collect()) == sorted(f"{shared}\n{b}" for b in body[:5])
     assert html_text.main_text(pages(spark, [])).count() == 0
+
+
+def test_copies_of_a_page_are_no_boilerplate():
+    def text(k):
+        return " ".join(f"p{k}w{i}" for i in range(30))
+
+    menu = " ".join(f"menu{i}" for i in range(10))
+    for sure in (False, True):
+        pages = [([text(0)], [sure])] * 20 + [([text(k)], [sure]) for k in range(1, 11)]
+        assert html_text.clean_shard(pages) == [text(0)] * 20 + [text(k) for k in range(1, 11)]
+    pages = [([menu, text(0)], [False, False])] * 20 + [([menu, text(k)], [False, False]) for k in range(1, 11)]
+    assert html_text.clean_shard(pages) == [text(0)] * 20 + [text(k) for k in range(1, 11)]
