@@ -216,3 +216,11 @@ def test_scores_without_training(spark):
     model = pitman_yor.train(docs(spark, []))
     rows = pitman_yor.score(docs(spark, [(1, "a b", None), (2, None, None)]), model).collect()
     assert {(r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in rows} == {(3, 0, 0, 0.0), (1, 0, 0, 0.0)} and all(math.isfinite(r.score) for r in rows)
+
+
+def test_a_very_long_trusted_text_does_not_end_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TRAIN_WORDS", 100)
+    docs = spark.createDataFrame([(i, "long " * 101 if i % 2 else f"some words {i}") for i in range(20)], "doc_id long, text string")
+    assert {r.doc_id for r in quality.sample_of(docs).collect()} == set(range(0, 20, 2))
+    with pytest.raises(ValueError, match="more than 100 words"):
+        quality.sample_of(docs.filter("doc_id % 2 = 1"))
