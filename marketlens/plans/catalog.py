@@ -14,7 +14,8 @@ from marketlens.operators import analytics, explore, indicators, windows
 from marketlens.operators.merge import dedupe_last, merge_upsert, summary, with_fallback
 from marketlens.plans import jobs
 from marketlens.sources import landing
-from marketlens.sources.store import Store, new_folder
+from marketlens.sources.shared import new_folder
+from marketlens.sources.store import Store
 from marketlens.sources.views import Views
 from marketlens.streaming.ingest import ingest_listings
 

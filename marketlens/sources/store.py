@@ -1,79 +1,43 @@
-"""Tables as versioned Parquet folders by month, and the shared folder that work in progress goes to.
+"""Tables as Parquet folders by month, one writer a table at a time.
 
-A write makes a new version, which holds whole months; readers take each month from the newest complete version that has
-it. So a merge reads and writes only the months of its batch, and what is being read is never overwritten.
+A merge reads and writes only the months of its batch: its rows are first written aside and then put in place by Spark's
+dynamic partition overwrite, so what is being read is never overwritten and other months are not touched.
 """
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
-    if path := spark.conf.get("spark.checkpoint.dir", None):
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        full = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
-        return full if "://" in full else full.replace(":/", ":///", 1)
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="marketlens-"))
-        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
-    return f"file://{_own_dir[0]}"
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/marketlens/{name}-{uuid.uuid4().hex}"
+from marketlens.sources.shared import materialise
 
 
 class Store:
-    """Folders root/table/v00000001/_month=2024-01 and so on; a version counts once Spark has marked it as complete."""
+    """Folders root/table/_month=2024-01 and so on."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _list(self, path: str) -> list[str]:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return [x.getPath().getName() for x in fs.listStatus(where)] if fs.exists(where) else []
-
-    def versions(self, table: str) -> list[int]:
-        found = (name for name in self._list(f"{self.root}/{table}") if name[:1] == "v" and name[1:].isdigit())
-        return sorted(int(name[1:]) for name in found if "_SUCCESS" in self._list(f"{self.root}/{table}/{name}"))
-
-    def months(self, table: str) -> dict[str, str]:
-        """The newest folder of each month."""
-        newest = {}
-        for version in self.versions(table):
-            path = f"{self.root}/{table}/v{version:08d}"
-            newest |= {name.removeprefix("_month="): f"{path}/{name}" for name in self._list(path) if name.startswith("_month=")}
-        return newest
-
     def read(self, table: str, schema: str | None = None, months: Iterable[str] | None = None) -> DataFrame:
         """The table, or only some months of it; where there is nothing yet, an empty table of the schema given."""
-        found, wanted = self.months(table), None if months is None else set(months)
-        paths = [path for month, path in sorted(found.items()) if wanted is None or month in wanted]
-        if paths:
-            rows = self.spark.read.parquet(*paths)
-            return rows.drop("action")
-        if schema is None:
-            raise FileNotFoundError(f"{self.root}/{table} has no version")
-        return self.spark.createDataFrame([], schema)
+        try:
+            rows = self.spark.read.parquet(f"{self.root}/{table}")
+        except AnalysisException as problem:
+            if schema is None or problem.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+        if months is not None:
+            rows = rows.filter(F.col("_month").cast("string").isin(list(months)))
+        return rows.drop("_month")
 
     def write(self, table: str, df: DataFrame, day: str) -> DataFrame:
-        """Writes whole months as the next version, a month's rows together; the rows as written."""
-        path = f"{self.root}/{table}/v{(self.versions(table) or [0])[-1] + 1:08d}"
-        rows = df.withColumn("_month", F.date_format(day, "yyyy-MM")).hint("rebalance", "_month")  # few files a month, large months split
-        rows.write.mode("overwrite").partitionBy("_month").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        """Puts whole months in place of what the table has of them; the rows as written, with their actions."""
+        rows = materialise(df.withColumn("_month", F.date_format(day, "yyyy-MM")).hint("rebalance", "_month"), table)  # few files a month, large months split
+        rows.drop("action").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_month").parquet(f"{self.root}/{table}")
+        return rows.drop("_month")
 
 
 def export_csv(df: DataFrame, folder: str, name: str, stamp: str) -> str:
