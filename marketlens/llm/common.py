@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.sources.store import new_folder
+from marketlens.sources.shared import materialise
 
-#: Rows that one Arrow batch may hold; a batch of whole documents stays at a few MB.
+__all__ = ["ascii_space", "attach", "bitmap", "kept_rows", "look_up", "materialise", "may_be_in", "of_checked_size", "pieces", "text_hash", "without"]
+
+#: Rows of whole documents that are worked on at once, of a batch whose bytes Spark bounds.
 BATCH_ROWS = 256
+#: 64-bit words of the bitmap that tells most rows that stay (at most 40 MB as a table).
+BITMAP_WORDS = 1 << 20
 #: Ids (16 bytes each with overhead) that may be broadcast; past that the join shuffles.
 BROADCAST_IDS = 1_000_000
 #: A key is hot from this share of all rows on, so that fewer than HOT_KEYS keys can be hot.
@@ -19,16 +24,22 @@ HOT_KEYS = 2_000
 HOT_FLOOR = 64
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage is cut and lost executors cost nothing."""
-    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of so many rows, at least one a batch; Spark bounds the bytes of a batch itself."""
+    for b in batches:
+        for at in range(0, max(1, b.num_rows), rows):
+            yield b.slice(at, rows)
+
+
+def kept_rows(docs: DataFrame, columns: Sequence[str], keep: Callable[[pa.RecordBatch], list[bool]]) -> DataFrame:
+    """The rows of docs, all columns, that keep() says stay, given batches of the named columns. No row is moved."""
+    names = docs.columns
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            yield b.filter(pa.array(keep(b.select([names.index(c) for c in columns])), pa.bool_()))
 
-def batch_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Sets the rows of an Arrow batch: few for whole documents, which can be long, more for numbers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def of_checked_size(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
@@ -36,9 +47,41 @@ def of_checked_size(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
 
 
-def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs but for the rows whose key is in ids; rows with a null key stay."""
-    return docs.join(of_checked_size(ids), key, "left_anti").select(docs.columns)
+def bitmap(keys: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """_word, _bits: a bit for a hash of each row's columns, BITMAP_WORDS * 64 of them however many rows there are."""
+    slot = F.xxhash64(*columns)
+    word, bit = F.floor(F.pmod(slot, F.lit(BITMAP_WORDS * 64)) / 64).cast("long"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({', '.join(columns)}), 64) as int))")
+    return keys.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+
+
+def may_be_in(rows: DataFrame, bits: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """rows with a column _hit: whether the bit of their columns, named as in bitmap(), is set. No row is moved."""
+    slot = F.xxhash64(*columns)
+    seen = rows.withColumn("_word", F.floor(F.pmod(slot, F.lit(BITMAP_WORDS * 64)) / 64).cast("long")).join(F.broadcast(bits), "_word", "left")
+    hit = F.expr(f"shiftrightunsigned(_bits, cast(pmod(xxhash64({', '.join(columns)}), 64) as int)) & 1L = 1L")
+    return seen.withColumn("_hit", F.coalesce(hit, F.lit(False))).drop("_word", "_bits")
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs but for the rows that gone(id, h) names, h being text_hash() of the text; rows with a null id stay.
+
+    Few rows are handed to all tasks. More than BROADCAST_IDS are told from the others by a bitmap of fixed size first, and
+    only rows with a bit set, which are little more than those that go, are shuffled with their texts.
+    """
+    gone = gone.select("id", "h").filter("id is not null").distinct()
+    marked = gone.select(F.struct("id", "h").alias("_gone"))
+    same = (F.col(id_col) == F.col("_gone.id")) & (text_hash(F.col(text_col)) == F.col("_gone.h"))
+    if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        return docs.join(F.broadcast(marked), same, "left_anti")
+    named = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("h"))
+    seen = may_be_in(named, bitmap(gone, ["id", "h"]), ["id", "h"])
+    left = seen.filter("not _hit").select("_row").unionAll(seen.filter("_hit").join(gone, ["id", "h"], "left_anti").select("_row"))
+    return left.select("_row.*")
+
+
+def text_hash(text: Column) -> Column:
+    """Together with an id it tells rows apart; equal rows share one."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str, rows: int, spread: Column) -> DataFrame:
