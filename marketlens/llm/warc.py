@@ -9,7 +9,7 @@ read_archives() reads each archive once from front to back: members are inflated
 that of its Content-Length field, and block and payload digests are computed while the bytes pass and compared with the
 fields. A record that breaks a rule is an error, unless `strict` is off; then `problem` tells. A null html is empty. Rows
 with a null page id are written and read back with a null id. The folder must be one that pyarrow can open (file, s3,
-gs, hdfs).
+gs, hdfs). A revisit's payload digest is that of its field; unlike_responses() holds it against the response.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import batch_rows, look_up, materialise, new_folder
+from marketlens.llm.common import attach, look_up, materialise
+from marketlens.sources.shared import new_folder
 
 ARCHIVE_BYTES, PIECE = 64 << 20, 1 << 16
 DATE = "2024-01-01T00:00:00Z"
@@ -70,7 +71,6 @@ def write_archives(pages: DataFrame, revisit_from: int = 0, id_col: str = "page_
     first = materialise(keyed.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "warc-firsts")
     found = look_up(rows, first, ["key"], "n", pages.count(), F.col("id"))
     folder = new_folder(spark, "warc")
-    batch_rows(spark, 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = fs.FileSystem.from_uri(folder)
@@ -136,13 +136,14 @@ def records(raw: BinaryIO, keep_payload: bool = True) -> Iterator[dict]:
     """Each record of an archive in turn: its fields, payload (if kept), payload_bytes, payload_digest, problem."""
     members = _Members(raw)
     while members.next_member():
-        data = b""
-        while b"\r\n\r\n" not in data:
+        data, seen = bytearray(), 0
+        while (stop := data.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(data)
             more = members.read()
             if not more:
                 raise ValueError("a member ends inside a record's head")
             data += more
-        head, _, data = data.partition(b"\r\n\r\n")
+        head, data = bytes(data[:stop]), bytes(data[stop + 4 :])
         problems = [] if head.startswith(b"WARC/1.") else ["not a WARC record"]
         fields = _fields(head)
         left, block, body, kept, size = int(fields.get("content-length", "0")), hashlib.sha1(), hashlib.sha1(), [], 0
@@ -217,3 +218,13 @@ def read_archives(manifest: DataFrame, keep_payload: bool = True, strict: bool =
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
     paths = manifest.select("path").repartition(max(1, min(10_000, manifest.count())))
     return paths.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, problem string, payload binary")
+
+
+def unlike_responses(found: DataFrame) -> DataFrame:
+    """Of what read_archives() found, the revisits that refer to no response, or to one of another payload digest."""
+    responses = found.filter("record_type = 'response' and page_id is not null").groupBy("page_id").agg(F.min("payload_digest").alias("digest_there"))
+    revisits = found.filter("record_type = 'revisit'")
+    weights = revisits.groupBy("refers_to").agg(F.count("*").alias("n"))
+    there = responses.join(weights, F.col("page_id") == F.col("refers_to")).select("refers_to", "digest_there", "n")
+    met = attach(revisits, there, ["refers_to"], "n", revisits.count(), F.col("page_id"))
+    return met.filter(~F.col("payload_digest").eqNullSafe(F.col("digest_there"))).select(found.columns)

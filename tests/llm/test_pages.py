@@ -10,7 +10,9 @@ import numpy as np
 import pytest
 
 from marketlens.llm import html_text, url_filter, warc
-from marketlens.llm.queries import URL_RULES
+from marketlens.llm.url_filter import Rule
+
+URL_RULES = [Rule("net", "/", False), Rule("example.net", "/en/", True), Rule("example.com", "/de/", False), Rule("org", "/fr/", True)]
 
 SCHEMA = "page_id long, url string, html string, id long, host string, key string, path string"
 
@@ -76,18 +78,19 @@ def test_rules(spark):
     assert {r.url: (r.host, r.path, r.rule) for r in rows} == URLS
 
 
-def test_model_scores_by_the_definition():
-    """Scores from the slot tables equal those of plain dictionaries."""
+@pytest.mark.parametrize("most", [1 << 21, 0])
+def test_model_scores_by_the_definition(spark, monkeypatch, most):
+    """Scores from the counts, handed out or joined, equal those of plain dictionaries; so does the limit."""
+    monkeypatch.setattr(url_filter, "BROADCAST_COUNTS", most)
     rng = random.Random(0)
-    train = {kind: ["".join(rng.choice(letters) for _ in range(rng.randint(0, 20))).encode() for _ in range(30)] for kind, letters in ((0, "abcx"), (1, "abcy"))}
-    seen = np.zeros((2, 2, url_filter.ORDER + 1, url_filter.SLOTS), np.float32)
-    for kind, urls in train.items():
-        contexts, grams, _ = url_filter.slots(urls)
-        for k in range(url_filter.ORDER + 1):
-            np.add.at(seen[kind, 0, k], contexts[k], 1)
-            np.add.at(seen[kind, 1, k], grams[k], 1)
-    model = url_filter.Model(seen[:, 0], seen[:, 1], 0.0)
-    test = [b"abcab", b"xxx", b"yy", b"", b"\xc3\xa9"]
+    urls = {kind: ["".join(rng.choice(letters) for _ in range(rng.randint(0, 20))) for _ in range(40)] for kind, letters in (("block", "abcx"), ("allow", "abcy"))}
+    rows = [(u, kind) for kind, some in urls.items() for u in some] + [(None, "allow"), ("abc", None)]
+    test = ["abcab", "xxx", "yy", "", "é", "abcab", "y" * 3000, None]
+    model = url_filter.train(spark.createDataFrame(rows, "url string, ruled string"))
+    data = spark.createDataFrame([(k, u) for k, u in enumerate(test)], "u long, url string").withColumn("found", url_filter.F.lit(1))
+    got = {r.u: r.url_score for r in url_filter.scored(data, model, "url", ["u"]).collect()}
+    held = {r.url for r in spark.createDataFrame(rows, "url string, ruled string").filter(f"pmod(xxhash64(cast(coalesce(url, '') as binary)), {url_filter.FOLD}) = 0").collect()}
+    train = {kind: [(u or "").encode() for u, k in rows if k == kind and u not in held] for kind in urls}
 
     def slow(kind, url):
         grams = [{} for _ in range(url_filter.ORDER + 1)]
@@ -106,7 +109,23 @@ def test_model_scores_by_the_definition():
             total += np.log(p)
         return total / (len(url) + 1)
 
-    assert model.scores(test) == pytest.approx([slow(1, u) - slow(0, u) for u in test], abs=0.02)
+    def both(u):
+        return slow("allow", (u or "").encode()) - slow("block", (u or "").encode())
+
+    assert got == pytest.approx({k: both(u) for k, u in enumerate(test)}, abs=1e-9)
+    left = [(both(u), kind) for u, kind in rows if kind and u in held]
+
+    def errors(limit):
+        return sum((s >= limit) != (kind == "allow") for s, kind in left if kind == "allow") / max(1, sum(k == "allow" for _, k in left)) + sum(s >= limit for s, k in left if k == "block") / max(1, sum(k == "block" for _, k in left))
+
+    assert errors(model.limit) <= min(errors(k * url_filter.STEP) for k in range(-2000, 2000)) + 1e-9
+
+
+def test_revisits_are_held_against_responses(spark):
+    found = warc.read_archives(warc.write_archives(pages(spark, PAGES)))
+    assert warc.unlike_responses(found).count() == 0
+    other = found.withColumn("payload_digest", warc.F.when(warc.F.col("record_type") == "revisit", "X").otherwise(warc.F.col("payload_digest")))
+    assert warc.unlike_responses(other).count() == found.filter("record_type = 'revisit'").count() > 0
 
 
 def test_judge(spark):
@@ -135,7 +154,13 @@ def test_blocks():
     assert html_text.blocks_of("just <b>bold</b>text &am") == (["just boldtext &am"], [False])
     assert html_text.blocks_of("<div><p>cut off <a href='x")[0] == ["cut off"]
     assert html_text.blocks_of("<p>a</p></article></div><script>x")[0] == ["a"]
-    assert html_text.blocks_of("<main><p>m</p></main><p>outside</p>")[0] == ["m"]
+    assert html_text.blocks_of("<main><p>m</p></main><p>outside</p>") == (["m", "outside"], [True, False])
+    assert html_text.blocks_of("<p>lead</p><article><p>a</p></article>") == (["lead", "a"], [False, True])
+    assert html_text.blocks_of('<p class="advert">Buy now<p>Real text')[0] == ["Real text"]
+    assert html_text.blocks_of('<ul><li class="share"><p>Share<li>Real <b>item</ul>after')[0] == ["Real item", "after"]
+    assert html_text.blocks_of('<table><tr><td class="ad">x<td>y<tr class="promo"><td>z<tr><td>u</table>')[0] == ["y", "u"]
+    kept = '<h1 class="notice-of-race">a</h1><div class="search-results">b</div><p id="related-work">c</p>'
+    assert html_text.blocks_of(kept)[0] == ["a", "b", "c"]
     assert html_text.blocks_of("<article></article><p>only this</p>")[0] == ["only this"]
 
 
@@ -151,12 +176,66 @@ def test_repeated_runs():
             if page[at] == page[at + length - 1]:
                 runs.setdefault(tuple(flat[at : at + length]), []).append(at)
         for places in runs.values():
-            for at in places:
-                want[at : at + length] = np.maximum(want[at : at + length], len(set(page[places])))
+            want[places] = len(set(page[places]))
         assert got.tolist() == want.tolist()
 
 
-def test_main_text(spark, monkeypatch):
+def _slow_texts(rows):
+    """By the docstring, with plain dictionaries: one host's (blocks, sure) to texts."""
+    run = html_text.RUN
+    distinct = set((tuple(b), tuple(s)) for b, s in rows)
+    seen = {}
+    for k, (blocks, _) in enumerate(distinct):
+        words = [w for b in blocks for w in b.split(" ")]
+        for at in range(len(words) - run + 1):
+            seen.setdefault(tuple(words[at : at + run]), set()).add(k)
+    n = len(distinct)
+    open_from, sure_from = max(html_text.MIN_PAGES, html_text.MIN_SHARE * n), max(html_text.BLOCK_PAGES, html_text.BLOCK_SHARE * n)
+    texts = []
+    for blocks, sure in rows:
+        words = [w for b in blocks for w in b.split(" ")]
+        most = [0] * len(words)
+        for at in range(len(words) - run + 1):
+            pages_ = len(seen[tuple(words[at : at + run])])
+            most[at : at + run] = [max(x, pages_) for x in most[at : at + run]]
+        parts, at = [], 0
+        for b, s in zip(blocks, sure, strict=True):
+            parts.append((b, s, b.split(" "), most[at : at + len(b.split(" "))]))
+            at += len(b.split(" "))
+        gone = [s and min(m) >= max(open_from, sure_from) for _, s, _, m in parts]
+        if sum(len(p[3]) for g, p in zip(gone, parts, strict=True) if g) > html_text.COPY_SHARE * sum(len(p[3]) for p in parts if p[1]):
+            gone = [False] * len(parts)
+        cut = sum(x >= open_from for _, s, _, m in parts if not s for x in m) <= html_text.COPY_SHARE * len(words)
+        out = [b if s or not cut else " ".join(x for x, y in zip(w, m, strict=True) if y < open_from) for g, (b, s, w, m) in zip(gone, parts, strict=True) if not g]
+        texts.append("\n".join(x for x in out if x))
+    return texts
+
+
+@pytest.mark.parametrize(("words", "few"), [(1 << 18, 1 << 20), (60, 1 << 20), (60, 0)])
+def test_hosts_against_brute_force(spark, monkeypatch, words, few):
+    """Small shards, and runs that are joined instead of handed out, change nothing."""
+    monkeypatch.setattr(html_text, "SHARD_WORDS", words)
+    monkeypatch.setattr(html_text, "BROADCAST_RUNS", few)
+    monkeypatch.setattr(html_text, "SLICE", 7)
+    rng = random.Random(words + few)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    common, rows = [line(9), line(12), line(30)], []
+    for k in range(90):
+        body = [f"<p>{line(rng.choice([3, 12, 25]))}</p>" for _ in range(rng.randint(1, 4))]
+        body += [f"<p>{line(2)} {c}</p>" for c, share in zip(common, (0.6, 0.2, 0.09), strict=True) if rng.random() < share]
+        rng.shuffle(body)
+        if k % 3 == 0:
+            body = [body[0], "<article>", *body[1:], f"<p>{common[0]}</p>", "</article>"]
+        rows.append((k, "http://h/x" if k % 5 else "http://g/y", "".join(body)))
+    rows += [(100 + k, u, h) for k, (_, u, h) in enumerate(rows[:1] * 40 + rows[5:9])]
+    want = {}
+    for url in ("http://h/x", "http://g/y"):
+        mine = [r for r in rows if r[1] == url]
+        want |= dict(zip((r[0] for r in mine), _slow_texts([html_text.blocks_of(r[2]) for r in mine]), strict=True))
+    assert {r.page_id: r.text for r in html_text.main_text(pages(spark, rows)).collect()} == want
+
+
+def test_main_text(spark):
     rng = random.Random(3)
     word = lambda: "w" + str(rng.randrange(10**7))
     body = [" ".join(word() for _ in range(40)) for _ in range(30)]
@@ -174,18 +253,17 @@ def test_main_text(spark, monkeypatch):
     assert all(got[k] == [f"{b} {b[:20]}"] for k, b in enumerate(body))
     assert all(got[100 + k] == [f"{shared}\n{b}"] for k, b in enumerate(body[:5]))
     assert (got[200], got[201], got[None], got[202]) == ([""], ["alone"] * 2, ["nul"], [body[0]])
-    monkeypatch.setattr(html_text, "SHARD_BYTES", 2000)
-    assert sorted(r.text for r in html_text.main_text(pages(spark, rows[30:35])).collect()) == sorted(f"{shared}\n{b}" for b in body[:5])
     assert html_text.main_text(pages(spark, [])).count() == 0
 
 
-def test_copies_of_a_page_are_no_boilerplate():
+def test_copies_of_a_page_are_no_boilerplate(spark):
     def text(k):
         return " ".join(f"p{k}w{i}" for i in range(30))
 
     menu = " ".join(f"menu{i}" for i in range(10))
-    for sure in (False, True):
-        pages = [([text(0)], [sure])] * 20 + [([text(k)], [sure]) for k in range(1, 11)]
-        assert html_text.clean_shard(pages) == [text(0)] * 20 + [text(k) for k in range(1, 11)]
-    pages = [([menu, text(0)], [False, False])] * 20 + [([menu, text(k)], [False, False]) for k in range(1, 11)]
-    assert html_text.clean_shard(pages) == [text(0)] * 20 + [text(k) for k in range(1, 11)]
+    for form, before in (("<article><p>{}</p></article>", ""), ("<p>{}</p>", ""), ("<div>{}</div>", f"<p>{menu}</p>")):
+        rows = [(k, "http://h/x", before + form.format(text(max(0, k - 19)))) for k in range(30)]
+        got = {r.page_id: r.text for r in html_text.main_text(pages(spark, rows)).collect()}
+        assert got == {k: text(max(0, k - 19)) for k in range(30)}
+    same = html_text.main_text(pages(spark, [(k, "http://h/x", f"<p>{text(1)}</p>") for k in range(3)])).collect()
+    assert [r.text for r in same] == [text(1)] * 3
