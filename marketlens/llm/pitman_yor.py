@@ -1,21 +1,28 @@
 """Language-model scores from a hierarchical Pitman-Yor model with Chinese-restaurant seating.
 
-The model is a tree of restaurants over a class vocabulary: the CLASSES most frequent words, the end of a text, and RARE
-for all other words. There is a restaurant for each of the CONTEXTS most frequent previous words, one that all other
-previous words share, and one for the start of a text; they share the root restaurant as parent, whose base is uniform.
-Which of its words RARE stands for is a further restaurant, with a uniform base over the rare words and one unknown.
-Counts cover all training texts: the table of word counts grows with the corpus and stays distributed; the restaurants'
-number and menus are bounded by parameters, so that their probabilities can be handed to every task.
-
-Seating is sampled by Gibbs sweeps. A sweep seats the customers of every dish of every restaurant anew, one by one,
-given its parent's probabilities and the restaurant's tables as of the sweep before; restaurants are seated in parallel.
-A restaurant's tables are its parent's customers. Customers beyond LEAP of a dish are seated in groups of a sixteenth of
-those seated, with the expected number of new tables, rounded at random. After BURN_IN sweeps the predictive
-probabilities of SAMPLES sweeps are averaged. Randomness is a hash of sweep, dish and customer, so a task that runs
-again finds the same seats. Discounts are n1 / (n1 + 2 n2) of a level's counts, strengths are STRENGTH.
-
-Words and base scores follow exact counts; only the words outside the HEAD most frequent ones are joined by shuffle.
-A null text is empty: its one token is the end. Rows with null or repeated ids are scored like any others.
+There is a restaurant for every previous word that occurs in the training texts, and one for the start of a text; they
+share the root restaurant as parent, whose base is uniform. Dishes are words, the end of a text, and RARE, which stands
+for the words outside the HEAD most frequent ones and for words that occur once (a pair of words that has one of these in
+it occurs once as well). Which of its words RARE stands for is a further restaurant, with a uniform base over the rare
+words and one unknown. Counts cover all training texts. Word counts and restaurants grow with the corpus and stay
+distributed; what is handed to all tasks is bounded: HEAD words of at most LONGEST bytes, and the root's probabilities.
+
+Restaurants are kept whole, many to a row, each row's arrays sorted by context and dish; a menu has HEAD + 2 dishes at
+most. Pairs are counted in the tasks that read texts, then by slot: contexts with more than SPLIT customers are split by
+dish into slots of their own, and put together when counted. Rare contexts are told apart by 42 bits of a hash.
+
+Seating is sampled by blocked Gibbs sweeps: all customers of a dish are taken out of a restaurant and seated anew, given
+its other tables as of the sweep before and the root's probabilities. Up to EXACT customers, the number of tables t is
+drawn from its exact conditional distribution, S(c, t) (strength + discount T) ... (strength + discount (T + t - 1)) p^t,
+S being generalised Stirling numbers; beyond that their ratios come from the saddle points of their generating
+function, and more than FEW tables are drawn from a normal distribution at the peak. A restaurant's tables are its parent's customers. After BURN_IN sweeps the predictive
+probabilities of SAMPLES sweeps are averaged. Randomness is a hash of sweep, context and dish, and a sweep replays those
+before it from the root's probabilities, so no state is kept between tasks and a task that runs again finds the same
+seats. Discounts are n1 / (n1 + 2 n2) of a level's counts, strengths are STRENGTH.
+
+To score, the pairs of all texts meet the restaurants by slot; split contexts are met in as many copies as they have
+slots. Words outside HEAD meet their counts in a join (a word that is frequent there all the same is split by Spark's
+skew-join rule). A null text is empty: its one token is the end. Rows with null or repeated ids are scored like others.
 """
 
 from __future__ import annotations
@@ -23,48 +30,141 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from marketlens.llm.common import batch_rows, materialise
+from marketlens.llm.common import materialise, pieces
 
-CLASSES, CONTEXTS, HEAD = 4096, 512, 1 << 19
-BURN_IN, SAMPLES, LEAP, STRENGTH = 2, 4, 64, 1.0
-#: Distinct words that a task counts before it passes them on.
-COUNTED = 400_000
+HEAD, LONGEST = 1 << 19, 64
+BURN_IN, SAMPLES, EXACT, FEW, STRENGTH = 2, 4, 64, 64, 1.0
+#: Distinct words that a task counts before it passes them on, and tokens whose pairs it sorts at once.
+COUNTED, CHUNK = 400_000, 1 << 22
+#: Tokens of a slot, and customers from which a context has slots of its own.
+SLOT, SPLIT = 1 << 22, 1 << 21
 #: Stands for the end of a text in the table of counts; no word can be a space.
 END = b" "
+#: Bits of a dish in the number of a pair; the bit that marks a rare context.
+_DISH, _TAIL = 20, 1 << 42
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def uniform(key: np.ndarray, sweep: int, k: int) -> np.ndarray:
-    """Numbers in [0, 1) from a 64-bit mix of key, sweep and k."""
-    x = key + np.uint64((sweep * 0x9E3779B97F4A7C15 + k * 0xD1B54A32D192ED03) % (1 << 64))
+def mix(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.uint64)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return (x ^ (x >> np.uint64(31))).astype(np.float64) / 2.0**64
-
-
-def seat(customers: np.ndarray, pull: np.ndarray, discount: float, key: np.ndarray, sweep: int) -> np.ndarray:
-    """Tables of each dish after its customers sat down; pull is (strength + discount * tables) * parent's probability."""
-    tables = (customers > 0).astype(np.float64)
-    live, k = np.nonzero(customers > 1)[0], 1
-    while len(live):
-        m = 1 if k < LEAP else max(1, k // 16)
-        t, a = tables[live], pull[live]
-        m_here = np.minimum(m, customers[live] - k)
-        new = np.floor(m_here * a / (a + k - discount * t) + uniform(key[live], sweep, k))
-        tables[live] = t + np.minimum(new, m_here)
-        k += m
-        live = live[customers[live] > k]
+    return x ^ (x >> np.uint64(31))
+
+
+def uniform(key: np.ndarray, sweep: int, k: int) -> np.ndarray:
+    """Numbers in [0, 1) from a 64-bit mix of key, sweep and k."""
+    return mix(key.astype(np.uint64) + np.uint64((sweep * 0x9E3779B97F4A7C15 + k * 0xD1B54A32D192ED03) % (1 << 64))).astype(np.float64) / 2.0**64
+
+
+@lru_cache(maxsize=4)
+def log_stirling(discount: float) -> np.ndarray:
+    """log S(c, t) for c and t up to EXACT: the weight of all ways to seat c customers at t tables."""
+    s = np.full((EXACT + 1, EXACT + 2), -np.inf)
+    s[1, 1] = 0.0
+    for c in range(1, EXACT):
+        t = np.arange(1, c + 2)
+        s[c + 1, t] = np.logaddexp(s[c, t - 1], s[c, t] + np.log(c - discount * np.minimum(t, c)))
+    return s
+
+
+@lru_cache(maxsize=4)
+def _saddles(discount: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """On a grid of log(c / t - 1): log f(z) and half the log of the curvature, at the saddle point z where z f'(z) / f(z) = c / t."""
+    x = np.linspace(-18, 28, 4000)
+    low, high = np.full(len(x), -60.0), np.full(len(x), 690.0)  # log(z / (1 - z))
+    for _ in range(70):
+        middle = (low + high) / 2
+        y = 1 / (1 + np.exp(middle))
+        rise = (1 - y) * discount * y ** (discount - 1) / -np.expm1(discount * np.log(y)) - 1
+        rise = np.where(middle < -9, (1 - discount) / 2 * np.exp(middle), rise)
+        up = np.log(np.maximum(rise, 1e-300)) < x
+        low, high = np.where(up, middle, low), np.where(up, high, middle)
+    y, g = 1 / (1 + np.exp(low)), 1 + np.exp(x)
+    z = 1 - y
+    f = np.where(low < -9, np.exp(low), -np.expm1(discount * np.log(y)) / discount)
+    bend = g - g * g + z * z * (1 - discount) * y ** (discount - 2) / f
+    bend = np.where(low < -6, (1 - discount) / 2 * np.exp(low), bend)
+    return x, np.log(f), np.log(np.maximum(bend, 1e-300)) / 2
+
+
+def log_ratio(c: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
+    """log S(c, t + 1) / S(c, t) for many customers c: by saddle points, mended by what they miss at EXACT customers for so few tables."""
+    return _saddle_ratio(c, t, discount) + np.interp(t, np.arange(1, EXACT // 2 + 1), _missed(discount), right=0.0)
+
+
+@lru_cache(maxsize=4)
+def _missed(discount: float) -> np.ndarray:
+    s, t = log_stirling(discount)[EXACT], np.arange(1, EXACT // 2 + 1)
+    return s[t + 1] - s[t] - _saddle_ratio(np.full(len(t), float(EXACT)), t.astype(np.float64), discount)
+
+
+def _saddle_ratio(c: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
+    """The same by the saddle points of S's generating function f(z)^t, f(z) = (1 - (1 - z)^d) / d, alone."""
+    x, log_f, bend = _saddles(discount)
+
+    def at(tables: np.ndarray) -> np.ndarray:
+        return np.log(np.maximum(c / tables - 1, 1e-8))
+
+    curve = np.interp(at(t), x, bend) - np.interp(at(t + 1), x, bend) + np.log(t / (t + 1)) / 2
+    return np.where(t >= c, -np.inf, np.interp(at(t + 0.5), x, log_f) - np.log(t + 1) + curve)
+
+
+def draw(c: np.ndarray, others: np.ndarray, p: np.ndarray, discount: float, key: np.ndarray, sweep: int) -> np.ndarray:
+    """Tables of dishes with c > 0 customers, given the other tables of their restaurant and the parent's probability."""
+    tables = np.ones(len(c))
+    s, u, step = log_stirling(discount), uniform(key, sweep, 1), np.arange(EXACT)
+    order = np.argsort(c, kind="stable")
+    edge = np.searchsorted(c[order], np.arange(2, EXACT + 2))
+    for n in range(2, EXACT + 1):
+        at = order[edge[n - 2] : edge[n - 1]]
+        if len(at):
+            w = np.cumsum(np.log((STRENGTH + discount * (others[at, None] + step[None, :n])) * p[at, None]), axis=1) + s[n, 1 : n + 1]
+            w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
+            tables[at] = 1 + (w[:, :-1] <= u[at, None] * w[:, -1:]).sum(axis=1)
+    if len(at := order[edge[-1] :]):
+        tables[at] = draw_many(c[at], others[at], p[at], discount, u[at], uniform(key[at], sweep, 2))
+    return tables
+
+
+def draw_many(c: np.ndarray, others: np.ndarray, p: np.ndarray, discount: float, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Beyond EXACT customers: by ratios of neighbours, in full if there are few tables, else by a normal at their peak."""
+    c = c.astype(np.float64)
+
+    def gain(t: np.ndarray) -> np.ndarray:
+        return log_ratio(c, t, discount) + np.log((STRENGTH + discount * (others + t)) * p)
+
+    low, high = np.ones(len(c)), c.copy()
+    for _ in range(60):  # gain falls as t grows: the peak is where it is zero
+        middle = (low + high) / 2
+        up = gain(middle) > 0
+        low, high = np.where(up, middle, low), np.where(up, high, middle)
+    slope = (gain(low * 0.99) - gain(low * 1.01)) / (0.02 * low)
+    wide = 1 / np.sqrt(np.maximum(slope, 1e-12))
+    tables = np.clip(np.round(low + 0.5 + wide * np.sqrt(-2 * np.log1p(-u)) * np.cos(2 * np.pi * v)), 1, c)
+    few = np.nonzero(~(low + 6 * wide < FEW))[0]
+    few = np.setdiff1d(np.arange(len(c)), few)
+    for at in np.array_split(few, max(1, len(few) * FEW >> 20)):
+        if len(at):
+            t = np.arange(1.0, FEW)[None, :]
+            w = log_ratio(c[at, None], t, discount) + np.log((STRENGTH + discount * (others[at, None] + t)) * p[at, None])
+            w = np.concatenate([np.zeros((len(at), 1)), np.cumsum(w, axis=1)], axis=1)
+            w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
+            tables[at] = 1 + (w[:, :-1] <= u[at, None] * w[:, -1:]).sum(axis=1)
     return tables
 
 
@@ -74,7 +174,6 @@ def _discount(n1: float, n2: float) -> float:
 
 def word_counts(train: DataFrame, text_col: str = "text") -> DataFrame:
     """w (binary), c: how often each word is in the texts, and the end, once a text."""
-    batch_rows(train.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[pa.RecordBatch]:
@@ -96,204 +195,410 @@ def word_counts(train: DataFrame, text_col: str = "text") -> DataFrame:
     return materialise(counts.groupBy("w").agg(F.sum("c").alias("c")).filter("c > 0"), "lm-counts")
 
 
-def _levels(counts: DataFrame, sizes: list[int]) -> list[int]:
-    """For each size the lowest count whose words, and all more frequent ones, are no more than that many."""
+def _level(counts: DataFrame, size: int) -> int:
+    """The lowest count whose words, and all more frequent ones, are no more than that many."""
     eighth = F.floor(F.log2("c") * 8).cast("int")
-    found, seen = [1 << 62] * len(sizes), 0
+    found, seen = 1 << 62, 0
     for _, low, n in sorted(counts.groupBy(eighth.alias("e")).agg(F.min("c"), F.count("*")).collect(), reverse=True):
         seen += n
-        found = [low if seen <= size else was for size, was in zip(sizes, found, strict=True)]
+        found = low if seen <= size else found
     return found
 
 
+class Vocabulary:
+    """Numbers of dishes and contexts, and the slots that contexts go to."""
+
+    def __init__(self, words: list[bytes], counts: np.ndarray, ends: int, slots: int):
+        self.words, self.counts, self.ends, self.slots = words, counts, ends, slots
+        self.rare, self.end, self.width = len(words), len(words) + 1, len(words) + 2
+        customers = np.concatenate([counts, [0, ends]])
+        self.parts = np.where(customers > SPLIT, -(-customers // SPLIT), 1).astype(np.int64)
+        self.first = slots + np.cumsum(self.parts) - self.parts  # first slot of a context that has its own
+        self._place: dict[bytes, int] | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_place": None}
+
+    def ids(self, tokens: list[bytes]) -> np.ndarray:
+        """Dishes of words; -1 for rare ones."""
+        if self._place is None:
+            self._place = {w: i for i, w in enumerate(self.words)}
+        return np.fromiter(map(self._place.get, tokens, repeat(-1)), np.int64, len(tokens))
+
+    def pairs(self, tokens: list[bytes], ids: np.ndarray) -> np.ndarray:
+        """A number for each token of a text, the end included, with the word before."""
+        before = ids.copy()
+        for i in np.nonzero(ids < 0)[0].tolist():
+            before[i] = _TAIL | xxhash.xxh64_intdigest(tokens[i]) >> 22
+        before = np.concatenate([[self.end], before])
+        return before << _DISH | np.append(np.where(ids < 0, self.rare, ids), self.end)
+
+    def slot(self, pairs: np.ndarray, part: np.ndarray | int) -> np.ndarray:
+        """The slot of pairs; part says which of its slots a split context uses."""
+        context = pairs >> _DISH
+        out = (mix(context) % np.uint64(self.slots)).astype(np.int64)
+        head = np.nonzero(context < self.width)[0]
+        split = head[self.parts[context[head]] > 1]
+        u = context[split]
+        out[split] = self.first[u] + (part if isinstance(part, int) else part[split]) % self.parts[u]
+        return out
+
+
+def _pack(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+
+
+def _unpack(x: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+
+
+MENUS = "slot long, context binary, sizes binary, dish binary, n binary"
+
+
+def _menus(slot: np.ndarray, pairs: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Sorted pairs with their counts as a row a slot."""
+    order = np.argsort(slot, kind="stable")
+    slot, pairs, n = slot[order], pairs[order], n[order]
+    edge = np.concatenate([np.nonzero(np.diff(slot, prepend=-1))[0], [len(slot)]])
+    rows = []
+    for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        context = pairs[s:e] >> _DISH
+        start = np.nonzero(np.diff(context, prepend=-1))[0]
+        sizes = np.diff(np.append(start, e - s))
+        rows.append((int(slot[s]), _pack(context[start]), _pack(sizes.astype("<u4")), _pack((pairs[s:e] & ((1 << _DISH) - 1)).astype("<u4")), _pack(n[s:e].astype("<u4" if n[s:e].max() < 1 << 32 else "<u8"))))
+    cols = list(zip(*rows, strict=True)) or [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["slot", "context", "sizes", "dish", "n"])
+
+
+def _read_menu(context: bytes, sizes: bytes, dish: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted pairs and their counts."""
+    pairs = np.repeat(_unpack(context, "<i8"), _unpack(sizes, "<u4")) << _DISH | _unpack(dish, "<u4").astype(np.int64)
+    raw = zstandard.ZstdDecompressor().decompress(n)
+    return pairs, np.frombuffer(raw, "<u4" if len(raw) == 4 * len(pairs) else "<u8").astype(np.int64)
+
+
+def _sum_menus(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    pairs, n = np.empty(0, np.int64), np.empty(0, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    many = rows.num_rows
+    if many == 1:
+        return _read_menu(*(rows.column(c)[0].as_py() for c in ("context", "sizes", "dish", "n")))
+    for k, row in enumerate(zip(*(rows.column(c) for c in ("context", "sizes", "dish", "n")), strict=True)):
+        held.append(_read_menu(*(x.as_py() for x in row)))
+        if sum(len(x) for x, _ in held) > max(SLOT // 4, len(pairs)) or k == many - 1:
+            pairs, at = np.unique(np.concatenate([pairs, *(x for x, _ in held)]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n, *(x for _, x in held)]), len(pairs)).astype(np.int64)
+            held = []
+    return pairs, n
+
+
+class Restaurants:
+    """The restaurants of a row, seated sweep by sweep."""
+
+    def __init__(self, pairs: np.ndarray, n: np.ndarray, discount: float):
+        self.pairs, self.n, self.d = pairs, n, discount
+        context = pairs >> _DISH
+        start = np.nonzero(np.diff(context, prepend=-1))[0]
+        self.contexts, self.row = context[start], np.repeat(np.arange(len(start)), np.diff(np.append(start, len(pairs))))
+        self.dish, self.size = pairs & ((1 << _DISH) - 1), np.bincount(self.row, n, len(start))
+        self.several, self.key = np.nonzero(n > 1)[0], mix(pairs)
+        self.t = np.ones(len(n))
+        self.tables = np.bincount(self.row, minlength=len(start)).astype(np.float64)
+
+    def sweep(self, root: np.ndarray, number: int) -> None:
+        at = self.several
+        self.t[at] = draw(self.n[at], self.tables[self.row[at]] - self.t[at], root[self.dish[at]].astype(np.float64), self.d, self.key[at], number)
+        self.tables = np.bincount(self.row, self.t, len(self.contexts))
+
+
+def train_pairs(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
+    """The restaurants' customers: rows of whole restaurants (MENUS); a split context has a row of its own, with its first slot."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, held, many = shared.value, [], 0
+
+        def out() -> pa.RecordBatch:
+            pairs, n = np.unique(np.concatenate([np.empty(0, np.int64), *held]), return_counts=True)
+            return _menus(v.slot(pairs, pairs & ((1 << _DISH) - 1)), pairs, n)
+
+        for b in batches:
+            for x in b.column(0):
+                tokens = tokens_of(x.as_py())
+                held.append(v.pairs(tokens, v.ids(tokens)))
+                many += len(tokens) + 1
+                if many >= CHUNK:
+                    yield out()
+                    held, many = [], 0
+        yield out()
+
+    def merge(rows: pa.Table) -> pa.Table:
+        pairs, n = _sum_menus(rows)
+        return pa.Table.from_batches([_menus(np.full(len(pairs), rows.column("slot")[0].as_py()), pairs, n)])
+
+    def join(rows: pa.Table) -> pa.Table:
+        pairs, n = _sum_menus(rows)
+        return pa.Table.from_batches([_menus(np.full(len(pairs), shared.value.first[pairs[0] >> _DISH]), pairs, n)])
+
+    cells = docs.select(F.col(text_col).cast("binary")).mapInArrow(run, MENUS).groupBy("slot").applyInArrow(merge, MENUS)
+    if vocabulary.parts.max(initial=1) == 1:
+        return materialise(cells, "lm-restaurants")
+    cells = materialise(cells, "lm-cells")
+    split = cells.filter(F.col("slot") >= vocabulary.slots)
+    whole = split.groupBy(F.xxhash64("context").alias("c"), "context").applyInArrow(join, MENUS)
+    return materialise(cells.filter(F.col("slot") < vocabulary.slots).unionAll(whole), "lm-restaurants")
+
+
 @dataclass
 class Model:
-    """What a task needs: head words with their counts, ids of classes and contexts, log10 probabilities."""
+    """What scoring needs: distributed counts and restaurants, and the root's probabilities after each sweep."""
 
     counts: DataFrame
+    restaurants: DataFrame
     tokens: int
     distinct: int
-    words: list[bytes]
-    head_counts: np.ndarray
-    head_keys: np.ndarray
-    ends: int
-    classes: int
-    contexts: int
-    log_p: np.ndarray
+    vocabulary: Vocabulary
+    discount: float
+    roots: list[np.ndarray]
+    rare_from: int
     rare: dict[str, float | list[float]]
 
 
-def _sweep_rare(rows: DataFrame, base: float, discount: float, tables: float, sweep: int) -> float:
+def _sums(restaurants: DataFrame, discount: float, roots: list[np.ndarray], width: int) -> tuple[np.ndarray, int, int]:
+    """Tables by dish after a sweep for each root, of dishes with one customer and of the others; and those with one and two customers."""
+    shared = restaurants.sparkSession.sparkContext.broadcast(roots)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0.0
+        total, ones, twos = np.zeros(width), 0, 0
         for b in batches:
-            total += seat(*_rare_args(b, base, discount, tables), sweep).sum()
-        yield pa.RecordBatch.from_arrays([pa.array([total])], ["t"])
-
-    return rows.select(F.xxhash64("w").alias("h"), "c").mapInArrow(run, "t double").agg(F.sum("t")).first()[0] or 0.0
-
-
-def _rare_args(b: pa.RecordBatch, base: float, discount: float, tables: float) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
-    c = b.column(b.schema.get_field_index("c")).to_numpy(zero_copy_only=False)
-    h = b.column(b.schema.get_field_index("h")).to_numpy(zero_copy_only=False).view(np.uint64)
-    return c, np.full(len(c), (STRENGTH + discount * tables) * base), discount, h
+            for row in zip(*(b.column(k) for k in range(1, 5)), strict=True):
+                r = Restaurants(*_read_menu(*(x.as_py() for x in row)), discount)
+                for k, root in enumerate(shared.value):
+                    r.sweep(root, k)
+                total += np.bincount(r.dish, r.t, width)
+                ones, twos = ones + int((r.n == 1).sum()), twos + int((r.n == 2).sum())
+        dish = np.nonzero(total)[0]
+        dish, total = np.append(dish, [width, width + 1]), np.append(total[dish], [ones, twos])
+        yield pa.RecordBatch.from_arrays([pa.array(dish.astype(np.int32)), pa.array(total.astype(np.int64))], ["dish", "t"])
+
+    got = restaurants.select("slot", "context", "sizes", "dish", "n").mapInArrow(run, "dish int, t long").groupBy("dish").agg(F.sum("t").alias("t")).toArrow()  # at most HEAD + 4
+    total = np.zeros(width + 2)
+    total[got.column("dish").to_numpy()] = got.column("t").to_numpy()
+    return total[:width], int(total[width]), int(total[width + 1])
+
+
+def root_after(opened: np.ndarray, tables: np.ndarray, sweep: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The root's probabilities and tables when its customers have been seated; without a sweep each dish has one table."""
+    width, d = len(opened), _discount((opened == 1).sum(), (opened == 2).sum())
+    there = np.nonzero(opened > 0)[0]
+    now = (opened > 0).astype(np.float64)
+    if sweep is not None and len(there):
+        now[there] = draw(opened[there].astype(np.int64), tables.sum() - tables[there], np.full(len(there), 1 / width), d, mix(there), sweep)
+    p = (opened - d * now + (STRENGTH + d * now.sum()) / width) / (STRENGTH + opened.sum())
+    return p.astype(np.float32), now
 
 
 def train(docs: DataFrame, text_col: str = "text") -> Model:
     """Counts all texts of docs and seats the restaurants."""
     spark = docs.sparkSession
     counts = word_counts(docs, text_col)
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    word = counts.filter(F.col("w") != END)
-    of_class, of_context, of_head = _levels(word, [CLASSES, CONTEXTS, HEAD])
-    head = word.filter(F.col("c") >= of_head).withColumn("h", F.xxhash64("w")).toArrow().sort_by([("c", "descending"), ("w", "ascending")])
-    words, head_counts, head_keys = head.column("w").to_pylist(), head.column("c").to_numpy(), head.column("h").to_numpy().view(np.uint64)
+    n, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    short = counts.filter((F.col("w") != END) & (F.octet_length("w") <= LONGEST) & (F.col("c") > 1))
+    least = _level(short, HEAD)
+    head = short.filter(F.col("c") >= least).toArrow().sort_by([("c", "descending"), ("w", "ascending")])
     ends = next((r.c for r in counts.filter(F.col("w") == END).collect()), 0)
-    k, m = int((head_counts >= of_class).sum()), int((head_counts >= of_context).sum())
+    slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // SLOT))
+    vocabulary = Vocabulary(head.column("w").to_pylist(), head.column("c").to_numpy(), ends, slots)
+    restaurants = train_pairs(docs, vocabulary, text_col)
 
-    batch_rows(spark)
-    shared = spark.sparkContext.broadcast(words[:k])
-    width, rare_id, end_id = k + 2, k, k + 1
+    opened, n1, n2 = _sums(restaurants, 0.5, [], vocabulary.width)
+    d, roots = _discount(n1, n2), []
+    p, tables = root_after(opened, np.zeros(vocabulary.width), None)
+    for sweep in range(BURN_IN + SAMPLES):
+        roots.append(p)
+        opened, _, _ = _sums(restaurants, d, roots, vocabulary.width)
+        p, tables = root_after(opened, tables, sweep)
+    roots.append(p)
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, seen = {w: i for i, w in enumerate(shared.value)}, np.zeros((m + 2) * width, np.int64)
-        for b in batches:
-            for x in b.column(0):
-                dish, context = classes_of(tokens_of(x.as_py()), place, rare_id, m)
-                np.add.at(seen, context * width + dish, 1)
-        code = np.nonzero(seen)[0]
-        for at in range(0, len(code), 1 << 16):
-            c = code[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(c // width), pa.array(c % width), pa.array(seen[c])], ["context", "dish", "n"])
-
-    cells = docs.select(F.col(text_col).cast("binary")).mapInArrow(pairs, "context long, dish long, n long")
-    cells = cells.groupBy("context", "dish").agg(F.sum("n").alias("n"))
-    cells = materialise(cells.groupBy("context").agg(F.collect_list(F.struct("dish", "n")).alias("menu")), "lm-cells")  # at most CLASSES + 2 a row
-    log_p = _seat_contexts(cells, m + 2, width)
-
-    rare = word.filter(F.col("c") < of_class)
+    rare = _rare_words(counts, least)
     n1, n2, customers, kinds = rare.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2), F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    d, base, tables = _discount(n1, n2), 1 / (kinds + 1), [float(kinds)]
-    batch_rows(spark, 1 << 14)
-    for sweep in range(BURN_IN + SAMPLES):
-        tables.append(_sweep_rare(rare, base, d, tables[-1], sweep))
-    return Model(counts, n, v, words, head_counts, head_keys, ends, k, m, log_p, {"discount": d, "base": base, "customers": customers, "tables": tables})
-
-
-def classes_of(words: list[bytes], place: dict[bytes, int], rare_id: int, contexts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Dish and restaurant of each token, the end included."""
-    dish = np.fromiter(map(place.get, words, repeat(rare_id)), np.int64, len(words))
-    before = np.concatenate([[contexts + 1], np.where(dish < contexts, dish, contexts)])
-    return np.append(dish, rare_id + 1), before
-
-
-def _seat_contexts(cells: DataFrame, restaurants: int, width: int) -> np.ndarray:
-    """log10 of the averaged predictive probabilities, restaurants by dishes."""
-    spark = cells.sparkSession
-    batch_rows(spark, 64)
-    n1, n2 = cells.select(F.explode("menu").alias("x")).agg(F.count_if(F.col("x.n") == 1), F.count_if(F.col("x.n") == 2)).first()
-    d = _discount(n1, n2)
-    root, tables = np.full(width, 1 / width), np.zeros(restaurants)
-    cells = cells.repartition(16, "context")
-    total = np.zeros((restaurants, width))
+    rare_d, base, tables = _discount(n1, n2), 1 / (kinds + 1), [float(kinds)]
     for sweep in range(BURN_IN + SAMPLES):
-        taken = sweep >= BURN_IN
-
-        def run(batches: Iterator[pa.RecordBatch], root: np.ndarray = root, tables: np.ndarray = tables, sweep: int = sweep, taken: bool = taken) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for u, menu in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    flat = menu.values.flatten()
-                    dish, n = flat[0].to_numpy(), flat[1].to_numpy()
-                    key = (dish.astype(np.uint64) << np.uint64(20)) + np.uint64(u)
-                    t = seat(n, (STRENGTH + d * tables[u]) * root[dish], d, key, sweep)
-                    yield pa.RecordBatch.from_arrays([pa.array([u]), pa.array([int(n.sum())]), pa.array([dish.astype("<i8").tobytes()]), pa.array([t.astype("<f8").tobytes()]), pa.array([(n - d * t).astype("<f8").tobytes() if taken else b""])], names)
-
-        names = ["context", "n", "dish", "t", "own"]
-        opened, tables, rows = np.zeros(width), np.zeros(restaurants), []
-        for r in cells.mapInArrow(run, "context long, n long, dish binary, t binary, own binary").collect():  # bounded: restaurants by dishes
-            dish, t = np.frombuffer(r.dish, "<i8"), np.frombuffer(r.t, "<f8")
-            np.add.at(opened, dish, t)
-            tables[r.context] = t.sum()
-            rows.append((r.context, r.n, dish, r.own))
-        d0 = _discount((opened == 1).sum(), (opened == 2).sum())
-        t0 = seat(opened.astype(np.int64), (STRENGTH + d0 * (opened > 0).sum()) * np.full(width, 1 / width), d0, np.arange(width).astype(np.uint64), sweep)
-        root = (opened - d0 * t0 + (STRENGTH + d0 * t0.sum()) / width) / (STRENGTH + opened.sum())
-        if taken:
-            n, own = np.zeros(restaurants), np.zeros((restaurants, width))
-            for u, size, dish, mine in rows:
-                n[u], own[u, dish] = size, np.frombuffer(mine, "<f8")
-            total += (own + (STRENGTH + d * tables)[:, None] * root) / (STRENGTH + n)[:, None]
-    return np.log10(total / SAMPLES).astype(np.float32)
+        tables.append(_sweep_rare(rare, base, rare_d, tables[-1], sweep) if customers > kinds else tables[-1])
+    return Model(counts, restaurants, n, distinct, vocabulary, d, roots, least, {"discount": rare_d, "base": base, "customers": customers, "tables": tables})
+
+
+def _rare_words(counts: DataFrame, least: int) -> DataFrame:
+    """The words that are no dishes."""
+    dish = (F.octet_length("w") <= LONGEST) & (F.col("c") > 1) & (F.col("c") >= least)
+    return counts.filter((F.col("w") != END) & ~dish)
+
+
+def _sweep_rare(rows: DataFrame, base: float, discount: float, tables: float, sweep: int) -> float:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0.0
+        for b in batches:
+            total += _rare_tables(b.column(1).to_numpy(), b.column(0).to_numpy(), base, discount, tables, sweep).sum()
+        yield pa.RecordBatch.from_arrays([pa.array([total])], ["t"])
+
+    return rows.select(F.xxhash64("w").alias("h"), "c").mapInArrow(run, "t double").agg(F.sum("t")).first()[0] or 0.0
+
+
+def _rare_tables(c: np.ndarray, h: np.ndarray, base: float, discount: float, tables: float, sweep: int) -> np.ndarray:
+    out, there = np.zeros(len(c)), np.nonzero(c > 0)[0]
+    out[there] = draw(c[there], np.full(len(there), max(0.0, tables - 1)), np.full(len(there), base), discount, h[there].view(np.uint64), sweep)
+    return out
 
 
 def _rare_log_p(c: np.ndarray, h: np.ndarray, rare: dict) -> np.ndarray:
     """log10 of the averaged predictive probability of words among the rare ones; c is 0 for unknown words."""
-    total = np.zeros(len(c))
+    total, d = np.zeros(len(c)), rare["discount"]
     for s in range(BURN_IN, BURN_IN + SAMPLES):
-        before, now = rare["tables"][s], rare["tables"][s + 1]
-        t = seat(c, np.full(len(c), (STRENGTH + rare["discount"] * before) * rare["base"]), rare["discount"], h, s)
-        total += (c - rare["discount"] * t + (STRENGTH + rare["discount"] * now) * rare["base"]) / (STRENGTH + rare["customers"])
+        t = _rare_tables(c, h, rare["base"], d, rare["tables"][s], s)
+        total += (c - d * t + (STRENGTH + d * rare["tables"][s + 1]) * rare["base"]) / (STRENGTH + rare["customers"])
+    return np.log10(total / SAMPLES)
+
+
+def pair_log_p(pairs: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None, roots: list[np.ndarray], discount: float) -> np.ndarray:
+    """log10 of the averaged predictive probabilities of sorted pairs, given the restaurants they may be in."""
+    dish, total = pairs & ((1 << _DISH) - 1), np.zeros(len(pairs))
+    r = Restaurants(*(known or (np.empty(0, np.int64), np.empty(0, np.int64))), discount)
+    context = pairs >> _DISH
+
+    def look(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(keys, wanted)
+        hit = np.nonzero(at < len(keys))[0]
+        hit = hit[keys[at[hit]] == wanted[hit]]
+        return hit, at[hit]
+
+    here, place = look(r.contexts, context)
+    same, entry = look(r.pairs, pairs)
+    for k in range(BURN_IN + SAMPLES):
+        r.sweep(roots[k], k)
+        if k < BURN_IN:
+            continue
+        weight, own = np.ones(len(pairs)), np.zeros(len(pairs))
+        weight[here] = (STRENGTH + discount * r.tables[place]) / (STRENGTH + r.size[place])
+        own[same] = (r.n[entry] - discount * r.t[entry]) / (STRENGTH + r.size[r.row[entry]])
+        total += own + weight * roots[k + 1][dish]
     return np.log10(total / SAMPLES)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
-    spark, rare = docs.sparkSession, model.rare
-    n, v, k, m = model.tokens, model.distinct, model.classes, model.contexts
-    lone, ends = float(np.log10(n + v + 1)), model.ends
-    head_rare = np.concatenate([np.zeros(k), _rare_log_p(model.head_counts[k:], model.head_keys[k:], rare)])
-    shared = spark.sparkContext.broadcast((model.words, np.log10(model.head_counts + 1.0), head_rare, model.log_p))
+    context, rare, v = docs.sparkSession.sparkContext, model.rare, model.vocabulary
+    n, d, ends = model.tokens, model.discount, model.vocabulary.ends
+    lone = float(np.log10(n + model.distinct + 1))
+    shared, roots = context.broadcast(v), context.broadcast(model.roots)
+    kind = docs.schema[id_col].dataType
+    types = [pa.int64(), to_arrow_type(kind), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), *[pa.binary()] * 4]
+    names = ["uid", "id", "w", "n", "known", "base", "slot", "context", "sizes", "dish", "docs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, log_c, log_rare, log_p = shared.value
-        place = {w: i for i, w in enumerate(words)}
-        for b in batches:
+        v, log_c = shared.value, np.log10(shared.value.counts + 1.0)
+        held: list[np.ndarray] = []
+        many, first = 0, None
+
+        def rows_of(out: list[tuple]) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(out), 1 << 14):
+                cols = zip(*out[at : at + (1 << 14)], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+
+        def pairs_out() -> Iterator[pa.RecordBatch]:
+            """A row a slot: pairs, how often each occurs, and in which texts (counted from uid on)."""
+            pairs, doc = np.concatenate([np.empty(0, np.int64), *held]), np.repeat(np.arange(len(held)), [len(x) for x in held])
+            order = np.argsort(pairs, kind="stable")
+            pairs, doc = pairs[order], doc[order]
+            slot = v.slot(pairs, int(first or 0) >> 3)
+            order = np.argsort(slot, kind="stable")
+            slot, pairs, doc = slot[order], pairs[order], doc[order]
+            edge = np.concatenate([np.nonzero(np.diff(slot, prepend=-1))[0], [len(slot)]])
+            out = []
+            for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                start = np.nonzero(np.diff(pairs[s:e], prepend=-1))[0]
+                own = pairs[s:e][start]
+                ctx = own >> _DISH
+                change = np.nonzero(np.diff(ctx, prepend=-1))[0]
+                often = np.diff(np.append(start, e - s))
+                menu = np.concatenate([[len(change)], np.diff(np.append(change, len(own))), often])
+                out.append((first, None, None, 0, 0, 0.0, int(slot[s]), _pack(ctx[change]), _pack(menu.astype("<u4")), _pack((own & ((1 << _DISH) - 1)).astype("<u4")), _pack(doc[s:e].astype("<u4"))))
+            return rows_of(out)
+
+        for b in pieces(batches):
             out: list[tuple] = []
             for uid, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 tokens = tokens_of(text.as_py())
-                i = np.fromiter(map(place.get, tokens, repeat(-1)), np.int64, len(tokens))
+                i = v.ids(tokens)
                 known = i[i >= 0]
                 tail = Counter([tokens[x] for x in np.nonzero(i < 0)[0].tolist()])
-                dish = np.append(np.where((i >= 0) & (i < k), i, k), k + 1)
-                before = np.concatenate([[m + 1], np.where(dish[:-1] < m, dish[:-1], m)])
-                own = float(log_p[before, dish].astype(np.float64).sum()) + float(log_rare[known].sum())
                 base = float(log_c[known].sum()) + float(np.log10(ends + 1)) - lone * (len(tokens) + 1)
-                out.append((uid, key, None, len(tokens) + 1, len(known) + (ends > 0), base, own))
-                out += [(uid, None, w, x, 0, 0.0, 0.0) for w, x in tail.items()]
-            for at in range(0, len(out), 1 << 14):
-                cols = zip(*out[at : at + (1 << 14)], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+                nothing = (None,) * 5
+                out.append((uid, key, None, len(tokens) + 1, len(known) + (ends > 0), base, *nothing))
+                out += [(uid, None, w, x, 0, 0.0, *nothing) for w, x in tail.items()]
+                first = uid if first is None else first
+                held.append(v.pairs(tokens, i))
+                many += len(tokens) + 1
+                if many >= CHUNK:
+                    yield from pairs_out()
+                    held, many, first = [], 0, None
+            yield from rows_of(out)
+        if held:
+            yield from pairs_out()
 
-    kind = docs.schema[id_col].dataType
-    types, names = [pa.int64(), to_arrow_type(kind), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()], ["uid", "id", "w", "n", "known", "base", "own"]
-    batch_rows(spark)
     tagged = docs.select(F.monotonically_increasing_id().alias("uid"), id_col, F.col(text_col).cast("binary").alias("t"))
-    rows = materialise(tagged.mapInArrow(run, f"uid long, id {kind.simpleString()}, w binary, n long, known long, base double, own double"), "lm-rows")
-
-    batch_rows(spark, 1 << 14)
+    schema = f"uid long, id {kind.simpleString()}, w binary, n long, known long, base double, slot long, context binary, sizes binary, dish binary, docs binary"
+    rows = materialise(tagged.mapInArrow(run, schema), "lm-rows")
+
+    def meet(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        known = _sum_menus(theirs) if theirs.num_rows else None
+        uid, at, times, pairs = [], [], [], []
+        for first, *row in zip(*(mine.column(c) for c in ("uid", "context", "sizes", "dish", "docs")), strict=True):
+            ctx, sizes, dish, doc = (_unpack(x.as_py(), k) for x, k in zip(row, ("<i8", "<u4", "<u4", "<u4"), strict=True))
+            m = int(sizes[0])
+            pairs.append(np.repeat(ctx, sizes[1 : m + 1]) << _DISH | dish.astype(np.int64))
+            times.append(sizes[m + 1 :].astype(np.int64))
+            uid.append(first.as_py() + doc.astype(np.int64))
+        if not pairs:
+            return pa.table({"uid": pa.array([], pa.int64()), "lp": pa.array([], pa.float64())})
+        distinct, at = np.unique(np.concatenate(pairs), return_inverse=True)
+        lp = np.repeat(pair_log_p(distinct, known, roots.value, d)[at], np.concatenate(times))
+        texts, at = np.unique(np.concatenate(uid), return_inverse=True)
+        return pa.table({"uid": texts, "lp": np.bincount(at, lp, len(texts))})
+
+    first, parts = v.first[v.parts > 1], v.parts[v.parts > 1]
+    copies = F.col("slot")
+    if len(first):
+        number = dict(zip(first.tolist(), parts.tolist(), strict=True))
+        sizes = docs.sparkSession.createDataFrame(list(number.items()), "slot long, parts long")
+        there = model.restaurants.join(F.broadcast(sizes), "slot", "left")
+        copies = F.explode(F.sequence(F.col("slot"), F.col("slot") + F.coalesce("parts", F.lit(1)) - 1))
+    else:
+        there = model.restaurants
+    there = there.select(copies.alias("slot"), "context", "sizes", "dish", "n")
+    asked = rows.filter("slot is not null").select("slot", "uid", "context", "sizes", "dish", "docs")
+    own = asked.groupBy("slot").cogroup(there.groupBy("slot")).applyInArrow(meet, "uid long, lp double").groupBy("uid").agg(F.sum("lp").alias("own"))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c, h = b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64)
+            c, h = b.column(1).to_numpy(), b.column(2).to_numpy()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_rare_log_p(c, h, rare))], ["w", "c", "lp"])
 
-    floor = int(model.head_counts.min()) if len(model.head_counts) else 1 << 62
-    few = model.counts.filter((F.col("w") != END) & (F.col("c") < floor)).select("w", "c", F.xxhash64("w").alias("h")).mapInArrow(weigh, "w binary, c long, lp double")
-    unknown = float(_rare_log_p(np.zeros(1, np.int64), np.zeros(1, np.uint64), rare)[0])
+    few = _rare_words(model.counts, model.rare_from).select("w", "c", F.xxhash64("w").alias("h")).mapInArrow(weigh, "w binary, c long, lp double")
+    unknown = float(_rare_log_p(np.zeros(1, np.int64), np.zeros(1, np.int64), rare)[0])
     tail = rows.filter("w is not null").select("uid", "w", "n").join(few, "w", "left")
     sums = tail.groupBy("uid").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("tail_known"),
         F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))).alias("tail_base"),
         F.sum(F.col("n") * F.coalesce("lp", F.lit(unknown))).alias("tail_own"),
     )
-    whole = rows.filter("w is null").join(sums, "uid", "left")
-    own = F.col("own") + F.coalesce("tail_own", F.lit(0.0))
+    whole = rows.filter("w is null and slot is null").select("uid", "id", "n", "known", "base").join(sums, "uid", "left").join(own, "uid", "left")
+    score_ = F.col("own") + F.coalesce("tail_own", F.lit(0.0))
     return whole.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_tokens"),
         (F.col("known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("tail_base", F.lit(0.0))).alias("base_score"),
-        own.alias("score"),
-        F.pow(F.lit(10.0), -own / F.col("n")).alias("perplexity"),
+        score_.alias("score"),
+        F.pow(F.lit(10.0), -score_ / F.col("n")).alias("perplexity"),
     )
