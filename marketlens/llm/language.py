@@ -1,11 +1,14 @@
 """Language identification by compression: the language whose dictionary makes a text smallest is the text's.
 
-Each language's dictionary is raw zstandard content: openings of DOCS_PER_LANGUAGE labelled documents (a bounded sample,
-chosen by a hash of the id), PIECE bytes of each. Texts are lower-cased, reduced to letters, cut into pieces of CHUNK
-bytes and compressed whole, piece by piece, with every dictionary; the sizes are summed. The score is the margin, one
-minus the smallest size over the second smallest. Equal sizes go to the language with more training documents. Texts that
-are null or have no letters are `und` with score 0; so is everything if no label was learned from. Rows are judged one
-by one, so null, repeated and clashing rows and columns don't matter.
+Each language's dictionary is raw zstandard content: whole labelled texts, in the order of a hash of row and text, until
+DICTIONARY_BYTES of them are taken; a text that doesn't fit in what is left is passed over. It is a bounded sample of rows:
+DOCS_PER_LANGUAGE rows of a language at most, none longer than a dictionary unless the language has no other, in which
+case its shortest is taken whole. Dictionaries are made by the tasks that hold a language's sample. Texts are lower-cased, reduced to
+letters, cut into pieces of CHUNK bytes and compressed whole, piece by piece, with every dictionary; the sizes are summed. The
+score is the margin, one minus the smallest size over the second smallest. Equal sizes go to the language with more
+training documents. Texts that are null or have no letters are `und` with score 0; so is everything if no label was learned
+from. Rows are judged one by one, so null, repeated and clashing rows and columns don't matter. Every label is learned;
+more than MAX_LANGUAGES labels, whose dictionaries a task could not hold, are an error.
 """
 
 from __future__ import annotations
@@ -19,10 +22,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import batch_rows, materialise, without
+from marketlens.llm.common import kept_rows, materialise, pieces
 
-#: The sample's bound: documents of a language, bytes of each, and languages (the most frequent ones).
-DOCS_PER_LANGUAGE, PIECE, LANGUAGES = 800, 300, 128
+#: The sample's bound: rows of a language, and bytes of its dictionary; and how many languages tasks can hold.
+DOCS_PER_LANGUAGE, DICTIONARY_BYTES, MAX_LANGUAGES = 800, 256 << 10, 1024
 CHUNK, LEVEL = 4096, 3
 #: Below this margin a prediction counts as rejected.
 MIN_MARGIN = 0.01
@@ -45,46 +48,66 @@ class Model:
 def train(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learns from the rows of docs for which `where` holds and id, text and label are not null."""
     known = docs.filter(where & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    by_size = known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()
+    key, size = F.xxhash64(id_col, text_col), F.octet_length(text_col)
+    known = known.select(F.col(lang_col).alias("lang"), key.alias("key"), (size > DICTIONARY_BYTES).alias("long"), size.alias("size"), F.col(text_col).alias("text"))
+    by_size = known.groupBy("lang").agg(F.count("*").alias("n"), F.min("long").alias("long")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()
+    if len(by_size) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not by_size:
         return Model({})
-    # rows far beyond a language's quota of hashes can't be chosen; what is left of a language fits one task
-    bound = [(r[0], min(1.0, 4 * DOCS_PER_LANGUAGE / r[1])) for r in by_size]
-    bounds = F.broadcast(docs.sparkSession.createDataFrame(bound, f"`{lang_col}` string, _share double"))
-    place = (F.xxhash64(id_col) / F.lit(2.0**64)) + 0.5
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    near = known.select(id_col, lang_col).join(bounds, lang_col).filter(place <= F.col("_share"))
-    chosen = near.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= DOCS_PER_LANGUAGE)
-    chosen = materialise(chosen.select(id_col).distinct(), "language-sample")  # at most LANGUAGES * DOCS_PER_LANGUAGE ids
-    texts = known.join(F.broadcast(chosen), id_col).select(id_col, lang_col, F.substring(text_col, 1, 4 * PIECE).alias("t"))
-    pieces: dict[str, list[bytes]] = {r[0]: [] for r in by_size}
-    for r in sorted(texts.collect(), key=lambda r: (r[0], r[1], r[2])):
-        if r[1] in pieces:
-            pieces[r[1]].append(normalise(r[2])[:PIECE])
-    return Model({lang: b"\n".join(p[:DOCS_PER_LANGUAGE]) for lang, p in pieces.items()})
+    # of a large language only rows with hashes low enough to be chosen are sorted at all
+    shares = [(r.lang, r.long, 1.0 if r.long else min(1.0, 4 * DOCS_PER_LANGUAGE / r.n)) for r in by_size]
+    bounds = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, only_long boolean, share double"))
+    place = (F.col("key") / F.lit(2.0**64)) + 0.5
+    near = known.join(bounds, "lang").filter((F.col("long") == F.col("only_long")) & (place <= F.col("share")))
+    order = Window.partitionBy("lang").orderBy(F.when(F.col("only_long"), F.col("size")), "key")
+    most = F.when(F.col("only_long"), 1).otherwise(DOCS_PER_LANGUAGE)
+    ranked = near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= DOCS_PER_LANGUAGE).filter(F.col("place") <= most)
+
+    def fill(rows: pa.Table) -> pa.Table:
+        content, left = [], DICTIONARY_BYTES
+        for text in rows.sort_by("place").column("text"):
+            data = normalise(text.as_py())
+            if len(data) < left or not content:
+                content.append(data)
+                left -= len(data) + 1
+        return pa.table({"lang": rows.column("lang").slice(0, 1), "content": pa.array([b"\n".join(content)], pa.binary())})
+
+    made = ranked.select("lang", "place", "text").groupBy("lang").applyInArrow(fill, "lang string, content binary")
+    found = {r.lang: bytes(r.content) for r in materialise(made, "language-dictionaries").collect()}  # MAX_LANGUAGES at most
+    return Model({r.lang: found[r.lang] for r in by_size if r.lang in found})
+
+
+class _Judge:
+    """Holds the dictionaries ready for use."""
+
+    def __init__(self, dictionaries: dict[str, bytes]):
+        self.langs, self.coders = list(dictionaries), []
+        for content in dictionaries.values():
+            d = zstandard.ZstdCompressionDict(content or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=LEVEL)
+            self.coders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False))
+
+    def sizes(self, text: str) -> list[int]:
+        """Of the compressed text, by language."""
+        data = normalise(text)
+        parts = [data[at : at + CHUNK] for at in range(0, len(data), CHUNK)]
+        return [sum(len(c.compress(p)) for p in parts) for c in self.coders]
+
+    def __call__(self, text: str | None) -> tuple[str, float]:
+        if not self.langs or not text or not LETTER.search(text):
+            return "und", 0.0
+        best = sorted((size, k) for k, size in enumerate(self.sizes(text)))
+        return self.langs[best[0][1]], 1 - best[0][0] / best[1][0] if len(best) > 1 else 1.0
 
 
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
     """One row per row of docs: id, lang_pred, score, rejected (no letters, or a margin under min_margin)."""
-    batch_rows(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model.dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, coders = list(shared.value), []
-        for content in shared.value.values():
-            d = zstandard.ZstdCompressionDict(content or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            coders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False))
-
-        def judge(text: str | None) -> tuple[str, float]:
-            if not langs or not text or not LETTER.search(text):
-                return "und", 0.0
-            data = normalise(text)
-            parts = [data[at : at + CHUNK] for at in range(0, len(data), CHUNK)]
-            sizes = sorted((sum(len(c.compress(p)) for p in parts), k) for k, c in enumerate(coders))
-            return langs[sizes[0][1]], 1 - sizes[0][0] / sizes[1][0] if len(sizes) > 1 else 1.0
-
-        for b in batches:
+        judge = _Judge(shared.value)
+        for b in pieces(batches):
             found = [judge(x.as_py()) for x in b.column(1)]
             lang, score = pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())
             rejected = pa.array([f[0] == "und" or f[1] < min_margin for f in found], pa.bool_())
@@ -94,7 +117,14 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean")
 
 
-def drop_rejected(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that classify() rejects; rows with a null id stay."""
-    found = classify(docs, model, id_col, text_col).filter("rejected").select(id_col).distinct()
-    return without(docs, materialise(found, "language-rejected"), id_col)
+def drop_rejected(docs: DataFrame, model: Model, text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
+    """docs without the rows that classify() rejects, decided row by row where they lie."""
+    shared, judges = docs.sparkSession.sparkContext.broadcast(model.dictionaries), []
+
+    def keep(b: pa.RecordBatch) -> list[bool]:
+        if not judges:
+            judges.append(_Judge(shared.value))
+        found = [judges[0](x.as_py()) for x in b.column(0)]
+        return [lang != "und" and score >= min_margin for lang, score in found]
+
+    return kept_rows(docs, [text_col], keep)

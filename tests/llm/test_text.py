@@ -2,13 +2,15 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
-from marketlens.llm import decontamination, language, pitman_yor, quality
+from marketlens.llm import decontamination, language, quality
 
 SCHEMA = "doc_id long, text string, lang string, w string, uid int, score int"
 
@@ -42,6 +44,44 @@ def test_language(spark):
     assert {900, 901, 902}.isdisjoint(r.doc_id for r in left.collect()) and left.columns == SCHEMA.replace(",", "").split()[::2]
 
 
+def test_languages_by_brute_force(spark, monkeypatch):
+    """Dictionaries by the docstring, and compressed sizes, in plain Python."""
+    monkeypatch.setattr(language, "DICTIONARY_BYTES", 900)
+    monkeypatch.setattr(language, "DOCS_PER_LANGUAGE", 5)
+    rng = random.Random(11)
+    train = [*corpus(rng, 60), (5, "the ing er and", "aa"), (5, "quite another text", "aa"), (7, "que os " * 400, "cc"), (8, "que ll " * 300, "cc"), *[(9, "theow again", "aa")] * 30]
+    keys = {(r.doc_id, r.text): r.h for r in docs(spark, train).withColumn("h", F.xxhash64("doc_id", "text")).collect()}
+    want = {}
+    for lang in ("aa", "bb", "cc"):
+        mine = [(k, t) for k, t, x in train if x == lang]
+        fit = [x for x in mine if len(x[1].encode()) <= 900]
+        share = min(1.0, 20 / len(mine))
+        near = sorted((x for x in fit if keys[x] / 2.0**64 + 0.5 <= share), key=lambda x: keys[x])[:5]
+        parts, left = [], 900
+        for x in near or sorted(mine, key=lambda x: (len(x[1].encode()), keys[x]))[:1]:
+            data = language.normalise(x[1])
+            if len(data) < left or not parts:
+                parts.append(data)
+                left -= len(data) + 1
+        want[lang] = b"\n".join(parts)
+    model = language.train(docs(spark, train), F.lit(True))
+    assert model.dictionaries == want and list(want) == ["aa", "bb", "cc"]
+    test = [(k, t, None) for k, (_, t, _) in enumerate(corpus(rng, 30))] + [(40, "que the " * 900 + sentences(rng, A, 2000), None)]
+    for r in language.classify(docs(spark, test), model).collect():
+        text = next(t for k, t, _ in test if k == r.doc_id)
+        data, sizes = language.normalise(text), []
+        for lang, content in want.items():
+            dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            dictionary.precompute_compress(level=3)
+            coder = zstandard.ZstdCompressor(level=3, dict_data=dictionary, write_content_size=False)
+            sizes.append((sum(len(coder.compress(data[at : at + language.CHUNK])) for at in range(0, len(data), language.CHUNK)), len(sizes), lang))
+        low, second = sorted(sizes)[:2]
+        assert (r.lang_pred, r.score) == (low[2], pytest.approx(1 - low[0] / second[0]))
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        language.train(docs(spark, train), F.lit(True))
+
+
 def test_language_without_labels(spark):
     model = language.train(docs(spark, [(1, "text", None)]), F.lit(True))
     assert [r.lang_pred for r in language.classify(docs(spark, [(1, "text", None)]), model).collect()] == ["und"]
@@ -68,9 +108,9 @@ def slow_tiles(a, b, width):
 
 def test_tiles_cover_as_much_as_the_slow_way():
     rng = random.Random(4)
-    for _ in range(60):
-        a, b = ([rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(5, 40))] for _ in range(2))
-        got = decontamination.tiles(a, b, decontamination.run_hashes(a), decontamination.run_hashes(b))
+    for k in range(66):
+        a, b = ([rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(5, 40 if k < 60 else 150))] for _ in range(2))
+        got = decontamination.tiles(a, b)
         used_a, used_b = Counter(), Counter()
         for x, y, n in got:
             assert a[x : x + n] == b[y : y + n] and n >= 5
@@ -80,6 +120,18 @@ def test_tiles_cover_as_much_as_the_slow_way():
         assert sum(n for _, _, n in got) == slow_tiles(a, b, 5)
 
 
+def test_tiles_of_one_repeated_word():
+    tracemalloc.start()
+    assert decontamination.tiles([b"x"] * 200_000, [b"x"] * 1000) == [(0, 0, 1000)]
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+    assert decontamination.tiles([b"a"], [b"a"]) == [(0, 0, 1)] and decontamination.tiles([], [b"a"]) == decontamination.tiles([b"a"], []) == []
+
+
+def test_words_are_parted_by_any_punctuation():
+    assert decontamination.words_of("\u201cHello\u201d\u00a0wor\u00adld\u2014Caf\u00e9_1 \u4f60\u597d\u3002x") == ["hello".encode(), b"wor", b"ld", "café".encode(), b"1", "你好".encode(), b"x"]
+
+
 def test_hashes_of_long_texts(monkeypatch):
     rng = random.Random(5)
     words = [str(rng.randrange(50)).encode() * rng.randint(1, 9) for _ in range(3000)]
@@ -98,16 +150,16 @@ def test_contamination(spark):
     rng = random.Random(6)
     item = [f"w{rng.randrange(10**6)}" for _ in range(30)]
     noise = [f"n{k}" for k in range(400)]
-    bench = spark.createDataFrame([(1, " ".join(item), 0), (2, None, 0), (3, "too few words", 0), (1, " ".join(item), 0), (None, "null id but words enough here", 0)], "item_id long, text string, doc_id int")
+    bench = spark.createDataFrame([(1, " ".join(item), 0), (2, None, 0), (3, "too few words", 0), (4, "Alone!", 0), (5, "?", 0), (1, " ".join(item), 0), (None, "null id but words enough here", 0)], "item_id long, text string, doc_id int")
     texts = [
         (10, " ".join(noise[:50] + item + noise[50:]), None), (11, " ".join(noise[:9] + item[15:] + noise[9:20] + item[:15]), None), (12, ", ".join(item).upper() + "!", None), (13, " ".join(item[:14] + noise), None),
-        (14, " ".join(noise), None), (15, None, None), (16, "", None), (17, "too few words", None), (18, "a null id, but words enough here; null id but words enough here", None), (None, " ".join(item), None),
+        (14, " ".join(noise), None), (15, None, None), (16, "", None), (17, "it has too \u201cfew\u201d words", None), (19, "few too words", None), (20, "not alone", None), (18, "a null id, but words enough here; null id but words enough here", None), (None, " ".join(item), None),
     ]
     rows = decontamination.contamination(docs(spark, texts), bench).collect()
-    assert sorted((r.doc_id or -1, r.item_id, r.coverage, r.n_tiles) for r in rows if r.item_id) == [(-1, 1, 1.0, 1), (10, 1, 1.0, 1), (11, 1, 1.0, 2), (12, 1, 1.0, 1)]
+    assert sorted((r.doc_id or -1, r.item_id, r.coverage, r.n_tiles) for r in rows if r.item_id) == [(-1, 1, 1.0, 1), (10, 1, 1.0, 1), (11, 1, 1.0, 2), (12, 1, 1.0, 1), (17, 3, 1.0, 1), (20, 4, 1.0, 1)]
     assert [r.doc_id for r in rows if r.item_id is None] == [18]
     left = decontamination.drop_contaminated(docs(spark, texts), bench)
-    assert sorted((r.doc_id or -1) for r in left.collect()) == [-1, 13, 14, 15, 16, 17]
+    assert sorted((r.doc_id or -1) for r in left.collect()) == [13, 14, 15, 16, 19]
     assert decontamination.contamination(docs(spark, texts), bench.filter("false")).count() == 0
 
 
@@ -173,49 +225,26 @@ def test_quality_stage(spark):
     assert quality.classify(docs(spark, bad), docs(spark, [])).count() == 20
 
 
-def test_seats():
-    """Tables follow the restaurant process: their mean is that of one-by-one seating."""
-    n, pull, d = 40, 2.0, 0.5
-    got = pitman_yor.seat(np.full(4000, n), np.full(4000, pull), d, np.arange(4000).astype(np.uint64), 3)
-    rng, means = random.Random(9), []
-    for _ in range(4000):
-        t = 1
-        for k in range(1, n):
-            t += rng.random() < pull / (pull + k - d * t)
-        means.append(t)
-    assert got.mean() == pytest.approx(np.mean(means), rel=0.03) and got.min() >= 1 and got.max() <= n
-    assert pitman_yor.seat(np.array([0, 1, 10**9]), np.full(3, 1.0), 0.5, np.arange(3).astype(np.uint64), 0)[:2].tolist() == [0, 1]
-
-
-def test_scores(spark, monkeypatch):
-    monkeypatch.setattr(pitman_yor, "CLASSES", 12)
-    monkeypatch.setattr(pitman_yor, "CONTEXTS", 5)
-    monkeypatch.setattr(pitman_yor, "HEAD", 30)
-    rng = random.Random(10)
-    train = [(k, sentences(rng, A, 60), None) for k in range(50)]
-    test = [(900, sentences(rng, A, 50), None), (901, "zzz qqq zzz", None), (902, None, None), (903, "", None), (None, "The THE the", None), (900, "and", None)]
-    model = pitman_yor.train(docs(spark, train))
-    rows = pitman_yor.score(docs(spark, test), model).collect()
-    counts = Counter(w for _, t, _ in train for w in [*t.split(), None])
-    n, v = sum(counts.values()), len(counts)
-    want = sorted((len((t or "").split()) + 1, sum(counts[w] > 0 for w in [*(t or "").lower().split(), None]), round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in [*(t or "").lower().split(), None]), 6)) for _, t, _ in test)
-    assert sorted((r.n_tokens, r.n_known, round(r.base_score, 6)) for r in rows) == want and {r.train_tokens for r in rows} == {n}
-    assert all(r.score < 0 for r in rows)
-    assert max(r.score - r.base_score for r in rows if r.n_tokens > 40) > 0
-
-    # the model's distribution after each context sums to one over all words and the unknown one
-    words = [(k, w, None) for k, w in enumerate([w for w in counts if w] + ["unknown"])]
-    one = {r.doc_id: r for r in pitman_yor.score(docs(spark, words), model).collect()}
-    empty = pitman_yor.score(docs(spark, [(1, "", None)]), model).first().score
-    last = {w: model.log_p[min(model.words.index(w.encode()), model.contexts) if w.encode() in model.words[: model.classes] else model.contexts, model.classes + 1] for _, w, _ in words}
-    total = sum(10 ** (one[k].score - last[w]) for k, w, _ in words) + 10**empty
-    assert total == pytest.approx(1, abs=0.01)
-
-
-def test_scores_without_training(spark):
-    model = pitman_yor.train(docs(spark, []))
-    rows = pitman_yor.score(docs(spark, [(1, "a b", None), (2, None, None)]), model).collect()
-    assert {(r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in rows} == {(3, 0, 0, 0.0), (1, 0, 0, 0.0)} and all(math.isfinite(r.score) for r in rows)
+def test_limits_by_brute_force(spark, monkeypatch):
+    """Quantiles of held-out trusted documents by language, and what they keep."""
+    monkeypatch.setattr(quality, "MIN_TRUSTED", 10)
+    rng = random.Random(12)
+    rows = [(k, sentences(rng, A, rng.randint(1, 60)), ["aa", "bb", None, "rare"][min(3, k % 4 if k % 40 else 3)]) for k in range(400)]
+    found = quality.classify(docs(spark, rows), docs(spark, rows[:300]), quantile=0.9).collect()
+    held = {r.doc_id for r in docs(spark, rows[:300]).filter(f"pmod(xxhash64(doc_id), {quality.HELD_OUT}) = 0").collect()}
+    by = defaultdict(list)
+    for r in found:
+        if r.doc_id in held:
+            by[r.lang or ""].append(r.perplexity)
+
+    def at(values):
+        return sorted(values)[max(0, math.ceil(0.9 * len(values)) - 1)]
+
+    general = at([x for some in by.values() for x in some])
+    for r in found:
+        own = by[r.lang or ""]
+        assert r.limit == pytest.approx(at(own) if len(own) >= 10 else general)
+        assert r.kept == (r.perplexity <= r.limit)
 
 
 def test_a_very_long_trusted_text_does_not_end_the_sample(spark, monkeypatch):
