@@ -1,36 +1,52 @@
 """Mixture-controlled packing: deficit round-robin over source queues, laid out on one line of tokens.
 
-Each source is a queue of documents. In a round of `window` tokens a queue's deficit counter is credited its share of
-the window, it serves as many whole tokens as the counter holds, and the rest is carried to the next round. After m
-rounds a queue with weight w of W has so served floor(m * window * w / W) tokens, which no earlier round needs to be run
-for: a token's round, and the place in the line at which the round begins, follow from its position in the queue. When
-a queue runs out, the others share its part from the next round on; there are at most as many such phases as queues.
-Rounds follow each other on one line of tokens that is cut every `length` tokens, so only the last sequence is padded.
-
-Positions in the queues are prefix sums in two levels, over blocks of a queue and within a block, of about sqrt(rows)
-rows each, so a hot source is spread. Weights are each source's share of all tokens unless given. A null text is empty
-(the end id alone), a null source is a queue of its own, rows with null or repeated ids are packed like any others.
-Past MAX_QUEUES sources, sources share queues by hash.
+Each source is a queue of documents. In a round of `window` tokens (a sequence's length) a queue's deficit counter is
+credited its share of the window, it serves as many whole tokens as the counter holds, and the rest is carried to the
+next round. Counters start at different fractions of a token, so that many small queues don't serve in the same rounds.
+After m rounds a queue with weight w of W has so served floor(m * window * w / W + fraction) tokens, which no earlier
+round needs to be run for: a token's round, and the place in the line at which the round begins, follow from its position
+in the queue. When a queue runs out, the others share its part from the next round on; there are at most as many such
+phases as queues. Rounds follow each other on one line of tokens that is cut every `length` tokens, so only the last
+sequence is padded, and every sequence holds its sources in proportion, to a token or so each.
+
+Texts are turned into ids once, and cut where the ids lie: a position in a queue is that in the task's part of the queue,
+counted while the task reads, and the tokens of the parts before, a small table by queue and part. No ids are shuffled.
+Weights are each source's share of all tokens unless given. Every source with a given share has a queue of its own, and so
+have the QUEUES sources with most rows; sources beyond that take turns in MERGED queues by a hash of their name, each of
+which gets the shares of its sources in all.
+
+A null text is empty (the end id alone), a null source is a queue of its own, rows with null or repeated ids are packed
+like any others, other columns are not read.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import batch_rows, materialise
+from marketlens.llm.common import look_up, materialise, pieces
 from marketlens.llm.tokens import tokenizer
 
-LENGTH, END_ID, MAX_QUEUES, UNITS = 2048, 1, 1024, 1 << 16
-#: Tokens of a round, in which each source has its share.
-WINDOW = 32 * LENGTH
+LENGTH, END_ID = 2048, 1
+#: Sources with queues of their own, besides those with given shares, and queues that all other sources share.
+QUEUES, MERGED = 1024, 64
+
+
+def units_of(totals: list[int], weights: list[float]) -> list[int]:
+    """Weights as whole numbers above zero, as fine as 64 bits allow for so many tokens."""
+    fine = min(1 << 24, (1 << 61) // max(1, sum(totals)))
+    return [max(1, round(w * fine / (sum(weights) or 1))) for w in weights]
+
+
+def credits_of(queues: int, whole: int) -> list[int]:
+    """What deficit counters start with, in parts of a token of which `whole` are one: evenly spread fractions."""
+    return [int((j * 0.6180339887498949) % 1 * whole) for j in range(queues)]
 
 
 @dataclass
@@ -41,6 +57,7 @@ class Phase:
     last: int
     base: np.ndarray
     weights: np.ndarray
+    credit: np.ndarray
 
 
 class Schedule:
@@ -48,95 +65,115 @@ class Schedule:
 
     def __init__(self, totals: list[int], weights: list[float], window: int):
         self.totals, self.window = np.array(totals, np.int64), window
-        units = [max(1, round(w * UNITS / sum(weights))) for w in weights] if weights else []
+        units = units_of(totals, weights)
         base, first = [0] * len(totals), 0
         self.phases: list[Phase] = []
         while left := [j for j, t in enumerate(totals) if t > base[j]]:
             whole = sum(units[j] for j in left)
-            last = first + min(-(-(totals[j] - base[j]) * whole // (window * units[j])) for j in left)
+            credit = credits_of(len(totals), whole)
+            last = first + min(-(((totals[j] - base[j]) * whole - credit[j]) // -(window * units[j])) for j in left)
             on = set(left)
-            self.phases.append(Phase(first, last, np.array(base, np.int64), np.array([u if j in on else 0 for j, u in enumerate(units)], np.int64)))
-            base, first = self.served(last).tolist(), last
-
-    def served(self, r: int) -> np.ndarray:
-        """Tokens of each queue that rounds 1 to r have served."""
-        p = next((p for p in self.phases if r <= p.last), self.phases[-1])
-        return np.minimum(self.totals, p.base + (r - p.first) * self.window * p.weights // p.weights.sum())
-
-    def round_of(self, j: int, x: int) -> int:
-        """The round that serves token x of queue j."""
-        for p, after in zip(self.phases, [*(q.base[j] for q in self.phases[1:]), self.totals[j]], strict=True):
-            if x < after:
-                return p.first - int(-(x - int(p.base[j]) + 1) * int(p.weights.sum()) // (self.window * int(p.weights[j])))
-        raise IndexError(x)
-
-    def pieces(self, j: int, start: int, n: int, length: int) -> Iterator[tuple[int, int, int, int]]:
-        """(offset in the document, tokens, sequence, offset there) of the n tokens of queue j from start on."""
-        x = start
-        while x < start + n:
-            r = self.round_of(j, x)
-            before, after = self.served(r - 1), self.served(r)
-            line = int(before.sum() + (after[:j] - before[:j]).sum()) + x - int(before[j])
-            take = min(start + n, int(after[j])) - x
-            while take > 0:
-                part = min(take, length - line % length)
-                yield x - start, part, line // length, line % length
-                x, line, take = x + part, line + part, take - part
-
-
-def tokenised(docs: DataFrame, vocabulary: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """uid (unique), id, source, n_tokens, ids (little-endian, as narrow as the vocabulary allows); written once."""
-    batch_rows(docs.sparkSession)
+            weights_ = np.array([u if j in on else 0 for j, u in enumerate(units)], np.int64)
+            self.phases.append(Phase(first, last, np.array(base, np.int64), weights_, np.where(weights_ > 0, credit, 0)))
+            base, first = self._served(self.phases[-1], np.array([last]))[0].tolist(), last
+
+    def _served(self, p: Phase, rounds: np.ndarray) -> np.ndarray:
+        """Tokens of each queue that rounds 1 to r have served, for rounds r of a phase: rounds by queues."""
+        return np.minimum(self.totals, p.base + ((rounds - p.first)[:, None] * self.window * p.weights + p.credit) // p.weights.sum())
+
+    def pieces(self, queue: np.ndarray, start: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+        """Cuts runs of tokens (queue, start in it, number): the run, offset in it, tokens, sequence, offset there, of each piece in turn."""
+        found: list[tuple[np.ndarray, ...]] = []
+        for k, p in enumerate(self.phases):
+            after = self.phases[k + 1].base if k + 1 < len(self.phases) else self.totals
+            low, high = np.maximum(start, p.base[queue]), np.minimum(start + n, after[queue])
+            run = np.nonzero(low < high)[0]
+            if not len(run):
+                continue
+            j, low, high = queue[run], low[run], high[run]
+            step, whole = self.window * p.weights[j], int(p.weights.sum())
+            r0, r1 = (p.first - (p.credit[j] - (x - p.base[j] + 1) * whole) // step for x in (low, high - 1))  # the rounds that serve the first and the last token
+            many = r1 - r0 + 1
+            at = np.repeat(np.arange(len(run)), many)
+            r = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many) + r0[at]
+            rounds, which = np.unique(r, return_inverse=True)
+            for s in range(0, len(rounds), 4096):  # a bounded table of rounds by queues at a time
+                here = np.nonzero((which >= s) & (which < s + 4096))[0]
+                then, now = self._served(p, rounds[s : s + 4096] - 1), self._served(p, rounds[s : s + 4096])
+                line = then.sum(axis=1)[:, None] + np.cumsum(now - then, axis=1) - (now - then)  # where a queue's part of a round begins
+                i, q = which[here] - s, j[at[here]]
+                x, end = np.maximum(low[at[here]], then[i, q]), np.minimum(high[at[here]], now[i, q])
+                found.append((run[at[here]], x, end - x, line[i, q] + x - then[i, q]))
+        run, x, size, line = (np.concatenate([np.empty(0, np.int64), *c]) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 4
+        keep = size > 0
+        run, x, size, line = run[keep], x[keep], size[keep], line[keep]
+        many = (line + size - 1) // length - line // length + 1
+        at = np.repeat(np.arange(len(run)), many)
+        seq = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many) + (line // length)[at]
+        a, z = np.maximum(line[at], seq * length), np.minimum(line[at] + size[at], (seq + 1) * length)
+        order = np.lexsort((a, run[at]))
+        out = run[at], x[at] + a - line[at] - start[run[at]], z - a, seq, a - seq * length
+        return tuple(c[order] for c in out)
+
+
+def tokenised(docs: DataFrame, vocabulary: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", queue: Column | None = None) -> DataFrame:
+    """id, queue, part, before (tokens of the queue that the part has before), n_tokens, ids (little-endian, as narrow as the vocabulary allows); written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(vocabulary)
+        t, seen = tokenizer(vocabulary), {}
         end = np.array([end_id], t.wide)
-        for b in batches:
-            ids = [np.concatenate([t.encode(x.as_py() or ""), end]) for x in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([x.dtype.itemsize for x in ids], pa.int32())], ["id", "source", "n_tokens", "ids", "wide"])
+        for b in pieces(batches):
+            ids = [np.concatenate([t.encode(x.as_py() or ""), end]) for x in b.column(3)]
+            before = []
+            for q, x in zip(b.column(1).to_pylist(), ids, strict=True):
+                before.append(seen.get(q, 0))
+                seen[q] = before[-1] + len(x)
+            cols = [*b.columns[:3], pa.array(before, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([x.dtype.itemsize for x in ids], pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "queue", "part", "before", "n_tokens", "ids", "wide"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(run, "id long, source string, n_tokens long, ids binary, wide int")
-    return materialise(out.withColumn("uid", F.monotonically_increasing_id()), "packing-tokens")
+    queue = F.lit(0) if queue is None else queue
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), queue.cast("int").alias("queue"), F.spark_partition_id().alias("part"), F.col(text_col).alias("text"))
+    return materialise(rows.mapInArrow(run, "id long, queue int, part int, before long, n_tokens long, ids binary, wide int"), "packing-tokens")
 
 
-def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, window: int = WINDOW, shares: Mapping[str, float] | None = None, end_id: int = END_ID, with_ids: bool = False, **cols: str) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, window: int | None = None, shares: Mapping[str, float] | None = None, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Pieces of documents in sequences: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for.
 
-    shares: target token proportions by source, for all sources that are to have other than their natural share.
+    shares: target token proportions of some sources, one in all at most; the others divide the rest as they divide their tokens.
     """
-    id_col = cols.get("id_col", "doc_id")
-    tokens = tokenised(docs, vocabulary, end_id, **cols)
-    queue = F.coalesce(F.col("source"), F.lit(""))
-    if tokens.select(queue).distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
-        queue = F.pmod(F.xxhash64(queue), F.lit(MAX_QUEUES)).cast("string")
-    queue = F.concat(F.when(F.col("source").isNull(), "-").otherwise("+"), queue)
-    totals = {r.q: (r.t, r.n) for r in tokens.groupBy(queue.alias("q")).agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).collect()}
-    names, rows = sorted(totals), sum(n for _, n in totals.values())
-    whole = sum(t for t, _ in totals.values())
-    plan = Schedule([totals[q][0] for q in names], [(shares or {}).get(q[1:], totals[q][0] / whole) for q in names], window)
-    number = {q: j for j, q in enumerate(names)}
-
-    many = max(1, math.isqrt(rows))
-    small = tokens.select("uid", "id", "n_tokens", queue.alias("q"), F.pmod(F.xxhash64(F.coalesce("id", "uid")), F.lit(many)).alias("block"))
-    sums = small.groupBy("q", "block").agg(F.sum("n_tokens").alias("in_block"))
-    earlier = (Window.unboundedPreceding, -1)
-    bases = sums.select("q", "block", F.coalesce(F.sum("in_block").over(Window.partitionBy("q").orderBy("block").rowsBetween(*earlier)), F.lit(0)).alias("base"))
-    within = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("q", "block").orderBy("id", "uid").rowsBetween(*earlier)), F.lit(0))
-    places = small.withColumn("within", within).join(bases, ["q", "block"]).select("uid", "q", (F.col("base") + F.col("within")).alias("place"))
+    if sum((shares or {}).values()) > 1 + 1e-9 or min((shares or {}).values(), default=1) <= 0:
+        raise ValueError("shares must be above zero, and one in all at most")
+    shares, source = dict(shares or {}), F.col(source_col).cast("string")
+    spark = docs.sparkSession
+    rows = docs.groupBy(source.alias("s")).agg(F.count("*").alias("n"))
+    largest = [r.s for r in rows.orderBy(F.desc("n"), F.asc_nulls_first("s")).limit(QUEUES).collect()]
+    own = [*largest, *sorted(set(shares) - set(largest))]
+    numbers = F.broadcast(spark.createDataFrame(list(enumerate(own)), "_queue int, _source string"))
+    named = docs.select(F.col(id_col).alias("_id"), source.alias("_s"), F.col(text_col).alias("_text")).join(numbers, F.col("_s").eqNullSafe(F.col("_source")), "left")
+    merged = F.pmod(F.xxhash64("_s"), F.lit(MERGED)) + len(own)
+    tokens = tokenised(named, vocabulary, end_id, "_id", "_text", F.coalesce("_queue", merged))
+
+    parts = materialise(tokens.groupBy("queue", "part").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("w")), "packing-parts")
+    sums = {r.queue: r.t for r in parts.groupBy("queue").agg(F.sum("t").alias("t")).collect()}  # as many as queues
+    totals = [sums.get(q, 0) for q in range(len(own) + MERGED)]
+    given = {q: shares[s] for q, s in enumerate(own) if s in shares}
+    natural = max(1, sum(t for q, t in enumerate(totals) if q not in given))
+    weights = [given.get(q, max(1e-12, 1 - sum(given.values())) * t / natural) for q, t in enumerate(totals)]
+    plan = Schedule(totals, weights, window or length)
+    earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.select("queue", "part", "w", F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("base"))
+    placed = look_up(tokens, materialise(bases, "packing-bases"), ["queue", "part"], "w", tokens.count(), F.col("id"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            for doc, q, place, n, ids, wide in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                ids = np.frombuffer(ids, f"<u{wide}").astype("<u4")
-                for at, part, seq, offset in plan.pieces(number[q], place, n, length):
-                    data = ids[at : at + part].tobytes()
-                    out.append((doc, at, part, zlib.crc32(data), n, seq, offset, data if with_ids else None))
-            cols_ = list(zip(*out, strict=True)) or [()] * 8
-            arrays = [pa.array(c, pa.int64()) for c in cols_[:7]] + [pa.array(cols_[7], pa.binary())] * with_ids
-            yield pa.RecordBatch.from_arrays(arrays, fields)
+        for b in pieces(batches):
+            ids = [np.frombuffer(x, f"<u{w}").astype("<u4") for x, w in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
+            n = b.column(3).to_numpy()
+            run, at, size, seq, offset = plan.pieces(b.column(1).to_numpy().astype(np.int64), b.column(2).to_numpy(), n, length)
+            data = [ids[k][s : s + m].tobytes() for k, s, m in zip(run.tolist(), at.tolist(), size.tolist(), strict=True)]
+            crc = pa.array(map(zlib.crc32, data), pa.int64())
+            cols = [b.column(0).take(pa.array(run)), *map(pa.array, (at, size)), crc, *map(pa.array, (n[run], seq, offset)), *([pa.array(data, pa.binary())] if with_ids else [])]
+            yield pa.RecordBatch.from_arrays(cols, fields)
 
     fields = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
     schema = ", ".join(f"`{c}` {'binary' if c == 'ids' else 'long'}" for c in fields)
-    return places.join(tokens, "uid").select("id", "q", "place", "n_tokens", "ids", "wide").mapInArrow(cut, schema)
+    return placed.select("id", "queue", (F.col("base") + F.col("before")).alias("place"), "n_tokens", "ids", "wide").mapInArrow(cut, schema)

@@ -3,11 +3,13 @@
 The tokenizer read here drops white space, lower-cases, and never joins characters across white space, so the ids of a
 text are those of its words in turn. Words repeat far more than texts do: each worker process keeps the ids of up to twice
 CACHE words, from one task to the next; when CACHE words are new, those not met since the last time are forgotten. Words of ASCII and Latin-1 letters go straight to the vocabulary's merge model; any other word, and any text with
-the four control characters that Python alone takes for white space, goes through the whole tokenizer.
+the four control characters that Python alone takes for white space, goes through the whole tokenizer. So does every
+text if the vocabulary's file names another normaliser, pre-tokenizer or model than those this rests on.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
 from itertools import chain, repeat
@@ -21,6 +23,22 @@ CACHE = 500_000
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: The parts of a tokenizer's file for which a text's ids are those of its words.
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def by_words(settings: dict) -> bool:
+    """Whether a tokenizer's settings are those known here."""
+    return all(settings[k] == v for k, v in KNOWN.items()) and settings["model"]["type"] == "BPE" and not settings["model"]["dropout"]
 
 
 def _byte_letters() -> str:
@@ -59,6 +77,7 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         self.full = Tokenizer.from_file(path)
+        self.by_words = by_words(json.loads(self.full.to_str()))
         self.model, self.letters = self.full.model, _byte_letters()
         self.specials = [t.content for t in self.full.get_added_tokens_decoder().values()]
         self.wide = np.uint16 if self.full.get_vocab_size() <= 1 << 16 else np.uint32
@@ -96,7 +115,7 @@ class WordTokenizer:
         return self.now.pool[shift + np.arange(len(shift))]
 
     def encode(self, text: str) -> np.ndarray:
-        if ODD_SPACE.search(text):
+        if not self.by_words or ODD_SPACE.search(text):
             return np.array(self.full.encode(text, add_special_tokens=False).ids, self.wide)
         if "<|" not in text and "\u03a3" not in text:  # but for a capital sigma, whose lower case depends on its place
             text = text.lower()

@@ -1,5 +1,6 @@
 """Tokens equal the library's, pieces tile documents and sequences, windows hold the sources' shares."""
 
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -41,31 +42,32 @@ def slow_schedule(totals, units, window):
         m = len(rounds) + 1 - credit[1]
         served = [0] * len(totals)
         for j in on:
-            upto = min(totals[j], credit[2][j] + m * window * units[j] // whole)
+            upto = min(totals[j], credit[2][j] + (m * window * units[j] + packing.credits_of(len(totals), whole)[j]) // whole)
             served[j] = upto - (totals[j] - left[j])
             left[j] = totals[j] - upto
         rounds.append(served)
     return rounds
 
 
-@pytest.mark.parametrize("totals", [[1000, 10, 333], [5], [1, 1, 1], [700, 700], [10_000, 1, 77, 4000]])
+@pytest.mark.parametrize("totals", [[1000, 10, 333], [5], [1, 1, 1], [700, 700], [10_000, 1, 77, 4000], [0, 3, 0, 900]])
 def test_schedule(totals):
     shares = [t / sum(totals) for t in totals]
     for weights in (shares, [1.0] * len(totals)):
         plan = packing.Schedule(totals, weights, 64)
-        units = [max(1, round(w * packing.UNITS / sum(weights))) for w in weights]
-        done = np.zeros(len(totals), int)
-        for r, served in enumerate(slow_schedule(totals, units, 64), 1):
+        units = packing.units_of(totals, weights)
+        places, line = [[] for _ in totals], 0
+        for served in slow_schedule(totals, units, 64):
             for j, n in enumerate(served):
-                assert all(plan.round_of(j, x) == r for x in range(done[j], done[j] + n))
-            done += served
-            assert plan.served(r).tolist() == done.tolist()
-        line = []
+                places[j] += range(line, line + n)
+                line += n
+        rng = random.Random(len(totals))
         for j, t in enumerate(totals):
-            for at, n, seq, offset in plan.pieces(j, 0, t, 16):
-                assert 0 < n <= 16 - offset
-                line += range(seq * 16 + offset, seq * 16 + offset + n)
-        assert sorted(line) == list(range(sum(totals)))
+            cuts = sorted({0, t, *(rng.randrange(t + 1) for _ in range(6))})
+            runs = np.array(list(zip(cuts, cuts[1:], strict=False)) or [(0, 0)])
+            run, at, size, seq, offset = plan.pieces(np.full(len(runs), j), runs[:, 0], runs[:, 1] - runs[:, 0], 16)
+            assert (size > 0).all() and (offset + size <= 16).all()
+            got = [(runs[k, 0] + x + i, q * 16 + o + i) for k, x, m, q, o in zip(run, at, size, seq, offset, strict=True) for i in range(m)]
+            assert got == list(enumerate(places[j]))
 
 
 def test_pack(spark):
@@ -108,5 +110,31 @@ def test_windows_hold_the_shares(spark):
     assert all(abs(c["a"] / 640 - 0.5) < 0.12 and abs(c["b"] / 640 - 0.25) < 0.12 for c in full)
 
 
+def test_every_sequence_holds_the_shares_of_many_sources(spark, monkeypatch):
+    """1500 sources, one with a share of nine tenths, given others in merged queues; and each in proportion where it has a queue."""
+    rows = [(k, "word " * 9, f"s{k}") for k in range(1500)] + [(2000 + k, "word " * 299, "main") for k in range(45)]
+    got = packing.pack(docs(spark, rows), VOCABULARY, length=64, shares={"main": 0.9}).collect()
+    ours, rest = Counter(), Counter()
+    for r in got:
+        (ours if r.doc_id >= 2000 else rest)[r.sequence_id] += r.length
+    until = 45 * 300 // 58  # main runs out then
+    assert all(54 <= ours[s] <= 62 and rest[s] for s in range(until - 5))
+    assert sum(ours.values()) == 45 * 300 and sum(rest.values()) == 1500 * 10
+    few = [(k, "word " * 29, f"s{k % 8}") for k in range(320)]
+    by = defaultdict(Counter)
+    for r in packing.pack(docs(spark, few), VOCABULARY, length=64).collect():
+        by[r.sequence_id][r.doc_id % 8] += r.length
+    assert all(7 <= by[s][j] <= 9 for s in by if s < max(by) for j in range(8))
+
+
+def test_other_vocabularies_go_through_the_whole_tokenizer():
+    t = tokens.WordTokenizer(VOCABULARY)
+    assert t.by_words
+    settings = json.loads(t.full.to_str())
+    assert not tokens.by_words(settings | {"normalizer": {"type": "NFD"}}) and not tokens.by_words(settings | {"pre_tokenizer": None})
+    t.by_words = False
+    assert [t.encode(x).tolist() for x in ODD] == [t.full.encode(x, add_special_tokens=False).ids for x in ODD]
+
+
 def test_pack_nothing(spark):
     assert packing.pack(docs(spark, []), VOCABULARY).count() == 0
