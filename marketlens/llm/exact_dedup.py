@@ -1,9 +1,11 @@
 """Exact deduplication by progressive refinement, with DataFrame functions only.
 
 Rows are grouped by the length of their normalised text; groups of one are settled. The others are grouped by a hash
-of the first characters, and only groups that survive that too have their whole text read and hashed with SHA-256.
-A null text counts as empty; empty texts are equal to each other. Of equal texts the smallest id stays; rows that
-repeat an id share its fate. A row with a null id stands for itself: it is kept and in no group.
+of the first characters, and only rows of groups that survive that too have their whole text read and hashed with SHA-256:
+a bitmap of the surviving groups, of fixed size, tells them where they lie, so no text is ever moved (rows whose bit is
+set by another group are hashed as well, which decides nothing). A null text counts as empty; empty texts are equal to
+each other. Of equal texts the smallest id stays; of rows that repeat an id only those with a text to drop go. A row
+with a null id stands for itself: it is kept and in no group.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import ascii_space, attach, materialise, of_checked_size, without
+from marketlens.llm.common import ascii_space, attach, bitmap, materialise, may_be_in, text_hash, without
 
 #: Characters of the normalised text that the second level hashes.
 PREFIX_CHARS = 256
@@ -23,7 +25,7 @@ def _keys(text: Column) -> list[Column]:
 
 
 def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that survive length and prefix, with the hash of their whole text: id, n, p, text_sha256."""
+    """The rows that survive length and prefix, with the hash of their whole text: id, n, p, h (text_hash()), text_sha256."""
     text = F.col(text_col)
     rows = materialise(docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *_keys(text)), "exact-keys")
     total = rows.count()
@@ -31,9 +33,10 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     for keys in (["n"], ["n", "p"]):
         sizes = level.groupBy(*keys).agg(F.count("*").alias("w")).filter("w > 1")
         level = attach(level, sizes, keys, "w", total, F.col("id")).filter("w is not null").drop("w")
-    survivors = materialise(level.select("id").distinct(), "exact-survivors")
-    read = docs.join(of_checked_size(survivors), docs[id_col] == survivors["id"], "left_semi")
-    return materialise(read.select(F.col(id_col).alias("id"), *_keys(text), F.sha2(ascii_space(text), 256).alias("text_sha256")), "exact-hashed")
+    survivors = materialise(bitmap(level, ["n", "p"]), "exact-survivors")
+    named = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text.alias("t"), *_keys(text))
+    read = may_be_in(named, survivors, ["n", "p"]).filter("_hit")
+    return materialise(read.select("id", "n", "p", text_hash(F.col("t")).alias("h"), F.sha2(ascii_space(F.col("t")), 256).alias("text_sha256")), "exact-hashed")
 
 
 def duplicate_groups(hashed: DataFrame) -> DataFrame:
@@ -60,5 +63,5 @@ def label(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the copies; all columns stay. Whole texts are hashed only where length and prefix agree."""
     hashed = refine(docs, id_col, text_col)
-    found = attach(hashed, duplicate_groups(hashed), ["n", "p", "text_sha256"], "group_size", docs.count(), F.col("id"))
-    return without(docs, materialise(found.filter("id <> keep_id").select(F.col("id").alias(id_col)).distinct(), "exact-dropped"), id_col)
+    found = attach(hashed, duplicate_groups(hashed), ["n", "p", "text_sha256"], "group_size", hashed.count(), F.col("id"))
+    return without(docs, materialise(found.filter("id <> keep_id").select("id", "h"), "exact-dropped"), id_col, text_col)

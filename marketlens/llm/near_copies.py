@@ -1,47 +1,47 @@
-"""Near copies by exact overlap of word shingles, found through prefixes of rare shingles.
+"""The near-duplicate stage: SimHash first, then what fingerprints can't promise, by exact overlap of word shingles.
 
-Two texts link if the Jaccard similarity of their sets of 5-word shingles (XXH64, lower case) is at least 4/5. Put every
-set in one common order. Sets of n shingles that link share at least ceil(4n / 5), so they share one of the first
-n - ceil(4n / 5) + 1 of either: only these prefixes meet in a shuffle, and no link is lost whatever the order. Shingles
-that are common in a sample of documents come last in the order, which keeps the groups small. At the first shingle that
-two sets share, neither can share more than what it has from there on; pairs for which that is too few go.
+Two texts link if the Jaccard similarity of their sets of 5-word shingles (XXH64, lower case) is at least 4/5. That is no
+bound on differing bits of a fingerprint, so candidates come in two ways, and each is checked on the whole texts.
+
+1. SimHash: fingerprints of the shingles, compared at the anchors of a covering code (see simhash), THRESHOLD bits.
+2. Prefixes, which miss nothing: put every set in one common order. Sets of n shingles that link share at least
+   ceil(4n / 5), so they share one of the first n - ceil(4n / 5) + 1 of either. Only shingles in the prefixes of two texts
+   or more matter. Shingles that are common in a sample of documents come last in the order, which keeps groups small.
 
 Links of a group's rows to its smallest row are checked first. Only rows of different components are then compared pair
-by pair, so a large group of copies costs its number of rows, not its square. Every link is checked on the whole texts.
-Texts of fewer than 5 words are one shingle, null and empty texts have none. Null ids take no part in links.
+by pair, so a large group of copies costs its number of rows, not its square; pairs go on only if they can still link by
+two exact bounds: what follows the first shared shingle in both orders, and the bits in which hashes of the two whole sets
+into PARITY bits differ (each is an odd number of shingles that one of them alone has).
+
+Frequent shingles are counted before rows move, and rows of hot ones are dealt out. Texts of fewer than 5 words are one
+shingle, null and empty texts have none. Null ids take no part in links. Rows equal in id and text share their fate.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import attach, batch_rows, materialise, of_checked_size, without
+from marketlens.llm import simhash
+from marketlens.llm.common import attach, look_up, materialise, of_checked_size, pieces, text_hash, without
 from marketlens.llm.graph import components
 
 #: The least similarity, 4/5, is written out in whole numbers below.
-SEED, SHINGLE = 42, 5
+SHINGLE, THRESHOLD = 5, 4
 #: Documents sampled to learn which shingles are common, and how many of these are kept. They decide no result.
 SAMPLE_DOCS, MIN_COMMON, MAX_COMMON = 8192, 3, 1 << 18
-#: Rows of a group that are compared in one piece.
-GROUP = 1024
+#: Rows of a group that are compared in one piece, and 64-bit words of a set's parity bits.
+GROUP, PARITY = 1024, 8
 
 
 def shingles(data: bytes) -> np.ndarray:
     """Of UTF-8 text: the distinct hashes of its shingles, sorted."""
-    words = data.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    joined, width = b" ".join(words), min(SHINGLE, len(words))
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(size + 1) - 1
-    starts, ends = (ends - size)[: len(words) - width + 1], ends[width - 1 :]
-    return np.unique(np.array([xxhash.xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64))
+    return np.unique(simhash.shingle_hashes(data, SHINGLE))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -49,12 +49,18 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return shared > 0 and 9 * shared >= 4 * (len(a) + len(b))
 
 
+def parity(own: np.ndarray) -> list[int]:
+    """64 * PARITY bits: whether an odd number of the hashes falls on each."""
+    odd = np.bincount((own >> np.uint64(17)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
 def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of common shingles, and how often the sample has them."""
     every = max(1, rows.count() // SAMPLE_DOCS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             found = np.concatenate([np.empty(0, np.uint64), *(shingles(x.as_py()) for x in b.column(0))])
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["h"])
 
@@ -65,33 +71,39 @@ def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], c[order]
 
 
-def _prefixes(rows: DataFrame) -> DataFrame:
-    """h, node, n (size of the set), place (of h in the set's order), for the prefix of each row's set."""
+def _read(rows: DataFrame) -> DataFrame:
+    """node, fp (fingerprint), n (size of the set), bits (its parity), prefix (the first hashes in the common order); no rows without words."""
     shared = rows.sparkSession.sparkContext.broadcast(_common(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = shared.value
-        for b in batches:
-            h, size, kept = [np.empty(0, np.uint64)], [], []
-            for x in b.column(1):
-                own = shingles(x.as_py())
+        for b in pieces(batches):
+            out: list[tuple] = []
+            for node, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                every = simhash.shingle_hashes(x.as_py(), SHINGLE)
+                if not len(every):
+                    continue
+                own = np.unique(every)
                 c = np.zeros(len(own), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     c = np.where(known[at] == own, often[at], 0)
-                size.append(len(own))
-                kept.append(len(own) // 5 + 1 if len(own) else 0)
-                h.append(own[np.lexsort((own, c))[: kept[-1]]])
-            place = np.concatenate([np.empty(0, np.int32), *(np.arange(k, dtype=np.int32) for k in kept)])
-            node = np.repeat(b.column(0).to_numpy(), kept)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(node), pa.array(np.repeat(np.array(size, np.int32), kept)), pa.array(place)], ["h", "node", "n", "place"])
+                prefix = own[np.lexsort((own, c))[: len(own) // 5 + 1]].view(np.int64)
+                fp = simhash.majority(every)
+                out.append((node, fp - (1 << 64) if fp >> 63 else fp, len(own), parity(own), prefix))
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    return rows.mapInArrow(run, "h long, node long, n int, place int")
+    names, types = ["node", "fp", "n", "bits", "prefix"], [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    return materialise(rows.mapInArrow(run, "node long, fp long, n int, bits array<long>, prefix array<long>"), "copies-sets")
 
 
 def _can_link(x: str, y: str) -> Column:
+    """Neither bound says that the pair can't link."""
+    n = F.col(f"{x}.n") + F.col(f"{y}.n")
     left = F.least(*(F.col(f"{s}.n") - F.col(f"{s}.place") for s in (x, y)))
-    return 9 * left >= 4 * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+    apart = reduce(Column.__add__, (F.bit_count(F.col(f"{x}.bits")[k].bitwiseXOR(F.col(f"{y}.bits")[k])) for k in range(PARITY)))
+    return (9 * left >= 4 * n) & (9 * apart <= n)
 
 
 def _pairs(x: str, y: str) -> list[Column]:
@@ -111,27 +123,45 @@ def _checked(pairs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
         found = attach(found, side, [end], f"w_{end}", n, F.col(other))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             same = [similar(shingles(x.as_py()), shingles(y.as_py())) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(same, pa.bool_()))
 
     return materialise(found.select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long"), name + "-links")
 
 
+def _by_fingerprint(sets: DataFrame) -> DataFrame:
+    """Candidate pairs: rows of equal fingerprints and the first of them, and firsts within THRESHOLD bits."""
+    firsts = materialise(sets.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("w")), "copies-fingerprints")
+    first = firsts.filter("w > 1").select("fp", F.col("node").alias("first"), "w")
+    same = look_up(sets.select("node", "fp"), materialise(first, "copies-equal"), ["fp"], "w", sets.count(), F.col("node")).filter("first <> node")
+    same = same.select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b"))
+    return same.unionAll(simhash.near_links(firsts.select("node", "fp"), THRESHOLD).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
 def near_links(rows: DataFrame) -> DataFrame:
     """rows(node, t), t binary -> a(long), b(long): links whose components are those of all links."""
-    group = Window.partitionBy("h")
-    entries = _prefixes(rows).select("h", F.struct("node", "n", "place").alias("x"))
-    groups = entries.withColumns({"lead": F.min("x").over(group), "most": F.count("*").over(group)})
-    groups = materialise(groups.filter("most > 1").select("h", "x", "lead"), "copies-groups")
-    links = _checked(groups.filter(F.col("x.node") != F.col("lead.node")).filter(_can_link("x", "lead")).select(*_pairs("x", "lead")), rows, "copies-star")
+    sets = _read(rows)
+    entries = sets.select("node", F.posexplode("prefix").alias("place", "h"))
+    repeated = materialise(entries.groupBy("h").agg(F.count("*").alias("w")).filter("w > 1"), "copies-repeated")
+    total = repeated.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+    spread = F.col("node")
+    met = look_up(entries, repeated, ["h"], "w", total, spread).filter("w is not null").select("h", "w", "node", "place")
+    met = met.join(sets.select("node", "n", "bits"), "node").select("h", F.struct("node", "n", "place", "bits").alias("x"))
+    met = materialise(met, "copies-met")
+    leads = materialise(met.groupBy("h").agg(F.min("x").alias("lead"), F.count("*").alias("w")), "copies-leads")
+    star = attach(met, leads, ["h"], "w", total, F.col("x.node")).filter(F.col("x.node") != F.col("lead.node"))
+    candidates = star.filter(_can_link("x", "lead")).select(*_pairs("x", "lead"))
+    links = _checked(candidates.unionAll(_by_fingerprint(sets)), rows, "copies-star")
     roots = materialise(components(links, "copies-roots"), "copies-roots")
-    rooted = groups.select("h", "x", F.col("x.node").alias("node")).join(of_checked_size(roots), "node", "left").select("h", "x", F.coalesce("root", "node").alias("root"))
-    mixed = rooted.withColumns({"low": F.min("root").over(group), "high": F.max("root").over(group), "most": F.count("*").over(group)}).filter("low <> high")
-    pieces = F.ceil(F.col("most") / GROUP).cast("int")
-    mixed = mixed.select("h", "x", "root", pieces.alias("pieces"), F.pmod(F.xxhash64("x.node"), pieces).cast("int").alias("piece"))
+    rooted = met.select("h", "x", F.col("x.node").alias("node")).join(of_checked_size(roots), "node", "left").select("h", "x", F.coalesce("root", "node").alias("root"))
+    rooted = materialise(rooted, "copies-rooted")
+    mixed = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("w")).filter("low <> high").select("h", "w")
+    parts = F.ceil(F.col("w") / GROUP).cast("int")
+    mixed = attach(rooted, materialise(mixed, "copies-mixed"), ["h"], "w", total, F.col("x.node")).filter("w is not null")
+    mixed = mixed.select("h", "x", "root", parts.alias("pieces"), F.pmod(F.xxhash64("x.node"), parts).cast("int").alias("piece"))
     dealt = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    dealt = materialise(dealt.select("h", "x", "root", "piece", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q")), "copies-mixed")
+    dealt = materialise(dealt.select("h", "x", "root", "piece", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q")), "copies-dealt")
     one = dealt.filter("piece = p").select("h", "p", "q", "x", "root")
     two = dealt.filter("piece = q").select("h", "p", "q", F.col("x").alias("y"), F.col("root").alias("other"))
     across = one.join(two, ["h", "p", "q"]).filter("root <> other").filter(_can_link("x", "y")).select(*_pairs("x", "y"))
@@ -140,13 +170,13 @@ def near_links(rows: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component of links, that with the smallest id; rows with a null id stay."""
-    batch_rows(docs.sparkSession)
-    node = F.xxhash64(id_col, text_col)
-    named = docs.filter(F.col(id_col).isNotNull()).withColumn("node", node)
-    rows = named.select("node", F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
+    named = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    named = named.withColumn("node", F.xxhash64("id", "h"))
+    rows = named.select("node", F.coalesce("text", F.lit("")).cast("binary").alias("t"))
     roots = materialise(components(near_links(rows), "copies-components"), "copies-components")
     linked = roots.select("node", "root").unionAll(roots.select(F.col("root").alias("node"), "root")).distinct()
-    members = materialise(named.select(id_col, "node").join(of_checked_size(linked), "node"), "copies-members")
-    first = members.groupBy("root").agg(F.min(id_col).alias("first"))
-    dropped = members.join(first, "root").filter(F.col(id_col) != F.col("first")).select(id_col).distinct()
-    return without(docs, materialise(dropped, "copies-dropped"), id_col)
+    members = materialise(named.select("id", "h", "node").join(of_checked_size(linked), "node"), "copies-members")
+    first = materialise(members.groupBy("root").agg(F.min(F.struct("id", "h")).alias("first"), F.count("*").alias("w")), "copies-firsts")
+    found = attach(members, first, ["root"], "w", members.count(), F.col("node"))
+    gone = found.filter(F.struct("id", "h") != F.col("first")).select("id", "h")
+    return without(docs, materialise(gone, "copies-dropped"), id_col, text_col)

@@ -11,8 +11,9 @@ replicated to every anchor whose distances exceed the blocks' radii by at most c
 meets at an anchor. (Both sides are replicated, hence half the threshold.) More blocks mean more anchors, smaller
 groups and more replicas; their number is chosen from the number of distinct fingerprints.
 
-At an anchor all pairs are compared, in blocks of bounded size; only a spanning forest of the links found is passed on.
-Equal fingerprints are one node from the start. Null ids take no part in links and have no component; null and empty
+At an anchor all pairs are compared; only a spanning forest of the links found is passed on. Anchors are counted before
+fingerprints are sent to them: one with more than GROUP is dealt out in blocks by a hash, and each two blocks meet in a
+group of their own, so no anchor goes through one task. Equal fingerprints are one node from the start. Null ids take no part in links and have no component; null and empty
 texts have fingerprint zero.
 """
 
@@ -26,11 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import attach, batch_rows, materialise, without
+from marketlens.llm.common import attach, look_up, materialise, pieces
 from marketlens.llm.graph import components
 
 BITS, SEED, SHINGLE = 64, 42, 4
-#: Rows of an anchor's group that are compared at once; larger groups are cut into blocks of so many, compared two by two.
+#: Rows of an anchor that are compared at once; larger anchors are dealt out in blocks of about so many, compared two by two.
 GROUP = 4096
 #: Mean group size to aim for.
 MEAN_GROUP = 1024
@@ -38,32 +39,40 @@ MEAN_GROUP = 1024
 
 def fingerprint(data: bytes) -> int:
     """Of UTF-8 text: 64 bits, zero if it has no words."""
+    return majority(shingle_hashes(data, SHINGLE))
+
+
+def shingle_hashes(data: bytes, width: int) -> np.ndarray:
+    """XXH64 of each shingle of a text's lower-cased words, repeats included; a shorter text is one shingle."""
     words = data.lower().split()
     if not words:
-        return 0
-    joined, width = b" ".join(words), min(SHINGLE, len(words))
+        return np.empty(0, np.uint64)
+    joined, width = b" ".join(words), min(width, len(words))
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
     starts, ends = (ends - size)[: len(words) - width + 1], ends[width - 1 :]
-    ones, n = np.zeros(BITS, np.int64), len(starts)
-    for at in range(0, n, 1 << 14):
-        cut = zip(starts[at : at + (1 << 14)].tolist(), ends[at : at + (1 << 14)].tolist(), strict=True)
-        h = np.array([xxhash.xxh64_intdigest(joined[s:e], SEED) for s, e in cut], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+    return np.fromiter((xxhash.xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(h), 1 << 14):
+        cut = h[at : at + (1 << 14)].astype("<u8")
+        ones += np.unpackbits(cut.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: the id and fp, the fingerprint as a signed long."""
-    batch_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             fp = np.array([fingerprint(x.as_py() or b"") for x in b.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], [id_col, "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(run, f"{id_col} {kind}, fp long")
+    return docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(run, f"`{id_col}` {kind}, fp long")
 
 
 def blocks(k: int) -> list[int]:
@@ -167,11 +176,10 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple,
 def near_links(nodes: DataFrame, threshold: int = 4) -> DataFrame:
     """nodes(node, fp), fp distinct -> a(long), b(long): links whose components are those of all links."""
     flips = (threshold + 1) // 2
-    batch_rows(nodes.sparkSession, 2 * GROUP)
     k = choose_blocks(nodes.count(), flips)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 2 * GROUP):
             node, fp = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             row, anchor = anchors(fp.view(np.uint64), k, flips)
             for at in range(0, len(row), 1 << 16):
@@ -179,55 +187,33 @@ def near_links(nodes: DataFrame, threshold: int = 4) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor[at : at + (1 << 16)], node[r], fp[r])], ["anchor", "node", "fp"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links of groups of up to GROUP rows; the rows of larger ones go on with the number of their block (a null b)."""
-        cut, begun = 0, None
-        for key, rows, ends in _runs(batches, 1):
-            whole = ends and begun != key
-            if whole and len(rows) <= GROUP:
-                if len(rows) < 2:
-                    continue
-                rows = rows[np.argsort(rows[:, 0], kind="stable")]
-                i, j = links_within(rows[:, 1].astype(np.int64).view(np.uint64), threshold)
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[i, 0]), pa.array(rows[j, 0]), *(pa.nulls(len(i), pa.int64()) for _ in range(3))], names)
-                continue
-            cut = cut if begun == key else 0
-            for at in range(0, len(rows), GROUP):
-                part = rows[at : at + GROUP]
-                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.nulls(len(part), pa.int64()), pa.array(part[:, 1]), pa.array(np.full(len(part), key[0])), pa.array(np.full(len(part), cut))], names)
-                cut += 1
-            begun = key
-
-    def compare_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links of two blocks of a large group, or within one."""
+        """Links of the rows of two blocks of an anchor, or within one."""
         held: list[np.ndarray] = []
         for key, rows, ends in _runs(batches, 3):
             held.append(rows)
             if not ends:
                 continue
             rows, held = np.concatenate(held), []
+            if len(rows) < 2:
+                continue
             rows = rows[np.argsort(rows[:, 0], kind="stable")]
             i, j = links_within(rows[:, 1].astype(np.int64).view(np.uint64), threshold, rows[:, 2] if key[1] != key[2] else None)
             if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(rows[i, 0]), pa.array(rows[j, 0])], ["a", "b"])
 
-    names = ["a", "b", "fp", "anchor", "block"]
     near = nodes.select("node", "fp").mapInArrow(replicate, "anchor long, node long, fp long")
-    dealt = near.repartition("anchor").sortWithinPartitions("anchor")
-    found = materialise(dealt.mapInArrow(compare, "a long, b long, fp long, anchor long, block long"), "simhash-links")
-    small = found.filter("b is not null").select("a", "b")
-    large = found.filter("b is null").select(F.col("a").alias("node"), "fp", "anchor", "block")
-    if large.isEmpty():
-        return small
-    count = large.groupBy("anchor").agg((F.max("block") + 1).alias("n"), F.count("*").alias("w"))
-    other = attach(large, count, ["anchor"], "w", large.count(), F.col("node")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    pairs = other.select("anchor", F.least("block", "o").alias("p"), F.greatest("block", "o").alias("q"), "node", "fp", (F.col("block") < F.col("o")).cast("long").alias("side"))
-    dealt = pairs.repartition("anchor", "p", "q").sortWithinPartitions("anchor", "p", "q")
-    return small.unionAll(dealt.mapInArrow(compare_two, "a long, b long"))
+    large = materialise(near.groupBy("anchor").agg(F.count("*").alias("w")).filter(F.col("w") > GROUP), "simhash-large")
+    rows = large.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+    dealt = look_up(near, large, ["anchor"], "w", rows, F.col("node")) if rows else near.withColumn("w", F.lit(1))
+    n = F.ceil(F.coalesce("w", F.lit(1)) / GROUP).cast("long")
+    dealt = dealt.select("anchor", "node", "fp", F.pmod(F.xxhash64("node"), n).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("o"))
+    dealt = dealt.select("anchor", F.least("block", "o").alias("p"), F.greatest("block", "o").alias("q"), "node", "fp", (F.col("block") < F.col("o")).cast("long").alias("side"))
+    dealt = dealt.repartition("anchor", "p", "q").sortWithinPartitions("anchor", "p", "q")
+    return materialise(dealt.mapInArrow(compare, "a long, b long"), "simhash-links")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, fingerprint (16 hex digits), component_id (smallest id reachable), group_size."""
+    """One row per row of docs: id, fingerprint (16 hex digits), component_id (smallest id reachable)."""
     prints = materialise(fingerprints(docs, id_col, text_col), "simhash-prints")
     nodes = prints.filter(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).cast("long").alias("node"), F.count("*").alias("w"))
     nodes = materialise(nodes, "simhash-nodes")
@@ -239,10 +225,3 @@ def near_duplicates(docs: DataFrame, threshold: int = 4, id_col: str = "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"),
     )
-
-
-def drop_near_copies(docs: DataFrame, threshold: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group, that with the smallest id; rows with a null id stay."""
-    found = near_duplicates(docs, threshold, id_col, text_col)
-    dropped = found.filter(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
-    return without(docs, materialise(dropped, "simhash-dropped"), id_col)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from marketlens.llm import exact_dedup, graph, simhash
+from marketlens.llm import common, exact_dedup, graph, near_copies, simhash
 from marketlens.llm.common import attach
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, n int, fp string, keep_id int"
@@ -48,6 +48,26 @@ def test_exact_stage_keeps_columns(spark):
     assert sorted((r.doc_id is None, r.doc_id) for r in left.collect()) == sorted((k is None, k) for k in [3, 3, 1, 4, 7, 8, 10, 11, None])
 
 
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_rows_are_dropped_not_ids(spark, monkeypatch, most):
+    """A repeated id only goes with the text that is a copy; so too where dropped rows are too many to be handed out."""
+    monkeypatch.setattr(common, "BROADCAST_IDS", most)
+    rows = [(1, "a b c d"), (5, "a b c d"), (5, "a text of its own"), (6, "a  b c d"), (None, "a b c d"), (7, None), (8, ""), *[(k, f"text {k % 50} of many") for k in range(100, 300)]]
+    for stage in (exact_dedup.drop_exact_copies, near_copies.drop_near_copies):
+        d = docs(spark, rows)
+        left = stage(d)
+        kept = sorted((r.doc_id or 0, r.text or "") for r in left.collect())
+        want = [(0, "a b c d"), (1, "a b c d"), (5, "a text of its own"), (7, ""), *([] if stage is exact_dedup.drop_exact_copies else [(8, "")]), *((k, f"text {k % 50} of many") for k in range(100, 150))]
+        assert kept == want and left.columns == d.columns
+
+
+def test_a_bitmap_misses_nothing(spark):
+    keys = spark.range(0, 3000, 3).selectExpr("id AS n", "id * 7 AS p")
+    rows = spark.range(3000).selectExpr("id AS n", "id * 7 AS p")
+    hit = {r.n for r in common.may_be_in(rows, common.bitmap(keys, ["n", "p"]), ["n", "p"]).filter("_hit").collect()}
+    assert hit >= set(range(0, 3000, 3)) and len(hit) < 1010
+
+
 def test_exact_empty_table(spark):
     assert exact_dedup.label(docs(spark, [])).count() == 0
     assert exact_dedup.drop_exact_copies(docs(spark, [])).count() == 0
@@ -159,6 +179,6 @@ def test_near_stage(spark):
     rng = random.Random(3)
     base = words(rng, 500)
     d = docs(spark, [(4, " ".join(base)), (2, " ".join(base) + " end"), (9, " ".join(words(rng, 500)))])
-    left = simhash.drop_near_copies(d)
+    left = near_copies.drop_near_copies(d)
     assert sorted(r.doc_id for r in left.collect()) == [2, 9] and left.columns == d.columns
-    assert simhash.drop_near_copies(docs(spark, [])).count() == 0
+    assert near_copies.drop_near_copies(docs(spark, [])).count() == 0
