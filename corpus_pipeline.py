@@ -2,6 +2,11 @@
 
 A stage takes (spark, docs, sf_dir), docs being all that the stage before kept, and returns what it keeps with the columns
 of documents; the last returns packed pieces. run() writes each stage's rows as Parquet and reads them again.
+
+A null text is empty; it has no letters, so the first stage drops it, as it does texts of white space or digits alone.
+Rows with a null id take no part in deduplication; rows that repeat an id are told apart by their texts, and of rows equal in
+both either all stay or all go. Rows without a language or source are treated like others, further columns are carried along
+to the last stage. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts that share 4/5 of their five-word shingles the document with the smallest id stays."""
+    """SimHash, with the rest found by exact overlap: of texts that share 4/5 of their five-word shingles the smallest id stays."""
     return near_copies.drop_near_copies(docs)
 
 
