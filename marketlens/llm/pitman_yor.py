@@ -4,7 +4,7 @@ There is a restaurant for every previous word that occurs in the training texts,
 share the root restaurant as parent, whose base is uniform. Dishes are words, the end of a text, and RARE, which stands
 for the words outside the HEAD most frequent ones and for words that occur once (a pair of words that has one of these in
 it occurs once as well). Which of its words RARE stands for is a further restaurant, with a uniform base over the rare
-words and one unknown. Counts cover all training texts. Word counts and restaurants grow with the corpus and stay
+words and one unknown, seated for all words of a count at once. Counts cover all training texts. Word counts and restaurants grow with the corpus and stay
 distributed; what is handed to all tasks is bounded: HEAD words of at most LONGEST bytes, and the root's probabilities.
 
 Restaurants are kept whole, many to a row, each row's arrays sorted by context and dish; a menu has HEAD + 2 dishes at
@@ -46,9 +46,9 @@ from marketlens.llm.common import materialise, pieces
 HEAD, LONGEST = 1 << 19, 64
 BURN_IN, SAMPLES, EXACT, FEW, STRENGTH = 2, 4, 64, 64, 1.0
 #: Distinct words that a task counts before it passes them on, and tokens whose pairs it sorts at once.
-COUNTED, CHUNK = 400_000, 1 << 22
+COUNTED, CHUNK = 400_000, 1 << 21
 #: Tokens of a slot, and customers from which a context has slots of its own.
-SLOT, SPLIT = 1 << 22, 1 << 21
+SLOT, SPLIT = 1 << 20, 1 << 20
 #: Stands for the end of a text in the table of counts; no word can be a space.
 END = b" "
 #: Bits of a dish in the number of a pair; the bit that marks a rare context.
@@ -133,14 +133,28 @@ def draw(c: np.ndarray, others: np.ndarray, p: np.ndarray, discount: float, key:
     for n in range(2, EXACT + 1):
         at = order[edge[n - 2] : edge[n - 1]]
         if len(at):
-            w = np.cumsum(np.log((STRENGTH + discount * (others[at, None] + step[None, :n])) * p[at, None]), axis=1) + s[n, 1 : n + 1]
-            w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
+            pull = (STRENGTH + discount * (others[at, None] + step[None, 1:n])) * p[at, None]
+            if n == 2:
+                tables[at] = 1 + (u[at] * (1 + pull[:, 0] / (1 - discount)) >= 1)
+                continue
+            w = _weights(pull, s[n, 1 : n + 1])
             tables[at] = 1 + (w[:, :-1] <= u[at, None] * w[:, -1:]).sum(axis=1)
     if len(at := order[edge[-1] :]):
         tables[at] = draw_many(c[at], others[at], p[at], discount, u[at], uniform(key[at], sweep, 2))
     return tables
 
 
+def _weights(pull: np.ndarray, log_s: np.ndarray) -> np.ndarray:
+    """Running sums of the weights of 1, 2, ... tables, but for a factor: rows of pulls towards the second table and on."""
+    if len(log_s) <= 24:  # far from the limits of doubles
+        w = np.ones((len(pull), len(log_s)))
+        np.cumprod(pull * np.exp(np.diff(log_s)), axis=1, out=w[:, 1:])
+        return np.cumsum(w, axis=1)
+    w = np.zeros((len(pull), len(log_s)))
+    np.cumsum(np.log(pull) + np.diff(log_s), axis=1, out=w[:, 1:])
+    return np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
+
+
 def draw_many(c: np.ndarray, others: np.ndarray, p: np.ndarray, discount: float, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Beyond EXACT customers: by ratios of neighbours, in full if there are few tables, else by a normal at their peak."""
     c = c.astype(np.float64)
@@ -255,9 +269,14 @@ def _unpack(x: bytes, kind: str) -> np.ndarray:
 MENUS = "slot long, context binary, sizes binary, dish binary, n binary"
 
 
+def _by_slot(slot: np.ndarray) -> np.ndarray:
+    """A stable order by slot."""
+    return np.argsort(slot.astype(np.uint16) if slot.max(initial=0) < 1 << 16 else slot, kind="stable")
+
+
 def _menus(slot: np.ndarray, pairs: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     """Sorted pairs with their counts as a row a slot."""
-    order = np.argsort(slot, kind="stable")
+    order = _by_slot(slot)
     slot, pairs, n = slot[order], pairs[order], n[order]
     edge = np.concatenate([np.nonzero(np.diff(slot, prepend=-1))[0], [len(slot)]])
     rows = []
@@ -420,12 +439,12 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         p, tables = root_after(opened, tables, sweep)
     roots.append(p)
 
-    rare = _rare_words(counts, least)
-    n1, n2, customers, kinds = rare.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2), F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    rare_d, base, tables = _discount(n1, n2), 1 / (kinds + 1), [float(kinds)]
+    rare = {r.c: r.n for r in _rare_words(counts, least).groupBy("c").agg(F.count("*").alias("n")).collect()}  # rare words' counts are few
+    rare_d, base, tables = _discount(rare.get(1, 0), rare.get(2, 0)), 1 / (sum(rare.values()) + 1), [float(sum(rare.values()))]
     for sweep in range(BURN_IN + SAMPLES):
-        tables.append(_sweep_rare(rare, base, rare_d, tables[-1], sweep) if customers > kinds else tables[-1])
-    return Model(counts, restaurants, n, distinct, vocabulary, d, roots, least, {"discount": rare_d, "base": base, "customers": customers, "tables": tables})
+        tables.append(rare_tables(rare, tables[-1], base, rare_d, sweep))
+    customers = sum(c * m for c, m in rare.items())
+    return Model(counts, restaurants, n, distinct, vocabulary, d, roots, least, {"discount": rare_d, "base": base, "customers": customers, "tables": tables, "counts": sorted(rare)})
 
 
 def _rare_words(counts: DataFrame, least: int) -> DataFrame:
@@ -434,29 +453,37 @@ def _rare_words(counts: DataFrame, least: int) -> DataFrame:
     return counts.filter((F.col("w") != END) & ~dish)
 
 
-def _sweep_rare(rows: DataFrame, base: float, discount: float, tables: float, sweep: int) -> float:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0.0
-        for b in batches:
-            total += _rare_tables(b.column(1).to_numpy(), b.column(0).to_numpy(), base, discount, tables, sweep).sum()
-        yield pa.RecordBatch.from_arrays([pa.array([total])], ["t"])
-
-    return rows.select(F.xxhash64("w").alias("h"), "c").mapInArrow(run, "t double").agg(F.sum("t")).first()[0] or 0.0
+def _shares(c: int, tables: float, base: float, discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of tables of a rare word with c customers, given all rare words' tables, and how likely they are."""
+    others = max(0.0, tables - 1)
+    if c > EXACT:
+        u = (np.arange(256) + 0.5) / 256
+        t = draw_many(np.full(256, c), np.full(256, others), np.full(256, base), discount, u, np.arange(256) * 0.6180339887498949 % 1)
+        return t, np.full(256, 1 / 256)
+    pull = (STRENGTH + discount * (others + np.arange(1, c)))[None, :] * base
+    w = np.diff(_weights(pull, log_stirling(discount)[c, 1 : c + 1])[0], prepend=0.0)
+    return np.arange(1.0, c + 1), w / w.sum()
 
 
-def _rare_tables(c: np.ndarray, h: np.ndarray, base: float, discount: float, tables: float, sweep: int) -> np.ndarray:
-    out, there = np.zeros(len(c)), np.nonzero(c > 0)[0]
-    out[there] = draw(c[there], np.full(len(there), max(0.0, tables - 1)), np.full(len(there), base), discount, h[there].view(np.uint64), sweep)
-    return out
+def rare_tables(counts: dict[int, int], tables: float, base: float, discount: float, sweep: int) -> float:
+    """Tables of all rare words after a sweep, drawn for all words of a count at once; counts: words by their count."""
+    rng, total = np.random.default_rng(sweep), 0.0
+    for c, many in sorted(counts.items()):
+        t, share = _shares(c, tables, base, discount)
+        total += float(t @ rng.multinomial(many, share))
+    return total
 
 
-def _rare_log_p(c: np.ndarray, h: np.ndarray, rare: dict) -> np.ndarray:
-    """log10 of the averaged predictive probability of words among the rare ones; c is 0 for unknown words."""
-    total, d = np.zeros(len(c)), rare["discount"]
+def rare_log_p(c: int, rare: dict) -> float:
+    """log10 of the averaged predictive probability of a word with that count among the rare ones; c is 0 for unknown words."""
+    d, total = rare["discount"], 0.0
     for s in range(BURN_IN, BURN_IN + SAMPLES):
-        t = _rare_tables(c, h, rare["base"], d, rare["tables"][s], s)
-        total += (c - d * t + (STRENGTH + d * rare["tables"][s + 1]) * rare["base"]) / (STRENGTH + rare["customers"])
-    return np.log10(total / SAMPLES)
+        own = 0.0
+        if c:
+            t, share = _shares(c, rare["tables"][s], rare["base"], d)
+            own = c - d * float(t @ share)
+        total += (own + (STRENGTH + d * rare["tables"][s + 1]) * rare["base"]) / (STRENGTH + rare["customers"])
+    return float(np.log10(total / SAMPLES))
 
 
 def pair_log_p(pairs: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None, roots: list[np.ndarray], discount: float) -> np.ndarray:
@@ -507,10 +534,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         def pairs_out() -> Iterator[pa.RecordBatch]:
             """A row a slot: pairs, how often each occurs, and in which texts (counted from uid on)."""
             pairs, doc = np.concatenate([np.empty(0, np.int64), *held]), np.repeat(np.arange(len(held)), [len(x) for x in held])
-            order = np.argsort(pairs, kind="stable")
+            order = np.argsort(pairs)
             pairs, doc = pairs[order], doc[order]
             slot = v.slot(pairs, int(first or 0) >> 3)
-            order = np.argsort(slot, kind="stable")
+            order = _by_slot(slot)
             slot, pairs, doc = slot[order], pairs[order], doc[order]
             edge = np.concatenate([np.nonzero(np.diff(slot, prepend=-1))[0], [len(slot)]])
             out = []
@@ -578,13 +605,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     asked = rows.filter("slot is not null").select("slot", "uid", "context", "sizes", "dish", "docs")
     own = asked.groupBy("slot").cogroup(there.groupBy("slot")).applyInArrow(meet, "uid long, lp double").groupBy("uid").agg(F.sum("lp").alias("own"))
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            c, h = b.column(1).to_numpy(), b.column(2).to_numpy()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_rare_log_p(c, h, rare))], ["w", "c", "lp"])
-
-    few = _rare_words(model.counts, model.rare_from).select("w", "c", F.xxhash64("w").alias("h")).mapInArrow(weigh, "w binary, c long, lp double")
-    unknown = float(_rare_log_p(np.zeros(1, np.int64), np.zeros(1, np.int64), rare)[0])
+    by_count = docs.sparkSession.createDataFrame([(c, rare_log_p(c, rare)) for c in rare["counts"]], "c long, lp double")
+    few = _rare_words(model.counts, model.rare_from).join(F.broadcast(by_count), "c").select("w", "c", "lp")
+    unknown = rare_log_p(0, rare)
     tail = rows.filter("w is not null").select("uid", "w", "n").join(few, "w", "left")
     sums = tail.groupBy("uid").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("tail_known"),

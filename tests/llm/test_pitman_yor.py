@@ -189,11 +189,14 @@ def test_the_model_sums_to_one():
     for context in (0, 3, 99):
         asked = np.int64(context) << py._DISH | np.arange(width)
         assert (10 ** py.pair_log_p(asked, (pairs, n), roots, 0.6)).sum() == pytest.approx(1)
-    c, h = np.array([1, 1, 2, 5, 0]), np.arange(5)
-    rare = {"discount": 0.4, "base": 1 / 5, "customers": 9, "tables": [4.0]}
+    counts = {1: 2, 2: 1, 5: 1, 200: 1}
+    rare = {"discount": 0.4, "base": 1 / 6, "customers": 209, "tables": [5.0]}
     for s in range(py.BURN_IN + py.SAMPLES):
-        rare["tables"].append(float(py._rare_tables(c, h, 1 / 5, 0.4, rare["tables"][-1], s).sum()))
-    assert (10 ** py._rare_log_p(c, h, rare)).sum() == pytest.approx(1)
+        rare["tables"].append(sum(m * float(np.dot(*py._shares(c, rare["tables"][-1], 1 / 6, 0.4))) for c, m in counts.items()))
+    rare["tables"][py.BURN_IN + 1 :] = [sum(m * float(np.dot(*py._shares(c, rare["tables"][s], 1 / 6, 0.4))) for c, m in counts.items()) for s in range(py.BURN_IN, py.BURN_IN + py.SAMPLES)]
+    assert sum(m * 10 ** py.rare_log_p(c, rare) for c, m in counts.items()) + 10 ** py.rare_log_p(0, rare) == pytest.approx(1, rel=0.02)
+    drawn = [py.rare_tables(counts, 5.0, 1 / 6, 0.4, s) for s in range(300)]
+    assert np.mean(drawn) == pytest.approx(sum(m * float(np.dot(*py._shares(c, 5.0, 1 / 6, 0.4))) for c, m in counts.items()), rel=0.05)
 
 
 def test_scores_without_training(spark):
