@@ -47,8 +47,8 @@ HEAD, LONGEST = 1 << 19, 64
 BURN_IN, SAMPLES, EXACT, FEW, STRENGTH = 2, 4, 64, 64, 1.0
 #: Distinct words that a task counts before it passes them on, and tokens whose pairs it sorts at once.
 COUNTED, CHUNK = 400_000, 1 << 21
-#: Tokens of a slot, and customers from which a context has slots of its own.
-SLOT, SPLIT = 1 << 20, 1 << 20
+#: Tokens of a slot, the fewest slots, and customers from which a context has slots of its own.
+SLOT, SLOTS, SPLIT = 1 << 21, 64, 1 << 21
 #: Stands for the end of a text in the table of counts; no word can be a space.
 END = b" "
 #: Bits of a dish in the number of a pair; the bit that marks a rare context.
@@ -127,19 +127,23 @@ def _saddle_ratio(c: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
 def draw(c: np.ndarray, others: np.ndarray, p: np.ndarray, discount: float, key: np.ndarray, sweep: int) -> np.ndarray:
     """Tables of dishes with c > 0 customers, given the other tables of their restaurant and the parent's probability."""
     tables = np.ones(len(c))
+    if (np.diff(c) < 0).any():
+        order = np.argsort(c, kind="stable")
+        tables[order] = draw(c[order], others[order], p[order], discount, key[order], sweep)
+        return tables
     s, u, step = log_stirling(discount), uniform(key, sweep, 1), np.arange(EXACT)
-    order = np.argsort(c, kind="stable")
-    edge = np.searchsorted(c[order], np.arange(2, EXACT + 2))
+    edge = np.searchsorted(c, np.arange(2, EXACT + 2))
     for n in range(2, EXACT + 1):
-        at = order[edge[n - 2] : edge[n - 1]]
-        if len(at):
+        at = slice(edge[n - 2], edge[n - 1])
+        if at.stop > at.start:
             pull = (STRENGTH + discount * (others[at, None] + step[None, 1:n])) * p[at, None]
             if n == 2:
                 tables[at] = 1 + (u[at] * (1 + pull[:, 0] / (1 - discount)) >= 1)
                 continue
             w = _weights(pull, s[n, 1 : n + 1])
             tables[at] = 1 + (w[:, :-1] <= u[at, None] * w[:, -1:]).sum(axis=1)
-    if len(at := order[edge[-1] :]):
+    at = slice(edge[-1], len(c))
+    if at.stop > at.start:
         tables[at] = draw_many(c[at], others[at], p[at], discount, u[at], uniform(key[at], sweep, 2))
     return tables
 
@@ -259,11 +263,13 @@ class Vocabulary:
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+    """First all lowest bytes, then the next ones: the upper ones hardly take any room."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() if len(x) else b"")
 
 
 def _unpack(x: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+    raw, size = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8), np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).reshape(-1)
 
 
 MENUS = "slot long, context binary, sizes binary, dish binary, n binary"
@@ -284,7 +290,7 @@ def _menus(slot: np.ndarray, pairs: np.ndarray, n: np.ndarray) -> pa.RecordBatch
         context = pairs[s:e] >> _DISH
         start = np.nonzero(np.diff(context, prepend=-1))[0]
         sizes = np.diff(np.append(start, e - s))
-        rows.append((int(slot[s]), _pack(context[start]), _pack(sizes.astype("<u4")), _pack((pairs[s:e] & ((1 << _DISH) - 1)).astype("<u4")), _pack(n[s:e].astype("<u4" if n[s:e].max() < 1 << 32 else "<u8"))))
+        rows.append((int(slot[s]), _pack(context[start]), _pack(sizes.astype("<u4")), _pack((pairs[s:e] & ((1 << _DISH) - 1)).astype("<u4")), _pack(n[s:e].astype("<u8"))))
     cols = list(zip(*rows, strict=True)) or [()] * 5
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["slot", "context", "sizes", "dish", "n"])
 
@@ -292,8 +298,7 @@ def _menus(slot: np.ndarray, pairs: np.ndarray, n: np.ndarray) -> pa.RecordBatch
 def _read_menu(context: bytes, sizes: bytes, dish: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Sorted pairs and their counts."""
     pairs = np.repeat(_unpack(context, "<i8"), _unpack(sizes, "<u4")) << _DISH | _unpack(dish, "<u4").astype(np.int64)
-    raw = zstandard.ZstdDecompressor().decompress(n)
-    return pairs, np.frombuffer(raw, "<u4" if len(raw) == 4 * len(pairs) else "<u8").astype(np.int64)
+    return pairs, _unpack(n, "<u8").astype(np.int64)
 
 
 def _sum_menus(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -320,14 +325,18 @@ class Restaurants:
         start = np.nonzero(np.diff(context, prepend=-1))[0]
         self.contexts, self.row = context[start], np.repeat(np.arange(len(start)), np.diff(np.append(start, len(pairs))))
         self.dish, self.size = pairs & ((1 << _DISH) - 1), np.bincount(self.row, n, len(start))
-        self.several, self.key = np.nonzero(n > 1)[0], mix(pairs)
-        self.t = np.ones(len(n))
-        self.tables = np.bincount(self.row, minlength=len(start)).astype(np.float64)
+        several = np.nonzero(n > 1)[0]
+        self.several = several[np.argsort(n[several], kind="stable")]  # as draw() has them
+        self.key, self.t = mix(pairs[self.several]), np.ones(len(n))
+        self.least = np.bincount(self.row, minlength=len(start)).astype(np.float64)
+        self.tables, self.now = self.least, np.ones(len(several))
+        self.of_several = self.n[self.several], self.row[self.several], self.dish[self.several]
 
     def sweep(self, root: np.ndarray, number: int) -> None:
-        at = self.several
-        self.t[at] = draw(self.n[at], self.tables[self.row[at]] - self.t[at], root[self.dish[at]].astype(np.float64), self.d, self.key[at], number)
-        self.tables = np.bincount(self.row, self.t, len(self.contexts))
+        n, row, dish = self.of_several
+        self.now = draw(n, self.tables[row] - self.now, root[dish].astype(np.float64), self.d, self.key, number)
+        self.t[self.several] = self.now
+        self.tables = self.least + np.bincount(row, self.now - 1, len(self.contexts))
 
 
 def train_pairs(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
@@ -419,14 +428,13 @@ def root_after(opened: np.ndarray, tables: np.ndarray, sweep: int | None) -> tup
 
 def train(docs: DataFrame, text_col: str = "text") -> Model:
     """Counts all texts of docs and seats the restaurants."""
-    spark = docs.sparkSession
     counts = word_counts(docs, text_col)
     n, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     short = counts.filter((F.col("w") != END) & (F.octet_length("w") <= LONGEST) & (F.col("c") > 1))
     least = _level(short, HEAD)
     head = short.filter(F.col("c") >= least).toArrow().sort_by([("c", "descending"), ("w", "ascending")])
     ends = next((r.c for r in counts.filter(F.col("w") == END).collect()), 0)
-    slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // SLOT))
+    slots = max(SLOTS, -(-n // SLOT))
     vocabulary = Vocabulary(head.column("w").to_pylist(), head.column("c").to_numpy(), ends, slots)
     restaurants = train_pairs(docs, vocabulary, text_col)
 
@@ -526,12 +534,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         held: list[np.ndarray] = []
         many, first = 0, None
 
-        def rows_of(out: list[tuple]) -> Iterator[pa.RecordBatch]:
-            for at in range(0, len(out), 1 << 14):
-                cols = zip(*out[at : at + (1 << 14)], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+        def batch(rows: int, **columns: pa.Array | list) -> pa.RecordBatch:
+            made = {c: x if isinstance(x, pa.Array) else pa.array(x, types[names.index(c)]) for c, x in columns.items()}
+            return pa.RecordBatch.from_arrays([made[c] if c in made else pa.nulls(rows, t) for c, t in zip(names, types, strict=True)], names)
 
-        def pairs_out() -> Iterator[pa.RecordBatch]:
+        def pairs_out() -> pa.RecordBatch:
             """A row a slot: pairs, how often each occurs, and in which texts (counted from uid on)."""
             pairs, doc = np.concatenate([np.empty(0, np.int64), *held]), np.repeat(np.arange(len(held)), [len(x) for x in held])
             order = np.argsort(pairs)
@@ -548,29 +555,32 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 change = np.nonzero(np.diff(ctx, prepend=-1))[0]
                 often = np.diff(np.append(start, e - s))
                 menu = np.concatenate([[len(change)], np.diff(np.append(change, len(own))), often])
-                out.append((first, None, None, 0, 0, 0.0, int(slot[s]), _pack(ctx[change]), _pack(menu.astype("<u4")), _pack((own & ((1 << _DISH) - 1)).astype("<u4")), _pack(doc[s:e].astype("<u4"))))
-            return rows_of(out)
+                out.append((int(slot[s]), _pack(ctx[change]), _pack(menu.astype("<u4")), _pack((own & ((1 << _DISH) - 1)).astype("<u4")), _pack(doc[s:e].astype("<u4"))))
+            slots, *blobs = zip(*out, strict=True)
+            return batch(len(out), uid=[first] * len(out), slot=slots, **dict(zip(("context", "sizes", "dish", "docs"), blobs, strict=True)))
 
         for b in pieces(batches):
-            out: list[tuple] = []
-            for uid, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            size, known, base, tail, owners = [], [], [], [], []
+            for uid, text in zip(b.column(0).to_pylist(), b.column(2), strict=True):
                 tokens = tokens_of(text.as_py())
                 i = v.ids(tokens)
-                known = i[i >= 0]
-                tail = Counter([tokens[x] for x in np.nonzero(i < 0)[0].tolist()])
-                base = float(log_c[known].sum()) + float(np.log10(ends + 1)) - lone * (len(tokens) + 1)
-                nothing = (None,) * 5
-                out.append((uid, key, None, len(tokens) + 1, len(known) + (ends > 0), base, *nothing))
-                out += [(uid, None, w, x, 0, 0.0, *nothing) for w, x in tail.items()]
+                mine = i[i >= 0]
+                size.append(len(tokens) + 1)
+                known.append(len(mine) + (ends > 0))
+                base.append(float(log_c[mine].sum()) + float(np.log10(ends + 1)) - lone * (len(tokens) + 1))
+                tail += [tokens[x] for x in np.nonzero(i < 0)[0].tolist()]
+                owners.append(len(tokens) - len(mine))
                 first = uid if first is None else first
                 held.append(v.pairs(tokens, i))
                 many += len(tokens) + 1
                 if many >= CHUNK:
-                    yield from pairs_out()
+                    yield pairs_out()
                     held, many, first = [], 0, None
-            yield from rows_of(out)
+            yield batch(b.num_rows, uid=b.column(0), id=b.column(1), n=size, known=known, base=base)
+            for at, uid in zip(range(0, len(tail), 1 << 16), np.array_split(np.repeat(b.column(0).to_numpy(), owners), range(1 << 16, len(tail), 1 << 16)), strict=False):
+                yield batch(len(uid), uid=uid, w=tail[at : at + (1 << 16)])
         if held:
-            yield from pairs_out()
+            yield pairs_out()
 
     tagged = docs.select(F.monotonically_increasing_id().alias("uid"), id_col, F.col(text_col).cast("binary").alias("t"))
     schema = f"uid long, id {kind.simpleString()}, w binary, n long, known long, base double, slot long, context binary, sizes binary, dish binary, docs binary"
@@ -578,19 +588,30 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def meet(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         known = _sum_menus(theirs) if theirs.num_rows else None
-        uid, at, times, pairs = [], [], [], []
+        chunk, texts, times, pairs = [], [], [], []
         for first, *row in zip(*(mine.column(c) for c in ("uid", "context", "sizes", "dish", "docs")), strict=True):
             ctx, sizes, dish, doc = (_unpack(x.as_py(), k) for x, k in zip(row, ("<i8", "<u4", "<u4", "<u4"), strict=True))
             m = int(sizes[0])
             pairs.append(np.repeat(ctx, sizes[1 : m + 1]) << _DISH | dish.astype(np.int64))
-            times.append(sizes[m + 1 :].astype(np.int64))
-            uid.append(first.as_py() + doc.astype(np.int64))
+            times.append(sizes[m + 1 :])
+            chunk.append(first.as_py())
+            texts.append(doc)
         if not pairs:
-            return pa.table({"uid": pa.array([], pa.int64()), "lp": pa.array([], pa.float64())})
+            return pa.table({"chunk": pa.array([], pa.int64()), "texts": pa.array([], pa.binary()), "lp": pa.array([], pa.binary())})
         distinct, at = np.unique(np.concatenate(pairs), return_inverse=True)
-        lp = np.repeat(pair_log_p(distinct, known, roots.value, d)[at], np.concatenate(times))
-        texts, at = np.unique(np.concatenate(uid), return_inverse=True)
-        return pa.table({"uid": texts, "lp": np.bincount(at, lp, len(texts))})
+        lp, at, out = pair_log_p(distinct, known, roots.value, d), np.split(at, np.cumsum([len(x) for x in pairs])[:-1]), []
+        for place, often, doc in zip(at, times, texts, strict=True):
+            total = np.bincount(doc, np.repeat(lp[place], often))
+            there = np.nonzero(total)[0]
+            out.append((_pack(there.astype("<u4")), _pack(total[there].astype("<f4"))))
+        return pa.table({"chunk": chunk, "texts": pa.array([x for x, _ in out], pa.binary()), "lp": pa.array([x for _, x in out], pa.binary())})
+
+    def add(rows: pa.Table) -> pa.Table:
+        """The sums of a chunk's texts over all slots."""
+        doc, lp = (np.concatenate([_unpack(x.as_py(), k) for x in rows.column(c)]) for c, k in (("texts", "<u4"), ("lp", "<f4")))
+        total = np.bincount(doc, lp.astype(np.float64))
+        there = np.nonzero(total)[0]
+        return pa.table({"uid": rows.column("chunk")[0].as_py() + there, "own": total[there]})
 
     first, parts = v.first[v.parts > 1], v.parts[v.parts > 1]
     copies = F.col("slot")
@@ -603,12 +624,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         there = model.restaurants
     there = there.select(copies.alias("slot"), "context", "sizes", "dish", "n")
     asked = rows.filter("slot is not null").select("slot", "uid", "context", "sizes", "dish", "docs")
-    own = asked.groupBy("slot").cogroup(there.groupBy("slot")).applyInArrow(meet, "uid long, lp double").groupBy("uid").agg(F.sum("lp").alias("own"))
+    own = asked.groupBy("slot").cogroup(there.groupBy("slot")).applyInArrow(meet, "chunk long, texts binary, lp binary")
+    own = own.groupBy("chunk").applyInArrow(add, "uid long, own double")
 
     by_count = docs.sparkSession.createDataFrame([(c, rare_log_p(c, rare)) for c in rare["counts"]], "c long, lp double")
     few = _rare_words(model.counts, model.rare_from).join(F.broadcast(by_count), "c").select("w", "c", "lp")
     unknown = rare_log_p(0, rare)
-    tail = rows.filter("w is not null").select("uid", "w", "n").join(few, "w", "left")
+    tail = rows.filter("w is not null").groupBy("uid", "w").agg(F.count("*").alias("n")).join(few, "w", "left")
     sums = tail.groupBy("uid").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("tail_known"),
         F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))).alias("tail_base"),

@@ -161,7 +161,7 @@ def _texts():
 @pytest.mark.parametrize(("slot", "split", "chunk"), [(1 << 22, 1 << 21, 1 << 22), (50, 40, 100)])
 def test_scores_by_brute_force(spark, monkeypatch, slot, split, chunk):
     """Small slots and chunks, and contexts dealt out over many slots, change nothing."""
-    for name, value in (("SLOT", slot), ("SPLIT", split), ("CHUNK", chunk)):
+    for name, value in (("SLOTS", 3), ("SLOT", slot), ("SPLIT", split), ("CHUNK", chunk)):
         monkeypatch.setattr(py, name, value)
     train, test = _texts()
     model = py.train(docs(spark, list(enumerate(train))))
