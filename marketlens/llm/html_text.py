@@ -24,7 +24,6 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,7 @@ from marketlens.llm.url_filter import host_and_path
 
 RUN, MIN_PAGES, MIN_SHARE, BLOCK_PAGES, BLOCK_SHARE, COPY_SHARE = 8, 3, 0.1, 8, 0.5, 0.75
 #: Words of a shard, if the host has pages enough for several; and pages of a slice that marked runs are brought to.
-SHARD_WORDS, SLICE = 1 << 18, 512
+SHARD_WORDS, SLICE = 1 << 16, 512
 #: Marked runs that are handed to all tasks; more are joined.
 BROADCAST_RUNS = 1 << 20
 
@@ -158,14 +157,33 @@ def blocks_of(page: str) -> tuple[list[str], list[bool]]:
     return blocks, sure
 
 
-@lru_cache(maxsize=1 << 19)
-def _word(word: str) -> int:
-    return xxhash.xxh32_intdigest(word.encode(errors="replace"))
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_BASE, _CUT = 0x9E3779B97F4A7C15, 1 << 16
+_UP, _DOWN = _powers(_BASE, _CUT + 1), _powers(pow(_BASE, -1, 1 << 64), _CUT + 1)
 
 
 def words_of(blocks: Sequence[str]) -> np.ndarray:
-    """The words of the blocks as numbers, end to end."""
-    return np.array([_word(w) for b in blocks for w in b.split(" ")], np.uint32)
+    """The words of the blocks as numbers, end to end: hashes by differences of prefix sums over their bytes."""
+    data = np.frombuffer(" ".join(blocks).encode(errors="replace"), np.uint8)
+    ends = np.append(np.nonzero(data == 32)[0], len(data))
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    out, k = [np.empty(0, np.uint32)], 0
+    while k < len(ends) and len(data):
+        e = max(k + 1, int(np.searchsorted(ends, starts[k] + _CUT, "right")))
+        piece = data[starts[k] : ends[e - 1]].astype(np.uint64) + np.uint64(1)
+        up, down = (_UP, _DOWN) if len(piece) <= _CUT else (_powers(_BASE, len(piece) + 1), _powers(pow(_BASE, -1, 1 << 64), len(piece) + 1))
+        sums = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(piece * up[: len(piece)], out=sums[1:])
+        a, z = starts[k:e] - starts[k], ends[k:e] - starts[k]
+        h = (sums[z] - sums[a]) * down[a]
+        out.append(((h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32))
+        k = e
+    return np.concatenate(out)
 
 
 def run_keys(words: np.ndarray) -> np.ndarray:
@@ -233,13 +251,15 @@ def shard_runs(pages: list[np.ndarray], least: float) -> tuple[np.ndarray, np.nd
     return keys, own[often][first]
 
 
-def clean(blocks: Sequence[str], sure: Sequence[bool], level: Callable[[np.ndarray], np.ndarray]) -> str:
+def clean(blocks: Sequence[str], sure: Sequence[bool], level: Callable[[np.ndarray], np.ndarray] | None) -> str:
     """The main text of a page; level: for keys of runs 0, 1 (boilerplate) or 2 (of sure blocks as well)."""
-    words = [b.split(" ") for b in blocks]
+    if level is None:
+        return "\n".join(blocks)
     flat = words_of(blocks)
     marks = level(run_keys(flat))
     if not marks.any():
         return "\n".join(blocks)
+    words = [b.split(" ") for b in blocks]
     here = np.zeros(len(flat), np.int8)
     for k in range(RUN):
         np.maximum(here[k : k + len(marks)], marks, out=here[k : k + len(marks)])
@@ -273,7 +293,7 @@ def _levels(keys: np.ndarray, levels: np.ndarray) -> Callable[[np.ndarray], np.n
     return find
 
 
-Work = Callable[[pa.RecordBatch, Callable[[str], Callable[[np.ndarray], np.ndarray]]], pa.RecordBatch]
+Work = Callable[[pa.RecordBatch, Callable[[str], Callable[[np.ndarray], np.ndarray] | None]], pa.RecordBatch]
 
 
 def _with_runs(pages: DataFrame, columns: list[str], runs: DataFrame, schema: str, work: Work) -> DataFrame:
@@ -284,11 +304,10 @@ def _with_runs(pages: DataFrame, columns: list[str], runs: DataFrame, schema: st
         edge = [k for k in range(len(host)) if k == 0 or host[k] != host[k - 1]]
         table = {host[s]: (key[s:e], level[s:e]) for s, e in zip(edge, [*edge[1:], len(host)], strict=False)}
         shared = pages.sparkSession.sparkContext.broadcast(table)
-        none = np.empty(0, np.int64), np.empty(0, np.int64)
 
         def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in pieces(batches):
-                yield work(b, lambda host: _levels(*shared.value.get(host, none)))
+                yield work(b, lambda host: _levels(*shared.value[host]) if host in shared.value else None)
 
         return pages.select(columns).mapInArrow(over, schema)
     size = materialise(pages.groupBy("host").agg(F.count("*").alias("w")), "html-slices")
@@ -346,6 +365,8 @@ def _host_runs(parsed: DataFrame) -> DataFrame:
         def seen(b: pa.RecordBatch, look: Callable) -> pa.RecordBatch:
             held: dict[str, list[np.ndarray]] = {}
             for host, blocks in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if look(host) is None:
+                    continue
                 keys = np.unique(run_keys(words_of(blocks.as_py())))
                 held.setdefault(host, []).append(keys[look(host)(keys) > 0])
             rows = [(h, *np.unique(np.concatenate(k), return_counts=True)) for h, k in held.items()]
