@@ -137,9 +137,10 @@ def listings_by_condition(df: DataFrame) -> DataFrame:
 
 
 def price_ranking(df: DataFrame) -> DataFrame:
-    """Mean and median price of brands, currencies apart."""
+    """Mean, exact median and largest price of brands, currencies apart; equal prices are counted before they meet."""
     found = df.filter("marca is not null").groupBy("marca", "moneda")
-    return found.agg(F.count("*").alias("publicaciones"), mean("precio").alias("precio_promedio"), F.max("precio").cast("double").alias("precio_maximo"))
+    middle = F.round(F.percentile(F.col("precio").cast("double"), 0.5), 4)
+    return found.agg(F.count("*").alias("publicaciones"), mean("precio").alias("precio_promedio"), middle.alias("precio_mediano"), F.max("precio").cast("double").alias("precio_maximo"))
 
 
 def price_trend(df: DataFrame) -> DataFrame:

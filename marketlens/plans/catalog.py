@@ -316,9 +316,9 @@ def report_index(v: Views) -> DataFrame:
     return landing.report_index(links, BASE, LISTING)
 
 
-def _registration_pages(v: Views) -> DataFrame:
+def _registration_pages(v: Views, kind: str = "0km") -> DataFrame:
     """Yearly pages with a table of brands by months."""
-    new = v.registrations.filter("tipo_vehiculo = '0km' and marca is not null")
+    new = v.registrations.filter((F.col("tipo_vehiculo") == kind) & F.col("marca").isNotNull())
     months = new.groupBy("anio", "marca").pivot("mes", list(range(1, 13))).agg(F.sum("cantidad"))
     cell = lambda m: F.concat(F.lit("<td> "), F.coalesce(F.replace(_thousands(F.col(str(m))), F.lit(","), F.lit(".")), F.lit("-")), F.lit("</td>"))
     row = months.select("anio", F.concat(F.lit("<tr><td>"), "marca", F.lit("</td>"), *(cell(m) for m in range(1, 13)), F.lit("</tr>")).alias("r"))
@@ -420,7 +420,7 @@ def listing_flatten(v: Views) -> DataFrame:
 
 @query
 def item_detail_lookup(v: Views) -> DataFrame:
-    ids = v.table("lineitem").filter("l_orderkey % 100 = 1").select(F.concat(F.lit("MLA"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("meli_id")).distinct()
+    ids = v.table("lineitem").filter("l_orderkey % 100 = 0").select(F.concat(F.lit("MLA"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("meli_id")).distinct()
     details = v.listings.select("meli_id", "marca", "modelo", F.col("precio").cast("double").alias("precio"))
     return ids.join(details, "meli_id", "left")
 
@@ -497,12 +497,14 @@ def listing_stream(v: Views) -> DataFrame:
     return store.read("listings").select("meli_id", "fecha_snapshot", "marca", "modelo", "anio", F.col("precio").cast("double").alias("precio"), "estado", "es_nuevo")
 
 
-@query
-def job_full(v: Views) -> DataFrame:
-    """All four sources landed, loaded into a store, and the indicators of what it holds."""
+def _full_load(v: Views) -> Store:
+    """All sources landed and loaded into a store, and the indicators of what it holds."""
     folder = new_folder(v.spark, "job")
     zone, store = f"{folder}/zone", Store(v.spark, f"{folder}/store")
     _registration_pages(v).write.parquet(f"{zone}/{jobs.PAGES}")
+    _registration_pages(v, "usado").write.parquet(f"{zone}/{jobs.USED_PAGES}")
+    v.interest_monthly.withColumn("marca", F.lit(None).cast("string")).select("fecha", "marca", "busquedas").write.parquet(f"{zone}/{jobs.INTEREST}")
+    v.wages.write.parquet(f"{zone}/{jobs.WAGES}")
     _cells(v).write.parquet(f"{zone}/{jobs.GRIDS}")
     _series_pages(v).write.parquet(f"{zone}/{jobs.SERIES}")
     _loan_rows(v).write.csv(f"{zone}/{jobs.LOANS}", sep=";", header=True, encoding="ISO-8859-1")
@@ -511,10 +513,39 @@ def job_full(v: Views) -> DataFrame:
     done = jobs.run_full(v.spark, zone, store, AS_OF)
     if set(done.values()) != {"success"}:
         raise RuntimeError(str(done))
-    rows = store.read("indicators").groupBy("indicador", "marca")
+    return store
+
+
+@query
+def job_full(v: Views) -> DataFrame:
+    """The full load, and of what it stored the indicators of stock and production."""
+    rows = _full_load(v).read("indicators").filter(F.col("indicador").isin("rotacion_stock", "produccion_demanda")).groupBy("indicador", "marca")
     return rows.agg(F.count("*").alias("meses"), F.max_by("valor", "fecha").cast("double").alias("ultimo"))
 
 
+@query
+def job_tables(v: Views) -> DataFrame:
+    """The full load, and how many rows it stored of each source that is kept whole; of listings and of each indicator it must have some."""
+    store = _full_load(v)
+    kinds = {r[0] for r in store.read("indicators").select("indicador").distinct().collect()}
+    if not kinds >= {"rotacion_stock", "produccion_demanda", "tension_demanda", "atencion"} or store.read("listings").isEmpty():  # the landed wages end before the snapshot
+        raise RuntimeError(f"no listings, or not all indicators: {sorted(kinds)}")
+    return explore.table_stats({name: store.read(name) for name in ("registrations", "production", "macro")})
+
+
+@query
+def principal_variables(v: Views) -> DataFrame:
+    point = F.struct(F.col("indicador").alias("descripcion"), F.col("valor").cast("string").alias("valor"), F.col("fecha").cast("string").alias("fecha"))
+    pages = v.macro.groupBy(F.trunc("fecha", "MM")).agg(F.to_json(F.struct(F.collect_list(point).alias("results"))).alias("json"))  # 31 days of the series
+    return landing.principal_variables(pages).withColumn("valor", F.col("valor").cast("double"))
+
+
+@query
+def first_rows(v: Views) -> DataFrame:
+    """The first hundred rows of a filtered frame."""
+    return explore.registrations_list(v.within("o_orderdate", date(1998, 1, 1), date(1999, 1, 1)).registrations, date(1998, 1, 1), date(1998, 12, 31), None, "usado")
+
+
 # --- indicators and analytics ----------------------------------------------------------------------------------------
 
 

@@ -5,12 +5,15 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 from datetime import date, datetime, timedelta
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens import schemas
 from marketlens.operators import indicators
+from marketlens.operators.merge import with_fallback
 from marketlens.operators.windows import cap_per_group
 from marketlens.sources import landing
 from marketlens.sources.store import Store
@@ -18,8 +21,9 @@ from marketlens.streaming.ingest import merge_into
 
 log = logging.getLogger(__name__)
 
-#: Folders of the landing zone.
-PAGES, GRIDS, SERIES, LOANS, LISTINGS = "registration_pages", "production_grids", "series", "loans", "listing_pages"
+#: Folders of the landing zone. The ones marked optional may be missing.
+PAGES, USED_PAGES, OTHER_PAGES, GRIDS, SHEETS = "registration_pages", "used_pages", "fallback_pages", "production_grids", "production_sheets"
+SERIES, LOANS, LISTINGS, INTEREST, WAGES = "series", "loans", "listing_pages", "interest", "wages"
 
 
 def last_month(as_of: datetime) -> tuple[date, date]:
@@ -29,6 +33,16 @@ def last_month(as_of: datetime) -> tuple[date, date]:
     return date(year, month, min(as_of.day, last)), as_of.date()
 
 
+def landed(spark: SparkSession, zone: str, name: str, schema: str) -> DataFrame:
+    """An optional folder of the zone; an empty frame where it is missing."""
+    try:
+        return spark.read.parquet(f"{zone}/{name}")
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def sync_macro(spark: SparkSession, zone: str, store: Store, as_of: datetime, first: date | None = None, last: date | None = None) -> DataFrame:
     """All known series and the pledge loans within a window, in one merge."""
     a, z = first or last_month(as_of)[0], last or last_month(as_of)[1]
@@ -40,30 +54,51 @@ def sync_macro(spark: SparkSession, zone: str, store: Store, as_of: datetime, fi
 
 
 def market_snapshot(spark: SparkSession, zone: str, store: Store, as_of: datetime, brands: list[str] | None = None, per_brand: int = 100) -> DataFrame:
-    """The landed search pages of the brands, the first items of each, flattened and merged."""
-    items = landing.listing_items(spark.read.parquet(f"{zone}/{LISTINGS}")).filter(F.col("query_brand").isin(brands or schemas.BRANDS))
+    """The landed search pages of the brands (all landed ones, if not given), the first items of each, flattened and merged."""
+    items = landing.listing_items(spark.read.parquet(f"{zone}/{LISTINGS}"))
+    items = items.filter(F.col("query_brand").isin(brands)) if brands else items
     first = cap_per_group(items, "query_brand", per_brand, ["offset", "pos"])
     return merge_into(store, "listings", landing.flatten_listings(first, as_of.date().isoformat()), ["precio"], ["precio", "estado"], as_of, ["precio"])
 
 
 def load_registrations(spark: SparkSession, zone: str, store: Store, as_of: datetime) -> DataFrame:
-    batch = landing.registrations_from_pages(spark.read.parquet(f"{zone}/{PAGES}"))
-    return merge_into(store, "registrations", batch, ["cantidad"], ["cantidad"], as_of, ["cantidad"])
+    """New and used vehicles of the first source; those of the other source only if the first has none at all."""
+    page = "url string, html string"
+    new = landing.registrations_from_pages(spark.read.parquet(f"{zone}/{PAGES}"))
+    used = landing.registrations_from_pages(landed(spark, zone, USED_PAGES, page), "usado")
+    other = landing.registrations_from_pages(landed(spark, zone, OTHER_PAGES, page), source="ACARA")
+    return merge_into(store, "registrations", with_fallback([new, used], other), ["cantidad"], ["cantidad"], as_of, ["cantidad"])
 
 
 def load_production(spark: SparkSession, zone: str, store: Store, as_of: datetime) -> DataFrame:
-    batch = landing.production_from_grid(spark.read.parquet(f"{zone}/{GRIDS}"))
+    """Report grids, and sheets of the months that have no grid."""
+    grid = landing.production_from_grid(spark.read.parquet(f"{zone}/{GRIDS}"))
+    sheet = landing.production_from_sheet(landing.sheets_csv(spark, f"{zone}/{SHEETS}"))
+    batch = grid.unionByName(sheet.join(grid.select("fecha").distinct(), "fecha", "left_anti"))
     measures = ["unidades_producidas", "unidades_exportadas"]
     return merge_into(store, "production", batch, measures, measures, as_of, measures)
 
 
-def calculate_indicators(store: Store, as_of: datetime) -> DataFrame:
-    """Stock rotation and production against demand, from what the store holds."""
-    made, sold = store.read("production", schemas.PRODUCTION), store.read("registrations", schemas.REGISTRATIONS)
+def calculate_indicators(store: Store, as_of: datetime, interest: DataFrame | None = None, wages: DataFrame | None = None) -> DataFrame:
+    """The four composite indicators and production against demand, from what the store holds, search interest and wages."""
+    spark = store.spark
+    made, sold, macro, listed = (store.read(t, getattr(schemas, t.upper())) for t in ("production", "registrations", "macro", "listings"))
+    interest = spark.createDataFrame([], schemas.INTEREST) if interest is None else interest
+    wages = spark.createDataFrame([], schemas.WAGES) if wages is None else wages
     rotation = indicators.stock_rotation(made, sold).withColumn("valor", F.col("dias_stock"))
     ratio = indicators.production_vs_demand(made, sold).withColumn("valor", F.col("razon"))
-    rows = indicators.as_records(rotation, "rotacion_stock", "dias", ["internas", "vendidas", "stock"], "marca")
-    rows = rows.unionByName(indicators.as_records(ratio, "produccion_demanda", "razon", ["internas", "vendidas"]))
+    tension = indicators.demand_tension(sold, macro, interest)
+    access = indicators.affordability(listed, wages, macro).withColumn("valor", F.col("indice"))
+    month = F.lit(as_of).cast("date")
+    attention = indicators.attention_ranking(interest, listed).withColumns({"valor": F.col("puntaje"), "mes": F.trunc(month, "MM")})
+    records = [
+        indicators.as_records(rotation, "rotacion_stock", "dias", ["internas", "vendidas", "stock"], "marca"),
+        indicators.as_records(ratio, "produccion_demanda", "razon", ["internas", "vendidas"]),
+        indicators.as_records(tension, "tension_demanda", "puntos", list(indicators.DEMAND)),
+        indicators.as_records(access, "accesibilidad", "porcentaje", ["precio", "salario", "tasa", "cuota"]),
+        indicators.as_records(attention, "atencion", "puntos", ["busquedas", "activas"], "marca"),
+    ]
+    rows = reduce(DataFrame.unionByName, records)
     return merge_into(store, "indicators", rows, ["valor"], ["valor", "detalles"], as_of, ["valor"])
 
 
@@ -72,16 +107,16 @@ SOURCES: dict[str, Step] = {"macro": sync_macro, "listings": market_snapshot, "r
 
 
 def run(spark: SparkSession, zone: str, store: Store, as_of: datetime, sources: list[str]) -> dict[str, str]:
-    """Runs the sources and then the indicators; how each ended."""
+    """Runs the sources and then the indicators; how each ended: success, no_data (nothing to merge) or an error."""
     done = {}
     for name in sources:
         try:
-            SOURCES[name](spark, zone, store, as_of)
-            done[name] = "success"
+            touched = SOURCES[name](spark, zone, store, as_of).filter("action <> 'kept'")
+            done[name] = "no_data" if touched.isEmpty() else "success"
         except Exception as problem:  # noqa: BLE001  the others go on
             log.exception("source %s failed", name)
             done[name] = f"error: {type(problem).__name__}"
-    calculate_indicators(store, as_of)
+    calculate_indicators(store, as_of, landed(spark, zone, INTEREST, schemas.INTEREST), landed(spark, zone, WAGES, schemas.WAGES))
     return done
 
 

@@ -136,8 +136,8 @@ def sql() -> dict[str, str]:
         "listings_by_condition": _with("listings", """
             SELECT marca, count(*) FILTER (condicion = 'new') AS nuevos, count(*) FILTER (condicion = 'used') AS usados, count(*) AS total FROM listings GROUP BY 1"""),
         "price_ranking": _with("listings", """
-            SELECT marca, moneda, count(*) AS publicaciones, CAST(sum(precio) AS DOUBLE) / count(precio) AS precio_promedio, CAST(max(precio) AS DOUBLE) AS precio_maximo
-            FROM listings WHERE marca IS NOT NULL GROUP BY 1, 2"""),
+            SELECT marca, moneda, count(*) AS publicaciones, CAST(sum(precio) AS DOUBLE) / count(precio) AS precio_promedio,
+            round(quantile_cont(CAST(precio AS DOUBLE), 0.5), 4) AS precio_mediano, CAST(max(precio) AS DOUBLE) AS precio_maximo FROM listings WHERE marca IS NOT NULL GROUP BY 1, 2"""),
         "price_trend": _with("listings", """
             SELECT fecha_snapshot, moneda, count(*) AS publicaciones, CAST(sum(precio) AS DOUBLE) / count(precio) AS precio_promedio FROM listings GROUP BY 1, 2"""),
         "macro_monthly": _with("macro", """
@@ -225,7 +225,7 @@ def sql() -> dict[str, str]:
             provincia, CAST(NULL AS VARCHAR) AS ciudad, estado, condicion, modelo AS titulo, condicion = 'new' AS es_nuevo FROM listings"""),
         "item_detail_lookup": _with("listings", """
             SELECT meli_id, marca, modelo, CAST(precio AS DOUBLE) AS precio
-            FROM (SELECT DISTINCT concat('MLA', CAST(l_orderkey AS VARCHAR), '-', CAST(l_linenumber AS VARCHAR)) AS meli_id FROM lineitem WHERE l_orderkey % 100 = 1) LEFT JOIN listings USING (meli_id)"""),
+            FROM (SELECT DISTINCT concat('MLA', CAST(l_orderkey AS VARCHAR), '-', CAST(l_linenumber AS VARCHAR)) AS meli_id FROM lineitem WHERE l_orderkey % 100 = 0) LEFT JOIN listings USING (meli_id)"""),
         "upsert_registrations": _with("registrations", "") + "," + _REGISTRATIONS_MERGE + " SELECT * FROM merged",
         "upsert_production": _with("production", "") + "," + _merge(
             "production", "fecha, terminal, fuente", "fecha", "unidades_producidas, unidades_exportadas",
@@ -249,7 +249,15 @@ def sql() -> dict[str, str]:
         "listing_stream": _with("listings", """
             SELECT meli_id, DATE '2001-09-01' AS fecha_snapshot, marca, modelo, anio, CAST(precio AS DOUBLE) AS precio, estado, condicion = 'new' AS es_nuevo FROM listings
             QUALIFY row_number() OVER (PARTITION BY meli_id ORDER BY listings.precio DESC) = 1"""),
+        "principal_variables": _with("macro", "SELECT indicador AS descripcion, max(fecha) AS fecha, CAST(arg_max(valor, fecha) AS DOUBLE) AS valor FROM macro GROUP BY 1"),
+        "first_rows": _with("registrations", """
+            SELECT fecha, marca, modelo, tipo_vehiculo, cantidad, fuente FROM registrations WHERE fecha BETWEEN DATE '1998-01-01' AND DATE '1998-12-31' AND tipo_vehiculo = 'usado'
+            ORDER BY fecha DESC, marca NULLS LAST, modelo, fuente, cantidad LIMIT 100"""),
         "job_full": _with("registrations production", "") + "," + _JOB,
+        "job_tables": _with("registrations production macro", """
+            SELECT 'registrations' AS tabla, count(*) AS filas FROM (SELECT DISTINCT fecha, marca, tipo_vehiculo FROM registrations WHERE marca IS NOT NULL)
+            UNION ALL SELECT 'production', count(*) FROM production
+            UNION ALL SELECT 'macro', count(*) + count(*) FILTER (indicador = 'tasa_badlar') FROM macro WHERE fecha BETWEEN DATE '2001-08-01' AND DATE '2001-09-01'"""),
         "demand_tension": _with("registrations macro interest_monthly", "") + """,
             m AS (SELECT fecha AS mes, CAST(sum(cantidad) AS DOUBLE) AS total FROM registrations WHERE tipo_vehiculo = '0km' GROUP BY 1),
             u AS (SELECT a.mes, round(100.0 * (a.total - b.total) / nullif(b.total, 0), 4) AS registros FROM m a LEFT JOIN m b ON b.mes = a.mes - to_months(12)),

@@ -17,6 +17,9 @@ LISTINGS = (
 )
 INDICATORS = "fecha DATE, periodo STRING, indicador STRING, marca STRING, segmento STRING, valor DECIMAL(18,4), detalles STRING, descripcion STRING, unidad STRING" + STAMPS
 
+INTEREST, WAGES = "fecha DATE, marca STRING, busquedas BIGINT", "fecha DATE, salario DOUBLE"
+
+VARIABLES_PAGE = "results ARRAY<STRUCT<descripcion: STRING, valor: STRING, fecha: STRING>>"
 SERIES_PAGE = "results ARRAY<STRUCT<fecha: STRING, valor: STRING, descripcion: STRING>>"
 QUOTES_PAGE = "results ARRAY<STRUCT<fecha: STRING, moneda: STRING, cotizacion: STRING>>"
 LISTING_ITEM = (

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,6 +113,24 @@ def production_from_sheet(sheet: DataFrame) -> DataFrame:
     return _production(sheet, F.coalesce(*name), made, exported)
 
 
+def sheets_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Sheets as CSV files in folders by report, periodo=2024-01 and so on; no rows where there are none."""
+    try:
+        return spark.read.csv(path, header=True, schema="Terminal string, Marca string, `Producción` string, `Exportación` string, periodo string", enforceSchema=False)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "Terminal string, Marca string, `Producción` string, `Exportación` string, periodo string")
+
+
+def principal_variables(pages: DataFrame) -> DataFrame:
+    """pages(json) of {results: [{descripcion, valor, fecha}]}: each variable's last value."""
+    points = pages.select(F.explode(F.from_json("json", schemas.VARIABLES_PAGE)["results"]).alias("r"))
+    found = points.select(F.col("r.descripcion").alias("descripcion"), F.try_to_date("r.fecha", "yyyy-MM-dd").alias("fecha"), F.col("r.valor").try_cast("decimal(18,4)").alias("valor"))
+    found = found.filter("descripcion is not null and fecha is not null and valor is not null")
+    return found.groupBy("descripcion").agg(F.max("fecha").alias("fecha"), F.max_by("valor", "fecha").alias("valor"))
+
+
 def macro_from_json(pages: DataFrame, series: DataFrame) -> DataFrame:
     """pages(serie_id, json) of {results: [{fecha, valor}]} and series(serie_id, indicador) -> macro records."""
     points = pages.select("serie_id", F.explode(F.from_json("json", schemas.SERIES_PAGE)["results"]).alias("r"))

@@ -26,7 +26,7 @@ class Store:
         try:
             rows = self.spark.read.parquet(f"{self.root}/{table}")
         except AnalysisException as problem:
-            if schema is None or problem.getCondition() != "PATH_NOT_FOUND":
+            if schema is None or problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
             return self.spark.createDataFrame([], schema)
         if months is not None:

@@ -100,6 +100,38 @@ def test_jobs_end_to_end(spark, tmp_path):
     assert "registrations_x" in export_csv(store.read("registrations"), str(tmp_path / "out"), "registrations", "x")
 
 
+def test_used_and_fallback_registrations_and_sheets(spark, tmp_path):
+    zone, store, now = str(tmp_path / "zone"), Store(spark, str(tmp_path / "store")), datetime(2024, 3, 1)
+    page, none = spark.createDataFrame([("u", PAGE)], "url string, html string"), spark.createDataFrame([("u", "<p>")], "url string, html string")
+    page.write.parquet(f"{zone}/{jobs.PAGES}")
+    page.write.parquet(f"{zone}/{jobs.USED_PAGES}")
+    page.write.parquet(f"{zone}/{jobs.OTHER_PAGES}")
+    jobs.load_registrations(spark, zone, store, now)
+    assert sorted((r.tipo_vehiculo, r.fuente) for r in store.read("registrations").collect()) == [("0km", "FACCARA")] * 3 + [("usado", "FACCARA")] * 3
+    none.write.mode("overwrite").parquet(f"{zone}/{jobs.PAGES}")
+    none.write.mode("overwrite").parquet(f"{zone}/{jobs.USED_PAGES}")
+    other = Store(spark, str(tmp_path / "other"))
+    jobs.load_registrations(spark, zone, other, now)
+    assert {r.fuente for r in other.read("registrations").collect()} == {"ACARA"}
+    spark.createDataFrame([("2024-01", 1, ["Toyota", "20", "5"])], "periodo string, row_no int, cells array<string>").write.parquet(f"{zone}/{jobs.GRIDS}")
+    for month, line in (("2024-01", "Toyota,,99,1"), ("2024-02", ",Fiat,7,")):
+        folder = tmp_path / "zone" / jobs.SHEETS / f"periodo={month}"
+        folder.mkdir(parents=True)
+        (folder / "a.csv").write_text("Terminal,Marca,Producción,Exportación\n" + line + "\n")
+    jobs.load_production(spark, zone, store, now)
+    assert sorted((r.terminal, r.unidades_producidas, r.unidades_exportadas) for r in store.read("production").collect()) == [("Fiat", 7, 0), ("Toyota", 20, 5)]
+
+
+def test_nothing_to_load_is_no_data(spark, tmp_path):
+    zone = _zone(spark, tmp_path)
+    assert jobs.run_full(spark, zone, Store(spark, str(tmp_path / "s")), datetime(2010, 1, 1), "macro") == {"macro": "no_data"}
+
+
+def test_principal_variables(spark):
+    page = json.dumps({"results": [{"descripcion": "Reservas", "valor": "10", "fecha": "2024-01-02"}, {"descripcion": "Reservas", "valor": "9", "fecha": "2024-01-01"}, {"descripcion": "x", "valor": "n/d", "fecha": "2024-01-01"}]})
+    assert [tuple(r) for r in landing.principal_variables(spark.createDataFrame([(page,), (None,)], "json string")).collect()] == [("Reservas", date(2024, 1, 2), Decimal("10.0000"))]
+
+
 def test_last_month():
     assert jobs.last_month(datetime(2024, 3, 31)) == (date(2024, 2, 29), date(2024, 3, 31))
     assert jobs.last_month(datetime(2024, 1, 15)) == (date(2023, 12, 15), date(2024, 1, 15))
