@@ -9,9 +9,10 @@ bound on differing bits of a fingerprint, so candidates come in two ways, and ea
    or more matter. Shingles that are common in a sample of documents come last in the order, which keeps groups small.
 
 Links of a group's rows to its smallest row are checked first. Only rows of different components are then compared pair
-by pair, so a large group of copies costs its number of rows, not its square; pairs go on only if they can still link by
-two exact bounds: what follows the first shared shingle in both orders, and the bits in which hashes of the two whole sets
-into PARITY bits differ (each is an odd number of shingles that one of them alone has).
+by pair, so a large group of copies costs its number of rows, not its square. Texts are fetched only for pairs that can
+still link by two exact bounds: what follows the first shared shingle in both orders, and the parity bits of the two whole
+sets. A set of n shingles has at least n such bits, each saying whether an odd number of its hashes falls there; every bit in
+which two sets differ is a shingle that one of them alone has.
 
 Frequent shingles are counted before rows move, and rows of hot ones are dealt out. Texts of fewer than 5 words are one
 shingle, null and empty texts have none. Null ids take no part in links. Rows equal in id and text share their fate.
@@ -20,7 +21,6 @@ shingle, null and empty texts have none. Null ids take no part in links. Rows eq
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +28,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm import simhash
-from marketlens.llm.common import attach, look_up, materialise, of_checked_size, pieces, text_hash, without
+from marketlens.llm.common import attach, bitmap, look_up, materialise, may_be_in, of_checked_size, pieces, text_hash, without
 from marketlens.llm.graph import components
 
 #: The least similarity, 4/5, is written out in whole numbers below.
 SHINGLE, THRESHOLD = 5, 4
-#: Documents sampled to learn which shingles are common, and how many of these are kept. They decide no result.
-SAMPLE_DOCS, MIN_COMMON, MAX_COMMON = 8192, 3, 1 << 18
-#: Rows of a group that are compared in one piece, and 64-bit words of a set's parity bits.
-GROUP, PARITY = 1024, 8
+#: Which shingles are common is learnt from one document in SAMPLE_EVERY, or more of a small table: SAMPLE_DOCS. A share of the
+#: documents, since otherwise the largest group of which the sample has no sign grows with the input. It decides no result.
+SAMPLE_EVERY, SAMPLE_DOCS, MIN_COMMON, MAX_COMMON = 8, 8192, 2, 1 << 18
+#: Rows of a group that are compared in one piece.
+GROUP = 1024
 
 
 def shingles(data: bytes) -> np.ndarray:
@@ -49,15 +50,23 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return shared > 0 and 9 * shared >= 4 * (len(a) + len(b))
 
 
-def parity(own: np.ndarray) -> list[int]:
-    """64 * PARITY bits: whether an odd number of the hashes falls on each."""
-    odd = np.bincount((own >> np.uint64(17)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+def parity(own: np.ndarray) -> bytes:
+    """Whether an odd number of the hashes falls on each of as many bits as there are hashes, or the next power of two (64 at least)."""
+    size = 1 << max(6, (len(own) - 1).bit_length())
+    odd = np.bincount((own >> np.uint64(17)).astype(np.int64) & (size - 1), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def far_apart(a: bytes, b: bytes, n: int) -> bool:
+    """By their parity bits, two sets of n shingles in all differ in more than may be; the longer bits are folded to the shorter."""
+    x, y = (np.frombuffer(bits, np.uint64) for bits in sorted((a, b), key=len))
+    folded = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return 9 * int(np.bitwise_count(folded ^ x).sum()) > n
 
 
 def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of common shingles, and how often the sample has them."""
-    every = max(1, rows.count() // SAMPLE_DOCS)
+    every = max(1, min(SAMPLE_EVERY, rows.count() // SAMPLE_DOCS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -72,7 +81,7 @@ def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _read(rows: DataFrame) -> DataFrame:
-    """node, fp (fingerprint), n (size of the set), bits (its parity), prefix (the first hashes in the common order); no rows without words."""
+    """node, fp (fingerprint), n (size of the set), bits (their parity), prefix (the first hashes in the common order); no rows without words."""
     shared = rows.sparkSession.sparkContext.broadcast(_common(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,40 +103,47 @@ def _read(rows: DataFrame) -> DataFrame:
             cols = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    names, types = ["node", "fp", "n", "bits", "prefix"], [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    return materialise(rows.mapInArrow(run, "node long, fp long, n int, bits array<long>, prefix array<long>"), "copies-sets")
+    names, types = ["node", "fp", "n", "bits", "prefix"], [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+    return materialise(rows.mapInArrow(run, "node long, fp long, n int, bits binary, prefix array<long>"), "copies-sets")
 
 
 def _can_link(x: str, y: str) -> Column:
-    """Neither bound says that the pair can't link."""
-    n = F.col(f"{x}.n") + F.col(f"{y}.n")
+    """Enough follows the shared shingle in both orders."""
     left = F.least(*(F.col(f"{s}.n") - F.col(f"{s}.place") for s in (x, y)))
-    apart = reduce(Column.__add__, (F.bit_count(F.col(f"{x}.bits")[k].bitwiseXOR(F.col(f"{y}.bits")[k])) for k in range(PARITY)))
-    return (9 * left >= 4 * n) & (9 * apart <= n)
+    return 9 * left >= 4 * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
 
 def _pairs(x: str, y: str) -> list[Column]:
     return [F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b")]
 
 
-def _checked(pairs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets are similar."""
-    pairs = materialise(pairs.distinct(), name + "-pairs")
-    n = pairs.count()
-    ids = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = materialise(rows.join(of_checked_size(materialise(ids, name + "-ids")), "node").groupBy("node").agg(F.any_value("t").alias("t")), name + "-texts")
-    found = pairs
+def _both_ends(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """pairs(a, b) with table(node, v), several of a node being equal: a, b, v_a, v_b."""
+    n, found = pairs.count(), pairs
     for end, other in (("a", "b"), ("b", "a")):
-        weight = pairs.groupBy(end).agg(F.count("*").alias(f"w_{end}"))
-        side = texts.select(F.col("node").alias(end), F.col("t").alias(f"t_{end}")).join(weight, end)
+        weight = pairs.groupBy(F.col(end).alias("node")).agg(F.count("*").alias("w"))
+        side = table.join(of_checked_size(weight), "node").groupBy(F.col("node").alias(end)).agg(F.any_value("v").alias(f"v_{end}"), F.any_value("w").alias(f"w_{end}"))
         found = attach(found, side, [end], f"w_{end}", n, F.col(other))
+    return found.select("a", "b", "v_a", "v_b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _checked(pairs: DataFrame, sets: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """Those of the pairs (a, b) whose whole sets are similar."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, 8192):
+            both = zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
+            keep = [not far_apart(x["bits"], y["bits"], x["n"] + y["n"]) for x, y in both]
+            yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            same = [similar(shingles(x.as_py()), shingles(y.as_py())) for x, y in zip(b.column(2), b.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(same, pa.bool_()))
+            keep = [similar(shingles(x.as_py()), shingles(y.as_py())) for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return materialise(found.select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long"), name + "-links")
+    pairs = materialise(pairs.distinct(), name + "-pairs")
+    pairs = materialise(_both_ends(pairs, sets.select("node", F.struct("n", "bits").alias("v"))).mapInArrow(near, "a long, b long"), name + "-near")
+    return materialise(_both_ends(pairs, rows.select("node", F.col("t").alias("v"))).mapInArrow(same, "a long, b long"), name + "-links")
 
 
 def _by_fingerprint(sets: DataFrame) -> DataFrame:
@@ -142,17 +158,16 @@ def _by_fingerprint(sets: DataFrame) -> DataFrame:
 def near_links(rows: DataFrame) -> DataFrame:
     """rows(node, t), t binary -> a(long), b(long): links whose components are those of all links."""
     sets = _read(rows)
-    entries = sets.select("node", F.posexplode("prefix").alias("place", "h"))
+    entries = sets.select("node", "n", F.posexplode("prefix").alias("place", "h"))
     repeated = materialise(entries.groupBy("h").agg(F.count("*").alias("w")).filter("w > 1"), "copies-repeated")
     total = repeated.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
-    spread = F.col("node")
-    met = look_up(entries, repeated, ["h"], "w", total, spread).filter("w is not null").select("h", "w", "node", "place")
-    met = met.join(sets.select("node", "n", "bits"), "node").select("h", F.struct("node", "n", "place", "bits").alias("x"))
-    met = materialise(met, "copies-met")
+    maybe = may_be_in(entries, bitmap(repeated, ["h"]), ["h"]).filter("_hit")
+    met = look_up(maybe, repeated, ["h"], "w", total, F.col("node")).filter("w is not null")
+    met = materialise(met.select("h", F.struct("node", "n", "place").alias("x")), "copies-met")
     leads = materialise(met.groupBy("h").agg(F.min("x").alias("lead"), F.count("*").alias("w")), "copies-leads")
     star = attach(met, leads, ["h"], "w", total, F.col("x.node")).filter(F.col("x.node") != F.col("lead.node"))
     candidates = star.filter(_can_link("x", "lead")).select(*_pairs("x", "lead"))
-    links = _checked(candidates.unionAll(_by_fingerprint(sets)), rows, "copies-star")
+    links = _checked(candidates.unionAll(_by_fingerprint(sets)), sets, rows, "copies-star")
     roots = materialise(components(links, "copies-roots"), "copies-roots")
     rooted = met.select("h", "x", F.col("x.node").alias("node")).join(of_checked_size(roots), "node", "left").select("h", "x", F.coalesce("root", "node").alias("root"))
     rooted = materialise(rooted, "copies-rooted")
@@ -165,7 +180,7 @@ def near_links(rows: DataFrame) -> DataFrame:
     one = dealt.filter("piece = p").select("h", "p", "q", "x", "root")
     two = dealt.filter("piece = q").select("h", "p", "q", F.col("x").alias("y"), F.col("root").alias("other"))
     across = one.join(two, ["h", "p", "q"]).filter("root <> other").filter(_can_link("x", "y")).select(*_pairs("x", "y"))
-    return links.unionAll(_checked(across, rows, "copies-across"))
+    return links.unionAll(_checked(across, sets, rows, "copies-across"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
