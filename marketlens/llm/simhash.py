@@ -134,7 +134,7 @@ def merge(lab: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def links_within(fp: np.ndarray, threshold: int, parted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest (row, smaller row) of the links among fp; parted: only links between its two values count."""
     lab = np.arange(len(fp))
-    step = max(1, (1 << 20) // max(1, len(fp)))
+    step = max(1, (1 << 18) // max(1, len(fp)))  # the matrix of differences stays at 2 MB
     for at in range(0, len(fp), step):
         near = np.bitwise_count(fp[at : at + step, None] ^ fp[None, at:]) <= threshold
         if parted is not None:
