@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.sources.shared import materialise
 
-__all__ = ["ascii_space", "attach", "bitmap", "kept_rows", "look_up", "materialise", "may_be_in", "of_checked_size", "pieces", "text_hash", "without"]
+__all__ = ["ascii_space", "attach", "bitmap", "kept_rows", "look_up", "materialise", "may_be_in", "of_checked_size", "pieces", "placed", "text_hash", "without"]
 
 #: Rows of whole documents that are worked on at once, of a batch whose bytes Spark bounds.
 BATCH_ROWS = 256
@@ -108,6 +108,25 @@ def look_up(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str,
     return left.join(F.broadcast(right), list(keys), "left").select(*left.columns, *(c for c in right.columns if c not in keys))
 
 
+def placed(rows: DataFrame, by: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """rows with _place: 0, 1, 2... among the rows of equal `by`, which has no nulls, in the order given; ties in any order.
+
+    No group goes through one task: all rows are sorted by range, ties parted by a salt, and a row's place is that in its part
+    plus the rows of its group in the parts before, of which there is a number for each part and group.
+    """
+    held = materialise(rows.withColumn("_salt", F.monotonically_increasing_id()), name + "-rows")
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), held.count() // 1_000_000)
+    keys = [*(F.col(c).asc() for c in by), *order, F.col("_salt").asc()]
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the number of a row within its part
+    dealt = held.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumns({"_part": F.spark_partition_id(), "_at": inside})
+    dealt = materialise(dealt.drop("_salt"), name + "-sorted")
+    runs = dealt.groupBy("_part", *by).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    runs = runs.select("_part", *by, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    found = dealt.join(of_checked_size(materialise(runs, name + "-runs")), ["_part", *by])
+    return found.withColumn("_place", F.col("_before") + F.col("_at") - F.col("_first")).drop("_part", "_at", "_first", "_before")
+
+
 def ascii_space(text: Column) -> Column:
     """Each run of the six ASCII white-space characters becomes one space; null becomes empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
