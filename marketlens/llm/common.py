@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marketlens.sources.shared import materialise
 
-__all__ = ["ascii_space", "attach", "bitmap", "kept_rows", "look_up", "materialise", "may_be_in", "of_checked_size", "pieces", "placed", "text_hash", "without"]
+__all__ = ["ascii_space", "attach", "attach_wide", "bitmap", "kept_rows", "look_up", "materialise", "may_be_in", "of_checked_size", "pieces", "placed", "text_hash", "without"]
 
 #: Rows of whole documents that are worked on at once, of a batch whose bytes Spark bounds.
 BATCH_ROWS = 256
@@ -101,6 +101,18 @@ def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str,
     return marked.join(cold, [*keys, "_salt"], "left").select(*left.columns, *(found[c].alias(c) for c in values))
 
 
+def attach_wide(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str, rows: int, spread: Column) -> DataFrame:
+    """attach() for values of any width: none is broadcast, a hot key's row is repeated for each share of rows/HOT_KEYS of its left rows.
+
+    Only the hot keys and their numbers of shares go to all tasks, so the repeated rows are at most HOT_KEYS more."""
+    values = [c for c in right.columns if c not in keys]
+    shares = F.ceil(F.col(weight) / max(HOT_FLOOR, rows // HOT_KEYS)).cast("int")
+    hot = right.select(*keys, shares.alias("_shares")).filter("_shares > 1")
+    dealt = left.join(F.broadcast(hot), list(keys), "left").withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_shares", F.lit(1))).cast("int"))
+    wide = right.select(*keys, *values, F.explode(F.sequence(F.lit(0), F.greatest(shares, F.lit(1)) - 1)).alias("_salt"))
+    return dealt.join(wide, [*keys, "_salt"], "left").select(*left.columns, *values)
+
+
 def look_up(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str, rows: int, spread: Column) -> DataFrame:
     """attach(), without a shuffle of left where right, which is materialised, has few rows."""
     if right.limit(BROADCAST_IDS // 4 + 1).count() > BROADCAST_IDS // 4:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm import simhash
-from marketlens.llm.common import attach, bitmap, look_up, materialise, may_be_in, of_checked_size, pieces, text_hash, without
+from marketlens.llm.common import attach, attach_wide, bitmap, look_up, materialise, may_be_in, of_checked_size, pieces, text_hash, without
 from marketlens.llm.graph import components
 
 #: The least similarity, 4/5, is written out in whole numbers below.
@@ -123,7 +123,7 @@ def _both_ends(pairs: DataFrame, table: DataFrame) -> DataFrame:
     for end, other in (("a", "b"), ("b", "a")):
         weight = pairs.groupBy(F.col(end).alias("node")).agg(F.count("*").alias("w"))
         side = table.join(of_checked_size(weight), "node").groupBy(F.col("node").alias(end)).agg(F.any_value("v").alias(f"v_{end}"), F.any_value("w").alias(f"w_{end}"))
-        found = attach(found, side, [end], f"w_{end}", n, F.col(other))
+        found = attach_wide(found, materialise(side, "copies-ends"), [end], f"w_{end}", n, F.col(other))
     return found.select("a", "b", "v_a", "v_b")
 
 

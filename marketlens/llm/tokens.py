@@ -17,8 +17,8 @@ from itertools import chain, repeat
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Words of a generation; two generations are kept.
-CACHE = 500_000
+#: Words of a generation; two generations are kept, some 50 MB each, by a worker as long as it lives.
+CACHE = 200_000
 #: The tokenizer's own pattern, for plain characters, and the characters that it counts as plain here.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
