@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from marketlens.functions.parse import instalment
+from marketlens.operators.asof import as_of
 from marketlens.operators.windows import growth, monthly
 
 #: Weights of the demand indicator's parts.
@@ -68,9 +69,9 @@ def affordability(listings: DataFrame, wages: DataFrame, macro: DataFrame, serie
     """By month: the instalment of the mean new listing at the month's last known rate, and the wage as a percentage of it."""
     price = listings.filter("condicion = 'new'").groupBy(F.trunc("fecha_snapshot", "MM").alias("mes")).agg(F.avg("precio").cast("double").alias("precio"))
     wage = wages.groupBy(F.trunc("fecha", "MM").alias("mes")).agg(F.avg("salario").cast("double").alias("salario"))
-    rate = macro.filter(F.col("indicador") == series).groupBy(F.trunc("fecha", "MM").alias("mes")).agg(F.max_by("valor", "fecha").cast("double").alias("tasa"))
-    months = price.join(wage, "mes", "left").join(rate, "mes", "left")
-    known = F.last("tasa", ignorenulls=True).over(_all().orderBy("mes").rowsBetween(Window.unboundedPreceding, 0))
+    asked = price.join(wage, "mes", "left").withColumns({"_dia": F.last_day("mes"), "indicador": F.lit(series)})
+    months = as_of(asked, macro, ["indicador"], "_dia", "fecha", ["valor"])
+    known = F.col("valor").cast("double")
     cost = instalment(F.col("precio"), known, MONTHS_TO_PAY)
     return months.select("mes", F.round("precio", 4).alias("precio"), F.round("salario", 4).alias("salario"), F.round(known, 4).alias("tasa"), F.round(cost, 4).alias("cuota"), F.round(100 * F.col("salario") / cost, 4).alias("indice"))
 

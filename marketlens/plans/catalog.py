@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marketlens import schemas
 from marketlens.functions import parse
+from marketlens.operators.asof import as_of
 from marketlens.operators import analytics, explore, indicators, windows
 from marketlens.operators.merge import dedupe_last, merge_upsert, summary, with_fallback
 from marketlens.plans import jobs
@@ -569,6 +570,15 @@ def affordability(v: Views) -> DataFrame:
     return indicators.affordability(v.listings, v.wages, v.macro)
 
 
+@query
+def rate_asof(v: Views) -> DataFrame:
+    """Each listing with the last rate of its currency's series that was published on or before its day; rates are published now and then."""
+    published = v.macro.filter((F.day("fecha") % 5 == 0) & (F.month("fecha") != 2))
+    series = F.when(F.col("moneda") == "USD", "tasa_pf_30_dias").when(F.col("condicion") == "new", "tasa_badlar").otherwise("tasa_pf_90_dias")
+    listed = v.listings.select("meli_id", "fecha_snapshot", series.alias("indicador"))
+    return as_of(listed, published, ["indicador"], "fecha_snapshot", "fecha", ["valor"], "fecha_tasa").withColumn("valor", F.col("valor").cast("double"))
+
+
 @query
 def attention_ranking(v: Views) -> DataFrame:
     return indicators.attention_ranking(v.interest, v.listings)

@@ -279,6 +279,11 @@ def sql() -> dict[str, str]:
             m AS (SELECT mes, precio, salario, last_value(tasa IGNORE NULLS) OVER (ORDER BY mes ROWS UNBOUNDED PRECEDING) AS tasa FROM p LEFT JOIN wages w ON w.fecha = mes LEFT JOIN r USING (mes)),
             c AS (SELECT *, CASE WHEN tasa = 0 THEN precio / 36 ELSE precio * (tasa / 1200.0) / (1 - pow(1 + tasa / 1200.0, -36)) END AS cuota FROM m)
             SELECT mes, round(precio, 4) AS precio, round(salario, 4) AS salario, round(tasa, 4) AS tasa, round(cuota, 4) AS cuota, round(100 * salario / cuota, 4) AS indice FROM c""",
+        "rate_asof": _with("listings macro", """
+            , published AS (SELECT * FROM macro WHERE day(fecha) % 5 = 0 AND month(fecha) <> 2),
+            listed AS (SELECT meli_id, fecha_snapshot, CASE WHEN moneda = 'USD' THEN 'tasa_pf_30_dias' WHEN condicion = 'new' THEN 'tasa_badlar' ELSE 'tasa_pf_90_dias' END AS indicador FROM listings)
+            SELECT meli_id, fecha_snapshot, listed.indicador, published.fecha AS fecha_tasa, CAST(valor AS DOUBLE) AS valor
+            FROM listed ASOF LEFT JOIN published ON listed.indicador = published.indicador AND listed.fecha_snapshot >= published.fecha"""),
         "attention_ranking": _with("interest listings", "") + """,
             s AS (SELECT marca, CAST(sum(busquedas) AS BIGINT) AS busquedas FROM interest GROUP BY 1), a AS (SELECT marca, count(*) AS activas FROM listings WHERE estado = 'active' AND marca IS NOT NULL GROUP BY 1),
             b AS (SELECT marca, coalesce(busquedas, 0) AS busquedas, coalesce(activas, 0) AS activas FROM s FULL OUTER JOIN a USING (marca)),
