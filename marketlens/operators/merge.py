@@ -10,6 +10,8 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketlens.operators.rejects import REASON
+
 
 def dedupe_last(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """Of rows with equal keys the last in the order given; null keys are equal."""
@@ -45,17 +47,19 @@ def merge_upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], compa
 
 
 def summary(raw: DataFrame, batch: DataFrame, merged: DataFrame, day: str = "fecha") -> DataFrame:
-    """One row: rows read, duplicates in the batch, what was done with the rest, and the dates covered."""
+    """One row: rows read and rejected (those that raw marks with a reason), duplicates among the others, what was done with the rest, and the dates covered."""
+    refused = F.count_if(F.col(REASON).isNotNull()) if REASON in raw.columns else F.lit(0).cast("bigint")
     kept = batch.agg(F.count("*")).scalar()
     names = {"insert": "insertados", "update": "actualizados", "unchanged": "sin_cambios", "kept": "conservados"}
     done = merged.agg(F.struct(*(F.count_if(F.col("action") == a).alias(name) for a, name in names.items()))).scalar()
-    read = raw.agg(F.count("*").alias("leidos"), F.min(day).alias("desde"), F.max(day).alias("hasta"))
-    one = read.select("*", kept.alias("unicos"), done.alias("d")).select("leidos", "desde", "hasta", "unicos", "d.*")
-    return one.withColumn("duplicados", F.col("leidos") - F.col("unicos")).withColumn("estado", F.when(F.col("leidos") > 0, "success").otherwise("no_data"))
+    read = raw.agg(F.count("*").alias("leidos"), F.min(day).alias("desde"), F.max(day).alias("hasta"), refused.alias("rechazados"))
+    one = read.select("*", kept.alias("unicos"), done.alias("d")).select("leidos", "desde", "hasta", "unicos", "rechazados", "d.*")
+    return one.withColumn("duplicados", F.col("leidos") - F.col("rechazados") - F.col("unicos")).withColumn("estado", F.when(F.col("leidos") > 0, "success").otherwise("no_data"))
 
 
 def with_fallback(primary: Sequence[DataFrame], other: DataFrame) -> DataFrame:
-    """The rows of all primary sources; those of the other one only if the primary sources have none at all."""
+    """The rows of all primary sources; those of the other one only if the primary sources have none at all, or rejected ones alone."""
     first = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), primary)
-    found = first.limit(1).agg(F.count("*")).scalar()
+    usable = first.filter(F.col(REASON).isNull()) if REASON in first.columns else first
+    found = usable.limit(1).agg(F.count("*")).scalar()
     return first.unionByName(other.filter(found == 0), allowMissingColumns=True)

@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens import schemas
 from marketlens.functions import parse
-from marketlens.operators.asof import as_of
 from marketlens.operators import analytics, explore, indicators, windows
+from marketlens.operators.asof import as_of
 from marketlens.operators.merge import dedupe_last, merge_upsert, summary, with_fallback
+from marketlens.operators.rejects import marked
 from marketlens.plans import jobs
 from marketlens.sources import landing
 from marketlens.sources.shared import new_folder
@@ -400,7 +401,12 @@ def pledge_loans_csv(v: Views) -> DataFrame:
 
 
 def _items(v: Views) -> DataFrame:
-    """Landed search pages of some dozens of listings."""
+    """Landed search pages of some dozens of listings, the few lines of sixteen orders each."""
+    order = F.substring_index(F.substring("meli_id", 4, 20), "-", 1).cast("bigint")
+    return _item_pages(v.listings, F.floor(order / 16))
+
+
+def _item_pages(listings: DataFrame, page: Column) -> DataFrame:
     pair = lambda k, x: F.struct(F.lit(k).alias("id"), x.alias("value_name"))
     where = F.struct(F.struct(F.col("provincia").alias("name")).alias("state"))
     item = F.struct(
@@ -408,9 +414,7 @@ def _items(v: Views) -> DataFrame:
         F.array(pair("BRAND", F.col("marca")), pair("MODEL", F.col("modelo")), pair("VEHICLE_YEAR", F.col("anio").cast("string")), pair("KILOMETERS", F.concat(F.col("anio").cast("string"), F.lit(".000 km")))).alias("attributes"),
         where.alias("location"),
     )
-    order = F.substring_index(F.substring("meli_id", 4, 20), "-", 1).cast("bigint")
-    pages = v.listings.groupBy(F.floor(order / 16).alias("page"))  # the few lines of sixteen orders
-    return pages.agg(F.to_json(F.struct(F.collect_list(item).alias("results"))).alias("json")).select("json")
+    return listings.groupBy(page.alias("page")).agg(F.to_json(F.struct(F.collect_list(item).alias("results"))).alias("json")).select("json")
 
 
 @query
@@ -480,8 +484,37 @@ def dedupe_last_record(v: Views) -> DataFrame:
 
 @query
 def ingest_summary(v: Views) -> DataFrame:
+    """Rows without a brand are rejected here."""
     stored, raw, batch = _registrations(v)
-    return summary(raw, batch, merge_upsert(stored, batch, schemas.KEYS["registrations"], ["cantidad"]))
+    read = marked(raw, {"sin marca": F.col("marca").isNull()}, F.to_json(F.struct("fecha", "modelo", "cantidad")))
+    batch = batch.filter("marca is not null")
+    return summary(read, batch, merge_upsert(stored, batch, schemas.KEYS["registrations"], ["cantidad"]))
+
+
+@query
+def ingest_rejects(v: Views) -> DataFrame:
+    """Sources landed with faults of every kind, loaded, and what the store's rejects then hold."""
+    folder = new_folder(v.spark, "rejects")
+    zone, store = f"{folder}/zone", Store(v.spark, f"{folder}/store")
+    december = F.regexp_replace("html", r"(<td>[^<]*</td>)(<td> [0-9.]+</td>)(</tr>)", "$1<td> s/d</td>$3")
+    _registration_pages(v).withColumn("html", december).write.parquet(f"{zone}/{jobs.PAGES}")
+    short = F.when(F.col("periodo").endswith("-11"), F.slice("cells", 1, 1)).otherwise(F.col("cells"))
+    _cells(v).withColumns({"cells": short, "periodo": F.regexp_replace("periodo", "-12$", "-13")}).write.parquet(f"{zone}/{jobs.GRIDS}")
+    spoilt = F.regexp_replace(F.regexp_replace("json", r'("fecha":"\d{4}-\d\d-13","valor":)"[^"]*"', r'$1"n/d"'), r'"fecha":"\d{4}-\d\d-14"', '"fecha":"ayer"')
+    badlar, unknown = F.col("serie_id") == schemas.SERIES["tasa_badlar"], F.col("serie_id") == schemas.SERIES["tasa_pf_90_dias"]
+    cut = F.when(badlar & F.col("json").rlike(r'"fecha":"\d{4}-02-'), F.substring("json", 1, 12)).otherwise(spoilt)
+    _series_pages(v).withColumns({"json": cut, "serie_id": F.when(unknown, 99).otherwise(F.col("serie_id"))}).write.parquet(f"{zone}/{jobs.SERIES}")
+    amount = F.when(F.substring("Fecha", 1, 2).cast("int") % 9 == 0, "abc").otherwise(F.col("Monto"))
+    _loan_rows(v).withColumn("Monto", amount).write.csv(f"{zone}/{jobs.LOANS}", sep=";", header=True, encoding="ISO-8859-1")
+    line = F.right("meli_id", F.lit(1))
+    listed = v.listings.withColumns({"precio": F.when(line != "6", F.col("precio")), "meli_id": F.when(line != "7", F.col("meli_id"))})
+    order = F.floor(F.xxhash64("meli_id", "modelo", "precio") / 16)
+    _item_pages(listed, F.pmod(order, F.lit(1 << 20))).select(F.lit("-").alias("query_brand"), "json").write.parquet(f"{zone}/{jobs.LISTINGS}")
+    jobs.load_registrations(v.spark, zone, store, AS_OF)
+    jobs.load_production(v.spark, zone, store, AS_OF)
+    jobs.sync_macro(v.spark, zone, store, AS_OF, date(1990, 1, 1), date(2010, 1, 1))
+    jobs.market_snapshot(v.spark, zone, store, AS_OF, per_brand=1 << 40)
+    return store.read("rejects").groupBy("tabla", "motivo").agg(F.sum("veces").alias("rechazados"))
 
 
 # --- landing zone to store -------------------------------------------------------------------------------------------

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from marketlens import schemas
 from marketlens.operators import indicators
 from marketlens.operators.merge import with_fallback
+from marketlens.operators.rejects import REASON
 from marketlens.operators.windows import cap_per_group
 from marketlens.sources import landing
 from marketlens.sources.store import Store
-from marketlens.streaming.ingest import merge_into
+from marketlens.streaming.ingest import PRECEDENCE, Merged, merge_into
 
 log = logging.getLogger(__name__)
 
@@ -43,43 +44,43 @@ def landed(spark: SparkSession, zone: str, name: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def sync_macro(spark: SparkSession, zone: str, store: Store, as_of: datetime, first: date | None = None, last: date | None = None) -> DataFrame:
+def sync_macro(spark: SparkSession, zone: str, store: Store, as_of: datetime, first: date | None = None, last: date | None = None) -> Merged:
     """All known series and the pledge loans within a window, in one merge."""
     a, z = first or last_month(as_of)[0], last or last_month(as_of)[1]
     pages = spark.read.parquet(f"{zone}/{SERIES}")
-    points = landing.macro_from_json(pages, landing.series_map(spark))
-    loans = landing.pledge_loans(landing.loans_csv(spark, f"{zone}/{LOANS}"))
-    batch = points.unionByName(loans, allowMissingColumns=True).filter(F.col("fecha").between(F.lit(a), F.lit(z)))
+    points = landing.macro_rows(pages, landing.series_map(spark))
+    loans = landing.loan_rows(landing.loans_csv(spark, f"{zone}/{LOANS}"))
+    batch = points.unionByName(loans, allowMissingColumns=True).filter(F.col(REASON).isNotNull() | F.col("fecha").between(F.lit(a), F.lit(z)))
     return merge_into(store, "macro", batch, ["valor"], ["valor"], as_of, ["valor"])
 
 
-def market_snapshot(spark: SparkSession, zone: str, store: Store, as_of: datetime, brands: list[str] | None = None, per_brand: int = 100) -> DataFrame:
+def market_snapshot(spark: SparkSession, zone: str, store: Store, as_of: datetime, brands: list[str] | None = None, per_brand: int = 100) -> Merged:
     """The landed search pages of the brands (all landed ones, if not given), the first items of each, flattened and merged."""
     items = landing.listing_items(spark.read.parquet(f"{zone}/{LISTINGS}"))
     items = items.filter(F.col("query_brand").isin(brands)) if brands else items
-    first = cap_per_group(items, "query_brand", per_brand, ["offset", "pos"])
-    return merge_into(store, "listings", landing.flatten_listings(first, as_of.date().isoformat()), ["precio"], ["precio", "estado"], as_of, ["precio"])
+    first = cap_per_group(items.filter("item is not null"), "query_brand", per_brand, ["offset", "pos"]).drop("posicion")
+    rows = landing.listing_rows(first.unionByName(items.filter("item is null")), as_of.date().isoformat())  # pages that can't be read are rejects
+    return merge_into(store, "listings", rows, ["precio"], ["precio", "estado"], as_of, ["precio"])
 
 
-def load_registrations(spark: SparkSession, zone: str, store: Store, as_of: datetime) -> DataFrame:
-    """New and used vehicles of the first source; those of the other source only if the first has none at all."""
+def load_registrations(spark: SparkSession, zone: str, store: Store, as_of: datetime) -> Merged:
+    """New and used vehicles of the first source; those of the other source, of both kinds, only if the first has none at all."""
     page = "url string, html string"
-    new = landing.registrations_from_pages(spark.read.parquet(f"{zone}/{PAGES}"))
-    used = landing.registrations_from_pages(landed(spark, zone, USED_PAGES, page), "usado")
-    other = landing.registrations_from_pages(landed(spark, zone, OTHER_PAGES, page), source="ACARA")
+    new = landing.registrations_rows(spark.read.parquet(f"{zone}/{PAGES}"))
+    used = landing.registrations_rows(landed(spark, zone, USED_PAGES, page), "usado")
+    other = landing.registrations_rows(landed(spark, zone, OTHER_PAGES, page), None, "ACARA")
     return merge_into(store, "registrations", with_fallback([new, used], other), ["cantidad"], ["cantidad"], as_of, ["cantidad"])
 
 
-def load_production(spark: SparkSession, zone: str, store: Store, as_of: datetime) -> DataFrame:
-    """Report grids, and sheets of the months that have no grid."""
-    grid = landing.production_from_grid(spark.read.parquet(f"{zone}/{GRIDS}"))
-    sheet = landing.production_from_sheet(landing.sheets_csv(spark, f"{zone}/{SHEETS}"))
-    batch = grid.unionByName(sheet.join(grid.select("fecha").distinct(), "fecha", "left_anti"))
+def load_production(spark: SparkSession, zone: str, store: Store, as_of: datetime) -> Merged:
+    """All reports: of a month and maker that a grid and a sheet both have the grid's row, every other row of either."""
+    grid = landing.grid_rows(spark.read.parquet(f"{zone}/{GRIDS}")).withColumn(PRECEDENCE, F.lit(2))
+    sheet = landing.sheet_rows(landing.sheets_csv(spark, f"{zone}/{SHEETS}")).withColumn(PRECEDENCE, F.lit(1))
     measures = ["unidades_producidas", "unidades_exportadas"]
-    return merge_into(store, "production", batch, measures, measures, as_of, measures)
+    return merge_into(store, "production", grid.unionByName(sheet), measures, measures, as_of, measures)
 
 
-def calculate_indicators(store: Store, as_of: datetime, interest: DataFrame | None = None, wages: DataFrame | None = None) -> DataFrame:
+def calculate_indicators(store: Store, as_of: datetime, interest: DataFrame | None = None, wages: DataFrame | None = None) -> Merged:
     """The four composite indicators and production against demand, from what the store holds, search interest and wages."""
     spark = store.spark
     made, sold, macro, listed = (store.read(t, getattr(schemas, t.upper())) for t in ("production", "registrations", "macro", "listings"))
@@ -102,7 +103,7 @@ def calculate_indicators(store: Store, as_of: datetime, interest: DataFrame | No
     return merge_into(store, "indicators", rows, ["valor"], ["valor", "detalles"], as_of, ["valor"])
 
 
-Step = Callable[[SparkSession, str, Store, datetime], DataFrame]
+Step = Callable[[SparkSession, str, Store, datetime], Merged]
 SOURCES: dict[str, Step] = {"macro": sync_macro, "listings": market_snapshot, "registrations": load_registrations, "production": load_production}
 
 
@@ -111,7 +112,7 @@ def run(spark: SparkSession, zone: str, store: Store, as_of: datetime, sources:
     done = {}
     for name in sources:
         try:
-            touched = SOURCES[name](spark, zone, store, as_of).filter("action <> 'kept'")
+            touched = SOURCES[name](spark, zone, store, as_of).rows.filter("action <> 'kept'")
             done[name] = "no_data" if touched.isEmpty() else "success"
         except Exception as problem:  # noqa: BLE001  the others go on
             log.exception("source %s failed", name)

@@ -243,9 +243,21 @@ def sql() -> dict[str, str]:
             SELECT fecha, marca, tipo_vehiculo, fuente, modelo, cantidad FROM registrations
             QUALIFY row_number() OVER (PARTITION BY fecha, marca, tipo_vehiculo, fuente ORDER BY modelo DESC, segmento DESC, cantidad DESC) = 1"""),
         "ingest_summary": _with("registrations", "") + "," + _REGISTRATIONS_MERGE + """
-            SELECT (SELECT count(*) FROM raw) AS leidos, (SELECT min(fecha) FROM raw) AS desde, (SELECT max(fecha) FROM raw) AS hasta, (SELECT count(*) FROM batch) AS unicos,
-            count(*) FILTER (action = 'insert') AS insertados, count(*) FILTER (action = 'update') AS actualizados, count(*) FILTER (action = 'unchanged') AS sin_cambios,
-            count(*) FILTER (action = 'kept') AS conservados, (SELECT count(*) FROM raw) - (SELECT count(*) FROM batch) AS duplicados, 'success' AS estado FROM merged""",
+            SELECT (SELECT count(*) FROM raw) AS leidos, (SELECT min(fecha) FROM raw) AS desde, (SELECT max(fecha) FROM raw) AS hasta,
+            (SELECT count(*) FROM batch WHERE marca IS NOT NULL) AS unicos, (SELECT count(*) FROM raw WHERE marca IS NULL) AS rechazados,
+            count(*) FILTER (action = 'insert' AND marca IS NOT NULL) AS insertados, count(*) FILTER (action = 'update' AND marca IS NOT NULL) AS actualizados,
+            count(*) FILTER (action = 'unchanged' AND marca IS NOT NULL) AS sin_cambios, count(*) FILTER (action = 'kept' OR marca IS NULL AND action <> 'insert') AS conservados,
+            (SELECT count(*) FROM raw WHERE marca IS NOT NULL) - (SELECT count(*) FROM batch WHERE marca IS NOT NULL) AS duplicados, 'success' AS estado FROM merged""",
+        "ingest_rejects": _with("registrations production macro listings", """
+            , lines AS (SELECT right(meli_id, 1) AS line FROM listings)
+            SELECT 'registrations' AS tabla, 'cantidad' AS motivo, count(DISTINCT (anio, marca)) AS rechazados FROM registrations WHERE tipo_vehiculo = '0km' AND mes = 12 AND marca IS NOT NULL
+            UNION ALL SELECT 'production', CASE month(fecha) WHEN 11 THEN 'fila corta' ELSE 'periodo' END, count(*) FROM production WHERE month(fecha) >= 11 GROUP BY 2
+            UNION ALL SELECT 'macro', 'serie', count(*) FROM macro WHERE indicador = 'tasa_pf_90_dias'
+            UNION ALL SELECT 'macro', 'json', count(DISTINCT year(fecha)) FROM macro WHERE indicador = 'tasa_badlar' AND month(fecha) = 2
+            UNION ALL SELECT 'macro', 'fecha', count(*) FROM macro WHERE day(fecha) = 14 AND (indicador = 'tasa_pf_30_dias' OR indicador = 'tasa_badlar' AND month(fecha) <> 2)
+            UNION ALL SELECT 'macro', 'valor', count(*) FILTER (day(fecha) = 13 AND (indicador = 'tasa_pf_30_dias' OR indicador = 'tasa_badlar' AND month(fecha) <> 2))
+                + count(*) FILTER (indicador = 'tasa_badlar' AND day(fecha) % 9 = 0) FROM macro
+            UNION ALL SELECT 'listings', CASE line WHEN '6' THEN 'precio' ELSE 'id' END, count(*) FROM lines WHERE line IN ('6', '7') GROUP BY 2"""),
         "listing_stream": _with("listings", """
             SELECT meli_id, DATE '2001-09-01' AS fecha_snapshot, marca, modelo, anio, CAST(precio AS DOUBLE) AS precio, estado, condicion = 'new' AS es_nuevo FROM listings
             QUALIFY row_number() OVER (PARTITION BY meli_id ORDER BY listings.precio DESC) = 1"""),

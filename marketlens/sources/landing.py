@@ -1,6 +1,7 @@
 """Readers of landed raw data: pages, report grids and sheets, JSON series, quotes and listings, and CSV loans.
 
-Each takes a DataFrame of raw rows and returns records; a row that doesn't parse is left out and never stops the others.
+Each takes a DataFrame of raw rows and returns records; a row that doesn't parse never stops the others. Readers named _rows keep it,
+marked with the reason (see operators.rejects), the others leave it out.
 """
 
 from __future__ import annotations
@@ -15,44 +16,102 @@ from pyspark.sql import functions as F
 
 from marketlens import schemas
 from marketlens.functions import parse
+from marketlens.operators.rejects import RAW, REASON, good, marked
+
+
+class _Table:
+    """Rows of cells as they come: whether a header, text, columns and rows that it spans."""
+
+    def __init__(self, classes: list[str], title: str):
+        self.classes, self.title, self.rows, self.cell = classes, title, [], None
+
+    def end_cell(self) -> None:
+        if self.cell:
+            header, text, wide, high = self.cell
+            self.rows[-1].append((header, "".join(text).strip(), wide, high))
+        self.cell = None
+
+    def grid(self) -> list[list[tuple[bool, str]]]:
+        """The rows with every spanned place filled."""
+        out, above = [], {}  # column -> rows still to fill and the cell
+        for row in self.rows:
+            line, cells = [], iter(row)
+            while True:
+                if (left := above.pop(len(line), None)) is not None:
+                    rows, cell = left
+                    if rows > 1:
+                        above[len(line)] = rows - 1, cell
+                    line.append(cell)
+                elif (cell := next(cells, None)) is not None:
+                    header, text, wide, high = cell
+                    for _ in range(wide):
+                        if high > 1:
+                            above[len(line)] = high - 1, (header, text)
+                        line.append((header, text))
+                else:
+                    break
+            out.append(line)
+        return out
+
+    def headers(self, grid: list[list[tuple[bool, str]]]) -> list[str]:
+        """Of each column, its header cells from the lowest header row up: `Ene` under `2024` is `Ene-2024`."""
+        top = [line for line in grid if line and all(header for header, _ in line)]
+        width = max(map(len, top), default=0)
+        columns = [[line[k][1] for line in reversed(top) if k < len(line) and line[k][1]] for k in range(width)]
+        return ["-".join(dict.fromkeys(column)) for column in columns]
 
 
 class _Tables(HTMLParser):
-    """Headers and rows of cells of each table of a class."""
+    """The tables of a class, nested ones too, with the last heading before or the caption inside."""
 
     def __init__(self, wanted: str):
         super().__init__(convert_charrefs=True)
-        self.wanted, self.tables, self.open, self.cell = wanted, [], False, None
+        self.wanted, self.tables, self.open, self.heading, self.title = wanted, [], [], "", None
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        have = dict(attrs)
         if tag == "table":
-            self.open = self.wanted in (dict(attrs).get("class") or "").split()
-            if self.open:
-                self.tables.append(([], []))
+            classes = (have.get("class") or "").split()
+            self.open.append(_Table(classes, " ".join([self.heading, *classes, have.get("id") or ""])))
+            if self.wanted in classes:
+                self.tables.append(self.open[-1])
+        elif tag in ("caption", "h1", "h2", "h3", "h4", "h5", "h6"):
+            self.title = []
         elif self.open and tag == "tr":
-            self.tables[-1][1].append([])
+            self.open[-1].end_cell()
+            self.open[-1].rows.append([])
         elif self.open and tag in ("th", "td"):
-            self.cell = ""
+            table = self.open[-1]
+            table.end_cell()
+            if not table.rows:
+                table.rows.append([])
+            wide, high = (min(int(n), 1000) if (n := have.get(k) or "").isdecimal() and int(n) else 1 for k in ("colspan", "rowspan"))
+            table.cell = tag == "th", [], wide, high
 
     def handle_data(self, data: str) -> None:
-        if self.cell is not None:
-            self.cell += data
+        if self.title is not None:
+            self.title.append(data)
+        elif self.open and self.open[-1].cell:
+            self.open[-1].cell[1].append(data)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag == "table":
-            self.open = False
-        if self.cell is None or tag not in ("th", "td"):
-            return
-        headers, rows = self.tables[-1]
-        if tag == "th":
-            headers.append(self.cell.strip())
-        elif rows:
-            rows[-1].append(self.cell.strip())
-        self.cell = None
+        if tag in ("caption", "h1", "h2", "h3", "h4", "h5", "h6") and self.title is not None:
+            text, self.title = "".join(self.title), None
+            if tag == "caption" and self.open:
+                table = self.open[-1]
+                table.title = " ".join([text, *table.classes])
+            else:
+                self.heading = text
+        elif self.open and tag in ("th", "td", "tr"):
+            self.open[-1].end_cell()
+        elif self.open and tag == "table":
+            self.open.pop().end_cell()
 
 
 def html_tables(pages: DataFrame, wanted: str = "estadisticas") -> DataFrame:
-    """pages(url, html) -> url, table_no, headers, row_no (the header row is 0), cells."""
+    """pages(url, html) -> url, table_no, title (heading or caption, classes and id), headers, row_no (the header row is 0), cells.
+
+    Cells that span columns or rows stand in every place; a table within a cell is a table of its own."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -60,21 +119,38 @@ def html_tables(pages: DataFrame, wanted: str = "estadisticas") -> DataFrame:
             for url, page in zip(frame["url"], frame["html"], strict=True):
                 reader = _Tables(wanted)
                 reader.feed(page or "")
-                out += [(url, k, headers, n, cells) for k, (headers, rows) in enumerate(reader.tables) for n, cells in enumerate(rows) if n]
-            yield pd.DataFrame(out, columns=["url", "table_no", "headers", "row_no", "cells"])
+                for k, table in enumerate(reader.tables):
+                    table.end_cell()
+                    grid = table.grid()
+                    headers = table.headers(grid)
+                    rows = ((n, [text for _, text in line]) for n, line in enumerate(grid) if n and not all(header for header, _ in line))
+                    out += [(url, k, table.title, headers, n, cells) for n, cells in rows]
+            yield pd.DataFrame(out, columns=["url", "table_no", "title", "headers", "row_no", "cells"])
+
+    return pages.select("url", "html").mapInPandas(read, "url string, table_no int, title string, headers array<string>, row_no int, cells array<string>")
 
-    return pages.select("url", "html").mapInPandas(read, "url string, table_no int, headers array<string>, row_no int, cells array<string>")
 
+def registrations_rows(pages: DataFrame, kind: str | None = "0km", source: str = "FACCARA") -> DataFrame:
+    """Wide tables, a brand a row and a month a column, -> a marked record a cell; cells that are empty or a dash are no records.
 
-def registrations_from_pages(pages: DataFrame, kind: str = "0km", source: str = "FACCARA") -> DataFrame:
-    """Wide tables, a brand a row and a month a column, -> a record a cell. Cells without header or number are left out."""
+    Without a kind, tables whose title speaks of used vehicles have those, the others new ones."""
     wide = html_tables(pages).filter(F.size("cells") >= 2)
-    cells = wide.select(F.element_at("cells", 1).alias("marca"), "headers", F.posexplode(F.slice("cells", 2, 2**30)).alias("i", "cell"))
-    day, units = parse.period_label(F.try_element_at("headers", F.col("i") + 2)), parse.count_cell(F.col("cell"))
-    found = cells.select(day.alias("fecha"), "marca", units.alias("cantidad")).filter("fecha is not null and cantidad is not null")
+    kind_of = F.lit(kind) if kind else F.when(F.lower("title").contains("usad"), "usado").otherwise("0km")
+    cells = wide.select(kind_of.alias("tipo_vehiculo"), F.element_at("cells", 1).alias("marca"), "headers", F.posexplode(F.slice("cells", 2, 2**30)).alias("i", "cell"))
+    head = F.try_element_at("headers", F.col("i") + 2)
+    read = cells.select(parse.period_label(head).alias("fecha"), "tipo_vehiculo", "marca", parse.count_cell(F.col("cell")).alias("cantidad"), head.alias("head"), F.trim("cell").alias("cell"))
+    read = read.filter("cell not in ('', '-')")
+    reasons = {"sin encabezado": F.col("head").isNull(), "periodo": F.col("fecha").isNull(), "cantidad": F.col("cantidad").isNull()}
+    found = marked(read, reasons, F.to_json(F.struct("marca", "head", "cell")))
     return found.select(
-        "fecha", F.year("fecha").alias("anio"), F.month("fecha").alias("mes"), F.lit(kind).alias("tipo_vehiculo"), "marca", "cantidad", F.lit(source).alias("fuente"), parse.period_of(F.col("fecha")).alias("periodo_reportado")
-    )
+        "fecha", F.year("fecha").alias("anio"), F.month("fecha").alias("mes"), "tipo_vehiculo", "marca", "cantidad", F.lit(source).alias("fuente"),
+        parse.period_of(F.col("fecha")).alias("periodo_reportado"), REASON, RAW,
+    )
+
+
+def registrations_from_pages(pages: DataFrame, kind: str | None = "0km", source: str = "FACCARA") -> DataFrame:
+    """The good records of registrations_rows()."""
+    return good(registrations_rows(pages, kind, source))
 
 
 def page_links(pages: DataFrame, base: str, listing: str) -> DataFrame:
@@ -93,24 +169,36 @@ def report_index(links: DataFrame, base: str, listing: str) -> DataFrame:
     return shown.orderBy(F.desc("periodo"), "url", "texto")
 
 
-def _production(rows: DataFrame, terminal: Column, made: Column, exported: Column) -> DataFrame:
+def _production(rows: DataFrame, terminal: Column, made: Column, exported: Column, reasons: dict[str, Column], raw: Column) -> DataFrame:
     day = parse.period_start(F.col("periodo"))
-    found = rows.select(day.alias("fecha"), terminal.alias("terminal"), made.alias("unidades_producidas"), exported.alias("unidades_exportadas"), F.col("periodo").alias("periodo_reportado")).filter("fecha is not null")
-    return found.select("fecha", F.year("fecha").alias("anio"), F.month("fecha").alias("mes"), "terminal", "unidades_producidas", "unidades_exportadas", F.lit("ADEFA").alias("fuente"), "periodo_reportado")
+    found = rows.select(day.alias("fecha"), terminal.alias("terminal"), made.alias("unidades_producidas"), exported.alias("unidades_exportadas"), F.col("periodo").alias("periodo_reportado"), raw.alias("_raw"), *(c.alias(f"_{k}") for k, c in reasons.items()))
+    named = {k: F.col(f"_{k}") for k in reasons} | {"periodo": F.col("fecha").isNull()}
+    return marked(found, named, F.col("_raw")).select("fecha", F.year("fecha").alias("anio"), F.month("fecha").alias("mes"), "terminal", "unidades_producidas", "unidades_exportadas", F.lit("ADEFA").alias("fuente"), "periodo_reportado", REASON, RAW)
+
+
+def grid_rows(grid: DataFrame) -> DataFrame:
+    """grid(periodo, row_no, cells): terminal, produced, exported, marked; row 0 is the header. Numbers are all their digits."""
+    short = {"fila corta": F.size("cells") < 2}
+    cell = lambda k: F.try_element_at("cells", F.lit(k))
+    return _production(grid.filter(F.col("row_no") > 0), cell(1), parse.digits_only(cell(2)), parse.digits_only(cell(3)), short, F.to_json(F.struct("periodo", "cells")))
 
 
 def production_from_grid(grid: DataFrame) -> DataFrame:
-    """grid(periodo, row_no, cells): terminal, produced, exported; row 0 is the header. Numbers are all their digits."""
-    rows = grid.filter((F.col("row_no") > 0) & (F.size("cells") >= 2))
-    return _production(rows, F.element_at("cells", 1), parse.digits_only(F.element_at("cells", 2)), parse.digits_only(F.try_element_at("cells", F.lit(3))))
+    """The good records of grid_rows()."""
+    return good(grid_rows(grid))
 
 
-def production_from_sheet(sheet: DataFrame) -> DataFrame:
-    """Rows of a sheet with Terminal or Marca, Producción and Exportación, and the report's periodo; a missing measure is 0."""
+def sheet_rows(sheet: DataFrame) -> DataFrame:
+    """Rows of a sheet with Terminal or Marca, Producción and Exportación, and the report's periodo, marked; a missing measure is 0."""
     there = set(sheet.columns)
     name = [F.nullif(F.col(c), F.lit("")) for c in ("Terminal", "Marca") if c in there] or [F.lit(None).cast("string")]
     made, exported = (F.coalesce(F.col(c).try_cast("int"), F.lit(0)) if c in there else F.lit(0) for c in ("Producción", "Exportación"))
-    return _production(sheet, F.coalesce(*name), made, exported)
+    return _production(sheet, F.coalesce(*name), made, exported, {}, F.to_json(F.struct(*sheet.columns)))
+
+
+def production_from_sheet(sheet: DataFrame) -> DataFrame:
+    """The good records of sheet_rows()."""
+    return good(sheet_rows(sheet))
 
 
 def sheets_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -131,13 +219,21 @@ def principal_variables(pages: DataFrame) -> DataFrame:
     return found.groupBy("descripcion").agg(F.max("fecha").alias("fecha"), F.max_by("valor", "fecha").alias("valor"))
 
 
-def macro_from_json(pages: DataFrame, series: DataFrame) -> DataFrame:
-    """pages(serie_id, json) of {results: [{fecha, valor}]} and series(serie_id, indicador) -> macro records."""
-    points = pages.select("serie_id", F.explode(F.from_json("json", schemas.SERIES_PAGE)["results"]).alias("r"))
-    known = points.join(series, "serie_id")
+def macro_rows(pages: DataFrame, series: DataFrame) -> DataFrame:
+    """pages(serie_id, json) of {results: [{fecha, valor}]} and series(serie_id, indicador) -> marked macro records."""
+    results = F.from_json("json", schemas.SERIES_PAGE)["results"]
+    points = pages.select("serie_id", "json", results.isNull().alias("_broken"), F.explode_outer(results).alias("r")).filter("_broken or r is not null")
+    known = points.join(F.broadcast(series), "serie_id", "left")  # a row a series
     day, value = F.try_to_date("r.fecha", "yyyy-MM-dd"), F.col("r.valor").try_cast("decimal(18,4)")
-    found = known.select(day.alias("fecha"), "indicador", value.alias("valor"), F.lit("BCRA").alias("fuente"), F.col("r.descripcion").alias("descripcion"))
-    return found.filter("fecha is not null and valor is not null")
+    read = known.select(day.alias("fecha"), "indicador", value.alias("valor"), F.lit("BCRA").alias("fuente"), F.col("r.descripcion").alias("descripcion"), "serie_id", "json", "r", "_broken")
+    reasons = {"json": F.col("_broken"), "serie": F.col("indicador").isNull(), "fecha": F.col("fecha").isNull(), "valor": F.col("valor").isNull()}
+    found = marked(read, reasons, F.when(F.col("_broken"), F.coalesce("json", F.lit(""))).otherwise(F.to_json(F.struct("serie_id", "r.*"))))
+    return found.drop("serie_id", "json", "r", "_broken")
+
+
+def macro_from_json(pages: DataFrame, series: DataFrame) -> DataFrame:
+    """The good records of macro_rows()."""
+    return good(macro_rows(pages, series))
 
 
 def series_map(spark: SparkSession, known: dict[str, int] | None = None) -> DataFrame:
@@ -159,33 +255,47 @@ def loans_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep=";", encoding="ISO-8859-1", header=True, schema="Fecha string, Monto string")
 
 
-def pledge_loans(raw: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:
-    """raw(Fecha, Monto), with decimal comma and thousands dots, -> macro records of the loans."""
+def loan_rows(raw: DataFrame) -> DataFrame:
+    """raw(Fecha, Monto), with decimal comma and thousands dots, -> marked macro records of the loans."""
     day = F.coalesce(F.try_to_date("Fecha", "yyyy-MM-dd"), F.try_to_date("Fecha", "dd/MM/yyyy"))
-    found = raw.select(day.alias("fecha"), F.lit("creditos_prendarios").alias("indicador"), parse.locale_decimal(F.col("Monto")).alias("valor"), F.lit("millones ARS").alias("unidad"), F.lit("BCRA").alias("fuente"))
-    found = found.filter("fecha is not null and valor is not null")
+    read = raw.select(day.alias("fecha"), F.lit("creditos_prendarios").alias("indicador"), parse.locale_decimal(F.col("Monto")).alias("valor"), F.lit("millones ARS").alias("unidad"), F.lit("BCRA").alias("fuente"), F.to_json(F.struct("Fecha", "Monto")).alias("_raw"))
+    return marked(read, {"fecha": F.col("fecha").isNull(), "valor": F.col("valor").isNull()}, F.col("_raw")).drop("_raw")
+
+
+def pledge_loans(raw: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:
+    """The good records of loan_rows(), within a window."""
+    found = good(loan_rows(raw))
     for bound, keep in ((first, lambda d: F.col("fecha") >= d), (last, lambda d: F.col("fecha") <= d)):
         found = found.filter(keep(F.lit(bound).cast("date"))) if bound else found
     return found
 
 
 def listing_items(pages: DataFrame) -> DataFrame:
-    """pages(json, ...) of {paging, results} -> the other columns, offset, pos and item."""
+    """pages(json, ...) of {paging, results} -> the other columns, offset, pos and item; of a page that can't be read, one row with its json."""
     others = [c for c in pages.columns if c != "json"]
-    page = pages.select(*others, F.from_json("json", schemas.LISTING_PAGE).alias("p"))
-    return page.select(*others, F.col("p.paging.offset").alias("offset"), F.posexplode("p.results").alias("pos", "item"))
+    page = pages.select(*others, F.from_json("json", schemas.LISTING_PAGE).alias("p"), "json")
+    broken = F.col("p.results").isNull()
+    items = page.select(*others, F.col("p.paging.offset").alias("offset"), F.posexplode_outer("p.results").alias("pos", "item"), F.when(broken, F.coalesce("json", F.lit(""))).alias("json"))
+    return items.filter("item is not null or json is not null")
 
 
-def flatten_listings(items: DataFrame, snapshot: str, strict_mileage: bool = False) -> DataFrame:
-    """items(item) -> listing records; items without id or price are left out.
+def listing_rows(items: DataFrame, snapshot: str | Column, strict_mileage: bool = False) -> DataFrame:
+    """items(item) -> marked listing records of a day, given or a column; items without id or price are rejected.
 
     Mileage is all its digits; strictly, it is a number without dots or nothing."""
     a = F.col("item.attributes")
     mileage = parse.attribute(a, "KILOMETERS")
     digits = F.nullif(F.regexp_replace(mileage, "[^0-9]", ""), F.lit("")).try_cast("int")
-    return items.filter("item.id is not null and item.price is not null").select(
-        F.col("item.id").alias("meli_id"), F.lit(snapshot).cast("date").alias("fecha_snapshot"), parse.attribute(a, "BRAND").alias("marca"), parse.attribute(a, "MODEL").alias("modelo"),
+    day = F.lit(snapshot) if isinstance(snapshot, str) else snapshot
+    read = items.select(
+        F.col("item.id").alias("meli_id"), day.cast("date").alias("fecha_snapshot"), parse.attribute(a, "BRAND").alias("marca"), parse.attribute(a, "MODEL").alias("modelo"),
         parse.guarded_int(parse.attribute(a, "VEHICLE_YEAR")).alias("anio"), (parse.guarded_int(mileage) if strict_mileage else digits).alias("kilometros"), parse.attribute(a, "FUEL_TYPE").alias("combustible"),
         F.col("item.price").alias("precio"), F.coalesce("item.currency_id", F.lit("ARS")).alias("moneda"), F.col("item.location.state.name").alias("provincia"), F.col("item.location.city.name").alias("ciudad"),
-        F.col("item.status").alias("estado"), F.col("item.condition").alias("condicion"), F.col("item.title").alias("titulo"), F.col("item.permalink").alias("url"), (F.col("item.condition") == "new").alias("es_nuevo"),
+        F.col("item.status").alias("estado"), F.col("item.condition").alias("condicion"), F.col("item.title").alias("titulo"), F.col("item.permalink").alias("url"), (F.col("item.condition") == "new").alias("es_nuevo"), (F.coalesce("json", F.to_json("item")) if "json" in items.columns else F.to_json("item")).alias("_raw"), F.col("item").isNull().alias("_broken"),
     )
+    return marked(read, {"json": F.col("_broken"), "id": F.col("meli_id").isNull(), "precio": F.col("precio").isNull()}, F.col("_raw")).drop("_raw", "_broken")
+
+
+def flatten_listings(items: DataFrame, snapshot: str | Column, strict_mileage: bool = False) -> DataFrame:
+    """The good records of listing_rows()."""
+    return good(listing_rows(items, snapshot, strict_mileage))

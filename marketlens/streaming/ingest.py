@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,10 +11,25 @@ from pyspark.sql.types import StructField, StructType
 
 from marketlens import schemas
 from marketlens.operators.merge import dedupe_last, merge_upsert
-from marketlens.sources.landing import flatten_listings
+from marketlens.operators.rejects import RAW, REASON, split, unmarked
+from marketlens.sources.landing import listing_rows
 from marketlens.sources.store import Store
 
 
+#: Of rows with equal keys in a batch those with the greatest value of this column win, if the batch has it.
+PRECEDENCE = "precedencia"
+
+
+@dataclass(frozen=True)
+class Merged:
+    """The rows of the months that were touched, each with its action, the months, and how many rows were read and rejected."""
+
+    rows: DataFrame
+    months: list[str]
+    read: int
+    rejected: int
+
+
 def conform(df: DataFrame, name: str, as_of: datetime) -> DataFrame:
     """The stored table's columns, in its types; what is missing is the default or null, the time stamps are as_of."""
     table, defaults = StructType.fromDDL(getattr(schemas, name.upper())), schemas.DEFAULTS[name]
@@ -24,20 +40,29 @@ def conform(df: DataFrame, name: str, as_of: datetime) -> DataFrame:
         value = F.col(field.name) if field.name in df.columns else F.lit(None)
         return F.coalesce(value.cast(field.dataType), F.lit(defaults.get(field.name)).cast(field.dataType)).alias(field.name)
 
-    return df.select(*map(column, table))
+    return df.select(*map(column, table), *(c for c in (REASON, RAW, PRECEDENCE) if c in df.columns))
 
 
-def merge_into(store: Store, table: str, batch: DataFrame, compare: list[str], set_columns: list[str], as_of: datetime, order: list[str]) -> DataFrame:
-    """Merges a batch into the months of a stored table that it has rows of; the rows of those months, with their actions.
+def merge_into(store: Store, table: str, batch: DataFrame, compare: list[str], set_columns: list[str], as_of: datetime, order: list[str]) -> Merged:
+    """Merges a batch into the months of a stored table that it has rows of.
 
-    Rows without a day are left out."""
+    The batch is read once: rows that its reader marked, and rows without a day, go to the store's rejects with their reason.
+    """
     keys, day = schemas.KEYS[table], schemas.DAYS[table]
-    unique = dedupe_last(conform(batch, table, as_of).filter(F.col(day).isNotNull()), keys, order).persist()
-    months = [r[0] for r in unique.select(F.date_format(day, "yyyy-MM")).distinct().collect()]  # as many as months
+    dated = conform(unmarked(batch), table, as_of)
+    without_day = F.col(day).isNull() & F.col(REASON).isNull()
+    read = F.to_json(F.struct(*(c for c in dated.columns if c not in (REASON, RAW, "created_at", "updated_at"))))
+    parts = split(dated.withColumns({REASON: F.when(without_day, "sin fecha").otherwise(F.col(REASON)), RAW: F.when(without_day, read).otherwise(F.col(RAW))}), f"{table}-batch")
+    months = [r[0] for r in parts.good.select(F.date_format(day, "yyyy-MM")).distinct().collect()]  # as many as months
+    first = [PRECEDENCE] if PRECEDENCE in parts.good.columns else []
+    unique = dedupe_last(parts.good, keys, [*first, *order]).drop(*first)
     merged = merge_upsert(store.read(table, getattr(schemas, table.upper()), months), unique, keys, compare, set_columns, as_of)
     written = store.write(table, merged, day)
-    unique.unpersist()
-    return written
+    if parts.rejected:
+        refused = parts.bad.groupBy(F.col(REASON).alias("motivo"), F.col(RAW).alias("fila")).agg(F.count("*").alias("veces"))
+        refused = refused.withColumns({"tabla": F.lit(table), "fecha": F.trunc(F.lit(as_of).cast("date"), "MM")})
+        merge_into(store, "rejects", refused, ["veces"], ["veces"], as_of, ["veces"])
+    return Merged(written, months, parts.read, parts.rejected)
 
 
 def ingest_listings(spark: SparkSession, landing: str, store: Store, checkpoint: str, snapshot: str, as_of: datetime) -> None:
@@ -46,6 +71,6 @@ def ingest_listings(spark: SparkSession, landing: str, store: Store, checkpoint:
     items = pages.select(F.explode("results").alias("item"))
 
     def merge(batch: DataFrame, _: int) -> None:
-        merge_into(store, "listings", flatten_listings(batch, snapshot), ["precio"], ["precio", "estado"], as_of, ["precio"])
+        merge_into(store, "listings", listing_rows(batch, snapshot), ["precio"], ["precio", "estado"], as_of, ["precio"])
 
     items.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

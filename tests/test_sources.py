@@ -4,11 +4,13 @@ import json
 from datetime import date, datetime
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from marketlens import schemas
 from marketlens.plans import jobs
 from marketlens.sources import landing
 from marketlens.sources.store import Store, export_csv
-from marketlens.streaming.ingest import ingest_listings
+from marketlens.streaming.ingest import ingest_listings, merge_into
 
 PAGE = """<html><table class="other"><tr><th>x</th></tr><tr><td>1</td><td>2</td></tr></table>
 <table class="estadisticas big"><tr><th>Marca</th><th> Ene-2024</th><th>Feb-2024 </th></tr>
@@ -26,6 +28,23 @@ def test_registration_pages(spark):
     assert rows == [("Ford & Co", date(2024, 1, 1), 7, "2024-01"), ("Ford & Co", date(2024, 2, 1), 1000, "2024-02"), ("Toyota", date(2024, 1, 1), 1200, "2024-01")]
 
 
+SPANS = """<h2>Vehículos 0km</h2><table class="estadisticas"><tr><th rowspan="2">Marca</th><th colspan="2">2024</th><th>2025</th></tr><tr><th>Ene</th><th>Feb</th><th>Ene</th></tr>
+<tr><td>Fiat</td><td>1</td><td colspan="2">2</td></tr><tr><th scope="row">Ford</th><td rowspan="2">7</td><td>8</td><td>9<table class="estadisticas"><caption>Usados</caption>
+<tr><th>Marca</th><th>Mar-2024</th></tr><tr><td>Audi</td><td>5</td></tr></table></td></tr><tr><td>BMW</td><td>x</td><td></td></tr></table>
+<h3>Autos usados</h3><div><table class="estadisticas"><tr><th>Marca</th><th>Ene-2024</th></tr><tr><td>Fiat</td><td>33</td><td>44</td></tr></table></div>"""
+
+
+def test_tables_with_spans_nested_and_of_both_kinds(spark):
+    pages = spark.createDataFrame([("u", SPANS)], "url string, html string")
+    every = landing.registrations_rows(pages, None).collect()
+    rows = sorted((r.tipo_vehiculo, r.marca, r.periodo_reportado, r.cantidad) for r in every if r["_motivo"] is None)
+    assert rows == [
+        ("0km", "BMW", "2024-01", 7), ("0km", "Fiat", "2024-01", 1), ("0km", "Fiat", "2024-02", 2), ("0km", "Fiat", "2025-01", 2), ("0km", "Ford", "2024-01", 7), ("0km", "Ford", "2024-02", 8), ("0km", "Ford", "2025-01", 9),
+        ("usado", "Audi", "2024-03", 5), ("usado", "Fiat", "2024-01", 33),
+    ]
+    assert sorted((r["_motivo"], json.loads(r["_fila"])["cell"]) for r in every if r["_motivo"]) == [("cantidad", "x"), ("sin encabezado", "44")]
+
+
 def test_links_and_reports(spark):
     html = '<a class="k" href="/a_2024_02.pdf">Uno <b>x</b></a><A HREF="b.html">no</A><a href="http://o/Marzo.XLSX">Marzo 2023</a><a href="c.pdf">sin fecha</a>'
     links = landing.page_links(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"), "http://b", "http://b/l")
@@ -112,14 +131,45 @@ def test_used_and_fallback_registrations_and_sheets(spark, tmp_path):
     none.write.mode("overwrite").parquet(f"{zone}/{jobs.USED_PAGES}")
     other = Store(spark, str(tmp_path / "other"))
     jobs.load_registrations(spark, zone, other, now)
-    assert {r.fuente for r in other.read("registrations").collect()} == {"ACARA"}
+    assert {(r.fuente, r.tipo_vehiculo) for r in other.read("registrations").collect()} == {("ACARA", "0km")}
+    spark.createDataFrame([("u", SPANS)], "url string, html string").write.mode("overwrite").parquet(f"{zone}/{jobs.OTHER_PAGES}")
+    both = Store(spark, str(tmp_path / "both"))
+    jobs.load_registrations(spark, zone, both, now)
+    assert sorted((r.tipo_vehiculo, r.marca) for r in both.read("registrations").collect() if r.mes == 1 and r.anio == 2024) == [("0km", "BMW"), ("0km", "Fiat"), ("0km", "Ford"), ("usado", "Fiat")]
     spark.createDataFrame([("2024-01", 1, ["Toyota", "20", "5"])], "periodo string, row_no int, cells array<string>").write.parquet(f"{zone}/{jobs.GRIDS}")
-    for month, line in (("2024-01", "Toyota,,99,1"), ("2024-02", ",Fiat,7,")):
+    for month, line in (("2024-01", "Toyota,,99,1\n,Ford,3,1"), ("2024-02", ",Fiat,7,"), ("2024-17", ",Audi,7,")):
         folder = tmp_path / "zone" / jobs.SHEETS / f"periodo={month}"
         folder.mkdir(parents=True)
         (folder / "a.csv").write_text("Terminal,Marca,Producción,Exportación\n" + line + "\n")
     jobs.load_production(spark, zone, store, now)
-    assert sorted((r.terminal, r.unidades_producidas, r.unidades_exportadas) for r in store.read("production").collect()) == [("Fiat", 7, 0), ("Toyota", 20, 5)]
+    assert sorted((r.terminal, r.unidades_producidas, r.unidades_exportadas) for r in store.read("production").collect()) == [("Fiat", 7, 0), ("Ford", 3, 1), ("Toyota", 20, 5)]
+    assert [(r.tabla, r.motivo, json.loads(r.fila)["Marca"], r.veces) for r in store.read("rejects").filter("tabla = 'production'").collect()] == [("production", "periodo", "Audi", 1)]
+
+
+def test_rejects_are_kept_and_counted(spark, tmp_path):
+    zone, store, now = _zone(spark, tmp_path), Store(spark, str(tmp_path / "store")), datetime(2024, 1, 31)
+    page = json.dumps({"results": [{"fecha": "ayer", "valor": "1"}, {"fecha": "2024-01-12", "valor": "n/d"}, {"fecha": "2024-01-12", "valor": "5"}, {"fecha": "ayer", "valor": "1"}]})
+    spark.createDataFrame([(7, page), (99, page), (7, "{"), (7, "[]"), (7, '{"results": []}'), (7, None)], "serie_id int, json string").write.mode("overwrite").parquet(f"{zone}/{jobs.SERIES}")
+    (tmp_path / "zone" / jobs.LOANS / "l.csv").write_text("Fecha;Monto\n2024-01-15;10,5\n2024-01-16;mucho\n")
+    done = jobs.sync_macro(spark, zone, store, now)
+    assert (done.read, done.rejected, done.months) == (13, 11, ["2024-01"])
+    counted = {(r.tabla, r.motivo): r.n for r in store.read("rejects").groupBy("tabla", "motivo").agg(F.sum("veces").alias("n")).collect()}
+    assert counted == {("macro", "fecha"): 2, ("macro", "valor"): 2, ("macro", "serie"): 4, ("macro", "json"): 3}
+    before = sorted(map(str, store.read("rejects").collect()))
+    assert max(r.veces for r in store.read("rejects").collect()) == 2
+    jobs.sync_macro(spark, zone, store, now)
+    assert sorted(map(str, store.read("rejects").collect())) == before
+    page = json.dumps({"results": [item("a"), item(None), item("b", None)]})
+    spark.createDataFrame([("Toyota", page), ("Toyota", "no")], "query_brand string, json string").write.mode("overwrite").parquet(f"{zone}/{jobs.LISTINGS}")
+    done = jobs.market_snapshot(spark, zone, store, now)
+    assert (done.read, done.rejected) == (4, 3) and {r.motivo for r in store.read("rejects").filter("tabla = 'listings'").collect()} == {"id", "precio", "json"}
+
+
+def test_rows_without_a_day(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    batch = spark.createDataFrame([("a", None, 1), ("a", date(2024, 1, 1), 2)], "terminal string, fecha date, unidades_producidas int")
+    done = merge_into(store, "production", batch, ["unidades_producidas"], ["unidades_producidas"], datetime(2024, 1, 1), ["unidades_producidas"])
+    assert (done.read, done.rejected, done.rows.count()) == (2, 1, 1) and store.read("rejects").first().motivo == "sin fecha"
 
 
 def test_nothing_to_load_is_no_data(spark, tmp_path):
