@@ -1,4 +1,4 @@
-"""The four composite indicators and what belongs to them. Monthly frames are small beside the tables they sum up."""
+"""The four composite indicators and what belongs to them, from the stored tables or from their roll-ups by month (see rollups)."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from marketlens.functions.parse import instalment
+from marketlens.operators import rollups
 from marketlens.operators.asof import as_of
 from marketlens.operators.windows import growth, monthly
 
@@ -23,9 +24,17 @@ def _z(c: str) -> Column:
     return (F.col(c) - F.avg(c).over(_all())) / F.nullif(F.stddev_samp(c).over(_all()), F.lit(0.0))
 
 
+def _rolled(rows: DataFrame, table: str) -> DataFrame:
+    """A table's roll-up by month; one that is rolled up already stays."""
+    return rows if "suma" in rows.columns else rollups.ROLLED[table](rows)
+
+
+def _mean() -> Column:
+    return F.col("suma").cast("double") / F.col("n")
+
+
 def rate_by_month(macro: DataFrame, series: str) -> DataFrame:
-    found = macro.filter(F.col("indicador") == series).groupBy(F.trunc("fecha", "MM").alias("mes"))
-    return found.agg(F.avg("valor").cast("double").alias("tasa"))
+    return _rolled(macro, "macro").filter((F.col("indicador") == series) & (F.col("n") > 0)).select(F.col("fecha").alias("mes"), _mean().alias("tasa"))
 
 
 def demand_tension(registrations: DataFrame, macro: DataFrame, interest: DataFrame, series: str = "tasa_badlar") -> DataFrame:
@@ -48,11 +57,12 @@ def demand_tension(registrations: DataFrame, macro: DataFrame, interest: DataFra
 
 def stock_rotation(production: DataFrame, registrations: DataFrame) -> DataFrame:
     """By brand and month: stock is the running sum of units produced for the home market less those registered new."""
-    made = production.groupBy(F.trunc("fecha", "MM").alias("mes"), F.col("terminal").alias("marca")).agg(F.sum(F.col("unidades_producidas") - F.col("unidades_exportadas")).cast("bigint").alias("internas"))
-    sold = registrations.filter("tipo_vehiculo = '0km' and marca is not null").groupBy(F.trunc("fecha", "MM").alias("mes"), "marca").agg(F.sum("cantidad").cast("bigint").alias("vendidas"))
-    both = made.join(sold, ["mes", "marca"], "full_outer").na.fill(0, ["internas", "vendidas"])
-    so_far = Window.partitionBy("marca").orderBy("mes").rowsBetween(Window.unboundedPreceding, 0)
-    stock = both.withColumn("stock", F.sum(F.col("internas") - F.col("vendidas")).over(so_far))
+    return days_of_stock(rollups.stock(rollups.flows(production, registrations)))
+
+
+def days_of_stock(stock: DataFrame) -> DataFrame:
+    """rollups.stock() with the days that the stock lasts at the month's pace."""
+    stock = stock.withColumnRenamed("fecha", "mes")
     days = F.col("stock") * F.dayofmonth(F.last_day("mes")) / F.nullif(F.col("vendidas"), F.lit(0)).cast("double")
     return stock.withColumn("dias_stock", F.round(days, 4))
 
@@ -67,11 +77,13 @@ def overstock_flags(rotation: DataFrame) -> DataFrame:
 
 def affordability(listings: DataFrame, wages: DataFrame, macro: DataFrame, series: str = "tasa_pf_30_dias") -> DataFrame:
     """By month: the instalment of the mean new listing at the month's last known rate, and the wage as a percentage of it."""
-    price = listings.filter("condicion = 'new'").groupBy(F.trunc("fecha_snapshot", "MM").alias("mes")).agg(F.avg("precio").cast("double").alias("precio"))
+    sums = _rolled(listings, "listings").groupBy(F.col("fecha").alias("mes")).agg(F.sum("suma").alias("suma"), F.sum("n").alias("n")).filter("n > 0")
+    price = sums.select("mes", _mean().alias("precio"))
+    rates = _rolled(macro, "macro").filter("ultimo is not null")
     wage = wages.groupBy(F.trunc("fecha", "MM").alias("mes")).agg(F.avg("salario").cast("double").alias("salario"))
     asked = price.join(wage, "mes", "left").withColumns({"_dia": F.last_day("mes"), "indicador": F.lit(series)})
-    months = as_of(asked, macro, ["indicador"], "_dia", "fecha", ["valor"])
-    known = F.col("valor").cast("double")
+    months = as_of(asked, rates, ["indicador"], "_dia", "ultimo_dia", ["ultimo"])
+    known = F.col("ultimo").cast("double")
     cost = instalment(F.col("precio"), known, MONTHS_TO_PAY)
     return months.select("mes", F.round("precio", 4).alias("precio"), F.round("salario", 4).alias("salario"), F.round(known, 4).alias("tasa"), F.round(cost, 4).alias("cuota"), F.round(100 * F.col("salario") / cost, 4).alias("indice"))
 
@@ -86,7 +98,7 @@ def interest_index(interest: DataFrame, by: tuple[str, ...] = ("fecha", "marca")
 def attention_ranking(interest: DataFrame, listings: DataFrame) -> DataFrame:
     """Brands by half their search index and half their index of active listings."""
     searched = interest.groupBy("marca").agg(F.sum("busquedas").cast("bigint").alias("busquedas"))
-    listed = listings.filter("estado = 'active' and marca is not null").groupBy("marca").agg(F.count("*").alias("activas"))
+    listed = _rolled(listings, "listings").filter("marca is not null").groupBy("marca").agg(F.sum("activas").cast("bigint").alias("activas")).filter("activas > 0")
     both = searched.join(listed, "marca", "full_outer").na.fill(0, ["busquedas", "activas"])  # a row a brand
     parts = [50.0 * F.col(c) / F.nullif(F.max(c).over(_all()), F.lit(0)) for c in ("busquedas", "activas")]
     scored = both.withColumn("puntaje", F.round(F.coalesce(parts[0], F.lit(0.0)) + F.coalesce(parts[1], F.lit(0.0)), 4))

@@ -24,6 +24,7 @@ from marketlens.streaming.ingest import ingest_listings
 Query = Callable[[SparkSession, str], DataFrame]
 BASE, LISTING = "https://base.example", "https://base.example/estadisticas"
 CUT, EARLIER, AS_OF = "2000-01-01", "1999-07-01", datetime(2001, 9, 1)
+EARLY = datetime(2001, 8, 15)
 REPORTED = (date(2000, 1, 1), date(2000, 12, 31))
 _found: dict[str, Query] = {}
 
@@ -414,7 +415,8 @@ def _item_pages(listings: DataFrame, page: Column) -> DataFrame:
         F.array(pair("BRAND", F.col("marca")), pair("MODEL", F.col("modelo")), pair("VEHICLE_YEAR", F.col("anio").cast("string")), pair("KILOMETERS", F.concat(F.col("anio").cast("string"), F.lit(".000 km")))).alias("attributes"),
         where.alias("location"),
     )
-    return listings.groupBy(page.alias("page")).agg(F.to_json(F.struct(F.collect_list(item).alias("results"))).alias("json")).select("json")
+    pages = listings.groupBy(page.cast("int").alias("page")).agg(F.sort_array(F.collect_list(item)).alias("results"))
+    return pages.select("page", F.to_json(F.struct(F.struct(F.col("page").alias("offset")).alias("paging"), "results")).alias("json"))
 
 
 @query
@@ -531,22 +533,35 @@ def listing_stream(v: Views) -> DataFrame:
     return store.read("listings").select("meli_id", "fecha_snapshot", "marca", "modelo", "anio", F.col("precio").cast("double").alias("precio"), "estado", "es_nuevo")
 
 
-def _full_load(v: Views) -> Store:
-    """All sources landed and loaded into a store, and the indicators of what it holds."""
-    folder = new_folder(v.spark, "job")
-    zone, store = f"{folder}/zone", Store(v.spark, f"{folder}/store")
+def _land(v: Views, zone: str) -> None:
+    """All sources but listings, as they are landed."""
     _registration_pages(v).write.parquet(f"{zone}/{jobs.PAGES}")
     _registration_pages(v, "usado").write.parquet(f"{zone}/{jobs.USED_PAGES}")
     v.interest_monthly.withColumn("marca", F.lit(None).cast("string")).select("fecha", "marca", "busquedas").write.parquet(f"{zone}/{jobs.INTEREST}")
-    v.wages.write.parquet(f"{zone}/{jobs.WAGES}")
+    v.wages.withColumn("fecha", F.add_months("fecha", 2)).write.parquet(f"{zone}/{jobs.WAGES}")  # up to the snapshot's month
     _cells(v).write.parquet(f"{zone}/{jobs.GRIDS}")
     _series_pages(v).write.parquet(f"{zone}/{jobs.SERIES}")
     _loan_rows(v).write.csv(f"{zone}/{jobs.LOANS}", sep=";", header=True, encoding="ISO-8859-1")
+
+
+def _search_pages(v: Views) -> DataFrame:
+    """page, query_brand, json: a page is taken for the search of its first item's brand."""
     brand = F.get_json_object("json", "$.results[0].attributes[0].value_name")
-    _items(v).select(F.coalesce(brand, F.lit("-")).alias("query_brand"), "json").write.parquet(f"{zone}/{jobs.LISTINGS}")
-    done = jobs.run_full(v.spark, zone, store, AS_OF)
+    return _items(v).select("page", F.coalesce(brand, F.lit("-")).alias("query_brand"), "json")
+
+
+def _ended_well(done: dict[str, str]) -> None:
     if set(done.values()) != {"success"}:
         raise RuntimeError(str(done))
+
+
+def _full_load(v: Views) -> Store:
+    """All sources landed and loaded into a store, and the indicators of what it holds."""
+    folder = new_folder(v.spark, "job")
+    zone, store = f"{folder}/zone", Store(v.spark, f"{folder}/store")
+    _land(v, zone)
+    _search_pages(v).drop("page").write.parquet(f"{zone}/{jobs.LISTINGS}")
+    _ended_well(jobs.run_full(v.spark, zone, store, AS_OF))
     return store
 
 
@@ -559,12 +574,42 @@ def job_full(v: Views) -> DataFrame:
 
 @query
 def job_tables(v: Views) -> DataFrame:
-    """The full load, and how many rows it stored of each source that is kept whole; of listings and of each indicator it must have some."""
+    """The full load, and how many rows it stored in each table and of each indicator."""
     store = _full_load(v)
-    kinds = {r[0] for r in store.read("indicators").select("indicador").distinct().collect()}
-    if not kinds >= {"rotacion_stock", "produccion_demanda", "tension_demanda", "atencion"} or store.read("listings").isEmpty():  # the landed wages end before the snapshot
-        raise RuntimeError(f"no listings, or not all indicators: {sorted(kinds)}")
-    return explore.table_stats({name: store.read(name) for name in ("registrations", "production", "macro")})
+    counts = explore.table_stats({name: store.read(name) for name in ("registrations", "production", "macro", "listings")})
+    return counts.unionByName(store.read("indicators").groupBy(F.concat(F.lit("indicators/"), "indicador").alias("tabla")).agg(F.count("*").alias("filas")))
+
+
+@query
+def job_daily(v: Views) -> DataFrame:
+    """A full load in mid-month from half the listing pages; a fortnight later a daily run over all of them: every stored indicator."""
+    folder = new_folder(v.spark, "daily")
+    zone, store = f"{folder}/zone", Store(v.spark, f"{folder}/store")
+    _land(v, zone)
+    pages = _search_pages(v)
+    pages.filter("page % 2 = 0").drop("page").write.parquet(f"{zone}/{jobs.LISTINGS}")
+    _ended_well(jobs.run_full(v.spark, zone, store, EARLY))
+    pages.filter("page % 2 = 1").drop("page").write.mode("append").parquet(f"{zone}/{jobs.LISTINGS}")
+    _ended_well(jobs.run_daily(v.spark, zone, store, AS_OF))
+    return store.read("indicators").select("indicador", "periodo", "marca", F.col("valor").cast("double").alias("valor"))
+
+
+@query
+def job_monthly(v: Views) -> DataFrame:
+    """The monthly run where the first source of registrations is empty, and grids have half the makers, sheets all with other numbers."""
+    folder = new_folder(v.spark, "monthly")
+    zone, store = f"{folder}/zone", Store(v.spark, f"{folder}/store")
+    v.spark.createDataFrame([("u", "<p>sin datos</p>")], "url string, html string").write.parquet(f"{zone}/{jobs.PAGES}")
+    used = F.concat(F.lit("<h2>Vehículos usados</h2>"), "html")
+    both = _registration_pages(v).unionByName(_registration_pages(v, "usado").withColumn("html", used))
+    both.groupBy("url").agg(F.concat(F.lit("<h2>Vehículos 0km</h2>"), F.array_join(F.sort_array(F.collect_list("html"), asc=False), "")).alias("html")).write.parquet(f"{zone}/{jobs.OTHER_PAGES}")  # two tables a page
+    _cells(v).filter(F.right(F.element_at("cells", 1), F.lit(1)).cast("int") % 2 == 0).write.parquet(f"{zone}/{jobs.GRIDS}")
+    sheet = v.production.select(parse.period_of(F.col("fecha")).alias("periodo"), F.col("terminal").alias("Terminal"), F.lit(None).cast("string").alias("Marca"), (F.col("unidades_producidas") + 1).alias("Producción"), F.col("unidades_exportadas").alias("Exportación"))
+    sheet.write.partitionBy("periodo").csv(f"{zone}/{jobs.SHEETS}", header=True)
+    _ended_well(jobs.run_monthly(v.spark, zone, store, AS_OF))
+    made = store.read("production").select(F.lit("production").alias("tabla"), F.col("terminal").alias("grupo"), F.col("unidades_producidas").alias("unidades"))
+    sold = store.read("registrations").select(F.lit("registrations").alias("tabla"), F.concat("fuente", F.lit(" "), "tipo_vehiculo").alias("grupo"), F.col("cantidad").alias("unidades"))
+    return made.unionByName(sold).groupBy("tabla", "grupo").agg(F.count("*").alias("filas"), F.sum("unidades").cast("bigint").alias("unidades"))
 
 
 @query

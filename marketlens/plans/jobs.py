@@ -8,11 +8,11 @@ from datetime import date, datetime, timedelta
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens import schemas
-from marketlens.operators import indicators
+from marketlens.operators import indicators, rollups
 from marketlens.operators.merge import with_fallback
 from marketlens.operators.rejects import REASON
 from marketlens.operators.windows import cap_per_group
@@ -80,13 +80,47 @@ def load_production(spark: SparkSession, zone: str, store: Store, as_of: datetim
     return merge_into(store, "production", grid.unionByName(sheet), measures, measures, as_of, measures)
 
 
+def refresh_state(store: Store, table: str, months: list[str] | None) -> None:
+    """Rolls up these months of a stored table anew, all of them if there is no state yet; no other month is read."""
+    if not store.has(f"state_{table}"):
+        months = None
+    rows = store.read(table, getattr(schemas, table.upper()), months)
+    store.write(f"state_{table}", rollups.ROLLED[table](rows), "fecha")
+
+
+def state(store: Store, table: str, months: Column | None = None) -> DataFrame:
+    rows = store.read(f"state_{table}", rollups.SCHEMAS[table])
+    return rows if months is None else rows.filter(months)
+
+
+def advance_stock(store: Store, first: str | None) -> None:
+    """Carries the stock on from the month (2024-01) given, on top of each brand's last stock before it; from the start if none is given."""
+    if first is None or not store.has("state_stock"):
+        moved = rollups.stock(rollups.flows(state(store, "production"), state(store, "registrations")))
+    else:
+        since = F.lit(f"{first}-01").cast("date")
+        before = state(store, "stock", F.col("fecha") < since).groupBy("marca").agg(F.max_by("stock", "fecha").alias("stock"))
+        moved = rollups.stock(rollups.flows(*(state(store, t, F.col("fecha") >= since) for t in ("production", "registrations"))), before)
+    store.write("state_stock", moved, "fecha")
+
+
+def update_state(store: Store, touched: dict[str, list[str]]) -> None:
+    """Brings the state up to the tables, given the months that loads have touched."""
+    for table in rollups.ROLLED:
+        if touched.get(table) or not store.has(f"state_{table}"):
+            refresh_state(store, table, touched.get(table))
+    moved = sorted({*touched.get("production", []), *touched.get("registrations", [])})
+    if moved or not store.has("state_stock"):
+        advance_stock(store, moved[0] if moved else None)
+
+
 def calculate_indicators(store: Store, as_of: datetime, interest: DataFrame | None = None, wages: DataFrame | None = None) -> Merged:
-    """The four composite indicators and production against demand, from what the store holds, search interest and wages."""
+    """The four composite indicators and production against demand, from the store's state by month, search interest and wages."""
     spark = store.spark
-    made, sold, macro, listed = (store.read(t, getattr(schemas, t.upper())) for t in ("production", "registrations", "macro", "listings"))
+    made, sold, macro, listed = (state(store, t) for t in ("production", "registrations", "macro", "listings"))
     interest = spark.createDataFrame([], schemas.INTEREST) if interest is None else interest
     wages = spark.createDataFrame([], schemas.WAGES) if wages is None else wages
-    rotation = indicators.stock_rotation(made, sold).withColumn("valor", F.col("dias_stock"))
+    rotation = indicators.days_of_stock(state(store, "stock")).withColumn("valor", F.col("dias_stock"))
     ratio = indicators.production_vs_demand(made, sold).withColumn("valor", F.col("razon"))
     tension = indicators.demand_tension(sold, macro, interest)
     access = indicators.affordability(listed, wages, macro).withColumn("valor", F.col("indice"))
@@ -108,15 +142,21 @@ SOURCES: dict[str, Step] = {"macro": sync_macro, "listings": market_snapshot, "r
 
 
 def run(spark: SparkSession, zone: str, store: Store, as_of: datetime, sources: list[str]) -> dict[str, str]:
-    """Runs the sources and then the indicators; how each ended: success, no_data (nothing to merge) or an error."""
-    done = {}
+    """Runs the sources, brings the state of the months that they touched up to date, and calculates the indicators from it.
+
+    How each source ended: success, no_data (nothing to merge) or an error."""
+    done, touched = {}, {}
     for name in sources:
         try:
-            touched = SOURCES[name](spark, zone, store, as_of).rows.filter("action <> 'kept'")
-            done[name] = "no_data" if touched.isEmpty() else "success"
+            merged = SOURCES[name](spark, zone, store, as_of)
+            month = F.date_format(schemas.DAYS[name], "yyyy-MM")
+            seen = merged.rows.filter("action <> 'kept'").groupBy(month).agg(F.bool_or(F.col("action") != "unchanged")).collect()  # a row a month
+            done[name] = "success" if seen else "no_data"
+            touched[name] = sorted(month for month, changed in seen if changed)
         except Exception as problem:  # noqa: BLE001  the others go on
             log.exception("source %s failed", name)
             done[name] = f"error: {type(problem).__name__}"
+    update_state(store, touched)
     calculate_indicators(store, as_of, landed(spark, zone, INTEREST, schemas.INTEREST), landed(spark, zone, WAGES, schemas.WAGES))
     return done
 

@@ -74,6 +74,24 @@ _RATIO = """
     sold AS (SELECT fecha AS mes, CAST(sum(cantidad) AS BIGINT) AS vendidas FROM registrations WHERE tipo_vehiculo = '0km' GROUP BY 1),
     ratio AS (SELECT mes, internas, vendidas, round(CAST(internas AS DOUBLE) / nullif(vendidas, 0), 4) AS razon FROM made FULL OUTER JOIN sold USING (mes))"""
 
+_TENSION = """
+            m AS (SELECT fecha AS mes, CAST(sum(cantidad) AS DOUBLE) AS total FROM registrations WHERE tipo_vehiculo = '0km' GROUP BY 1),
+            u AS (SELECT a.mes, round(100.0 * (a.total - b.total) / nullif(b.total, 0), 4) AS registros FROM m a LEFT JOIN m b ON b.mes = a.mes - to_months(12)),
+            r AS (SELECT CAST(date_trunc('month', fecha) AS DATE) AS mes, CAST(sum(valor) AS DOUBLE) / count(*) AS tasa FROM macro WHERE indicador = 'tasa_badlar' GROUP BY 1),
+            c AS (SELECT a.mes, a.tasa - b.tasa AS tasa FROM r a LEFT JOIN r b ON b.mes = a.mes - to_months(1)),
+            s AS (SELECT u.mes, registros, c.tasa, CAST(busquedas AS DOUBLE) AS interes FROM u LEFT JOIN c USING (mes) LEFT JOIN interest_monthly i ON i.fecha = u.mes),
+            z AS (SELECT mes, (registros - avg(registros) OVER ()) / nullif(stddev_samp(registros) OVER (), 0) AS registros, (tasa - avg(tasa) OVER ()) / nullif(stddev_samp(tasa) OVER (), 0) AS tasa,
+                (interes - avg(interes) OVER ()) / nullif(stddev_samp(interes) OVER (), 0) AS interes FROM s)
+            SELECT mes, round(registros, 4) AS registros, round(tasa, 4) AS tasa, round(interes, 4) AS interes,
+                round((coalesce(registros * 0.5, 0) + coalesce(tasa * -0.3, 0) + coalesce(interes * 0.2, 0)) / nullif(CASE WHEN registros IS NOT NULL THEN CAST(0.5 AS DOUBLE) ELSE 0 END
+                    + CASE WHEN tasa IS NOT NULL THEN CAST(0.3 AS DOUBLE) ELSE 0 END + CASE WHEN interes IS NOT NULL THEN CAST(0.2 AS DOUBLE) ELSE 0 END, 0), 4) AS valor,
+                round((CAST(registros IS NOT NULL AS INT) + CAST(tasa IS NOT NULL AS INT) + CAST(interes IS NOT NULL AS INT)) / 3, 4) AS confianza FROM z"""
+_ACCESS = """
+            p AS (SELECT CAST(date_trunc('month', fecha_snapshot) AS DATE) AS mes, CAST(sum(precio) AS DOUBLE) / count(*) AS precio FROM listings WHERE condicion = 'new' GROUP BY 1),
+            r AS (SELECT CAST(date_trunc('month', fecha) AS DATE) AS mes, CAST(arg_max(valor, fecha) AS DOUBLE) AS tasa FROM macro WHERE indicador = 'tasa_pf_30_dias' GROUP BY 1),
+            m AS (SELECT mes, precio, salario, last_value(tasa IGNORE NULLS) OVER (ORDER BY mes ROWS UNBOUNDED PRECEDING) AS tasa FROM p LEFT JOIN wages w ON w.fecha = mes LEFT JOIN r USING (mes)),
+            c AS (SELECT *, CASE WHEN tasa = 0 THEN precio / 36 ELSE precio * (tasa / 1200.0) / (1 - pow(1 + tasa / 1200.0, -36)) END AS cuota FROM m)
+            SELECT mes, round(precio, 4) AS precio, round(salario, 4) AS salario, round(tasa, 4) AS tasa, round(cuota, 4) AS cuota, round(100 * salario / cuota, 4) AS indice FROM c"""
 _JOB = """
     made AS (SELECT fecha AS mes, terminal AS marca, CAST(sum(unidades_producidas - unidades_exportadas) AS BIGINT) AS internas FROM production GROUP BY 1, 2),
     sold AS (SELECT fecha AS mes, marca, CAST(sum(cantidad) AS BIGINT) AS vendidas FROM registrations WHERE tipo_vehiculo = '0km' AND marca IS NOT NULL GROUP BY 1, 2),
@@ -86,6 +104,40 @@ _JOB = """
     SELECT indicador, marca, count(*) AS meses, arg_max(valor, mes) AS ultimo FROM every WHERE valor IS NOT NULL GROUP BY 1, 2"""
 
 
+
+def _taken(pages: str, day: str) -> str:
+    """A snapshot's listings: of each search brand the first hundred items, a row an id."""
+    return f"""SELECT *, DATE '{day}' AS dia FROM (SELECT * FROM placed WHERE {pages} QUALIFY row_number() OVER (PARTITION BY busca ORDER BY page, pos) <= 100)
+        QUALIFY row_number() OVER (PARTITION BY meli_id ORDER BY precio DESC) = 1"""
+
+
+#: Search pages of sixteen orders, their items in order, each page for the brand of its first item.
+_PLACED = """
+    paged AS (SELECT *, CAST(split_part(substr(meli_id, 4), '-', 1) AS BIGINT) // 16 AS page FROM listings),
+    posed AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY meli_id, modelo, precio, moneda, estado, condicion) AS pos FROM paged),
+    placed AS (SELECT *, coalesce(first_value(marca) OVER (PARTITION BY page ORDER BY pos), '-') AS busca FROM posed)"""
+_DAILY = f"""{_PLACED},
+    early AS ({_taken("page % 2 = 0", "2001-08-15")}), late AS ({_taken("true", "2001-09-01")}),
+    held AS (SELECT * FROM early UNION ALL SELECT * FROM late),
+    held_sales AS (SELECT * FROM registrations WHERE marca IS NOT NULL),
+    held_rates AS (SELECT * FROM macro WHERE fecha BETWEEN DATE '2001-07-15' AND DATE '2001-09-01'),
+    held_wages AS (SELECT CAST(fecha + to_months(2) AS DATE) AS fecha, salario FROM wages),
+    moved AS (WITH registrations AS (SELECT * FROM held_sales), {_ROTATION} SELECT * FROM rotation),
+    ratios AS (WITH registrations AS (SELECT * FROM held_sales), {_RATIO} SELECT * FROM ratio),
+    tensions AS (WITH registrations AS (SELECT * FROM held_sales), macro AS (SELECT * FROM held_rates), {_TENSION}),
+    accesses AS (WITH listings AS (SELECT dia AS fecha_snapshot, condicion, precio FROM held), wages AS (SELECT * FROM held_wages), macro AS (SELECT * FROM held_rates), {_ACCESS}),
+    shown AS (SELECT '2001-08' AS periodo, marca, count(*) AS activas FROM early WHERE estado = 'active' AND marca IS NOT NULL GROUP BY 2
+        UNION ALL SELECT '2001-09', marca, count(*) FROM held WHERE estado = 'active' AND marca IS NOT NULL GROUP BY 2),
+    every AS (
+        SELECT 'rotacion_stock' AS indicador, mes, marca, dias_stock AS valor FROM moved
+        UNION ALL SELECT 'produccion_demanda', mes, NULL, razon FROM ratios
+        UNION ALL SELECT 'tension_demanda', mes, NULL, valor FROM tensions
+        UNION ALL SELECT 'accesibilidad', mes, NULL, indice FROM accesses)"""
+_ATTENTION = """
+    SELECT 'atencion' AS indicador, periodo, marca, round(CAST(50.0 AS DOUBLE) * activas / max(activas) OVER (PARTITION BY periodo), 4) AS valor FROM shown
+    UNION ALL SELECT 'atencion', unnest(['2001-08', '2001-09']), NULL, 50.0"""
+
+
 def sql() -> dict[str, str]:
     return {
         "top_brands": _with("registrations", """
@@ -266,31 +318,27 @@ def sql() -> dict[str, str]:
             SELECT fecha, marca, modelo, tipo_vehiculo, cantidad, fuente FROM registrations WHERE fecha BETWEEN DATE '1998-01-01' AND DATE '1998-12-31' AND tipo_vehiculo = 'usado'
             ORDER BY fecha DESC, marca NULLS LAST, modelo, fuente, cantidad LIMIT 100"""),
         "job_full": _with("registrations production", "") + "," + _JOB,
-        "job_tables": _with("registrations production macro", """
-            SELECT 'registrations' AS tabla, count(*) AS filas FROM (SELECT DISTINCT fecha, marca, tipo_vehiculo FROM registrations WHERE marca IS NOT NULL)
+        "job_tables": _with("registrations production macro listings wages interest_monthly", "") + f""", {_PLACED}, late AS ({_taken("true", "2001-09-01")}),
+            held_sales AS (SELECT * FROM registrations WHERE marca IS NOT NULL), held_rates AS (SELECT * FROM macro WHERE fecha BETWEEN DATE '2001-08-01' AND DATE '2001-09-01'),
+            tensions AS (WITH registrations AS (SELECT * FROM held_sales), macro AS (SELECT * FROM held_rates), {_TENSION})
+            SELECT 'registrations' AS tabla, count(*) AS filas FROM (SELECT DISTINCT fecha, marca, tipo_vehiculo FROM held_sales)
             UNION ALL SELECT 'production', count(*) FROM production
-            UNION ALL SELECT 'macro', count(*) + count(*) FILTER (indicador = 'tasa_badlar') FROM macro WHERE fecha BETWEEN DATE '2001-08-01' AND DATE '2001-09-01'"""),
-        "demand_tension": _with("registrations macro interest_monthly", "") + """,
-            m AS (SELECT fecha AS mes, CAST(sum(cantidad) AS DOUBLE) AS total FROM registrations WHERE tipo_vehiculo = '0km' GROUP BY 1),
-            u AS (SELECT a.mes, round(100.0 * (a.total - b.total) / nullif(b.total, 0), 4) AS registros FROM m a LEFT JOIN m b ON b.mes = a.mes - to_months(12)),
-            r AS (SELECT CAST(date_trunc('month', fecha) AS DATE) AS mes, CAST(sum(valor) AS DOUBLE) / count(*) AS tasa FROM macro WHERE indicador = 'tasa_badlar' GROUP BY 1),
-            c AS (SELECT a.mes, a.tasa - b.tasa AS tasa FROM r a LEFT JOIN r b ON b.mes = a.mes - to_months(1)),
-            s AS (SELECT u.mes, registros, c.tasa, CAST(busquedas AS DOUBLE) AS interes FROM u LEFT JOIN c USING (mes) LEFT JOIN interest_monthly i ON i.fecha = u.mes),
-            z AS (SELECT mes, (registros - avg(registros) OVER ()) / nullif(stddev_samp(registros) OVER (), 0) AS registros, (tasa - avg(tasa) OVER ()) / nullif(stddev_samp(tasa) OVER (), 0) AS tasa,
-                (interes - avg(interes) OVER ()) / nullif(stddev_samp(interes) OVER (), 0) AS interes FROM s)
-            SELECT mes, round(registros, 4) AS registros, round(tasa, 4) AS tasa, round(interes, 4) AS interes,
-                round((coalesce(registros * 0.5, 0) + coalesce(tasa * -0.3, 0) + coalesce(interes * 0.2, 0)) / nullif(CASE WHEN registros IS NOT NULL THEN CAST(0.5 AS DOUBLE) ELSE 0 END
-                    + CASE WHEN tasa IS NOT NULL THEN CAST(0.3 AS DOUBLE) ELSE 0 END + CASE WHEN interes IS NOT NULL THEN CAST(0.2 AS DOUBLE) ELSE 0 END, 0), 4) AS valor,
-                round((CAST(registros IS NOT NULL AS INT) + CAST(tasa IS NOT NULL AS INT) + CAST(interes IS NOT NULL AS INT)) / 3, 4) AS confianza FROM z""",
+            UNION ALL SELECT 'macro', count(*) + count(*) FILTER (indicador = 'tasa_badlar') FROM held_rates
+            UNION ALL SELECT 'listings', count(*) FROM late
+            UNION ALL SELECT 'indicators/' || indicador, count(*) FROM (WITH {_JOB.replace("SELECT indicador, marca, count(*) AS meses, arg_max(valor, mes) AS ultimo FROM every WHERE valor IS NOT NULL GROUP BY 1, 2", "SELECT * FROM every WHERE valor IS NOT NULL")}) GROUP BY 1
+            UNION ALL SELECT 'indicators/tension_demanda', count(*) FROM tensions WHERE valor IS NOT NULL
+            UNION ALL SELECT 'indicators/accesibilidad', 1 FROM late WHERE condicion = 'new' HAVING count(*) > 0
+            UNION ALL SELECT 'indicators/atencion', 1 + count(DISTINCT marca) FROM late WHERE estado = 'active' AND marca IS NOT NULL""",
+        "job_daily": _with("registrations production macro listings wages interest_monthly", "") + f""", {_DAILY}
+            SELECT indicador, strftime(mes, '%Y-%m') AS periodo, marca, round(valor, 4) AS valor FROM every WHERE valor IS NOT NULL UNION ALL {_ATTENTION}""",
+        "job_monthly": _with("registrations production", """
+            SELECT 'production' AS tabla, terminal AS grupo, count(*) AS filas, CAST(sum(unidades_producidas) + CASE WHEN CAST(right(terminal, 1) AS INT) % 2 = 0 THEN 0 ELSE count(*) END AS BIGINT) AS unidades FROM production GROUP BY 2
+            UNION ALL SELECT 'registrations', 'ACARA ' || tipo_vehiculo, count(DISTINCT (fecha, marca)), CAST(sum(cantidad) AS BIGINT) FROM registrations WHERE marca IS NOT NULL GROUP BY 2"""),
+        "demand_tension": _with("registrations macro interest_monthly", "") + "," + _TENSION,
         "stock_rotation": _with("registrations production", "") + "," + _ROTATION + " SELECT * FROM rotation",
         "overstock_flags": _with("registrations production", "") + "," + _ROTATION + """, l AS (SELECT *, round(avg(dias_stock) OVER (PARTITION BY marca) + stddev_samp(dias_stock) OVER (PARTITION BY marca), 4) AS limite FROM rotation)
             SELECT mes, marca, stock, dias_stock, limite FROM l WHERE dias_stock > 90 OR dias_stock > limite""",
-        "affordability": _with("listings wages macro", "") + """,
-            p AS (SELECT CAST(date_trunc('month', fecha_snapshot) AS DATE) AS mes, CAST(sum(precio) AS DOUBLE) / count(*) AS precio FROM listings WHERE condicion = 'new' GROUP BY 1),
-            r AS (SELECT CAST(date_trunc('month', fecha) AS DATE) AS mes, CAST(arg_max(valor, fecha) AS DOUBLE) AS tasa FROM macro WHERE indicador = 'tasa_pf_30_dias' GROUP BY 1),
-            m AS (SELECT mes, precio, salario, last_value(tasa IGNORE NULLS) OVER (ORDER BY mes ROWS UNBOUNDED PRECEDING) AS tasa FROM p LEFT JOIN wages w ON w.fecha = mes LEFT JOIN r USING (mes)),
-            c AS (SELECT *, CASE WHEN tasa = 0 THEN precio / 36 ELSE precio * (tasa / 1200.0) / (1 - pow(1 + tasa / 1200.0, -36)) END AS cuota FROM m)
-            SELECT mes, round(precio, 4) AS precio, round(salario, 4) AS salario, round(tasa, 4) AS tasa, round(cuota, 4) AS cuota, round(100 * salario / cuota, 4) AS indice FROM c""",
+        "affordability": _with("listings wages macro", "") + "," + _ACCESS,
         "rate_asof": _with("listings macro", """
             , published AS (SELECT * FROM macro WHERE day(fecha) % 5 = 0 AND month(fecha) <> 2),
             listed AS (SELECT meli_id, fecha_snapshot, CASE WHEN moneda = 'USD' THEN 'tasa_pf_30_dias' WHEN condicion = 'new' THEN 'tasa_badlar' ELSE 'tasa_pf_90_dias' END AS indicador FROM listings)

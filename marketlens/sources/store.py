@@ -33,6 +33,16 @@ class Store:
             rows = rows.filter(F.col("_month").cast("string").isin(list(months)))
         return rows.drop("_month")
 
+    def has(self, table: str) -> bool:
+        """Whether the table has been written to."""
+        try:
+            self.spark.read.parquet(f"{self.root}/{table}")
+        except AnalysisException as problem:
+            if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return False
+        return True
+
     def write(self, table: str, df: DataFrame, day: str) -> DataFrame:
         """Puts whole months in place of what the table has of them; the rows as written, with their actions."""
         rows = materialise(df.withColumn("_month", F.date_format(day, "yyyy-MM")).hint("rebalance", "_month"), table)  # few files a month, large months split
