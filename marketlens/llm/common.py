@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -24,11 +25,17 @@ HOT_KEYS = 2_000
 HOT_FLOOR = 64
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches cut into slices of so many rows, at least one a batch; Spark bounds the bytes of a batch itself."""
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, give_back: bool = False) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of so many rows, at least one a batch; Spark bounds the bytes of a batch itself.
+
+    A worker lives on between tasks: with give_back it returns what it has freed to the system at the end of one."""
     for b in batches:
         for at in range(0, max(1, b.num_rows), rows):
             yield b.slice(at, rows)
+    if give_back:
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU library
+            trim(0)
 
 
 def kept_rows(docs: DataFrame, columns: Sequence[str], keep: Callable[[pa.RecordBatch], list[bool]]) -> DataFrame:
@@ -36,7 +43,7 @@ def kept_rows(docs: DataFrame, columns: Sequence[str], keep: Callable[[pa.Record
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
+        for b in pieces(batches, give_back=True):
             yield b.filter(pa.array(keep(b.select([names.index(c) for c in columns])), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -69,7 +69,7 @@ def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     every = max(1, min(SAMPLE_EVERY, rows.count() // SAMPLE_DOCS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
+        for b in pieces(batches, give_back=True):
             found = np.concatenate([np.empty(0, np.uint64), *(shingles(x.as_py()) for x in b.column(0))])
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["h"])
 
@@ -86,7 +86,7 @@ def _read(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = shared.value
-        for b in pieces(batches):
+        for b in pieces(batches, give_back=True):
             out: list[tuple] = []
             for node, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 every = simhash.shingle_hashes(x.as_py(), SHINGLE)
@@ -131,13 +131,13 @@ def _checked(pairs: DataFrame, sets: DataFrame, rows: DataFrame, name: str) -> D
     """Those of the pairs (a, b) whose whole sets are similar."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 8192):
+        for b in pieces(batches, 8192, give_back=True):
             both = zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
             keep = [not far_apart(x["bits"], y["bits"], x["n"] + y["n"]) for x, y in both]
             yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
+        for b in pieces(batches, give_back=True):
             keep = [similar(shingles(x.as_py()), shingles(y.as_py())) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 

@@ -122,7 +122,7 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int = END_ID, id_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, seen = tokenizer(vocabulary), {}
         end = np.array([end_id], t.wide)
-        for b in pieces(batches):
+        for b in pieces(batches, give_back=True):
             ids = [np.concatenate([t.encode(x.as_py() or ""), end]) for x in b.column(3)]
             before = []
             for q, x in zip(b.column(1).to_pylist(), ids, strict=True):
@@ -165,7 +165,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, window: int | N
     placed = look_up(tokens, materialise(bases, "packing-bases"), ["queue", "part"], "w", tokens.count(), F.col("id"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
+        for b in pieces(batches, give_back=True):
             ids = [np.frombuffer(x, f"<u{w}").astype("<u4") for x, w in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
             n = b.column(3).to_numpy()
             run, at, size, seq, offset = plan.pieces(b.column(1).to_numpy().astype(np.int64), b.column(2).to_numpy(), n, length)
