@@ -16,10 +16,10 @@ from marketlens.operators.merge import dedupe_last, merge_upsert, summary, with_
 from marketlens.operators.rejects import marked
 from marketlens.plans import jobs
 from marketlens.sources import landing
-from marketlens.sources.shared import new_folder
+from marketlens.sources.shared import materialise, new_folder
 from marketlens.sources.store import Store
 from marketlens.sources.views import Views
-from marketlens.streaming.ingest import ingest_listings
+from marketlens.streaming.ingest import ingest_listings, ingest_price_steps, price_changes as stored_price_changes
 
 Query = Callable[[SparkSession, str], DataFrame]
 BASE, LISTING = "https://base.example", "https://base.example/estadisticas"
@@ -529,10 +529,26 @@ def listing_stream(v: Views) -> DataFrame:
     _items(v).select("json").write.text(f"{folder}/landing")
     store = Store(v.spark, f"{folder}/store")
     for k in (1, 2):
-        ingest_listings(v.spark, f"{folder}/landing", store, f"{folder}/checkpoint-{k}", "2001-09-01", AS_OF)
+        ingest_listings(v.spark, f"{folder}/landing", store, f"{folder}/checkpoint-{k}", AS_OF, "2001-09-01")
     return store.read("listings").select("meli_id", "fecha_snapshot", "marca", "modelo", "anio", F.col("precio").cast("double").alias("precio"), "estado", "es_nuevo")
 
 
+@query
+def price_change_stream(v: Views) -> DataFrame:
+    """Quarterly snapshots that come out of order, some of them twice, each in a run of its own from the same checkpoint; then the stored price changes."""
+    folder = new_folder(v.spark, "steps")
+    store, quarter = Store(v.spark, f"{folder}/store"), F.trunc("fecha_snapshot", "quarter")
+    listed = v.listings.withColumns({"snapshot": quarter, "meli_id": F.concat_ws("|", "marca", "moneda", "provincia"), "estado": F.lit("active")})
+    prices = listed.groupBy("snapshot", "meli_id").agg(F.max("precio").alias("price")).select("snapshot", F.struct(F.col("meli_id").alias("id"), "price").alias("item"), F.pmod(F.xxhash64("meli_id"), F.lit(16)).alias("page"))
+    pages = prices.groupBy("snapshot", "page").agg(F.to_json(F.struct(F.collect_list("item").alias("results"))).alias("json")).select("snapshot", "json")
+    pages = materialise(pages, "steps-pages")
+    year = F.year("snapshot")
+    for come in (year.between(1997, 1998), year >= 1998, year < 1997):  # 1998 comes twice, the oldest last
+        pages.filter(come).write.partitionBy("snapshot").mode("append").text(f"{folder}/landing")
+        ingest_price_steps(v.spark, f"{folder}/landing", store, f"{folder}/checkpoint", AS_OF, "4000 days")
+    return stored_price_changes(store)
+
+
 def _land(v: Views, zone: str) -> None:
     """All sources but listings, as they are landed."""
     _registration_pages(v).write.parquet(f"{zone}/{jobs.PAGES}")

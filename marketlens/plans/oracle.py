@@ -313,6 +313,11 @@ def sql() -> dict[str, str]:
         "listing_stream": _with("listings", """
             SELECT meli_id, DATE '2001-09-01' AS fecha_snapshot, marca, modelo, anio, CAST(precio AS DOUBLE) AS precio, estado, condicion = 'new' AS es_nuevo FROM listings
             QUALIFY row_number() OVER (PARTITION BY meli_id ORDER BY listings.precio DESC) = 1"""),
+        "price_change_stream": _with("listings", """
+            , d AS (SELECT concat_ws('|', marca, moneda, provincia) AS meli_id, CAST(date_trunc('quarter', fecha_snapshot) AS DATE) AS fecha_snapshot, max(precio) AS precio FROM listings GROUP BY 1, 2),
+            w AS (SELECT *, lag(precio) OVER (PARTITION BY meli_id ORDER BY fecha_snapshot) AS antes FROM d)
+            SELECT meli_id, fecha_snapshot, CAST(precio AS DOUBLE) AS precio, CAST(antes AS DOUBLE) AS precio_anterior,
+            round(100.0 * (CAST(precio AS DOUBLE) - CAST(antes AS DOUBLE)) / CAST(antes AS DOUBLE), 4) AS variacion FROM w WHERE precio <> antes"""),
         "principal_variables": _with("macro", "SELECT indicador AS descripcion, max(fecha) AS fecha, CAST(arg_max(valor, fecha) AS DOUBLE) AS valor FROM macro GROUP BY 1"),
         "first_rows": _with("registrations", """
             SELECT fecha, marca, modelo, tipo_vehiculo, cantidad, fuente FROM registrations WHERE fecha BETWEEN DATE '1998-01-01' AND DATE '1998-12-31' AND tipo_vehiculo = 'usado'

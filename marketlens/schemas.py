@@ -17,6 +17,7 @@ LISTINGS = (
 )
 INDICATORS = "fecha DATE, periodo STRING, indicador STRING, marca STRING, segmento STRING, valor DECIMAL(18,4), detalles STRING, descripcion STRING, unidad STRING" + STAMPS
 
+PRICE_STEPS = "meli_id STRING, fecha_snapshot DATE, precio DECIMAL(18,2), precio_anterior DECIMAL(18,2)" + STAMPS
 REJECTS = "fecha DATE, tabla STRING, motivo STRING, fila STRING, veces BIGINT" + STAMPS
 
 INTEREST, WAGES = "fecha DATE, marca STRING, busquedas BIGINT", "fecha DATE, salario DOUBLE"
@@ -36,16 +37,17 @@ KEYS = {
     "macro": ["fecha", "indicador"],
     "listings": ["meli_id", "fecha_snapshot"],
     "indicators": ["indicador", "periodo", "marca", "segmento"],
+    "price_steps": ["meli_id", "fecha_snapshot"],
     "rejects": ["fecha", "tabla", "motivo", "fila"],
 }
 #: What stands for a missing value when a row is stored.
 DEFAULTS = {
     "registrations": {"fuente": "ACARA"}, "production": {"unidades_producidas": 0, "unidades_exportadas": 0, "fuente": "ADEFA"}, "macro": {"fuente": "BCRA"},
-    "listings": {"moneda": "ARS", "visitas": 0, "ventas": 0}, "indicators": {}, "rejects": {},
+    "listings": {"moneda": "ARS", "visitas": 0, "ventas": 0}, "indicators": {}, "price_steps": {}, "rejects": {},
 }
 
 #: The column whose month a table is stored by.
-DAYS = {"registrations": "fecha", "production": "fecha", "macro": "fecha", "listings": "fecha_snapshot", "indicators": "fecha", "rejects": "fecha"}
+DAYS = {"registrations": "fecha", "production": "fecha", "macro": "fecha", "listings": "fecha_snapshot", "indicators": "fecha", "price_steps": "fecha_snapshot", "rejects": "fecha"}
 
 # Series numbers of the source, brands of the default snapshot, Spanish month names.
 SERIES = {"tasa_badlar": 7, "tasa_pf_30_dias": 8, "tasa_pf_90_dias": 9, "tipo_cambio_bna": 1, "reservas": 2, "creditos_totales": 16}

@@ -10,7 +10,7 @@ from marketlens import schemas
 from marketlens.plans import jobs
 from marketlens.sources import landing
 from marketlens.sources.store import Store, export_csv
-from marketlens.streaming.ingest import ingest_listings, merge_into
+from marketlens.streaming.ingest import ingest_listings, ingest_price_steps, merge_into, price_changes
 
 PAGE = """<html><table class="other"><tr><th>x</th></tr><tr><td>1</td><td>2</td></tr></table>
 <table class="estadisticas big"><tr><th>Marca</th><th> Ene-2024</th><th>Feb-2024 </th></tr>
@@ -191,12 +191,48 @@ def test_stream_replay(spark, tmp_path):
     landing_dir, store, now = tmp_path / "in", Store(spark, str(tmp_path / "store")), datetime(2024, 1, 1)
     landing_dir.mkdir()
     (landing_dir / "1.json").write_text(json.dumps({"results": [item("a"), item("b")]}))
-    ingest_listings(spark, str(landing_dir), store, str(tmp_path / "c1"), "2024-01-01", now)
+    ingest_listings(spark, str(landing_dir), store, str(tmp_path / "c1"), now, "2024-01-01")
     (landing_dir / "2.json").write_text(json.dumps({"results": [item("b", 150.0), item("c")]}))
-    ingest_listings(spark, str(landing_dir), store, str(tmp_path / "c1"), "2024-01-01", now)
+    ingest_listings(spark, str(landing_dir), store, str(tmp_path / "c1"), now, "2024-01-01")
     rows = sorted((r.meli_id, float(r.precio)) for r in store.read("listings").collect())
     assert rows == [("a", 100.0), ("b", 150.0), ("c", 100.0)]
-    ingest_listings(spark, str(landing_dir), store, str(tmp_path / "c1"), "2024-01-01", now)
+    ingest_listings(spark, str(landing_dir), store, str(tmp_path / "c1"), now, "2024-01-01")
     assert sorted((r.meli_id, float(r.precio)) for r in store.read("listings").collect()) == rows
     assert [p.name for p in (tmp_path / "store" / "listings").iterdir() if p.is_dir()] == ["_month=2024-01"]
     assert store.read("listings").columns == [f.split()[0] for f in schemas.LISTINGS.replace("DECIMAL(18,2)", "D").split(", ")]
+
+
+def _snapshot(folder, day, name, prices):
+    (folder / f"snapshot={day}").mkdir(parents=True, exist_ok=True)
+    (folder / f"snapshot={day}" / name).write_text(json.dumps({"results": [item(k, p) for k, p in prices.items()]}))
+
+
+def test_snapshots_by_folder(spark, tmp_path):
+    """The day is that of the file; files of one day in two runs meet in one row a listing."""
+    store, now = Store(spark, str(tmp_path / "store")), datetime(2024, 3, 1)
+    for n, (day, prices) in enumerate((("2024-02-01", {"a": 5.0, "b": 6.0}), ("2024-01-01", {"a": 4.0}), ("2024-02-01", {"b": 7.0}))):
+        _snapshot(tmp_path / "in", day, f"{n}.json", prices)
+        ingest_listings(spark, str(tmp_path / "in"), store, str(tmp_path / "c"), now)
+    rows = sorted((r.meli_id, str(r.fecha_snapshot), float(r.precio)) for r in store.read("listings").collect())
+    assert rows == [("a", "2024-01-01", 4.0), ("a", "2024-02-01", 5.0), ("b", "2024-02-01", 7.0)]
+
+
+def test_price_steps_out_of_order(spark, tmp_path):
+    store, now = Store(spark, str(tmp_path / "store")), datetime(2024, 6, 1)
+
+    def come(day, name, prices):
+        _snapshot(tmp_path / "in", day, name, prices)
+        ingest_price_steps(spark, str(tmp_path / "in"), store, str(tmp_path / "c"), now, "60 days")
+        return sorted((r.meli_id, str(r.fecha_snapshot), r.precio_anterior, r.precio) for r in price_changes(store).collect())
+
+    assert come("2024-03-01", "1.json", {"a": 10.0, "b": 1.0}) == []
+    assert come("2024-03-20", "2.json", {"a": 12.0, "b": 1.0}) == [("a", "2024-03-20", 10.0, 12.0)]
+    between = [("a", "2024-03-10", 10.0, 12.0), ("b", "2024-03-10", 1.0, 2.0), ("b", "2024-03-20", 2.0, 1.0)]
+    assert come("2024-03-10", "3.json", {"a": 12.0, "b": 2.0}) == between  # late, but not too late
+    assert come("2024-03-10", "4.json", {"a": 12.0, "b": 2.0}) == between  # repeated
+    assert come("2024-02-25", "5.json", {"a": 9.0}) == [("a", "2024-03-01", 9.0, 10.0), *between]
+    later = [*[("a", "2024-03-01", 9.0, 10.0), between[0]], ("a", "2024-07-01", 12.0, 13.0), *between[1:]]
+    assert come("2024-07-01", "6.json", {"a": 13.0}) == later
+    assert come("2024-03-15", "7.json", {"a": 99.0, "c": 1.0}) == later  # before the watermark
+    assert {(r.tabla, r.motivo, json.loads(r.fila)["meli_id"]) for r in store.read("rejects").collect()} == {("price_steps", "tarde", "a"), ("price_steps", "tarde", "c")}
+    assert come("2024-05-10", "8.json", {"b": 5.0}) == [*later, ("b", "2024-05-10", 1.0, 5.0)]  # the last price before the watermark is kept
