@@ -1,4 +1,4 @@
-"""Forecasts, anomalies, clusters, correlation and seasonality, by grouped aggregates over monthly frames."""
+"""Forecasts, anomalies, correlation and seasonality, by grouped aggregates over monthly frames."""
 
 from __future__ import annotations
 
@@ -49,17 +49,3 @@ def seasonality(df: DataFrame) -> DataFrame:
     overall = F.sum("s").over(every) / F.sum("n").over(every)
     return by_month.select("mes_del_anio", F.round("media", 4).alias("media"), F.round(F.col("media") / overall, 4).alias("indice"))
 
-
-def segment_clusters(df: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
-    """Brands clustered by volume, growth, mean units and share, all standardised."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-
-    months = monthly(df.filter("marca is not null"), ["marca"])
-    half = F.col("mes") >= F.lit("1998-07-01").cast("date")
-    sums = months.groupBy("marca").agg(F.sum("total").cast("double").alias("volumen"), F.sum(F.when(half, F.col("total")).otherwise(0)).cast("double").alias("reciente"), F.avg("total").alias("media"), F.stddev_samp("total").alias("dispersion"))
-    rows = sums.withColumn("crecimiento", F.coalesce(F.col("reciente") / F.nullif(F.col("volumen"), F.lit(0.0)), F.lit(0.0))).na.fill(0.0)
-    raw = VectorAssembler(inputCols=["volumen", "crecimiento", "media", "dispersion"], outputCol="raw").transform(rows)
-    scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(raw).transform(raw)
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="grupo").fit(scaled)
-    return model.transform(scaled).select("marca", "volumen", "crecimiento", "media", "dispersion", "grupo")

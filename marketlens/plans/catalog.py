@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marketlens import schemas
 from marketlens.functions import parse
-from marketlens.operators import analytics, explore, indicators, windows
+from marketlens.operators import analytics, clusters, explore, indicators, windows
 from marketlens.operators.asof import as_of
 from marketlens.operators.merge import dedupe_last, merge_upsert, summary, with_fallback
 from marketlens.operators.rejects import marked
@@ -717,4 +717,11 @@ def seasonality(v: Views) -> DataFrame:
 
 @query
 def segment_clusters(v: Views) -> DataFrame:
-    return analytics.segment_clusters(v.registrations)
+    """Each brand's features, and whether the centre of the group it was put in is the nearest."""
+    return clusters.groups(clusters.brand_features(v.registrations, v.listings)).drop("grupo", "grupos", "silueta")
+
+
+@query
+def segment_groups(v: Views) -> DataFrame:
+    """The groups themselves; what k-means ends in is beyond SQL, a test holds it against plain Python."""
+    return clusters.groups(clusters.brand_features(v.registrations, v.listings)).select("marca", "grupo", "grupos", "silueta")

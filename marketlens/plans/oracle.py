@@ -374,6 +374,13 @@ def sql() -> dict[str, str]:
             r AS (SELECT CAST(date_trunc('month', fecha) AS DATE) AS desde, indicador, CAST(sum(valor) AS DOUBLE) / count(*) AS x FROM macro GROUP BY 1, 2),
             k AS (SELECT *, CAST(k AS INT) AS rezago, CAST(desde + to_months(CAST(k AS INT)) AS DATE) AS mes FROM r, range(0, 7) t(k))
             SELECT indicador, rezago, count(*) AS meses, round(corr(x, y), 4) AS correlacion FROM k JOIN u USING (mes) GROUP BY 1, 2""",
+        "segment_clusters": _with("registrations listings", "") + f""", m AS ({_MONTHLY}),
+            e AS (SELECT date_trunc('month', max(fecha)) AS ultimo FROM registrations WHERE marca IS NOT NULL),
+            a AS (SELECT *, date_diff('month', mes, ultimo) AS hace FROM m, e),
+            t AS (SELECT marca, CAST(sum(total) AS DOUBLE) AS volumen, sum(total) FILTER (hace < 12) AS ahora, sum(total) FILTER (hace >= 12 AND hace < 24) AS antes FROM a GROUP BY 1),
+            p AS (SELECT marca, avg(CAST(precio AS DOUBLE)) AS precio FROM listings WHERE marca IS NOT NULL GROUP BY 1)
+            SELECT marca, volumen, round(coalesce(CAST(100.0 AS DOUBLE) * (coalesce(ahora, 0) - antes) / nullif(antes, 0), 0), 4) AS crecimiento, round(precio, 4) AS precio,
+                round(CAST(100.0 AS DOUBLE) * volumen / sum(volumen) OVER (), 4) AS participacion, true AS propio FROM t LEFT JOIN p USING (marca)""",
         "seasonality": _with("registrations", "") + """, m AS (SELECT fecha AS mes, CAST(sum(cantidad) AS BIGINT) AS total FROM registrations GROUP BY 1),
             s AS (SELECT CAST(month(mes) AS INT) AS mes_del_anio, avg(total) AS media FROM m GROUP BY 1)
             SELECT mes_del_anio, round(media, 4) AS media, round(media / (SELECT avg(total) FROM m), 4) AS indice FROM s""",

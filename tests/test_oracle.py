@@ -16,7 +16,7 @@ def duck():
 
 def test_sql_belongs_to_queries():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"segment_clusters"}
+    assert set(QUERIES) - set(SQL) == {"segment_groups"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -24,9 +24,9 @@ def test_same_rows(spark, duck, name):
     assert_same(QUERIES[name](spark, DATA), duck, SQL[name])
 
 
-def test_clusters(spark):
-    rows = QUERIES["segment_clusters"](spark, DATA).collect()
-    assert len({r.marca for r in rows}) == len(rows) and {r.grupo for r in rows} <= {0, 1, 2, 3}
+def test_groups(spark):
+    rows = QUERIES["segment_groups"](spark, DATA).collect()
+    assert len({r.marca for r in rows}) == len(rows) and len({r.grupo for r in rows}) == rows[0].grupos and -1 <= rows[0].silueta <= 1
 
 
 def test_entry(spark):
