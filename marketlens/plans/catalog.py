@@ -16,6 +16,7 @@ from marketlens.operators.merge import dedupe_last, merge_upsert, summary, with_
 from marketlens.operators.rejects import marked
 from marketlens.plans import jobs
 from marketlens.sources import landing
+from marketlens.sources.layout import PLACE, IdTable, SortedTable, TrigramIndex
 from marketlens.sources.shared import materialise, new_folder
 from marketlens.sources.store import Store
 from marketlens.sources.views import Views
@@ -432,6 +433,36 @@ def item_detail_lookup(v: Views) -> DataFrame:
     return ids.join(details, "meli_id", "left")
 
 
+@query
+def item_by_id(v: Views) -> DataFrame:
+    """Listings looked up by id in a table laid out for it; some ids are unknown."""
+    table = IdTable.build(v.listings.select("meli_id", "marca", "modelo", F.col("precio").cast("double").alias("precio")), "meli_id", 16)
+    asked = v.table("lineitem").filter("l_orderkey % 1000 = 7").select("l_orderkey", F.explode(F.array(F.col("l_linenumber").cast("int"), F.lit(99))).alias("n"))
+    return table.lookup(asked.select(F.concat(F.lit("MLA"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("n").cast("string")).alias("meli_id")))
+
+
+@query
+def listing_pages(v: Views) -> DataFrame:
+    """The first three pages of a text search, each going on from the last row of the page before, over a sorted table and a trigram index."""
+    listed = v.listings.select("meli_id", "fecha_snapshot", "modelo", "condicion", F.col("precio").cast("double").alias("precio"))
+    table = SortedTable.build(listed, [F.col("precio").asc(), F.col("meli_id").asc(), F.col("fecha_snapshot").asc()], 12)
+    models = TrigramIndex.build(listed, "modelo", 16).holding("D Gi")
+    shown, place = None, -1
+    for page in (1, 2, 3):
+        rows = materialise(table.page_after(place, 40, F.col("condicion") == "used", models), "listing-page").withColumn("pagina", F.lit(page))
+        shown = rows if shown is None else shown.unionAll(rows)
+        place = rows.agg(F.coalesce(F.max(PLACE), F.lit(place))).first()[0]
+    return shown.drop(PLACE)
+
+
+@query
+def listing_page_1000(v: Views) -> DataFrame:
+    """Page 1,000 of all listings, ten a page, by place."""
+    listed = v.listings.select("meli_id", "fecha_snapshot", F.col("precio").cast("double").alias("precio"))
+    table = SortedTable.build(listed, [F.col("precio").asc(), F.col("meli_id").asc(), F.col("fecha_snapshot").asc()], 12)
+    return table.page_at(9990 % max(1, len(table)), 10).drop(PLACE)
+
+
 # --- merges ----------------------------------------------------------------------------------------------------------
 
 

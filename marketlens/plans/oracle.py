@@ -278,6 +278,15 @@ def sql() -> dict[str, str]:
         "item_detail_lookup": _with("listings", """
             SELECT meli_id, marca, modelo, CAST(precio AS DOUBLE) AS precio
             FROM (SELECT DISTINCT concat('MLA', CAST(l_orderkey AS VARCHAR), '-', CAST(l_linenumber AS VARCHAR)) AS meli_id FROM lineitem WHERE l_orderkey % 100 = 0) LEFT JOIN listings USING (meli_id)"""),
+        "item_by_id": _with("listings", """
+            , ids AS (SELECT DISTINCT concat('MLA', CAST(l_orderkey AS VARCHAR), '-', CAST(unnest([l_linenumber, 99]) AS VARCHAR)) AS meli_id FROM lineitem WHERE l_orderkey % 1000 = 7)
+            SELECT meli_id, marca, modelo, CAST(precio AS DOUBLE) AS precio FROM ids LEFT JOIN listings USING (meli_id)"""),
+        "listing_pages": _with("listings", """
+            , n AS (SELECT *, row_number() OVER (ORDER BY precio, meli_id, fecha_snapshot) - 1 AS k FROM listings WHERE condicion = 'used' AND lower(modelo) LIKE '%d gi%')
+            SELECT meli_id, fecha_snapshot, modelo, condicion, CAST(precio AS DOUBLE) AS precio, 1 + k // 40 AS pagina FROM n WHERE k < 120"""),
+        "listing_page_1000": _with("listings", """
+            , n AS (SELECT *, row_number() OVER (ORDER BY precio, meli_id, fecha_snapshot) - 1 AS k, 9990 % count(*) OVER () AS a FROM listings)
+            SELECT meli_id, fecha_snapshot, CAST(precio AS DOUBLE) AS precio FROM n WHERE k BETWEEN a AND a + 9"""),
         "upsert_registrations": _with("registrations", "") + "," + _REGISTRATIONS_MERGE + " SELECT * FROM merged",
         "upsert_production": _with("production", "") + "," + _merge(
             "production", "fecha, terminal, fuente", "fecha", "unidades_producidas, unidades_exportadas",
