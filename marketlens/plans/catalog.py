@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marketlens import schemas
 from marketlens.functions import parse
-from marketlens.operators import analytics, clusters, explore, indicators, windows
+from marketlens.operators import analytics, clusters, explore, indicators, sketches, windows
 from marketlens.operators.asof import as_of
 from marketlens.operators.merge import dedupe_last, merge_upsert, summary, with_fallback
 from marketlens.operators.rejects import marked
@@ -26,6 +26,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 BASE, LISTING = "https://base.example", "https://base.example/estadisticas"
 CUT, EARLIER, AS_OF = "2000-01-01", "1999-07-01", datetime(2001, 9, 1)
 EARLY = datetime(2001, 8, 15)
+SKETCHED = (date(1996, 1, 1), date(1999, 12, 1))
 REPORTED = (date(2000, 1, 1), date(2000, 12, 31))
 _found: dict[str, Query] = {}
 
@@ -188,6 +189,27 @@ def weekly_rollup(v: Views) -> DataFrame:
     return explore.weekly(v.macro)
 
 
+@query
+def price_ranking_sketches(v: Views) -> DataFrame:
+    """Of four years, from monthly sketches, and whether between 48 and 52 of a hundred prices lie below each median found."""
+    sums = materialise(sketches.by_month(v.listings), "sketches")
+    found = materialise(sketches.price_ranking(sketches.within(sums, *SKETCHED)), "sketches-ranking")
+    within = v.listings.filter(F.col("fecha_snapshot").between(*(F.lit(d) for d in (SKETCHED[0], F.last_day(F.lit(SKETCHED[1]))))))
+    near = F.col("precio_cuantil").alias("_near")
+    held = within.join(F.broadcast(found.select("marca", "moneda", near)), ["marca", "moneda"])  # a row a brand and currency
+    price = F.col("precio").cast("double")
+    ranks = held.groupBy("marca", "moneda").agg((F.count_if(price < F.col("_near")) / F.count("*")).alias("_below"), (F.count_if(price <= F.col("_near")) / F.count("*")).alias("_to"))
+    return found.join(ranks, ["marca", "moneda"]).select("marca", "moneda", "publicaciones", F.round("precio_promedio", 4).alias("precio_promedio"), "precio_maximo", ((F.col("_below") <= 0.52) & (F.col("_to") >= 0.48)).alias("dentro"))
+
+
+@query
+def listing_kpis_sketches(v: Views) -> DataFrame:
+    """All months, from monthly sketches, and whether the number of models found is within five hundredths."""
+    sums = materialise(sketches.by_month(v.listings), "sketches")
+    models = v.listings.agg(F.countDistinct("modelo")).scalar()
+    return sketches.kpis(sums).select("publicaciones", F.round("precio_promedio", 4).alias("precio_promedio"), "marcas", (F.abs(F.col("modelos") - models) <= 0.05 * models).alias("dentro"))
+
+
 # --- windows ---------------------------------------------------------------------------------------------------------
 
 

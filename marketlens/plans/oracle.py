@@ -192,6 +192,11 @@ def sql() -> dict[str, str]:
             round(quantile_cont(CAST(precio AS DOUBLE), 0.5), 4) AS precio_mediano, CAST(max(precio) AS DOUBLE) AS precio_maximo FROM listings WHERE marca IS NOT NULL GROUP BY 1, 2"""),
         "price_trend": _with("listings", """
             SELECT fecha_snapshot, moneda, count(*) AS publicaciones, CAST(sum(precio) AS DOUBLE) / count(precio) AS precio_promedio FROM listings GROUP BY 1, 2"""),
+        "price_ranking_sketches": _with("listings", """
+            SELECT marca, moneda, count(*) AS publicaciones, round(CAST(sum(precio) AS DOUBLE) / count(precio), 4) AS precio_promedio, CAST(max(precio) AS DOUBLE) AS precio_maximo, true AS dentro
+            FROM listings WHERE marca IS NOT NULL AND fecha_snapshot BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' GROUP BY 1, 2"""),
+        "listing_kpis_sketches": _with("listings", """
+            SELECT count(*) AS publicaciones, round(CAST(sum(precio) AS DOUBLE) / count(precio), 4) AS precio_promedio, count(DISTINCT marca) AS marcas, true AS dentro FROM listings"""),
         "macro_monthly": _with("macro", """
             SELECT CAST(date_trunc('month', fecha) AS DATE) AS mes, indicador, CAST(sum(valor) AS DOUBLE) / count(valor) AS promedio, CAST(arg_max(valor, fecha) AS DOUBLE) AS ultimo
             FROM macro GROUP BY 1, 2"""),
