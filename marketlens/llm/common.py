@@ -76,11 +76,9 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> Dat
     only rows with a bit set, which are little more than those that go, are shuffled with their texts.
     """
     gone = gone.select("id", "h").filter("id is not null").distinct()
-    marked = gone.select(F.struct("id", "h").alias("_gone"))
-    same = (F.col(id_col) == F.col("_gone.id")) & (text_hash(F.col(text_col)) == F.col("_gone.h"))
-    if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        return docs.join(F.broadcast(marked), same, "left_anti")
     named = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("h"))
+    if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        return named.join(F.broadcast(gone), ["id", "h"], "left_anti").select("_row.*")
     seen = may_be_in(named, bitmap(gone, ["id", "h"]), ["id", "h"])
     left = seen.filter("not _hit").select("_row").unionAll(seen.filter("_hit").join(gone, ["id", "h"], "left_anti").select("_row"))
     return left.select("_row.*")

@@ -1,8 +1,8 @@
 """Language identification by compression: the language whose dictionary makes a text smallest is the text's.
 
-Each language's dictionary is raw zstandard content: whole labelled texts, in the order of a hash of row and text, until
-DICTIONARY_BYTES of them are taken; a text that doesn't fit in what is left is passed over. It is a bounded sample of rows:
-DOCS_PER_LANGUAGE rows of a language at most, none longer than a dictionary unless the language has no other, in which
+Each language's dictionary is raw zstandard content: whole labelled texts, each once however many rows have it, in the order of
+a hash, until DICTIONARY_BYTES of them are taken; a text that doesn't fit in what is left is passed over. It is a bounded sample:
+DOCS_PER_LANGUAGE texts of a language at most, none longer than a dictionary unless the language has no other, in which
 case its shortest is taken whole. Dictionaries are made by the tasks that hold a language's sample. Texts are lower-cased, reduced to
 letters, cut into pieces of CHUNK bytes and compressed whole, piece by piece, with every dictionary; the sizes are summed. The
 score is the margin, one minus the smallest size over the second smallest. Equal sizes go to the language with more
@@ -48,18 +48,20 @@ class Model:
 def train(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learns from the rows of docs for which `where` holds and id, text and label are not null."""
     known = docs.filter(where & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    key, size = F.xxhash64(id_col, text_col), F.octet_length(text_col)
+    key, size = F.xxhash64(text_col), F.octet_length(text_col)
     known = known.select(F.col(lang_col).alias("lang"), key.alias("key"), (size > DICTIONARY_BYTES).alias("long"), size.alias("size"), F.col(text_col).alias("text"))
-    by_size = known.groupBy("lang").agg(F.count("*").alias("n"), F.min("long").alias("long")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()
+    texts = F.approx_count_distinct(F.when(~F.col("long"), F.col("key")))
+    by_size = known.groupBy("lang").agg(F.count("*").alias("n"), F.min("long").alias("long"), texts.alias("texts")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()
     if len(by_size) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not by_size:
         return Model({})
-    # of a large language only rows with hashes low enough to be chosen are sorted at all
-    shares = [(r.lang, r.long, 1.0 if r.long else min(1.0, 4 * DOCS_PER_LANGUAGE / r.n)) for r in by_size]
+    # of a large language only texts with hashes low enough to be chosen, four times as many as are, are sorted at all
+    shares = [(r.lang, r.long, 1.0 if r.long else min(1.0, 4 * DOCS_PER_LANGUAGE / max(1, r.texts))) for r in by_size]
     bounds = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, only_long boolean, share double"))
     place = (F.col("key") / F.lit(2.0**64)) + 0.5
     near = known.join(bounds, "lang").filter((F.col("long") == F.col("only_long")) & (place <= F.col("share")))
+    near = near.groupBy("lang", "only_long", "key", "size").agg(F.any_value("text").alias("text"))  # copies are one text
     order = Window.partitionBy("lang").orderBy(F.when(F.col("only_long"), F.col("size")), "key")
     most = F.when(F.col("only_long"), 1).otherwise(DOCS_PER_LANGUAGE)
     ranked = near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= DOCS_PER_LANGUAGE).filter(F.col("place") <= most)

@@ -182,3 +182,15 @@ def test_near_stage(spark):
     left = near_copies.drop_near_copies(d)
     assert sorted(r.doc_id for r in left.collect()) == [2, 9] and left.columns == d.columns
     assert near_copies.drop_near_copies(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_clashing_columns(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "BROADCAST_IDS", most)
+    names = ["_gone", "_row", "id", "h", "_hit", "_word", "node", "root", "fp"]
+    text = " ".join(f"w{k}" for k in range(60))
+    df = spark.createDataFrame([(k, t, *range(len(names))) for k, t in ((1, text), (2, text), (3, text + " more"), (4, None), (None, text))], ["doc_id", "text", *names])
+    left = exact_dedup.drop_exact_copies(df)
+    assert left.columns == df.columns and sorted(str(r.doc_id) for r in left.collect()) == ["1", "3", "4", "None"]
+    left = near_copies.drop_near_copies(df)
+    assert left.columns == df.columns and sorted(str(r.doc_id) for r in left.collect()) == ["1", "4", "None"]

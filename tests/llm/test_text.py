@@ -44,22 +44,30 @@ def test_language(spark):
     assert {900, 901, 902}.isdisjoint(r.doc_id for r in left.collect()) and left.columns == SCHEMA.replace(",", "").split()[::2]
 
 
+def test_every_label_is_learned(spark, monkeypatch):
+    """One whose rows are all copies of a text, and one with a few short texts among very many long ones."""
+    monkeypatch.setattr(language, "DICTIONARY_BYTES", 900)
+    rng = random.Random(2)
+    rows = [*corpus(rng, 40), *[(1, "ñandú ñu", "xx")] * 5000, *[(k, "zz " * 400 + str(k), "yy") for k in range(4000)], (1, "yo soy", "yy"), (2, "yo era", "yy")]
+    model = language.train(docs(spark, rows), F.lit(True))
+    assert set(model.dictionaries) == {"aa", "bb", "xx", "yy"} and model.dictionaries["xx"] == "ñandú ñu".encode()
+    assert set(model.dictionaries["yy"].split(b"\n")) == {b"yo soy", b"yo era"}
+
+
 def test_languages_by_brute_force(spark, monkeypatch):
     """Dictionaries by the docstring, and compressed sizes, in plain Python."""
     monkeypatch.setattr(language, "DICTIONARY_BYTES", 900)
     monkeypatch.setattr(language, "DOCS_PER_LANGUAGE", 5)
     rng = random.Random(11)
     train = [*corpus(rng, 60), (5, "the ing er and", "aa"), (5, "quite another text", "aa"), (7, "que os " * 400, "cc"), (8, "que ll " * 300, "cc"), *[(9, "theow again", "aa")] * 30]
-    keys = {(r.doc_id, r.text): r.h for r in docs(spark, train).withColumn("h", F.xxhash64("doc_id", "text")).collect()}
+    keys = {r.text: r.h for r in docs(spark, train).withColumn("h", F.xxhash64("text")).collect()}
     want = {}
     for lang in ("aa", "bb", "cc"):
-        mine = [(k, t) for k, t, x in train if x == lang]
-        fit = [x for x in mine if len(x[1].encode()) <= 900]
-        share = min(1.0, 20 / len(mine))
-        near = sorted((x for x in fit if keys[x] / 2.0**64 + 0.5 <= share), key=lambda x: keys[x])[:5]
+        mine = {t for _, t, x in train if x == lang}
+        near = sorted((t for t in mine if len(t.encode()) <= 900), key=keys.get)[:5]
         parts, left = [], 900
-        for x in near or sorted(mine, key=lambda x: (len(x[1].encode()), keys[x]))[:1]:
-            data = language.normalise(x[1])
+        for x in near or sorted(mine, key=lambda t: (len(t.encode()), keys[t]))[:1]:
+            data = language.normalise(x)
             if len(data) < left or not parts:
                 parts.append(data)
                 left -= len(data) + 1
