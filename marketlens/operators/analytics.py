@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.operators.windows import monthly
+from marketlens.sources.shared import materialise
 
 HORIZON, MIN_POINTS, Z95, UNUSUAL, BASELINE = 12, 24, 1.96, 3.0, 12
 
 
 def forecast(df: DataFrame, by: str = "marca", horizon: int = HORIZON, min_points: int = MIN_POINTS) -> DataFrame:
     """By series: a linear trend plus the mean residual of each month of the year, with a 95 % interval."""
-    months = monthly(df.filter(F.col(by).isNotNull()), [by])
+    months = materialise(monthly(df.filter(F.col(by).isNotNull()), [by]), "months")  # a row a month and series, read more than once
     points = months.select(by, "mes", F.month("mes").alias("m"), (F.year("mes") * 12 + F.month("mes")).cast("double").alias("x"), F.col("total").cast("double").alias("y"))
     fit = points.groupBy(by).agg(F.regr_slope("y", "x").alias("pendiente"), F.regr_intercept("y", "x").alias("origen"), F.max("mes").alias("ultimo"), F.count("*").alias("n")).filter(F.col("n") >= min_points)
     left = points.join(fit, by).withColumn("r", F.col("y") - F.col("origen") - F.col("pendiente") * F.col("x"))

@@ -9,6 +9,7 @@ from marketlens.functions.parse import instalment
 from marketlens.operators import rollups
 from marketlens.operators.asof import as_of
 from marketlens.operators.windows import growth, monthly
+from marketlens.sources.shared import materialise
 
 #: Weights of the demand indicator's parts.
 DEMAND = {"registros": 0.5, "tasa": -0.3, "interes": 0.2}
@@ -81,7 +82,7 @@ def affordability(listings: DataFrame, wages: DataFrame, macro: DataFrame, serie
     price = sums.select("mes", _mean().alias("precio"))
     rates = _rolled(macro, "macro").filter("ultimo is not null")
     wage = wages.groupBy(F.trunc("fecha", "MM").alias("mes")).agg(F.avg("salario").cast("double").alias("salario"))
-    asked = price.join(wage, "mes", "left").withColumns({"_dia": F.last_day("mes"), "indicador": F.lit(series)})
+    asked = materialise(price.join(wage, "mes", "left").withColumns({"_dia": F.last_day("mes"), "indicador": F.lit(series)}), "months")  # read more than once
     months = as_of(asked, rates, ["indicador"], "_dia", "ultimo_dia", ["ultimo"])
     known = F.col("ultimo").cast("double")
     cost = instalment(F.col("precio"), known, MONTHS_TO_PAY)

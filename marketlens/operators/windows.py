@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions.parse import change_percent
+from marketlens.sources.shared import materialise
 
 
 def kpi_vs_previous(df: DataFrame, first: date, last: date, day: str = "fecha", measure: str = "cantidad") -> DataFrame:
@@ -37,7 +38,7 @@ def on_calendar(months: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def growth(df: DataFrame, lag: int, name: str, by: Sequence[str] = (), measure: str = "cantidad") -> DataFrame:
     """Monthly sums, those of `lag` months before, and the change in percent: 12 for year on year, 1 for month on month."""
-    full = on_calendar(monthly(df, by, measure), by)
+    full = on_calendar(materialise(monthly(df, by, measure), "months"), by)  # a row a month and group, read more than once
     order = Window.partitionBy(*by).orderBy("mes") if by else Window.partitionBy(F.lit(0)).orderBy("mes")  # a row a month
     was = full.withColumn("anterior", F.lag("total", lag).over(order)).filter("total is not null")
     return was.withColumn(name, F.round(change_percent(F.col("total").cast("double"), F.col("anterior")), 4))
@@ -45,7 +46,7 @@ def growth(df: DataFrame, lag: int, name: str, by: Sequence[str] = (), measure:
 
 def year_to_date(df: DataFrame, by: Sequence[str] = (), measure: str = "cantidad") -> DataFrame:
     """Cumulative sums within each year, and the change against the same month's of the year before."""
-    months = monthly(df, by, measure).withColumn("anio", F.year("mes"))
+    months = materialise(monthly(df, by, measure), "months").withColumn("anio", F.year("mes"))
     so_far = Window.partitionBy("anio", *by).orderBy("mes").rowsBetween(Window.unboundedPreceding, 0)
     now = months.select("mes", *by, F.sum("total").over(so_far).alias("acumulado"))
     was = now.select(F.add_months("mes", 12).alias("_mes"), *(F.col(c).alias(f"_{c}") for c in by), F.col("acumulado").alias("anterior"))

@@ -18,7 +18,7 @@ from marketlens.plans import jobs
 from marketlens.sources import landing
 from marketlens.sources.layout import PLACE, IdTable, SortedTable, TrigramIndex
 from marketlens.sources.shared import materialise, new_folder
-from marketlens.sources.store import Store
+from marketlens.sources.store import Store, export_csv
 from marketlens.sources.views import Views
 from marketlens.streaming.ingest import ingest_listings, ingest_price_steps, price_changes as stored_price_changes
 
@@ -62,6 +62,20 @@ def registrations_list(v: Views) -> DataFrame:
     return explore.registrations_list(v.within("o_orderdate", date(1996, 1, 1), date(2000, 1, 1)).registrations, date(1996, 1, 1), date(1999, 12, 31), "brand#1", "0km")
 
 
+@query
+def registrations_list_all(v: Views) -> DataFrame:
+    """The options that stand for all brands and kinds, and an empty bound: no filter, the newest two hundred rows."""
+    return explore.registrations_list(v.registrations, None, "", "Todas", "Todos", 200)
+
+
+@query
+def registrations_exported(v: Views) -> DataFrame:
+    """A month's registrations by brand exported as CSV with headers, and what the files hold when read again."""
+    month = explore.totals(v.within("o_orderdate", date(1999, 3, 1), date(1999, 5, 1)).registrations, ["fecha", "marca", "tipo_vehiculo"])
+    path = export_csv(month, new_folder(v.spark, "export"), "patentamientos", "19990430_120000")
+    return v.spark.read.csv(path, header=True, schema="fecha date, marca string, tipo_vehiculo string, total bigint", enforceSchema=False)
+
+
 @query
 def production_list(v: Views) -> DataFrame:
     return explore.production_list(v.within("l_shipdate", date(1996, 1, 1), date(2100, 1, 1)).production, date(1996, 1, 1), None, "#2")

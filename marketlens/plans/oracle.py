@@ -150,6 +150,10 @@ def sql() -> dict[str, str]:
             SELECT fecha, marca, modelo, tipo_vehiculo, cantidad, fuente FROM registrations
             WHERE fecha BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' AND marca ILIKE '%brand#1%' AND tipo_vehiculo = '0km'
             ORDER BY fecha DESC, marca, modelo, tipo_vehiculo, fuente, cantidad LIMIT 100"""),
+        "registrations_list_all": _with("registrations", """
+            SELECT fecha, marca, modelo, tipo_vehiculo, cantidad, fuente FROM registrations ORDER BY fecha DESC, marca NULLS LAST, modelo, tipo_vehiculo, fuente, cantidad LIMIT 200"""),
+        "registrations_exported": _with("registrations", """
+            SELECT fecha, marca, tipo_vehiculo, CAST(sum(cantidad) AS BIGINT) AS total FROM registrations WHERE fecha BETWEEN DATE '1999-03-01' AND DATE '1999-04-30' GROUP BY 1, 2, 3"""),
         "production_list": _with("production", """
             SELECT fecha, terminal, unidades_producidas, unidades_exportadas FROM production WHERE fecha >= DATE '1996-01-01' AND terminal ILIKE '%#2%'
             ORDER BY fecha DESC, terminal LIMIT 100"""),
