@@ -8,8 +8,8 @@ bound on differing bits of a fingerprint, so candidates come in two ways, and ea
    ceil(4n / 5), so they share one of the first n - ceil(4n / 5) + 1 of either. Only shingles in the prefixes of two texts
    or more matter. Shingles that are common in a sample of documents come last in the order, which keeps groups small.
 
-Links of a group's rows to its smallest row are checked first. Only rows of different components are then compared pair
-by pair, so a large group of copies costs its number of rows, not its square. Texts are fetched only for pairs that can
+Links of rows to the smallest row of one of their groups are checked first, then to those of the other groups where they are not
+in one component yet. Only rows of components that still differ are then compared pair by pair, so a large group of copies costs its number of rows, not its square. Texts are fetched only for pairs that can
 still link by two exact bounds: what follows the first shared shingle in both orders, and the parity bits of the two whole
 sets. A set of n shingles has at least n such bits, each saying whether an odd number of its hashes falls there; every bit in
 which two sets differ is a shingle that one of them alone has.
@@ -155,6 +155,20 @@ def _by_fingerprint(sets: DataFrame) -> DataFrame:
     return same.unionAll(simhash.near_links(firsts.select("node", "fp"), THRESHOLD).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
+def _star(rooted: DataFrame, total: int) -> DataFrame:
+    """rooted(h, x, root): rows of a group with its smallest row, lead, where they can link and don't already by their roots."""
+    leads = rooted.groupBy("h").agg(F.min(F.struct("x", "root")).alias("l"), F.count("*").alias("w"))
+    leads = materialise(leads.select("h", F.col("l.x").alias("lead"), F.col("l.root").alias("lead_root"), "w"), "copies-leads")
+    return attach(rooted, leads, ["h"], "w", total, F.col("x.node")).filter("root <> lead_root").filter(_can_link("x", "lead"))
+
+
+def _rooted(met: DataFrame, links: DataFrame) -> DataFrame:
+    """met(h, x) with the root of each row's component."""
+    roots = materialise(components(links, "copies-roots"), "copies-roots")
+    rooted = met.select("h", "x", F.col("x.node").alias("node")).join(of_checked_size(roots), "node", "left")
+    return materialise(rooted.select("h", "x", F.coalesce("root", "node").alias("root")), "copies-rooted")
+
+
 def near_links(rows: DataFrame) -> DataFrame:
     """rows(node, t), t binary -> a(long), b(long): links whose components are those of all links."""
     sets = _read(rows)
@@ -164,13 +178,13 @@ def near_links(rows: DataFrame) -> DataFrame:
     maybe = may_be_in(entries, bitmap(repeated, ["h"]), ["h"]).filter("_hit")
     met = look_up(maybe, repeated, ["h"], "w", total, F.col("node")).filter("w is not null")
     met = materialise(met.select("h", F.struct("node", "n", "place").alias("x")), "copies-met")
-    leads = materialise(met.groupBy("h").agg(F.min("x").alias("lead"), F.count("*").alias("w")), "copies-leads")
-    star = attach(met, leads, ["h"], "w", total, F.col("x.node")).filter(F.col("x.node") != F.col("lead.node"))
-    candidates = star.filter(_can_link("x", "lead")).select(*_pairs("x", "lead"))
-    links = _checked(candidates.unionAll(_by_fingerprint(sets)), sets, rows, "copies-star")
-    roots = materialise(components(links, "copies-roots"), "copies-roots")
-    rooted = met.select("h", "x", F.col("x.node").alias("node")).join(of_checked_size(roots), "node", "left").select("h", "x", F.coalesce("root", "node").alias("root"))
-    rooted = materialise(rooted, "copies-rooted")
+    # first each row with one smallest row of its groups, then with the others that it is not yet linked to
+    first = _star(met.withColumn("root", F.col("x.node")), total).groupBy("x.node").agg(F.min("lead").alias("lead"))
+    first = first.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
+    links = _checked(first.unionAll(_by_fingerprint(sets)), sets, rows, "copies-first")
+    rooted = _rooted(met, links)
+    links = links.unionAll(_checked(_star(rooted, total).select(*_pairs("x", "lead")), sets, rows, "copies-star"))
+    rooted = _rooted(met, links)
     mixed = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("w")).filter("low <> high").select("h", "w")
     parts = F.ceil(F.col("w") / GROUP).cast("int")
     mixed = attach(rooted, materialise(mixed, "copies-mixed"), ["h"], "w", total, F.col("x.node")).filter("w is not null")
