@@ -1 +1 @@
-"""Training-data operators: deduplication, language, quality, packing, archives, extraction, scoring."""
+"""Training-data operators: deduplication, language, quality, packing, archives, extraction, scoring, resampling, personal data, manifests."""

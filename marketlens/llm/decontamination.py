@@ -11,6 +11,7 @@ tiles cover `min_coverage` of an item's words.
 
 Null texts and items have no words and match nothing. Rows with null or repeated ids are reported like others. The items
 are handed out in blocks of bounded size, and each block is held against all documents.
+An empty table gives no rows; further columns don't matter, whatever they are called.
 """
 
 from __future__ import annotations

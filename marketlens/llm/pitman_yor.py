@@ -23,6 +23,7 @@ seats. Discounts are n1 / (n1 + 2 n2) of a level's counts, strengths are STRENGT
 To score, the pairs of all texts meet the restaurants by slot; split contexts are met in as many copies as they have
 slots. Words outside HEAD meet their counts in a join (a word that is frequent there all the same is split by Spark's
 skew-join rule). A null text is empty: its one token is the end. Rows with null or repeated ids are scored like others.
+An empty table gives no rows; further columns don't matter, whatever they are called.
 """
 
 from __future__ import annotations

@@ -15,6 +15,7 @@ At an anchor all pairs are compared; only a spanning forest of the links found i
 fingerprints are sent to them: one with more than GROUP is dealt out in blocks by a hash, and each two blocks meet in a
 group of their own, so no anchor goes through one task. Equal fingerprints are one node from the start. Null ids take no part in links and have no component; null and empty
 texts have fingerprint zero.
+An empty table gives no rows; further columns don't matter, whatever they are called.
 """
 
 from __future__ import annotations
