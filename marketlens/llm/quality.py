@@ -1,11 +1,16 @@
 """Quality classification: perplexity under an interpolated modified Kneser-Ney trigram model of trusted text.
 
-The model is fitted on a bounded sample of trusted rows (TRAIN_DOCS documents, TRAIN_WORDS words, chosen by a hash of the
-id); every HELD_OUT-th trusted id (by the same hash) is left out of it. N-grams are counted and joined as tables: trigram
-counts, continuation counts of their suffixes, three discounts an order from counts of counts, the mass each context
-leaves to the next lower order, and by two joins the interpolated probabilities. The sample bounds the tables (at most
-TRAIN_WORDS rows each), so that scoring hands them to every task: a join of all n-grams of all documents would shuffle
-several times the input.
+The model is fitted on every trusted row (of equal ones, one), but for each HELD_OUT-th trusted id (by a hash), which is left out for the limits.
+N-grams are counted and joined as tables: trigram counts, continuation counts of their suffixes, three discounts an order
+from counts of counts, the mass each context leaves to the next lower order, and by joins the interpolated probabilities.
+Words are told apart by XXH64, n-grams by the exclusive or of their words' hashes, rotated by their place (of 10^9 n-grams, two
+share a key with a chance of 3 %).
+
+The tables grow with the input and stay distributed. A text's log probability is a sum over its words, pairs and triples:
+each n-gram that the model has corrects what the order below says of it (own), and what it leaves as a context to the order
+below (ahead) counts if a word follows; n-grams that the model lacks add nothing. So the n-grams of all texts meet one table by
+one key, and are summed. The HEAD most frequent ones are handed to the tasks instead, with the same values: they are most
+of the tokens, and none of the hot keys that the model has is left to the join. Texts are told apart by their hashes there.
 
 All whole texts are scored. A language's limit is the QUANTILE of the perplexities of its trusted documents that were
 left out, or of all languages' where it has fewer than MIN_TRUSTED; a document above its limit is not kept. Texts without
@@ -19,42 +24,78 @@ from __future__ import annotations
 import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import look_up, materialise, pieces
+from marketlens.llm.common import look_up, materialise, of_checked_size, pieces, placed, text_hash
 
 log = logging.getLogger(__name__)
 
-TRAIN_DOCS, TRAIN_WORDS, QUANTILE, MIN_TRUSTED, HELD_OUT = 4000, 1_000_000, 0.98, 20, 5
-_FILTER_BITS = 22
+QUANTILE, MIN_TRUSTED, HELD_OUT = 0.98, 20, 5
+#: N-grams whose values are handed to all tasks (24 bytes each); it decides no result.
+HEAD = 1 << 20
+#: Of sample_of() alone.
+TRAIN_DOCS, TRAIN_WORDS = 4000, 1_000_000
+#: Words whose hashes a task keeps.
+_CACHED = 200_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+def _hash(word: bytes) -> int:
+    x = xxhash.xxh64_intdigest(word)
+    return x - (1 << 64) if x >> 63 else x
+
+
+#: Stands before the first word of a text; no word can be a space.
+START = _hash(b" ")
+
+
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _CACHED:
+            self.clear()
+        found = self[word] = _hash(word)
+        return found
+
+
+def _left(x: np.ndarray, bits: int) -> np.ndarray:
+    x = x.view(np.uint64)
+    return (x << np.uint64(bits) | x >> np.uint64(64 - bits)).view(np.int64)
+
+
+def _key(*words: str) -> Column:
+    """Of an n-gram in columns; as keys_of() has it."""
+    found = F.col(words[-1])
+    for bits, w in enumerate(reversed(words[:-1]), 1):
+        found = found.bitwiseXOR(F.shiftleft(w, bits).bitwiseOR(F.shiftrightunsigned(w, 64 - bits)))
+    return found
+
+
+def keys_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the hashes of a text's words: keys of all n-grams that end at its words or are contexts of the first ones, and whether a word follows."""
+    line = np.concatenate([[START, START], ids])
+    two = line[1:] ^ _left(line[:-1], 1)
+    three = two[1:] ^ _left(line[:-2], 2)
+    ends = np.ones(len(line) - 1, bool)
+    ends[-1] = False
+    return np.concatenate([line[1:], two, three]), np.concatenate([ends, ends, ends[1:]])
+
+
 @dataclass
 class Model:
-    """Numbers of known words, from 1 on (0: unknown, start: len + 1), and log10 tables."""
+    """table: key, own, ahead (log10) of all n-grams but the head's; head: the same as arrays, sorted; spare: log10 probability of an unknown word."""
 
-    words: list[bytes]
-    p1: np.ndarray  # by word
-    mass2: np.ndarray  # by context word
-    keys2: np.ndarray
-    p2: np.ndarray
-    keys3: np.ndarray
-    p3: np.ndarray
-    contexts3: np.ndarray
-    mass3: np.ndarray
-
-    @property
-    def base(self) -> int:
-        return len(self.words) + 2
+    table: DataFrame
+    head: tuple[np.ndarray, np.ndarray, np.ndarray]
+    spare: float
+    words: int
 
 
 def _discounts(table: DataFrame) -> list[float]:
@@ -70,15 +111,15 @@ def _less(d: list[float]) -> Column:
     return F.col("c") - F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
 
 
-def _masses(table: DataFrame, by: str, d: list[float]) -> DataFrame:
+def _masses(table: DataFrame, by: list[str], d: list[float]) -> DataFrame:
     """Each context's total count and what its discounts leave to the lower order."""
     kinds = [F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2), F.count_if(F.col("c") > 2)]
     left = sum((kind * x for kind, x in zip(kinds, d, strict=True)), F.lit(0.0))
-    return table.groupBy(by).agg(F.sum("c").alias("total"), (left / F.sum("c")).alias("mass"))
+    return table.groupBy(*by).agg(F.sum("c").alias("total"), (left / F.sum("c")).alias("mass"))
 
 
 def sample_of(trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """At most TRAIN_DOCS distinct ids of trusted rows, of TRAIN_WORDS words in all; their texts in t. A text that no longer fits is left out, the next ones are tried."""
+    """For a model of a bounded sample, which classify() does not use: at most TRAIN_DOCS distinct ids of trusted rows, of TRAIN_WORDS words in all; their texts in t. A text that no longer fits is left out, the next ones are tried."""
     ids = trusted.filter(F.col(id_col).isNotNull()).select(id_col).distinct()
     ids = materialise(ids.orderBy(F.xxhash64(id_col), id_col).limit(TRAIN_DOCS), "quality-sample")
     texts = trusted.join(F.broadcast(ids), id_col).select(id_col, F.col(text_col).alias("t")).distinct()  # an id that very many equal rows repeat is one row
@@ -102,120 +143,120 @@ def sample_of(trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return sample
 
 
-def train(sample: DataFrame, text_col: str = "t") -> Model:
-    """Counts and joins the n-grams of a bounded sample."""
-    spark = sample.sparkSession
-    data = sample.select(F.col(text_col).cast("binary"))
+def _once(rows: DataFrame) -> DataFrame:
+    """rows(id, t), of rows equal in both one; only repeated rows are shuffled with their texts."""
+    rows = rows.withColumn("h", text_hash(F.col("t")))
+    again = materialise(rows.groupBy("id", "h").agg(F.count("*").alias("n")).filter("n > 1").select("id", "h"), "quality-repeated")
+    if again.isEmpty():
+        return rows.select("t")
+    again = of_checked_size(again)
+    first = rows.join(again, ["id", "h"], "left_semi").groupBy("id", "h").agg(F.any_value("t").alias("t"))
+    return rows.join(again, ["id", "h"], "left_anti").select("t").unionAll(first.select("t"))
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for b in batches:
-            for x in b.column(0):
-                seen.update(words_of(x.as_py()))
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.binary())], ["w"])
 
-    words = sorted(data.mapInArrow(distinct, "w binary").distinct().toArrow().column("w").to_pylist())
-    start, base = len(words) + 1, len(words) + 2
-    shared = spark.sparkContext.broadcast(words)
+def train(texts: DataFrame, text_col: str = "t") -> Model:
+    """Counts and joins the n-grams of all texts."""
 
     def trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {w: i + 1 for i, w in enumerate(shared.value)}
-        for b in batches:
-            ids = [np.array([start, start, *map(number.__getitem__, words_of(x.as_py()))], np.int64) for x in b.column(0)]
-            u, v, w = (np.concatenate([x[k : len(x) - 2 + k] for x in ids]) for k in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u, v, w)], ["u", "v", "w"])
-
-    three = data.mapInArrow(trigrams, "u long, v long, w long").groupBy("u", "v", "w").agg(F.count("*").alias("c"))
-    three = materialise(three.withColumn("uv", F.col("u") * base + F.col("v")), "quality-trigrams")
+        number = _Hashes()
+        for b in pieces(batches, give_back=True):
+            ids = [np.array([START, START, *map(number.__getitem__, words_of(x.as_py()))], np.int64) for x in b.column(0)]
+            u, v, w = (np.concatenate([np.empty(0, np.int64), *(x[k : len(x) - 2 + k] for x in ids)]) for k in range(3))
+            for at in range(0, len(u), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in (u, v, w)], ["u", "v", "w"])
+
+    three = texts.select(F.col(text_col).cast("binary")).mapInArrow(trigrams, "u long, v long, w long")
+    three = materialise(three.groupBy("u", "v", "w").agg(F.count("*").alias("c")), "quality-trigrams")
     two = materialise(three.groupBy("v", "w").agg(F.count("*").alias("c")), "quality-bigrams")
-    one = two.groupBy("w").agg(F.count("*").alias("c"))
+    one = materialise(two.groupBy("w").agg(F.count("*").alias("c")), "quality-words")
     d1, d2, d3 = _discounts(one), _discounts(two), _discounts(three)
-    total, n1, n2, n3 = one.agg(F.coalesce(F.sum("c"), F.lit(0)), *(F.count_if(x) for x in (F.col("c") == 1, F.col("c") == 2, F.col("c") > 2))).first()
-    spare = (d1[0] * n1 + d1[1] * n2 + d1[2] * n3) / total / (len(words) + 1) if total else 1.0
-    one = one.select("w", (_less(d1) / F.lit(max(total, 1)) + F.lit(spare)).alias("p"))
-    m2, m3 = _masses(two, "v", d2), _masses(three, "uv", d3)
-    p2 = two.join(one, "w").join(m2, "v").select("v", "w", (_less(d2) / F.col("total") + F.col("mass") * F.col("p")).alias("p"))
-    p3 = three.join(p2, ["v", "w"]).join(m3, "uv").select((F.col("uv") * base + F.col("w")).alias("key"), (_less(d3) / F.col("total") + F.col("mass") * F.col("p")).alias("p"))
-
-    def table(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        t = df.toArrow().sort_by("key")  # at most TRAIN_WORDS rows
-        return t.column("key").to_numpy(), np.log10(t.column("p").to_numpy()).astype(np.float32)
-
-    p1, mass2 = np.full(base, np.log10(spare), np.float32), np.zeros(base, np.float32)
-    keys, values = table(one.select(F.col("w").alias("key"), "p"))
-    p1[keys] = values
-    keys, values = table(m2.select(F.col("v").alias("key"), F.col("mass").alias("p")))
-    mass2[keys] = values
-    return Model(words, p1, mass2, *table(p2.select((F.col("v") * base + F.col("w")).alias("key"), "p")), *table(p3), *table(m3.select(F.col("uv").alias("key"), F.col("mass").alias("p"))))
-
-
-class _Table:
-    """Sorted keys with values; most of the keys that aren't there are told by a bit."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.keys, self.values = keys, values
-        self.likely = np.zeros(1 << _FILTER_BITS, bool)
-        self.likely[self._slot(keys)] = True
-
-    @staticmethod
-    def _slot(keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which keys are there, and their values."""
-        at = np.nonzero(self.likely[self._slot(keys)])[0]
-        place = np.minimum(np.searchsorted(self.keys, keys[at]), max(len(self.keys) - 1, 0))
-        hit = self.keys[place] == keys[at] if len(self.keys) else np.zeros(len(at), bool)
-        return at[hit], self.values[place[hit]]
+    total, words, n1, n2, n3 = one.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), *(F.count_if(x) for x in (F.col("c") == 1, F.col("c") == 2, F.col("c") > 2))).first()
+    spare = (d1[0] * n1 + d1[1] * n2 + d1[2] * n3) / total / (words + 1) if total else 1.0
+    m2 = materialise(_masses(two, ["v"], d2), "quality-masses-2")
+    m3 = materialise(_masses(three, ["u", "v"], d3), "quality-masses-3")
+    p1 = one.select("w", (_less(d1) / F.lit(max(total, 1)) + F.lit(spare)).alias("p1"), F.col("c").alias("c1"))
+    lower = F.col("mass") * F.col("p1")
+    p2 = two.join(p1.drop("c1"), "w").join(m2, "v").select("v", "w", "c", (_less(d2) / F.col("total") + lower).alias("p2"), lower.alias("low"))
+    p2 = materialise(p2, "quality-pairs")
+    lower = F.col("mass") * F.col("p2")
+    p3 = three.join(p2.select("v", "w", "p2"), ["v", "w"]).join(m3, ["u", "v"]).select(_key("u", "v", "w").alias("key"), F.log10((_less(d3) / F.col("total") + lower) / lower).alias("own"), F.lit(0.0).alias("ahead"), "c")
+    zero = F.lit(0.0)
+    ahead = F.coalesce(F.log10("mass"), zero).alias("ahead")
+    singles = p1.join(m2.select(F.col("v").alias("w"), "mass", "total"), "w", "full")
+    singles = singles.select(F.col("w").alias("key"), F.coalesce(F.log10(F.col("p1") / F.lit(spare)), zero).alias("own"), ahead, F.greatest(F.coalesce("c1", F.lit(0)), F.coalesce("total", F.lit(0))).alias("c"))
+    pairs = p2.join(m3.select(F.col("u").alias("v"), F.col("v").alias("w"), "mass", "total"), ["v", "w"], "full")
+    pairs = pairs.select(_key("v", "w").alias("key"), F.coalesce(F.log10(F.col("p2") / F.col("low")), zero).alias("own"), ahead, F.greatest(F.coalesce("c", F.lit(0)), F.coalesce("total", F.lit(0))).alias("c"))
+    table = materialise(singles.unionAll(pairs).unionAll(p3), "quality-table")
+    head = table.orderBy(F.desc("c"), "key").limit(HEAD).select("key", "own", "ahead").toArrow().sort_by("key")
+    return Model(table.select("key", "own", "ahead"), tuple(head.column(c).to_numpy() for c in ("key", "own", "ahead")), float(np.log10(spare)), words)
 
 
 def perplexities(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("lang",)) -> DataFrame:
     """One row per row of docs: id, the columns to keep, n_words, perplexity (null without words)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared, spare = docs.sparkSession.sparkContext.broadcast(model.head), model.spare
     kept = [id_col, *keep]
     kinds = [docs.schema[c].dataType for c in kept]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        number, base, start = {w: i + 1 for i, w in enumerate(m.words)}, m.base, len(m.words) + 1
-        two, three, left = _Table(m.keys2, m.p2), _Table(m.keys3, m.p3), _Table(m.contexts3, m.mass3)
-        for b in pieces(batches):
-            ids = [np.fromiter(map(number.get, w, repeat(0)), np.int64, len(w)) for w in (words_of(x.as_py()) for x in b.column(len(kept)))]
-            n = np.array([len(x) for x in ids], np.int64)
-            line = np.concatenate([np.concatenate([[start, start], x]) for x in ids]) if len(ids) else np.empty(0, np.int64)
-            row = np.repeat(np.arange(len(ids)), n)
-            at = np.arange(len(row)) + 2 * (row + 1)
-            u, v, w = line[at - 2], line[at - 1], line[at]
-            lp = m.p1[w] + m.mass2[v]
-            at, values = two.find(v * base + w)
-            lp[at] = values
-            at, values = left.find(u * base + v)
-            lp[at] += values
-            at, values = three.find((u * base + v) * base + w)
-            lp[at] = values
-            total = np.bincount(row, lp.astype(np.float64), len(ids))
-            perplexity = [float(10 ** min(300.0, -t / k)) if k else None for t, k in zip(total.tolist(), n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(n), pa.array(perplexity, pa.float64())], [*kept, "n_words", "perplexity"])
+    def found(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, list]]:
+        """Batches, and of each text: number of words, sum of the head's values, keys that are not in the head, and whether a word follows."""
+        known, own, ahead = shared.value
+        number = _Hashes()
+        for b in pieces(batches, 64, give_back=True):
+            ids = [np.array(list(map(number.__getitem__, words_of(x.as_py()))), np.int64) for x in b.column(at)]
+            both = [keys_of(x) for x in ids]
+            keys, follows = (np.concatenate(x) for x in zip(*both, strict=True)) if both else (np.empty(0, np.int64), np.empty(0, bool))
+            text = np.repeat(np.arange(len(ids)), [len(x) for x, _ in both])
+            place = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+            hit = known[place] == keys if len(known) else np.zeros(len(keys), bool)
+            total = np.bincount(text[hit], own[place[hit]] + ahead[place[hit]] * follows[hit], len(ids))
+            yield b, [np.array([len(x) for x in ids], np.int64), total, text[~hit], keys[~hit], follows[~hit]]
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, (n, total, *_) in found(batches, len(kept) + 1):
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept) + 1], pa.array(n), pa.array(total + n * spare)], [*kept, "_h", "n_words", "_lp"])
+
+    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, (_, _, text, keys, follows) in found(batches, 1):
+            h = b.column(0).to_numpy()[text]
+            for at in range(0, len(h), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(x[part]) for x in (h, keys, follows)], ["_h", "key", "follows"])
 
     schema = ", ".join(f"`{c}` {k.simpleString()}" for c, k in zip(kept, kinds, strict=True))
-    return docs.select(*kept, F.col(text_col).cast("binary").alias("_t")).mapInArrow(run, f"{schema}, n_words long, perplexity double")
+    hashed, text = text_hash(F.col(text_col)).alias("_h"), F.col(text_col).cast("binary").alias("_t")
+    rows = materialise(docs.select(*kept, hashed, text).mapInArrow(heads, f"{schema}, _h long, n_words long, _lp double"), "quality-heads")
+    asked = docs.select(hashed, text).mapInArrow(tails, "_h long, key long, follows boolean")
+    met = asked.join(model.table, "key").groupBy("_h").agg(F.sum(F.col("own") + F.when(F.col("follows"), F.col("ahead")).otherwise(0.0)).alias("_tail"))
+    times = rows.groupBy("_h").agg(F.count("*").alias("_w"))  # rows of equal texts have met the table as often
+    tail = materialise(times.join(met, "_h").select("_h", "_w", (F.col("_tail") / F.col("_w")).alias("_tail")), "quality-tails")
+    both = look_up(rows, tail, ["_h"], "_w", rows.count(), F.xxhash64("n_words", "_lp", *kept))
+    mean = (F.col("_lp") + F.coalesce("_tail", F.lit(0.0))) / F.col("n_words")
+    perplexity = F.when(F.col("n_words") > 0, F.pow(F.lit(10.0), F.least(F.lit(300.0), -mean)))
+    return both.select(*kept, "n_words", perplexity.alias("perplexity"))
+
+
+def _limits(judged: DataFrame, by: list[str], quantile: float, name: str) -> DataFrame:
+    """own: the exact quantile of a group's perplexities; n: its rows."""
+    n = judged.groupBy(*by).agg(F.count("*").alias("n"))
+    ranked = placed(judged.select(*by, "perplexity"), by, [F.col("perplexity").asc()], name)
+    ranked = ranked.join(of_checked_size(materialise(n, name + "-sizes")), by) if by else ranked.withColumn("n", F.lit(judged.count()))
+    return ranked.filter(F.col("_place") == F.greatest(F.ceil(F.lit(quantile) * F.col("n")) - 1, F.lit(0))).select(*by, "n", F.col("perplexity").alias("own"))
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
     """One row per row of docs: id, lang, n_words, perplexity, limit, kept. trusted_ids: ids of trusted documents."""
     trusted_ids = materialise(trusted_ids.select(id_col).filter(F.col(id_col).isNotNull()).distinct(), "quality-trusted")
     held = F.pmod(F.xxhash64(id_col), F.lit(HELD_OUT)) == 0
-    ids = trusted_ids.filter(~held).orderBy(F.xxhash64(id_col), id_col).limit(4 * TRAIN_DOCS)  # some may have no document
-    sample = sample_of(docs.join(F.broadcast(ids), id_col, "left_semi"), id_col, text_col)
-    model = train(sample)
+    ids = of_checked_size(trusted_ids.filter(~held))
+    model = train(_once(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(ids.select(F.col(id_col).alias("id")), "id", "left_semi")))
     if not model.words and not ids.isEmpty():
-        log.warning("no sampled trusted document has words: all texts are equally likely")
+        log.warning("no trusted document has words: all texts are equally likely")
     scored = materialise(perplexities(docs, model, id_col, text_col, (lang_col,)), "quality-scores")
     judged = scored.filter("perplexity is not null").join(trusted_ids.filter(held), id_col, "left_semi")
     lang = F.coalesce(F.col(lang_col), F.lit("")).alias("_lang")
-    limits = judged.groupBy(lang).agg(F.count("*").alias("n"), F.percentile_approx("perplexity", quantile, 10_000).alias("own"))
-    general = judged.agg(F.percentile_approx("perplexity", quantile, 10_000)).first()[0]
+    judged = materialise(judged.select(lang, "perplexity"), "quality-judged")
+    limits = _limits(judged, ["_lang"], quantile, "quality-limits-own")
+    general = next((r.own for r in _limits(judged, [], quantile, "quality-limits-all").collect()), None)  # a row
     rows = scored.groupBy(lang).agg(F.count("*").alias("w"))
     limits = materialise(limits.filter(F.col("n") >= MIN_TRUSTED).join(rows, "_lang").select("_lang", "own", "w"), "quality-limits")
     found = look_up(scored.withColumn("_lang", lang), limits, ["_lang"], "w", scored.count(), F.col("perplexity"))

@@ -255,6 +255,23 @@ def test_limits_by_brute_force(spark, monkeypatch):
         assert r.kept == (r.perplexity <= r.limit)
 
 
+def test_the_model_is_of_all_trusted_documents(spark, monkeypatch):
+    """However small the bounds of a sample; most n-grams are met in the join, copies of a text too."""
+    monkeypatch.setattr(quality, "TRAIN_DOCS", 1)
+    monkeypatch.setattr(quality, "TRAIN_WORDS", 5000)
+    monkeypatch.setattr(quality, "HEAD", 10, raising=False)
+    rng = random.Random(14)
+    rows = [(k, " ".join(rng.choice("abcdefg") for _ in range(rng.randint(5, 40))), "aa") for k in range(60)]
+    rows += [(70, rows[3][1], None), (71, "a zz b b b", None), (None, "a b", "aa")]
+    trusted = docs(spark, rows[:40])
+    held = {r.doc_id for r in trusted.filter(f"pmod(xxhash64(doc_id), {quality.HELD_OUT}) = 0").collect()}
+    train = [t for k, t, _ in rows[:40] if k not in held]
+    found = {r.doc_id: r.perplexity for r in quality.classify(docs(spark, [*rows, *rows[5:8]]), trusted).collect()}
+    for k, t, _ in rows:
+        lp, _, _ = slow_kneser_ney(train, t)
+        assert found[k] == pytest.approx(10 ** (-sum(lp) / len(lp)), rel=1e-9)
+
+
 def test_a_very_long_trusted_text_does_not_end_the_sample(spark, monkeypatch):
     monkeypatch.setattr(quality, "TRAIN_WORDS", 100)
     docs = spark.createDataFrame([(i, "long " * 101 if i % 2 else f"some words {i}") for i in range(20)], "doc_id long, text string")
