@@ -12,7 +12,10 @@ Links of a group's rows to its smallest row are checked first. Only rows of diff
 by pair, so a large group of copies costs its number of rows, not its square. Texts are fetched only for pairs that can
 still link by two exact bounds: what follows the first shared shingle in both orders, and the parity bits of the two whole
 sets. A set of n shingles has at least n such bits, each saying whether an odd number of its hashes falls there; every bit in
-which two sets differ is a shingle that one of them alone has.
+which two sets differ is a shingle that one of them alone has. FOLD words of such bits are compared where pairs are made,
+and a pair is made only in the group of the first shingle that it shares: rows carry the EARLIER shingles before theirs (a pair
+that shares one of still earlier ones alone is made again, and dropped as a repetition). A group of texts that nearly link is
+still compared row by row; what leaves the comparison are pairs that may link.
 
 Frequent shingles are counted before rows move, and rows of hot ones are dealt out. Texts of fewer than 5 words are one
 shingle, null and empty texts have none. Null ids take no part in links. Rows equal in id and text share their fate.
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.llm import simhash
@@ -38,6 +41,8 @@ SHINGLE, THRESHOLD = 5, 4
 SAMPLE_EVERY, SAMPLE_DOCS, MIN_COMMON, MAX_COMMON = 8, 8192, 2, 1 << 18
 #: Rows of a group that are compared in one piece.
 GROUP = 1024
+#: Words of parity bits that are compared in the join, and earlier shared shingles that a row carries there.
+FOLD, EARLIER = 8, 64
 
 
 def shingles(data: bytes) -> np.ndarray:
@@ -57,6 +62,12 @@ def parity(own: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def sketch(own: np.ndarray) -> list[int]:
+    """The parity of FOLD * 64 bits, however many hashes there are, as signed words."""
+    odd = np.bincount((own >> np.uint64(17)).astype(np.int64) & (FOLD * 64 - 1), minlength=FOLD * 64) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
 def far_apart(a: bytes, b: bytes, n: int) -> bool:
     """By their parity bits, two sets of n shingles in all differ in more than may be; the longer bits are folded to the shorter."""
     x, y = (np.frombuffer(bits, np.uint64) for bits in sorted((a, b), key=len))
@@ -81,7 +92,7 @@ def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _read(rows: DataFrame) -> DataFrame:
-    """node, fp (fingerprint), n (size of the set), bits (their parity), prefix (the first hashes in the common order); no rows without words."""
+    """node, fp (fingerprint), n (size of the set), bits (their parity), sketch (the same in FOLD words), prefix (the first hashes in the common order); no rows without words."""
     shared = rows.sparkSession.sparkContext.broadcast(_common(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,12 +110,12 @@ def _read(rows: DataFrame) -> DataFrame:
                     c = np.where(known[at] == own, often[at], 0)
                 prefix = own[np.lexsort((own, c))[: len(own) // 5 + 1]].view(np.int64)
                 fp = simhash.majority(every)
-                out.append((node, fp - (1 << 64) if fp >> 63 else fp, len(own), parity(own), prefix))
-            cols = list(zip(*out, strict=True)) or [()] * 5
+                out.append((node, fp - (1 << 64) if fp >> 63 else fp, len(own), parity(own), sketch(own), prefix))
+            cols = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    names, types = ["node", "fp", "n", "bits", "prefix"], [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
-    return materialise(rows.mapInArrow(run, "node long, fp long, n int, bits binary, prefix array<long>"), "copies-sets")
+    names, types = ["node", "fp", "n", "bits", "sketch", "prefix"], [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    return materialise(rows.mapInArrow(run, "node long, fp long, n int, bits binary, sketch array<long>, prefix array<long>"), "copies-sets")
 
 
 def _can_link(x: str, y: str) -> Column:
@@ -113,6 +124,12 @@ def _can_link(x: str, y: str) -> Column:
     return 9 * left >= 4 * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
 
+def _may_link(x: str, y: str) -> Column:
+    """By their sketches they may, and none of the shingles carried by both comes before the shared one."""
+    apart = sum((F.bit_count(F.col(f"{x}.s{k}").bitwiseXOR(F.col(f"{y}.s{k}"))) for k in range(FOLD)), F.lit(0))
+    return (9 * apart <= F.col(f"{x}.n") + F.col(f"{y}.n")) & ~F.arrays_overlap(f"{x}.before", f"{y}.before")
+
+
 def _pairs(x: str, y: str) -> list[Column]:
     return [F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b")]
 
@@ -174,12 +191,15 @@ def near_links(rows: DataFrame) -> DataFrame:
     mixed = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("w")).filter("low <> high").select("h", "w")
     parts = F.ceil(F.col("w") / GROUP).cast("int")
     mixed = attach(rooted, materialise(mixed, "copies-mixed"), ["h"], "w", total, F.col("x.node")).filter("w is not null")
-    mixed = mixed.select("h", "x", "root", parts.alias("pieces"), F.pmod(F.xxhash64("x.node"), parts).cast("int").alias("piece"))
+    mixed = mixed.select("h", "x", "root", parts.alias("pieces"), F.pmod(F.xxhash64("x.node"), parts).cast("int").alias("piece"), F.col("x.node").alias("node"))
+    mixed = materialise(mixed, "copies-between").join(sets.select("node", "sketch"), "node")
+    earlier = F.collect_list("h").over(Window.partitionBy("node").orderBy("x.place").rowsBetween(-EARLIER, -1))
+    mixed = mixed.withColumn("x", F.struct("x.*", *(F.col("sketch")[k].alias(f"s{k}") for k in range(FOLD)), earlier.alias("before")))
     dealt = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     dealt = materialise(dealt.select("h", "x", "root", "piece", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q")), "copies-dealt")
     one = dealt.filter("piece = p").select("h", "p", "q", "x", "root")
     two = dealt.filter("piece = q").select("h", "p", "q", F.col("x").alias("y"), F.col("root").alias("other"))
-    across = one.join(two, ["h", "p", "q"]).filter("root <> other").filter(_can_link("x", "y")).select(*_pairs("x", "y"))
+    across = one.join(two, ["h", "p", "q"]).filter("root <> other and (p < q or x.node < y.node)").filter(_can_link("x", "y") & _may_link("x", "y")).select(*_pairs("x", "y"))
     return links.unionAll(_checked(across, sets, rows, "copies-across"))
 
 

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from marketlens.llm import simhash
+from marketlens.llm import near_copies, simhash
 
 
 def _shingles(text):
@@ -46,3 +46,39 @@ def test_links_are_those_of_all_pairs(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = corpus_pipeline.drop_near_copies(spark, docs, "")
     assert sorted(r.doc_id or 0 for r in got.collect()) == [0, *(i for i in sets if find(i) == i)]
+
+
+def test_a_group_that_nearly_links_makes_few_pairs(spark, monkeypatch):
+    """Copies with too many edits to link: a pair is made once, and only if it may link by the parity bits."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(4000)}" for _ in range(200)]
+    texts = []
+    for _ in range(120):
+        words = list(base)
+        for at in rng.sample(range(len(words)), 4):
+            words[at] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    made, checked = [], near_copies._checked
+
+    def counted(pairs, sets, rows, name):
+        if name == "copies-across":
+            made.append((pairs.count(), pairs.distinct().count()))
+        return checked(pairs, sets, rows, name)
+
+    monkeypatch.setattr(near_copies, "_checked", counted)
+    links = near_copies.near_links(spark.createDataFrame([(i, x.encode()) for i, x in enumerate(texts)], "node long, t binary"))
+    linked = {(r.a, r.b) for r in links.collect()}
+    sets = [_shingles(x) for x in texts]
+    near = {(i, j) for i in range(120) for j in range(i + 1, 120) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert linked <= near
+    root = near_copies_roots(near), near_copies_roots(linked)
+    assert root[0] == root[1]
+    assert made[0][0] == made[0][1] < 120 * 119 / 2 / 4
+
+
+def near_copies_roots(links):
+    root = list(range(120))
+    for _ in range(120):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
