@@ -561,7 +561,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             return batch(len(out), uid=[first] * len(out), slot=slots, **dict(zip(("context", "sizes", "dish", "docs"), blobs, strict=True)))
 
         for b in pieces(batches):
-            size, known, base, tail, owners = [], [], [], [], []
+            size, known, base, tail, times, owners = [], [], [], [], [], []
             for uid, text in zip(b.column(0).to_pylist(), b.column(2), strict=True):
                 tokens = tokens_of(text.as_py())
                 i = v.ids(tokens)
@@ -569,8 +569,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 size.append(len(tokens) + 1)
                 known.append(len(mine) + (ends > 0))
                 base.append(float(log_c[mine].sum()) + float(np.log10(ends + 1)) - lone * (len(tokens) + 1))
-                tail += [tokens[x] for x in np.nonzero(i < 0)[0].tolist()]
-                owners.append(len(tokens) - len(mine))
+                outside = Counter(tokens[x] for x in np.nonzero(i < 0)[0].tolist())
+                tail += outside
+                times += outside.values()
+                owners.append(len(outside))
                 first = uid if first is None else first
                 held.append(v.pairs(tokens, i))
                 many += len(tokens) + 1
@@ -579,7 +581,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                     held, many, first = [], 0, None
             yield batch(b.num_rows, uid=b.column(0), id=b.column(1), n=size, known=known, base=base)
             for at, uid in zip(range(0, len(tail), 1 << 16), np.array_split(np.repeat(b.column(0).to_numpy(), owners), range(1 << 16, len(tail), 1 << 16)), strict=False):
-                yield batch(len(uid), uid=uid, w=tail[at : at + (1 << 16)])
+                yield batch(len(uid), uid=uid, w=tail[at : at + (1 << 16)], n=times[at : at + (1 << 16)])
         if held:
             yield pairs_out()
 
@@ -631,7 +633,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     by_count = docs.sparkSession.createDataFrame([(c, rare_log_p(c, rare)) for c in rare["counts"]], "c long, lp double")
     few = _rare_words(model.counts, model.rare_from).join(F.broadcast(by_count), "c").select("w", "c", "lp")
     unknown = rare_log_p(0, rare)
-    tail = rows.filter("w is not null").groupBy("uid", "w").agg(F.count("*").alias("n")).join(few, "w", "left")
+    tail = rows.filter("w is not null").select("uid", "w", "n").join(few, "w", "left")
     sums = tail.groupBy("uid").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("tail_known"),
         F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))).alias("tail_base"),

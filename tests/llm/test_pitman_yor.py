@@ -204,3 +204,14 @@ def test_scores_without_training(spark):
     rows = py.score(docs(spark, [(1, "a b"), (2, None)]), model).collect()
     assert {(r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in rows} == {(3, 0, 0, 0.0), (1, 0, 0, 0.0)} and all(math.isfinite(r.score) for r in rows)
     assert py.score(docs(spark, []), model).count() == 0
+
+
+def test_a_rare_word_is_one_row_of_its_text(spark, monkeypatch):
+    """Repetitions are counted before rows are written and shuffled."""
+    from marketlens.llm import pitman_yor
+
+    kept, write = {}, pitman_yor.materialise
+    monkeypatch.setattr(pitman_yor, "materialise", lambda df, name: kept.setdefault(name, write(df, name)))
+    docs = spark.createDataFrame([(1, "a b a b"), (2, "zz zz zz yy")], "doc_id long, text string")
+    pitman_yor.score(docs, pitman_yor.train(docs.filter("doc_id = 1")))
+    assert sorted((r.w, r.n) for r in kept["lm-rows"].filter("w is not null").collect()) == [(b"yy", 1), (b"zz", 3)]
