@@ -6,12 +6,14 @@ import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from marketlens.sources.shared import materialise
 
-__all__ = ["ascii_space", "attach", "attach_wide", "bitmap", "kept_rows", "look_up", "materialise", "may_be_in", "of_checked_size", "pieces", "placed", "text_hash", "without"]
+__all__ = ["ascii_space", "attach", "attach_wide", "bitmap", "kept_rows", "look_up", "materialise", "may_be_in", "of_checked_size", "pieces", "placed", "small_table", "text_hash", "without"]
 
 #: Rows of whole documents that are worked on at once, of a batch whose bytes Spark bounds.
 BATCH_ROWS = 256
@@ -23,16 +25,30 @@ BROADCAST_IDS = 1_000_000
 HOT_KEYS = 2_000
 #: Fewer rows than this are never worth a salt.
 HOT_FLOOR = 64
+#: What empties the caches that a worker keeps from task to task.
+KEPT: list[Callable[[], None]] = []
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, give_back: bool = False) -> Iterator[pa.RecordBatch]:
+def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver's as a table, handed over by Arrow.
+
+    For plain rows Spark starts workers of another kind on every executor, which stay beside those that work on batches."""
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns, kinds.types, strict=True)], schema=kinds), schema)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, give_back: bool = False, keep: bool = False) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices of so many rows, at least one a batch; Spark bounds the bytes of a batch itself.
 
-    A worker lives on between tasks: with give_back it returns what it has freed to the system at the end of one."""
+    A worker lives on between tasks: with give_back it returns what it has freed to the system at the end of one, and
+    without keep also what other tasks have left in the caches of KEPT."""
     for b in batches:
         for at in range(0, max(1, b.num_rows), rows):
             yield b.slice(at, rows)
     if give_back:
+        for forget in [] if keep else KEPT:
+            forget()
         pa.default_memory_pool().release_unused()
         if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU library
             trim(0)

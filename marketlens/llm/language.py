@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import kept_rows, materialise, pieces
+from marketlens.llm.common import kept_rows, materialise, pieces, small_table
 
 #: The sample's bound: rows of a language, and bytes of its dictionary; and how many languages tasks can hold.
 DOCS_PER_LANGUAGE, DICTIONARY_BYTES, MAX_LANGUAGES = 800, 256 << 10, 1024
@@ -58,7 +58,7 @@ def train(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str
         return Model({})
     # of a large language only texts with hashes low enough to be chosen, four times as many as are, are sorted at all
     shares = [(r.lang, r.long, 1.0 if r.long else min(1.0, 4 * DOCS_PER_LANGUAGE / max(1, r.texts))) for r in by_size]
-    bounds = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, only_long boolean, share double"))
+    bounds = F.broadcast(small_table(docs.sparkSession, shares, "lang string, only_long boolean, share double"))
     place = (F.col("key") / F.lit(2.0**64)) + 0.5
     near = known.join(bounds, "lang").filter((F.col("long") == F.col("only_long")) & (place <= F.col("share")))
     near = near.groupBy("lang", "only_long", "key", "size").agg(F.any_value("text").alias("text"))  # copies are one text

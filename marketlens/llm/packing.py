@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import look_up, materialise, pieces
+from marketlens.llm.common import look_up, materialise, pieces, small_table
 from marketlens.llm.tokens import tokenizer
 
 LENGTH, END_ID = 2048, 1
@@ -116,13 +116,13 @@ class Schedule:
         return tuple(c[order] for c in out)
 
 
-def tokenised(docs: DataFrame, vocabulary: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", queue: Column | None = None) -> DataFrame:
+def tokenised(docs: DataFrame, vocabulary: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", queue: Column | None = None, words: int | None = None) -> DataFrame:
     """id, queue, part, before (tokens of the queue that the part has before), n_tokens, ids (little-endian, as narrow as the vocabulary allows); written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, seen = tokenizer(vocabulary), {}
+        t, seen = tokenizer(vocabulary, words), {}
         end = np.array([end_id], t.wide)
-        for b in pieces(batches, give_back=True):
+        for b in pieces(batches, give_back=True, keep=True):
             ids = [np.concatenate([t.encode(x.as_py() or ""), end]) for x in b.column(3)]
             before = []
             for q, x in zip(b.column(1).to_pylist(), ids, strict=True):
@@ -136,10 +136,11 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int = END_ID, id_col: st
     return materialise(rows.mapInArrow(run, "id long, queue int, part int, before long, n_tokens long, ids binary, wide int"), "packing-tokens")
 
 
-def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, window: int | None = None, shares: Mapping[str, float] | None = None, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, window: int | None = None, shares: Mapping[str, float] | None = None, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", words: int | None = None) -> DataFrame:
     """Pieces of documents in sequences: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for.
 
     shares: target token proportions of some sources, one in all at most; the others divide the rest as they divide their tokens.
+    words: how many a worker's tokenizer keeps, if not as many as tokens.CACHE; it decides no result.
     """
     if sum((shares or {}).values()) > 1 + 1e-9 or min((shares or {}).values(), default=1) <= 0:
         raise ValueError("shares must be above zero, and one in all at most")
@@ -148,10 +149,10 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, window: int | N
     rows = docs.groupBy(source.alias("s")).agg(F.count("*").alias("n"))
     largest = [r.s for r in rows.orderBy(F.desc("n"), F.asc_nulls_first("s")).limit(QUEUES).collect()]
     own = [*largest, *sorted(set(shares) - set(largest))]
-    numbers = F.broadcast(spark.createDataFrame(list(enumerate(own)), "_queue int, _source string"))
+    numbers = F.broadcast(small_table(spark, list(enumerate(own)), "_queue int, _source string"))
     named = docs.select(F.col(id_col).alias("_id"), source.alias("_s"), F.col(text_col).alias("_text")).join(numbers, F.col("_s").eqNullSafe(F.col("_source")), "left")
     merged = F.pmod(F.xxhash64("_s"), F.lit(MERGED)) + len(own)
-    tokens = tokenised(named, vocabulary, end_id, "_id", "_text", F.coalesce("_queue", merged))
+    tokens = tokenised(named, vocabulary, end_id, "_id", "_text", F.coalesce("_queue", merged), words)
 
     parts = materialise(tokens.groupBy("queue", "part").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("w")), "packing-parts")
     sums = {r.queue: r.t for r in parts.groupBy("queue").agg(F.sum("t").alias("t")).collect()}  # as many as queues

@@ -2,8 +2,9 @@
 
 The tokenizer read here drops white space, lower-cases, and never joins characters across white space, so the ids of a
 text are those of its words in turn. Words repeat far more than texts do: each worker process keeps the ids of up to twice
-CACHE words, from one task to the next; when CACHE words are new, those not met since the last time are forgotten. Words of ASCII and Latin-1 letters go straight to the vocabulary's merge model; any other word, and any text with
-the four control characters that Python alone takes for white space, goes through the whole tokenizer. So does every
+CACHE words (or as many as are asked for), from one task to the next; when so many words are new, those not met since the last
+time are forgotten, and all are when the worker goes over to other work. Words of ASCII and Latin-1 letters go straight to the
+vocabulary's merge model; any other word, and any text with the four control characters that Python alone takes for white space, goes through the whole tokenizer. So does every
 text if the vocabulary's file names another normaliser, pre-tokenizer or model than those this rests on.
 """
 
@@ -17,7 +18,9 @@ from itertools import chain, repeat
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Words of a generation; two generations are kept, some 50 MB each, by a worker as long as it lives.
+from marketlens.llm.common import KEPT
+
+#: Words of a generation; two generations are kept by a worker.
 CACHE = 200_000
 #: The tokenizer's own pattern, for plain characters, and the characters that it counts as plain here.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
@@ -52,10 +55,10 @@ def _byte_letters() -> str:
 class _Words:
     """Ids of words, all in one array."""
 
-    def __init__(self, kind: type):
+    def __init__(self, kind: type, most: int):
         self.place: dict[str, int] = {}
         self.pool, self.used = np.empty(1 << 20, kind), 0
-        self.starts, self.sizes = np.zeros(CACHE + 1, np.int64), np.zeros(CACHE + 1, np.int64)
+        self.starts, self.sizes = np.zeros(most + 1, np.int64), np.zeros(most + 1, np.int64)
 
     def add(self, words: list[str], ids: list[list[int]]) -> None:
         k, sizes = len(self.place), np.fromiter(map(len, ids), np.int64, len(ids))
@@ -75,13 +78,14 @@ class _Words:
 class WordTokenizer:
     """encode(texts) gives the ids of all texts end to end, and how many each has."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int | None = None):
+        self.most = words or CACHE
         self.full = Tokenizer.from_file(path)
         self.by_words = by_words(json.loads(self.full.to_str()))
         self.model, self.letters = self.full.model, _byte_letters()
         self.specials = [t.content for t in self.full.get_added_tokens_decoder().values()]
         self.wide = np.uint16 if self.full.get_vocab_size() <= 1 << 16 else np.uint32
-        self.now, self.past = _Words(self.wide), _Words(self.wide)
+        self.now, self.past = _Words(self.wide, self.most), _Words(self.wide, self.most)
 
     def _word(self, word: str) -> list[int]:
         if word.isascii() and word.isalpha():
@@ -104,8 +108,8 @@ class WordTokenizer:
         at = np.fromiter(map(self.now.place.get, words, repeat(-1)), np.int64, len(words))
         if len(missing := np.nonzero(at < 0)[0]):
             new = list({words[i] for i in missing.tolist()})
-            if len(self.now.place) + len(new) > CACHE:
-                self.past, self.now = self.now, _Words(self.wide)
+            if len(self.now.place) + len(new) > self.most:
+                self.past, self.now = self.now, _Words(self.wide, self.most)
                 return self._of_words(words)
             known = self.past.place
             self.now.add(new, [self._word(w) if (k := known.get(w)) is None else self.past.ids(k) for w in new])
@@ -122,11 +126,14 @@ class WordTokenizer:
         words = text.split()
         if not words:
             return np.empty(0, self.wide)
-        step = CACHE // 8
+        step = self.most // 8
         return np.concatenate([self._of_words(words[k : k + step]) for k in range(0, len(words), step)])
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str, words: int | None = None) -> WordTokenizer:
     """This process's tokenizer for a vocabulary, which keeps its words from task to task."""
-    return WordTokenizer(path)
+    return WordTokenizer(path, words)
+
+
+KEPT.append(tokenizer.cache_clear)

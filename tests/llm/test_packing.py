@@ -6,10 +6,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marketlens.llm import packing, tokens
+from marketlens.llm import common, language, packing, tokens
 from marketlens.llm.queries import VOCABULARY
 
 SCHEMA = "doc_id long, text string, source string, q string, uid int, place string"
@@ -138,3 +140,29 @@ def test_other_vocabularies_go_through_the_whole_tokenizer():
 
 def test_pack_nothing(spark):
     assert packing.pack(docs(spark, []), VOCABULARY).count() == 0
+
+
+def test_workers_keep_words_for_tokens_alone():
+    batch = pa.RecordBatch.from_arrays([pa.array(["x"])], ["t"])
+    tokens.tokenizer(VOCABULARY).encode("some words")
+    assert len(list(common.pieces(iter([batch]), give_back=True, keep=True))) == 1
+    assert tokens.tokenizer.cache_info().currsize == 1
+    assert len(list(common.pieces(iter([batch]), give_back=True))) == 1
+    assert tokens.tokenizer.cache_info().currsize == 0
+
+
+def test_number_of_kept_words_decides_nothing():
+    few, many = tokens.WordTokenizer(VOCABULARY, 16), tokens.WordTokenizer(VOCABULARY)
+    text = " ".join(f"word{k % 37} {k}." for k in range(400))
+    assert few.encode(text).tolist() == many.encode(text).tolist()
+    assert len(few.now.place) <= 16 and len(few.past.place) <= 16
+
+
+def test_no_plain_rows_are_handed_to_executors(spark, monkeypatch):
+    """They would need Python workers of a second kind."""
+    rows, handed, make = docs(spark, [(1, "one two", "a"), (2, "three", None)]), [], type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **b: handed.append(type(data)) or make(self, data, *a, **b))
+    assert {r.doc_id for r in packing.pack(rows, VOCABULARY).collect()} == {1, 2}
+    labelled = rows.withColumn("lang", F.col("place"))
+    assert list(language.train(labelled, F.lit(True)).dictionaries) == ["p"]
+    assert handed and set(handed) == {pa.Table}
