@@ -8,9 +8,11 @@ bound on differing bits of a fingerprint, so candidates come in two ways, and ea
    ceil(4n / 5), so they share one of the first n - ceil(4n / 5) + 1 of either. Only shingles in the prefixes of two texts
    or more matter. Shingles that are common in a sample of documents come last in the order, which keeps groups small.
 
-Links of a group's rows to its smallest row are checked first. Only rows of different components are then compared pair
-by pair, so a large group of copies costs its number of rows, not its square. Texts are fetched only for pairs that can
-still link by two exact bounds: what follows the first shared shingle in both orders, and the parity bits of the two whole
+Links of a group's rows to its smallest row are checked first. Where a large group still has several components, each row of
+a smaller one is then hooked to two rows of larger ones, the first that it may link to and the most similar: so copies that
+link among each other, but not to the smallest, come together with a few pairs a row. Only rows of components that are
+different after that are compared pair by pair, so a large group of copies costs its number of rows, not its square. Texts are
+fetched only for pairs that can still link by two exact bounds: what follows the first shared shingle in both orders, and the parity bits of the two whole
 sets. A set of n shingles has at least n such bits, each saying whether an odd number of its hashes falls there; every bit in
 which two sets differ is a shingle that one of them alone has. FOLD words of such bits are compared where pairs are made,
 and a pair is made only in the group of the first shingle that it shares: rows carry the EARLIER shingles before theirs (a pair
@@ -41,6 +43,8 @@ SHINGLE, THRESHOLD = 5, 4
 SAMPLE_EVERY, SAMPLE_DOCS, MIN_COMMON, MAX_COMMON = 8, 8192, 2, 1 << 18
 #: Rows of a group that are compared in one piece.
 GROUP = 1024
+#: Groups with fewer rows make few pairs; their rows are not hooked first. Hooks are sought so many times, or until none is found.
+HOOKED, ROUNDS = 256, 2
 #: Words of parity bits that are compared in the join, and earlier shared shingles that a row carries there.
 FOLD, EARLIER = 8, 64
 
@@ -172,6 +176,61 @@ def _by_fingerprint(sets: DataFrame) -> DataFrame:
     return same.unionAll(simhash.near_links(firsts.select("node", "fp"), THRESHOLD).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
+def hooks(rows: np.ndarray, parted: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows (node, n, place, root, block, sketch...): pairs of a row of a smaller component and one of a larger that it may
+    link to, the one of the smallest node and the most similar one; parted: only of different blocks."""
+    node, n, place, root, block = rows[:, :5].T
+    words, behind = rows[:, 5:].view(np.uint64), n - place
+    _, which, size = np.unique(root, return_inverse=True, return_counts=True)
+    rank = np.lexsort((np.arange(len(size)), size)).argsort()[which]  # of a row's component, by size
+    order, found = np.argsort(node), []
+    step = max(1, (1 << 17) // max(1, len(rows)))
+    for at in range(0, len(rows), step):
+        i = slice(at, at + step)
+        both = n[i, None] + n[None, order]
+        apart = sum(np.bitwise_count(words[i, None, k] ^ words[None, order, k]).astype(np.int64) for k in range(words.shape[1]))
+        may = (9 * apart <= both) & (9 * np.minimum(behind[i, None], behind[None, order]) >= 4 * both) & (rank[i, None] < rank[None, order])
+        if parted:
+            may &= block[i, None] != block[None, order]
+        row = np.nonzero(may.any(axis=1))[0]
+        for pick in (may[row].argmax(axis=1), np.where(may[row], apart[row] / both[row], np.inf).argmin(axis=1)):
+            found.append((row + at, order[pick]))
+    return tuple(np.concatenate([np.empty(0, np.int64), *c]) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Each row of a block of a group once for every block that it meets; p and q are the two."""
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    return dealt.withColumns({"p": F.least("piece", "other"), "q": F.greatest("piece", "other")})
+
+
+def _hooked(between: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) that hook components of a group to larger ones of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for key, rows, ends in simhash.runs(pieces(batches, 8192, give_back=True), 3):
+            held.append(rows)
+            if not ends:
+                continue
+            rows, held = np.concatenate(held), []
+            i, j = hooks(rows, key[1] != key[2])
+            if len(i):
+                a, b = rows[i, 0], rows[j, 0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    dealt = _dealt(between.join(sets.select("node", "sketch"), "node"))
+    wide = [F.col(c).cast("long").alias(c.removeprefix("x.")) for c in ("x.n", "x.place", "root", "piece")]
+    dealt = dealt.select("h", "p", "q", "node", *wide, *(F.col("sketch")[k].alias(f"s{k}") for k in range(FOLD)))
+    return dealt.repartition("h", "p", "q").sortWithinPartitions("h", "p", "q").mapInArrow(run, "a long, b long")
+
+
+def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows(node) with the root of their component."""
+    roots = materialise(components(links, "copies-roots"), "copies-roots")
+    return rows.join(of_checked_size(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def near_links(rows: DataFrame) -> DataFrame:
     """rows(node, t), t binary -> a(long), b(long): links whose components are those of all links."""
     sets = _read(rows)
@@ -185,18 +244,22 @@ def near_links(rows: DataFrame) -> DataFrame:
     star = attach(met, leads, ["h"], "w", total, F.col("x.node")).filter(F.col("x.node") != F.col("lead.node"))
     candidates = star.filter(_can_link("x", "lead")).select(*_pairs("x", "lead"))
     links = _checked(candidates.unionAll(_by_fingerprint(sets)), sets, rows, "copies-star")
-    roots = materialise(components(links, "copies-roots"), "copies-roots")
-    rooted = met.select("h", "x", F.col("x.node").alias("node")).join(of_checked_size(roots), "node", "left").select("h", "x", F.coalesce("root", "node").alias("root"))
-    rooted = materialise(rooted, "copies-rooted")
+    rooted = materialise(_rooted(met.withColumn("node", F.col("x.node")), links).select("h", "x", "root"), "copies-rooted")
     mixed = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("w")).filter("low <> high").select("h", "w")
     parts = F.ceil(F.col("w") / GROUP).cast("int")
     mixed = attach(rooted, materialise(mixed, "copies-mixed"), ["h"], "w", total, F.col("x.node")).filter("w is not null")
-    mixed = mixed.select("h", "x", "root", parts.alias("pieces"), F.pmod(F.xxhash64("x.node"), parts).cast("int").alias("piece"), F.col("x.node").alias("node"))
-    mixed = materialise(mixed, "copies-between").join(sets.select("node", "sketch"), "node")
+    mixed = mixed.select("h", "x", "root", "w", parts.alias("pieces"), F.pmod(F.xxhash64("x.node"), parts).cast("int").alias("piece"), F.col("x.node").alias("node"))
+    mixed = materialise(mixed, "copies-between")
+    for _ in range(ROUNDS):
+        large = mixed.filter(F.col("w") >= HOOKED)
+        if large.isEmpty() or (found := _checked(_hooked(large, sets), sets, rows, "copies-hooks")).isEmpty():
+            break
+        links = links.unionAll(found)
+        mixed = _rooted(mixed.drop("root"), links)
+    mixed = mixed.join(sets.select("node", "sketch"), "node")
     earlier = F.collect_list("h").over(Window.partitionBy("node").orderBy("x.place").rowsBetween(-EARLIER, -1))
     mixed = mixed.withColumn("x", F.struct("x.*", *(F.col("sketch")[k].alias(f"s{k}") for k in range(FOLD)), earlier.alias("before")))
-    dealt = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    dealt = materialise(dealt.select("h", "x", "root", "piece", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q")), "copies-dealt")
+    dealt = materialise(_dealt(mixed).select("h", "x", "root", "piece", "p", "q"), "copies-dealt")
     one = dealt.filter("piece = p").select("h", "p", "q", "x", "root")
     two = dealt.filter("piece = q").select("h", "p", "q", F.col("x").alias("y"), F.col("root").alias("other"))
     across = one.join(two, ["h", "p", "q"]).filter("root <> other and (p < q or x.node < y.node)").filter(_can_link("x", "y") & _may_link("x", "y")).select(*_pairs("x", "y"))

@@ -147,7 +147,7 @@ def links_within(fp: np.ndarray, threshold: int, parted: np.ndarray | None = Non
     return far, lab[far]
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, np.ndarray, bool]]:
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, np.ndarray, bool]]:
     """From sorted batches: (key, the other columns as rows, whether the key's rows end here), pieces of at most GROUP rows and one batch."""
     key, held, rows = None, [], 0
     for b in batches:
@@ -190,7 +190,7 @@ def near_links(nodes: DataFrame, threshold: int = 4) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links of the rows of two blocks of an anchor, or within one."""
         held: list[np.ndarray] = []
-        for key, rows, ends in _runs(batches, 3):
+        for key, rows, ends in runs(batches, 3):
             held.append(rows)
             if not ends:
                 continue

@@ -82,3 +82,29 @@ def near_copies_roots(links):
         for a, b in links:
             root[a] = root[b] = min(root[a], root[b])
     return root
+
+
+def test_a_group_whose_rows_link_but_not_to_the_first_makes_few_pairs(spark, monkeypatch):
+    """Copies of which each links to some others: components are brought together before pairs across them are made."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(4000)}" for _ in range(200)]
+    texts = []
+    for _ in range(120):
+        words = list(base)
+        for at in rng.sample(range(10, 200, 19), 3):
+            words[at] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    made, checked = [], near_copies._checked
+
+    def counted(pairs, sets, rows, name):
+        made.append((name, pairs.distinct().count()))
+        return checked(pairs, sets, rows, name)
+
+    monkeypatch.setattr(near_copies, "_checked", counted)
+    monkeypatch.setattr(near_copies, "HOOKED", 16, raising=False)
+    links = near_copies.near_links(spark.createDataFrame([(i, x.encode()) for i, x in enumerate(texts)], "node long, t binary"))
+    sets = [_shingles(x) for x in texts]
+    near = {(i, j) for i in range(120) for j in range(i + 1, 120) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    linked = {(r.a, r.b) for r in links.collect()}
+    assert linked <= near and near_copies_roots(near) == near_copies_roots(linked)
+    assert sum(n for name, n in made if name != "copies-star") < 2 * 120 < len(near) / 2
