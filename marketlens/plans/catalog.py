@@ -438,10 +438,14 @@ def pledge_loans_csv(v: Views) -> DataFrame:
     return landing.pledge_loans(_loan_rows(v), "1998-01-01", "1999-12-31").withColumn("valor", F.col("valor").cast("double"))
 
 
+def _page() -> Column:
+    """Pages of some dozens of listings, the few lines of sixteen orders each."""
+    return F.floor(F.substring_index(F.substring("meli_id", 4, 20), "-", 1).cast("bigint") / 16)
+
+
 def _items(v: Views) -> DataFrame:
-    """Landed search pages of some dozens of listings, the few lines of sixteen orders each."""
-    order = F.substring_index(F.substring("meli_id", 4, 20), "-", 1).cast("bigint")
-    return _item_pages(v.listings, F.floor(order / 16))
+    """Landed search pages."""
+    return _item_pages(v.listings, _page())
 
 
 def _item_pages(listings: DataFrame, page: Column) -> DataFrame:
@@ -576,9 +580,8 @@ def ingest_rejects(v: Views) -> DataFrame:
     amount = F.when(F.substring("Fecha", 1, 2).cast("int") % 9 == 0, "abc").otherwise(F.col("Monto"))
     _loan_rows(v).withColumn("Monto", amount).write.csv(f"{zone}/{jobs.LOANS}", sep=";", header=True, encoding="ISO-8859-1")
     line = F.right("meli_id", F.lit(1))
-    listed = v.listings.withColumns({"precio": F.when(line != "6", F.col("precio")), "meli_id": F.when(line != "7", F.col("meli_id"))})
-    order = F.floor(F.xxhash64("meli_id", "modelo", "precio") / 16)
-    _item_pages(listed, F.pmod(order, F.lit(1 << 20))).select(F.lit("-").alias("query_brand"), "json").write.parquet(f"{zone}/{jobs.LISTINGS}")
+    listed = v.listings.withColumns({"page": _page(), "precio": F.when(line != "6", F.col("precio")), "meli_id": F.when(line != "7", F.col("meli_id"))})
+    _item_pages(listed, F.col("page")).select(F.lit("-").alias("query_brand"), "json").write.parquet(f"{zone}/{jobs.LISTINGS}")
     jobs.load_registrations(v.spark, zone, store, AS_OF)
     jobs.load_production(v.spark, zone, store, AS_OF)
     jobs.sync_macro(v.spark, zone, store, AS_OF, date(1990, 1, 1), date(2010, 1, 1))

@@ -221,13 +221,15 @@ def principal_variables(pages: DataFrame) -> DataFrame:
 
 def macro_rows(pages: DataFrame, series: DataFrame) -> DataFrame:
     """pages(serie_id, json) of {results: [{fecha, valor}]} and series(serie_id, indicador) -> marked macro records."""
-    results = F.from_json("json", schemas.SERIES_PAGE)["results"]
-    points = pages.select("serie_id", "json", results.isNull().alias("_broken"), F.explode_outer(results).alias("r")).filter("_broken or r is not null")
+    read = pages.select("serie_id", "json", F.from_json("json", schemas.SERIES_PAGE)["results"].alias("_results"))
+    broken = F.col("_results").isNull()
+    slim = read.select("serie_id", F.when(broken, F.coalesce("json", F.lit(""))).alias("json"), broken.alias("_broken"), "_results")  # no point carries its page
+    points = slim.select("serie_id", "json", "_broken", F.explode_outer("_results").alias("r")).filter("_broken or r is not null")
     known = points.join(F.broadcast(series), "serie_id", "left")  # a row a series
     day, value = F.try_to_date("r.fecha", "yyyy-MM-dd"), F.col("r.valor").try_cast("decimal(18,4)")
     read = known.select(day.alias("fecha"), "indicador", value.alias("valor"), F.lit("BCRA").alias("fuente"), F.col("r.descripcion").alias("descripcion"), "serie_id", "json", "r", "_broken")
     reasons = {"json": F.col("_broken"), "serie": F.col("indicador").isNull(), "fecha": F.col("fecha").isNull(), "valor": F.col("valor").isNull()}
-    found = marked(read, reasons, F.when(F.col("_broken"), F.coalesce("json", F.lit(""))).otherwise(F.to_json(F.struct("serie_id", "r.*"))))
+    found = marked(read, reasons, F.when(F.col("_broken"), F.col("json")).otherwise(F.to_json(F.struct("serie_id", "r.*"))))
     return found.drop("serie_id", "json", "r", "_broken")
 
 
@@ -274,8 +276,9 @@ def listing_items(pages: DataFrame) -> DataFrame:
     """pages(json, ...) of {paging, results} -> the other columns, offset, pos and item; of a page that can't be read, one row with its json."""
     others = [c for c in pages.columns if c != "json"]
     page = pages.select(*others, F.from_json("json", schemas.LISTING_PAGE).alias("p"), "json")
-    broken = F.col("p.results").isNull()
-    items = page.select(*others, F.col("p.paging.offset").alias("offset"), F.posexplode_outer("p.results").alias("pos", "item"), F.when(broken, F.coalesce("json", F.lit(""))).alias("json"))
+    text = F.when(F.col("p.results").isNull(), F.coalesce("json", F.lit("")))
+    slim = page.select(*others, F.col("p.paging.offset").alias("offset"), F.col("p.results").alias("_results"), text.alias("json"))  # no item carries its page
+    items = slim.select(*others, "offset", F.posexplode_outer("_results").alias("pos", "item"), "json")
     return items.filter("item is not null or json is not null")
 
 

@@ -165,6 +165,17 @@ def test_rejects_are_kept_and_counted(spark, tmp_path):
     assert (done.read, done.rejected) == (4, 3) and {r.motivo for r in store.read("rejects").filter("tabla = 'listings'").collect()} == {"id", "precio", "json"}
 
 
+def test_items_of_a_long_page_do_not_carry_it(spark):
+    """Rows of a page would else take memory by the square of its items."""
+    listed = json.dumps({"paging": {"offset": 3}, "results": [item(f"MLA{k}") for k in range(8000)]})
+    pages = spark.createDataFrame([(listed,), ("no",), (None,)], "json string")
+    found = landing.listing_rows(landing.listing_items(pages), "2024-01-31").filter(F.length("_fila").isNull() | (F.length("_fila") < 10))
+    assert sorted((r.motivo or "", r.n) for r in found.groupBy(F.col("_motivo").alias("motivo")).agg(F.count("titulo").alias("n")).collect()) == [("", 8000), ("json", 0)]
+    points = json.dumps({"results": [{"fecha": "2024-01-12", "valor": str(k)} for k in range(20000)]})
+    read = landing.macro_rows(spark.createDataFrame([(7, points), (7, "no")], "serie_id int, json string"), landing.series_map(spark))
+    assert sorted((r._motivo or "", r._fila) for r in read.filter("valor = 19999 or _motivo is not null").collect()) == [("", None), ("json", "no")]
+
+
 def test_rows_without_a_day(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     batch = spark.createDataFrame([("a", None, 1), ("a", date(2024, 1, 1), 2)], "terminal string, fecha date, unidades_producidas int")
