@@ -46,6 +46,30 @@ def merge_upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], compa
     return both.select(*(column(c) for c in target.columns), action.alias("action"))
 
 
+def merge_last(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[str], compare: Sequence[str], set_columns: Sequence[str], as_of: datetime) -> DataFrame:
+    """merge_upsert() of the last row of each key of a batch (see dedupe_last), in one shuffle of both sides by key.
+
+    The batch has the target's columns, and may have more to order by."""
+    more = [f for f in batch.schema if f.name not in target.columns]
+    stored = target.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in more), F.lit(False).alias("_b"))
+    near = Window.partitionBy(*keys).orderBy("_b", *(F.desc(c) for c in order))  # the stored row, then the batch's from the last on
+    rows = stored.unionByName(batch.withColumn("_b", F.lit(True)))
+    before = (F.lag(c).over(near).alias(f"_t_{c}") for c in ("_b", *target.columns))  # one by one, as a struct would be made before the shuffle
+    rows = rows.select("*", F.row_number().over(near).alias("_n"), F.lead("_b").over(near).alias("_next"), *before)
+    matched = F.col("_b") & (F.col("_n") == 2) & ~F.col("_t__b")
+    rows = rows.withColumn("_both", F.coalesce(matched, F.lit(False))).filter(F.when(F.col("_b"), (F.col("_n") == 1) | F.col("_both")).otherwise(F.col("_next").isNull()))
+    differs = reduce(or_, (~F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in compare))
+    action = F.when(~F.col("_b"), "kept").when(~F.col("_both"), "insert").when(differs, "update").otherwise("unchanged")
+
+    def column(c: str) -> Column:
+        if c == "updated_at":
+            return F.when(action.isin("insert", "update"), F.lit(as_of).cast("timestamp_ntz")).when(F.col("_both"), F.col("_t_updated_at")).otherwise(F.col(c)).alias(c)
+        old = (action == "unchanged") if c in set_columns else F.col("_both")
+        return F.when(old, F.col(f"_t_{c}")).otherwise(F.col(c)).alias(c)
+
+    return rows.select(*(column(c) for c in target.columns), action.alias("action"))
+
+
 def summary(raw: DataFrame, batch: DataFrame, merged: DataFrame, day: str = "fecha") -> DataFrame:
     """One row: rows read and rejected (those that raw marks with a reason), duplicates among the others, what was done with the rest, and the dates covered."""
     refused = F.count_if(F.col(REASON).isNotNull()) if REASON in raw.columns else F.lit(0).cast("bigint")

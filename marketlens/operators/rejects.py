@@ -35,12 +35,13 @@ def unmarked(rows: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Parts:
-    """What split() wrote: the good rows, the rejected ones' REASON and RAW, and how many of both were read."""
+    """What split() wrote: the good rows, the rejected ones' REASON and RAW, how many of both were read, and the folder."""
 
     good: DataFrame
     bad: DataFrame
     read: int
     rejected: int
+    folder: str
 
 
 def split(rows: DataFrame, name: str) -> Parts:
@@ -51,4 +52,4 @@ def split(rows: DataFrame, name: str) -> Parts:
     counted.withColumn("_bad", bad).write.partitionBy("_bad").option("compression", "zstd").parquet(path)
     back = spark.read.schema(StructType([*rows.schema, StructField("_bad", IntegerType())])).parquet(path)
     numbers = seen.get
-    return Parts(back.filter("_bad = 0").drop("_bad", REASON, RAW), back.filter("_bad = 1").select(REASON, RAW), numbers["read"], numbers["rejected"])
+    return Parts(back.filter("_bad = 0").drop("_bad", REASON, RAW), back.filter("_bad = 1").select(REASON, RAW), numbers["read"], numbers["rejected"], path)

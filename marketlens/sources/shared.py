@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -31,6 +32,18 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/marketlens/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a folder of new_folder() that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Shuffle files of queries that have ended go once the driver collects its garbage, which else may be at any time."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage is cut and lost executors cost nothing."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)

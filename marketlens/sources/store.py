@@ -1,7 +1,7 @@
 """Tables as Parquet folders by month, one writer a table at a time.
 
-A merge reads and writes only the months of its batch: its rows are first written aside and then put in place by Spark's
-dynamic partition overwrite, so what is being read is never overwritten and other months are not touched.
+A merge reads and writes only the months of its batch: its rows are first written aside, in a folder of their own or by Spark's
+dynamic partition overwrite, which puts them in place, so what is being read is never overwritten and other months are not touched.
 """
 
 from __future__ import annotations
@@ -43,11 +43,16 @@ class Store:
             return False
         return True
 
-    def write(self, table: str, df: DataFrame, day: str) -> DataFrame:
-        """Puts whole months in place of what the table has of them; the rows as written, with their actions."""
-        rows = materialise(df.withColumn("_month", F.date_format(day, "yyyy-MM")).hint("rebalance", "_month"), table)  # few files a month, large months split
+    def write(self, table: str, df: DataFrame, day: str, months: int | None = None, aside: bool = True) -> DataFrame | None:
+        """Puts whole months in place of what the table has of them; the rows as written, with their actions.
+
+        months: how many there are, if known. Without `aside` nothing is returned, and the rows are written once: Spark's overwrite
+        puts them in place when all of them have been read and written."""
+        rows = df.withColumn("_month", F.date_format(day, "yyyy-MM"))
+        rows = rows if months == 1 else rows.hint("rebalance", "_month")  # few files a month, large months split
+        rows = materialise(rows, table) if aside else rows
         rows.drop("action").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_month").parquet(f"{self.root}/{table}")
-        return rows.drop("_month")
+        return rows.drop("_month") if aside else None
 
 
 def export_csv(df: DataFrame, folder: str, name: str, stamp: str) -> str:

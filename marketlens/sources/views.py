@@ -26,8 +26,8 @@ class Views:
                 df = df.filter((F.col(column) >= F.lit(first)) & (F.col(column) < F.lit(end)))
         return df
 
-    def _lines(self) -> DataFrame:
-        lines = self.table("lineitem").join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    def _lines(self, orders: DataFrame | None = None) -> DataFrame:
+        lines = self.table("lineitem").join(orders or self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         return lines.join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
 
     @property
@@ -58,8 +58,8 @@ class Views:
 
     @property
     def listings(self) -> DataFrame:
-        rows = self._lines().join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey")).join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        return rows.select(
+        placed = self.table("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey")).join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        return self._lines(placed).select(  # orders, not their lines, are shuffled to the customers
             F.concat(F.lit("MLA"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("meli_id"), F.col("l_shipdate").cast("date").alias("fecha_snapshot"),
             self.brand.alias("marca"), F.col("p_name").alias("modelo"), F.year("o_orderdate").alias("anio"), F.col("l_extendedprice").cast("decimal(18,2)").alias("precio"),
             F.when(F.col("l_linestatus") == "F", "USD").otherwise("ARS").alias("moneda"),

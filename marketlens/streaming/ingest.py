@@ -15,9 +15,10 @@ from pyspark.sql.types import StructField, StructType
 
 from marketlens import schemas
 from marketlens.functions.parse import change_percent
-from marketlens.operators.merge import dedupe_last, merge_upsert
+from marketlens.operators.merge import merge_last
 from marketlens.operators.rejects import RAW, REASON, marked, split, unmarked
 from marketlens.sources.landing import flatten_listings, listing_rows
+from marketlens.sources.shared import discard, let_go
 from marketlens.sources.store import Store
 
 
@@ -27,9 +28,9 @@ PRECEDENCE = "precedencia"
 
 @dataclass(frozen=True)
 class Merged:
-    """The rows of the months that were touched, each with its action, the months, and how many rows were read and rejected."""
+    """The rows of the months that were touched, each with its action (if asked for), the months, and how many rows were read and rejected."""
 
-    rows: DataFrame
+    rows: DataFrame | None
     months: list[str]
     read: int
     rejected: int
@@ -48,8 +49,8 @@ def conform(df: DataFrame, name: str, as_of: datetime) -> DataFrame:
     return df.select(*map(column, table), *(c for c in (REASON, RAW, PRECEDENCE) if c in df.columns))
 
 
-def merge_into(store: Store, table: str, batch: DataFrame, compare: list[str], set_columns: list[str], as_of: datetime, order: list[str]) -> Merged:
-    """Merges a batch into the months of a stored table that it has rows of.
+def merge_into(store: Store, table: str, batch: DataFrame, compare: list[str], set_columns: list[str], as_of: datetime, order: list[str], rows: bool = True) -> Merged:
+    """Merges a batch into the months of a stored table that it has rows of. rows: whether the merged rows are wanted.
 
     The batch is read once: rows that its reader marked, and rows without a day, go to the store's rejects with their reason.
     """
@@ -60,13 +61,13 @@ def merge_into(store: Store, table: str, batch: DataFrame, compare: list[str], s
     parts = split(dated.withColumns({REASON: F.when(without_day, "sin fecha").otherwise(F.col(REASON)), RAW: F.when(without_day, read).otherwise(F.col(RAW))}), f"{table}-batch")
     months = [r[0] for r in parts.good.select(F.date_format(day, "yyyy-MM")).distinct().collect()]  # as many as months
     first = [PRECEDENCE] if PRECEDENCE in parts.good.columns else []
-    unique = dedupe_last(parts.good, keys, [*first, *order]).drop(*first)
-    merged = merge_upsert(store.read(table, getattr(schemas, table.upper()), months), unique, keys, compare, set_columns, as_of)
-    written = store.write(table, merged, day)
+    merged = merge_last(store.read(table, getattr(schemas, table.upper()), months), parts.good, keys, [*first, *order], compare, set_columns, as_of)
+    written = store.write(table, merged, day, len(months), aside=rows)
     if parts.rejected:
         refused = parts.bad.groupBy(F.col(REASON).alias("motivo"), F.col(RAW).alias("fila")).agg(F.count("*").alias("veces"))
         refused = refused.withColumns({"tabla": F.lit(table), "fecha": F.trunc(F.lit(as_of).cast("date"), "MM")})
-        merge_into(store, "rejects", refused, ["veces"], ["veces"], as_of, ["veces"])
+        merge_into(store, "rejects", refused, ["veces"], ["veces"], as_of, ["veces"], rows=False)
+    discard(store.spark, parts.folder)
     return Merged(written, months, parts.read, parts.rejected)
 
 
@@ -78,7 +79,8 @@ def ingest_listings(spark: SparkSession, landing: str, store: Store, checkpoint:
     day = snapshot or F.col("snapshot")
 
     def merge(batch: DataFrame, _: int) -> None:
-        merge_into(store, "listings", listing_rows(batch, day), ["precio"], ["precio", "estado"], as_of, ["precio"])
+        let_go(spark)
+        merge_into(store, "listings", listing_rows(batch, day), ["precio"], ["precio", "estado"], as_of, ["precio"], rows=False)
 
     items.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
@@ -131,7 +133,7 @@ def ingest_price_steps(spark: SparkSession, landing: str, store: Store, checkpoi
 
     def merge(batch: DataFrame, _: int) -> None:
         late = marked(batch, {"tarde": F.col("tarde")}, F.to_json(F.struct("meli_id", "fecha_snapshot", "precio"))).drop("tarde")
-        merge_into(store, "price_steps", late, ["precio", "precio_anterior"], ["precio", "precio_anterior"], as_of, ["precio"])
+        merge_into(store, "price_steps", late, ["precio", "precio_anterior"], ["precio", "precio_anterior"], as_of, ["precio"], rows=False)
 
     steps.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 

@@ -3,12 +3,16 @@
 import json
 from datetime import date, datetime
 from decimal import Decimal
+from pathlib import Path
+from random import Random
 
 from pyspark.sql import functions as F
 
 from marketlens import schemas
+from marketlens.operators.merge import dedupe_last, merge_last, merge_upsert
 from marketlens.plans import jobs
 from marketlens.sources import landing
+from marketlens.sources.shared import shared_dir
 from marketlens.sources.store import Store, export_csv
 from marketlens.streaming.ingest import ingest_listings, ingest_price_steps, merge_into, price_changes
 
@@ -213,6 +217,39 @@ def test_stream_replay(spark, tmp_path):
     assert store.read("listings").columns == [f.split()[0] for f in schemas.LISTINGS.replace("DECIMAL(18,2)", "D").split(", ")]
 
 
+def test_stream_keeps_the_store_alone(spark, tmp_path):
+    """What a merge writes on its way goes when it ends, rejects included."""
+    shared = Path(shared_dir(spark).removeprefix("file://")) / "marketlens"
+    before = set(shared.glob("*"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text(json.dumps({"results": [item("a"), item("a", 120.0), item("b", None)]}))
+    store = Store(spark, str(tmp_path / "store"))
+    for k in (1, 2):
+        ingest_listings(spark, str(tmp_path / "in"), store, str(tmp_path / f"c{k}"), datetime(2024, 1, 1), "2024-01-01")
+    assert [(r.meli_id, float(r.precio)) for r in store.read("listings").collect()] == [("a", 120.0)]
+    assert [(r.motivo, r.veces) for r in store.read("rejects").collect()] == [("precio", 1)]
+    assert set(shared.glob("*")) == before
+
+
+def test_merge_last_in_one_shuffle(spark):
+    """The same rows and actions as merge_upsert() of the batch without duplicates, null keys and all."""
+    schema = "k string, d int, v int, w int, created_at timestamp_ntz, updated_at timestamp_ntz"
+    old, now = datetime(2024, 1, 1), datetime(2024, 2, 1)
+
+    def rows(n, seed, at):
+        r = Random(seed)
+        return [(r.choice([None, "a", "b", "c", "d"]), r.choice([None, 1, 2, 3]), r.choice([None, 1, 2]), k, at, at) for k in range(n)]
+
+    for seed in range(3):
+        target = dedupe_last(spark.createDataFrame(rows(12, seed, old), schema), ["k", "d"], ["v", "w"])
+        batch = spark.createDataFrame([(*r, r[3] % 2) for r in rows(30, seed + 9, now)], schema + ", first int")
+        found = merge_last(target, batch, ["k", "d"], ["first", "v", "w"], ["v"], ["v"], now)
+        want = merge_upsert(target, dedupe_last(batch, ["k", "d"], ["first", "v", "w"]).drop("first"), ["k", "d"], ["v"], as_of=now)
+        assert sorted(map(str, found.collect())) == sorted(map(str, want.select(*found.columns).collect()))
+    stored = spark.createDataFrame(rows(12, 1, old), schema)
+    assert merge_last(stored, batch, ["k", "d"], ["first", "v", "w"], ["v"], ["v"], now)._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+
+
 def _snapshot(folder, day, name, prices):
     (folder / f"snapshot={day}").mkdir(parents=True, exist_ok=True)
     (folder / f"snapshot={day}" / name).write_text(json.dumps({"results": [item(k, p) for k, p in prices.items()]}))
